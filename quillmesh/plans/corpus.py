@@ -1,0 +1,755 @@
+"""Scanner queries: paths, lines, licenses, env, owners, html, sources, assets."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import misc as M
+from ..functions import paths as P
+from ..functions import sqltext as S
+from ..functions import text as X
+from ..operators import assets, deps, entrypoints, env, html, jsfiles, languages, licenses, lines, owners, pysource, secrets, shellfiles, sqlfiles
+from ..operators.ordered import first_seen
+from ..sources import files as SF
+from .registry import FILES, LINES, query
+
+# ---- paths and lines -----------------------------------------------------------------
+
+SELECT_RULES = dict(include=["src1*", "src2/*5.txt", "*/7*"], exclude=["*99.txt"], segments=["src3"])
+
+
+@query(
+    "select_paths",
+    f"""SELECT path, size FROM {FILES} WHERE split_part(path, '/', 1) <> 'src3'
+    AND (path LIKE 'src1%' OR path LIKE 'src2/%5.txt' OR path LIKE '%/7%') AND path NOT LIKE '%99.txt'""",
+)
+def _(t):
+    return SF.select_paths(t.files, **SELECT_RULES).select("path", "size")
+
+
+@query(
+    "path_functions",
+    r"""SELECT page_id, regexp_extract(url, '[^/]*$') AS base, regexp_replace(url, '/[^/]*$', '') AS dir,
+    lower(regexp_extract(regexp_extract(url, '[^/]*$'), '^.+(\.[^.]+)$', 1)) AS ext,
+    NOT (url LIKE '/%' OR regexp_matches(url, '^[A-Za-z]:') OR regexp_matches(url, '(^|/)\.\.(/|$)')) AS safe FROM pages""",
+)
+def _(t):
+    p = t.html_files
+    return p.select("page_id", P.basename("path").alias("base"), P.dirname("path").alias("dir"), P.ext("path").alias("ext"), P.safe_relative("path").alias("safe"))
+
+
+@query("read_text_capped", "SELECT doc_id, decode(encode(substr(text, 1, 0)) || encode(text)[1:64]) AS head FROM documents WHERE octet_length(encode(text)) = length(text)")
+def _(t):
+    ascii_only = t.documents.where(F.octet_length("text") == F.length("text"))
+    return SF.read_text_capped(ascii_only, 64).select("doc_id", "head")
+
+
+@query(
+    "line_totals",
+    f"""SELECT ext, count(*) AS lines, count(*) FILTER (WHERE trim(line) <> '') AS non_blank, count(DISTINCT path) AS files
+    FROM (SELECT path, lang || '.x' AS e, line, '.txt' AS ext FROM (SELECT l.*, '' AS lang FROM {LINES} l)) GROUP BY ROLLUP (ext)""",
+)
+def _(t):
+    return lines.line_totals(t.files)
+
+
+@query("line_counts", f"SELECT path, count(*) AS loc, count(*) FILTER (WHERE trim(line) <> '' AND trim(line) NOT LIKE '#%') AS sloc, count(*) FILTER (WHERE trim(line) <> '') AS non_blank FROM {LINES} GROUP BY path")
+def _(t):
+    return lines.line_counts(t.files)
+
+
+@query("dir_tree", f"SELECT source AS dir, doc_id || '.txt' AS name FROM {FILES}")
+def _(t):
+    return lines.dir_tree(t.files)
+
+
+@query("dir_counts", "SELECT source AS dir, count(*) AS files, min(doc_id || '.txt') AS first_name, max(doc_id || '.txt') AS last_name FROM documents GROUP BY source")
+def _(t):
+    return lines.dir_counts(t.files)
+
+
+@query("git_ignores", "SELECT 'r' || c_custkey || '/.gitignore' AS path, unnest([2, 4]) AS line_no, unnest(['out_' || c_mktsegment || '/', '*.log']) AS pattern FROM customer")
+def _(t):
+    return lines.git_ignores(t.derived("ignores"))
+
+
+@query(
+    "source_window",
+    f"""SELECT l.path, l.line_no, l.line, t.target_line FROM {LINES} l JOIN (SELECT path, size % 40 + 1 AS target_line FROM {FILES}) t USING (path)
+    WHERE l.line_no BETWEEN t.target_line - 2 AND t.target_line + 3""",
+)
+def _(t):
+    targets = t.files.select("path", (F.col("size") % 40 + 1).alias("target_line"))
+    return lines.source_window(lines.to_lines(t.files), targets, 2, 3)
+
+
+# ---- licenses and secrets ------------------------------------------------------------
+
+_HINT_CASE = "CASE " + " ".join(f"WHEN regexp_matches(text, '(?is){p}') THEN '{s}'" for p, s in licenses.HINTS) + " END"
+
+
+@query("license_hints", f"SELECT path, spdx_id FROM (SELECT path, {_HINT_CASE} AS spdx_id FROM {FILES}) WHERE spdx_id IS NOT NULL")
+def _(t):
+    return licenses.license_hints(t.files)
+
+
+@query(
+    "license_headers",
+    """SELECT 'lic/d' || doc_id || '.py' AS path, 2 AS line, i AS spdx_id, '# SPDX-License-Identifier: ' || i AS snippet
+    FROM (SELECT doc_id, ['MIT', 'Apache-2.0', 'GPL-3.0-only'][doc_id % 3 + 1] AS i FROM documents WHERE doc_id % 4 <> 0)""",
+)
+def _(t):
+    return licenses.license_headers(t.derived("license_headers"))
+
+
+_LICENSE_FILES = f"""(SELECT 'pkg' || doc_id || '/' || ['LICENSE', 'NOTICE.txt', 'COPYRIGHT'][doc_id % 3 + 1] AS path,
+    ['license', 'notice', 'copyright'][doc_id % 3 + 1] AS file_kind, sha256(text) AS sha256, octet_length(encode(text)) AS size, {_HINT_CASE} AS spdx_id FROM documents)"""
+
+
+@query("license_files", f"SELECT * FROM {_LICENSE_FILES}")
+def _(t):
+    return licenses.license_files(t.derived("license_texts"))
+
+
+@query(
+    "license_summary",
+    f"""SELECT spdx_id, count(*) AS findings FROM (SELECT ['MIT', 'Apache-2.0', 'GPL-3.0-only'][doc_id % 3 + 1] AS spdx_id FROM documents WHERE doc_id % 4 <> 0
+    UNION ALL SELECT spdx_id FROM {_LICENSE_FILES}) WHERE spdx_id IS NOT NULL GROUP BY spdx_id""",
+)
+def _(t):
+    return licenses.license_summary(licenses.license_headers(t.derived("license_headers")), licenses.license_files(t.derived("license_texts")))
+
+
+@query(
+    "secrets_scan",
+    f"""WITH f AS (SELECT path, line_no, unnest([{{'kind': 'token_assignment', 'v': regexp_extract_all(line, '(?i)\\b(?:token|secret|password|api_key)\\s*=\\s*["''][^"'']{{8,}}["'']')}},
+    {{'kind': 'email', 'v': regexp_extract_all(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')}},
+    {{'kind': 'ipv4', 'v': regexp_extract_all(line, '\\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\\b')}},
+    {{'kind': 'card', 'v': regexp_extract_all(line, '\\b(?:[0-9][ -]?){{12,18}}[0-9]\\b')}}]) AS e FROM {LINES}),
+    g AS (SELECT path, line_no, e.kind AS kind, unnest(e.v) AS v FROM f),
+    h AS (SELECT *, reverse(regexp_replace(v, '[ -]', '', 'g')) AS d FROM g)
+    SELECT path, line_no, kind, sha256(v) AS sha256 FROM h WHERE kind <> 'card' OR
+    list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(d, i, 1)::INT
+      ELSE (substr(d, i, 1)::INT * 2) // 10 + (substr(d, i, 1)::INT * 2) % 10 END)) % 10 = 0""",
+)
+def _(t):
+    return secrets.secrets_scan(t.files)
+
+
+@query("secrets_summary")
+def _(t):
+    return secrets.secrets_summary(secrets.secrets_scan(t.files))
+
+
+# ---- environment ---------------------------------------------------------------------
+
+
+@query(
+    "env_file_vars",
+    """SELECT 'app' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '/.env.example' ELSE '/.env' END AS path,
+    'NATION_' || c_nationkey || ',SEG_' || c_mktsegment AS vars, c_custkey % 2 = 0 AS is_template, 2::BIGINT AS count FROM customer""",
+)
+def _(t):
+    v = env.env_file_vars(t.derived("env_files"))
+    return v.select("path", F.array_join("vars", ",").alias("vars"), "is_template", "count")
+
+
+@query("env_required", "SELECT 'app' || c_custkey || '/conf.yml' AS path, 'HOST_' || c_nationkey || ',KEY_' || c_mktsegment AS vars, 2::BIGINT AS count FROM customer")
+def _(t):
+    v = env.env_required(t.derived("configs"))
+    return v.select("path", F.array_join("vars", ",").alias("vars"), "count")
+
+
+@query("env_usage_js", "SELECT 'web/d' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.js' ELSE '.ts' END AS path, 'VAR_' || upper(source) AS vars, 1::BIGINT AS calls FROM documents")
+def _(t):
+    return env.env_usage_js(t.derived("js")).select("path", F.array_join("vars", ",").alias("vars"), "calls")
+
+
+@query(
+    "env_usage_py",
+    "SELECT 'pkg/m' || doc_id || '.py' AS path, 'VAR_' || upper(source) AS vars, 1::BIGINT AS getenv, 0::BIGINT AS environ_index, 0::BIGINT AS environ_get FROM documents WHERE doc_id % 50 <> 7",
+)
+def _(t):
+    return env.env_usage_py(pysource.py_facts(t.derived("py"))).withColumn("vars", F.array_join("vars", ","))
+
+
+_ENV_USES = """(SELECT 'env_files' AS source, c_custkey::VARCHAR AS path, unnest(['NATION_' || c_nationkey, 'SEG_' || c_mktsegment]) AS var FROM customer
+    UNION ALL SELECT 'configs', c_custkey::VARCHAR, unnest(['HOST_' || c_nationkey, 'KEY_' || c_mktsegment]) FROM customer
+    UNION ALL SELECT 'javascript', doc_id::VARCHAR, 'VAR_' || upper(source) FROM documents)"""
+
+
+def _env_uses(t):
+    parts = [
+        ("env_files", env.env_file_vars(t.derived("env_files"))), ("configs", env.env_required(t.derived("configs"))),
+        ("javascript", env.env_usage_js(t.derived("js"))),
+    ]
+    rows = [d.select(F.lit(n).alias("source"), "path", F.explode("vars").alias("var")) for n, d in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(
+    "env_summary",
+    f"SELECT source, count(DISTINCT source || path) AS files, count(DISTINCT var) AS vars FROM {_ENV_USES} GROUP BY ROLLUP (source)",
+)
+def _(t):
+    return env.env_summary(_env_uses(t).withColumn("path", F.concat("source", "path")))
+
+
+@query("union_vars", f"SELECT DISTINCT var FROM {_ENV_USES}")
+def _(t):
+    u = _env_uses(t)
+    return env.union_vars(*[u.where(F.col("source") == s) for s in ("env_files", "configs", "javascript")])
+
+
+# ---- owners --------------------------------------------------------------------------
+
+OWNER_RULES = [
+    owners.OwnerRule(1, "*.txt", ("@all",)), owners.OwnerRule(2, "src1*/", ("@dirs",)), owners.OwnerRule(3, "/src2/", ("@two", "@qa")),
+    owners.OwnerRule(4, "*9.txt", ("@nine",)), owners.OwnerRule(5, "src3/1*.txt", ("@three",)), owners.OwnerRule(6, "[!s]*", ("@none",)),
+]
+OWNER_RULES_SOME = [r for r in OWNER_RULES if r.index > 1]
+_OWNER_CASE = """CASE WHEN regexp_matches(path, '^(.*/)?src3/1.*\\.txt$') THEN 5 WHEN path LIKE '%9.txt' THEN 4 WHEN path LIKE 'src2/%' THEN 3 END"""
+_ASSIGNED = f"(SELECT path, CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), '^[^s]') THEN 6 ELSE {_OWNER_CASE} END AS rule_index FROM {FILES})"
+_ASSIGNED_SOME = f"(SELECT path, {_OWNER_CASE} AS rule_index FROM {FILES})"
+_OWNERS = "['@all', '@dirs', '@two,@qa', '@nine', '@three', '@none'][rule_index]"
+
+
+@query("assign_owners", f"SELECT path, rule_index, {_OWNERS} AS owners FROM {_ASSIGNED}")
+def _(t):
+    a = owners.assign_owners(t.files, OWNER_RULES)
+    return a.select("path", "rule_index", F.array_join("owners", ",").alias("owners"))
+
+
+def _some_owned(t):
+    return owners.assign_owners(t.files, [owners.OwnerRule(r.index - 1, r.pattern, r.owners) for r in OWNER_RULES_SOME[:-1]])
+
+
+@query("owner_counts", f"SELECT owner, count(*) AS files FROM (SELECT unnest(string_split({_OWNERS}, ',')) AS owner FROM {_ASSIGNED_SOME}) GROUP BY owner")
+def _(t):
+    return owners.owner_counts(_some_owned(t))
+
+
+@query("owner_summary", f"SELECT count(*) AS files, count(rule_index) AS assigned, count(*) - count(rule_index) AS unassigned FROM {_ASSIGNED_SOME}")
+def _(t):
+    return owners.owner_summary(_some_owned(t))
+
+
+@query("top_unassigned_dirs", f"SELECT path AS dir, count(*) AS files FROM {_ASSIGNED_SOME} WHERE rule_index IS NULL GROUP BY path ORDER BY files DESC, min(path) LIMIT 10")
+def _(t):
+    return owners.top_unassigned_dirs(_some_owned(t))
+
+
+# ---- html ----------------------------------------------------------------------------
+
+_MARKUP = r"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)(<script\b[^>]*>).*?</script', '\1</script', 'g')"
+_TAG = "len(regexp_extract_all(m, '(?is)<{}[\\s/>]'))"
+_HTML_COUNTS = f"""(SELECT path, size, {_TAG.format('h1')} AS h1, {_TAG.format('h2')} AS h2, {_TAG.format('h3')} AS h3,
+    len(list_filter(h, lambda x: x <> '')) AS links, len(list_filter(h, lambda x: regexp_matches(x, '^(https?://|//)'))) AS links_external,
+    {_TAG.format('script')} AS scripts, len(regexp_extract_all(m, '(?is)<script\\s[^>]*src="[^"]+"')) AS scripts_external,
+    len(regexp_extract_all(m, '(?is)<link\\s[^>]*rel="[^"]*stylesheet')) AS stylesheets, {_TAG.format('img')} AS images, {_TAG.format('form')} AS forms
+    FROM (SELECT *, regexp_extract_all(m, '(?is)<a\\s[^>]*href="([^"]*)"', 1) AS h FROM (SELECT url AS path, octet_length(encode(html)) AS size, {_MARKUP} AS m FROM pages)))"""
+
+
+@query("html_counts", f"SELECT *, links - links_external AS links_internal, scripts - scripts_external AS scripts_inline FROM {_HTML_COUNTS}")
+def _(t):
+    return html.html_counts(t.html_files)
+
+
+@query(
+    "html_facts",
+    r"""SELECT url AS path, regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1) AS lang, regexp_matches(html, '(?i)^\s*<!doctype html') AS doctype_html5,
+    len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1 FROM pages""",
+)
+def _(t):
+    f = html.html_facts(t.html_files)
+    return f.select("path", F.coalesce("lang", F.lit("")).alias("lang"), "doctype_html5", F.col("counts")["h1"].alias("h1"))
+
+
+@query("html_summary", f"SELECT count(*) AS files, {', '.join(f'sum({c})::BIGINT AS {c}' for c in html.COUNTERS)} FROM (SELECT *, links - links_external AS links_internal, scripts - scripts_external AS scripts_inline FROM {_HTML_COUNTS})")
+def _(t):
+    return html.html_totals(html.html_counts(t.html_files))
+
+
+@query("html_top_links", f"SELECT path, links AS count FROM {_HTML_COUNTS} ORDER BY links DESC, path LIMIT 10")
+def _(t):
+    return html.html_top(html.html_counts(t.html_files), "links")
+
+
+@query(
+    "html_resources",
+    f"""SELECT path, kind, target FROM (SELECT path, 'a' AS kind, unnest(regexp_extract_all(m, '(?is)<a\\s[^>]*href="([^"]*)"', 1)) AS target
+    FROM (SELECT url AS path, {_MARKUP} AS m FROM pages) UNION ALL SELECT path, 'img', unnest(regexp_extract_all(m, '(?is)<img\\s[^>]*src="([^"]*)"', 1)) FROM (SELECT url AS path, {_MARKUP} AS m FROM pages)
+    UNION ALL SELECT path, 'script', unnest(regexp_extract_all(m, '(?is)<script\\s[^>]*src="([^"]*)"', 1)) FROM (SELECT url AS path, {_MARKUP} AS m FROM pages)
+    UNION ALL SELECT path, 'link', unnest(regexp_extract_all(m, '(?is)<link\\s[^>]*href="([^"]*)"', 1)) FROM (SELECT url AS path, {_MARKUP} AS m FROM pages)) WHERE target <> ''""",
+)
+def _(t):
+    return html.html_resources(t.html_files, anchors=True)
+
+
+# ---- sql sources ---------------------------------------------------------------------
+
+_SQL = "(SELECT 'sql/o' || o_orderkey || '.sql' AS path, o_orderkey AS k, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS p FROM orders)"
+_STMTS = f"""(SELECT path, k, s, p, 1 AS i, 'create_table' AS kind FROM {_SQL} UNION ALL SELECT path, k, s, p, 2, 'insert' FROM {_SQL} UNION ALL SELECT path, k, s, p, 3, 'delete' FROM {_SQL})"""
+
+
+def _stmt_facts(t):
+    return sqlfiles.sql_statement_facts(sqlfiles.sql_statements(t.derived("sql")))
+
+
+@query(
+    "sql_statements",
+    f"""SELECT path, i, CASE i WHEN 1 THEN 'CREATE TABLE IF NOT EXISTS stage_' || s || ' (id INTEGER PRIMARY KEY, note TEXT UNIQUE)'
+    WHEN 2 THEN 'INSERT INTO stage_' || s || ' SELECT * FROM orders o JOIN customer c ON o.k = c.k WHERE c.k = :cust AND x = ''a;b'''
+    ELSE 'DELETE FROM audit_' || p || CASE WHEN k % 2 = 0 THEN '' ELSE ' WHERE id = $1' END END AS stmt FROM {_STMTS}""",
+)
+def _(t):
+    return sqlfiles.sql_statements(t.derived("sql"))
+
+
+@query(
+    "sql_facts",
+    f"""SELECT path, 3::BIGINT AS statements, 'audit_' || p || ',customer,orders,stage_' || s AS referenced, 'stage_' || s AS created, 1::BIGINT AS primary_keys, 1::BIGINT AS "unique",
+    CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS delete_no_where, ':cust' AS named, CASE WHEN k % 2 = 0 THEN '' ELSE '$1' END AS positional, 'sqlite' AS hints FROM {_SQL}""",
+)
+def _(t):
+    f = sqlfiles.sql_facts(_stmt_facts(t))
+    joined = [F.array_join(c, ",").alias(c) for c in ("referenced", "created", "named", "positional", "hints")]
+    return f.select("path", "statements", *joined, "primary_keys", "unique", "delete_no_where")
+
+
+@query("sql_kinds", f"SELECT kind, count(*) AS statements FROM {_STMTS} GROUP BY kind")
+def _(t):
+    return sqlfiles.sql_kinds(_stmt_facts(t))
+
+
+@query(
+    "sql_summary",
+    f"""SELECT count(*) AS files, 3 * count(*) AS statements, count(*) FILTER (WHERE k % 2 = 0) AS danger_total,
+    count(DISTINCT s) + count(DISTINCT p) + 2 AS referenced_tables, count(DISTINCT s) AS created_tables, 0::BIGINT AS dropped_tables FROM {_SQL}""",
+)
+def _(t):
+    return sqlfiles.sql_summary(_stmt_facts(t))
+
+
+@query(
+    "sql_top_tables",
+    f"""SELECT tab AS "table", count(*) AS files FROM (SELECT unnest(['orders', 'customer', 'stage_' || s, 'audit_' || p]) AS tab FROM {_SQL}) GROUP BY tab ORDER BY files DESC, tab LIMIT 20""",
+)
+def _(t):
+    return sqlfiles.sql_top_tables(_stmt_facts(t))
+
+
+@query(
+    "sql_refs",
+    f"""SELECT path, unnest([2, 3, 3, 3, 4, 4]) AS stmt_no, 'generic' AS dialect,
+    unnest(['EXISTS', 'orders', 'customer', 'stage_' || s, 'audit_' || p, 'audit_' || p]) AS "table" FROM {_SQL} WHERE false
+    UNION ALL SELECT path, unnest([3, 3, 3, 4, 4]), 'generic', unnest(['orders', 'customer', 'stage_' || s, 'audit_' || p, 'audit_' || p]) FROM {_SQL}""",
+)
+def _(t):
+    return sqlfiles.sql_refs(t.derived("sql"))
+
+
+@query(
+    "sql_objects",
+    f"""SELECT path, unnest([2, 3, 3, 3, 4]) AS line_no, unnest(['def', 'ref', 'ref', 'ref', 'ref']) AS role,
+    unnest(['TABLE', 'table_or_view', 'table_or_view', 'table_or_view', 'table_or_view']) AS kind, unnest(['IF', 'stage_' || s, 'orders', 'customer', 'audit_' || p]) AS name FROM {_SQL}""",
+)
+def _(t):
+    return sqlfiles.sql_objects(t.derived("sql"))
+
+
+@query(
+    "sql_text_functions",
+    """SELECT n_nationkey, 'sales.' || n_name AS canon, 'create_view' AS kind, 'mssql' AS hints, 'VIEW' AS word FROM nation""",
+)
+def _(t):
+    stmt = F.concat(F.lit("CREATE VIEW [sales].["), F.col("n_name"), F.lit("] AS SELECT TOP 5 * FROM x"))
+    name = F.concat(F.lit("[sales].["), F.col("n_name"), F.lit("]"))
+    return t.nation.select(
+        "n_nationkey", S.canon_sql_name(name).alias("canon"), S.classify_stmt(stmt).alias("kind"), F.array_join(S.dialect_hints(stmt), ",").alias("hints"),
+        F.regexp_extract(stmt, r"CREATE (\w+)", 1).alias("word"),
+    )
+
+
+# ---- js, native, shell ---------------------------------------------------------------
+
+_JS = "(SELECT doc_id, 'web/d' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.js' ELSE '.ts' END AS path FROM documents)"
+
+
+@query(
+    "js_facts",
+    f"""SELECT path, 10::BIGINT AS lines_total, 6::BIGINT AS lines_code, 3::BIGINT AS lines_comments, 1::BIGINT AS lines_blank, 'react,./m' || doc_id AS imports_static, 'fs' AS imports_require,
+    'f' || doc_id || ',v' || doc_id || ',b' || doc_id AS export_named, 1::BIGINT AS functions, 1::BIGINT AS todos, 'fs,react' AS packages,
+    CASE WHEN doc_id % 2 = 0 THEN 'node,react' ELSE 'node,react,typescript' END AS hints FROM {_JS}""",
+)
+def _(t):
+    f = jsfiles.js_facts(t.derived("js"))
+    joined = [F.array_join(c, ",").alias(c) for c in ("imports_static", "imports_require", "export_named", "packages", "hints")]
+    return f.select("path", "lines_total", "lines_code", "lines_comments", "lines_blank", "functions", "todos", *joined)
+
+
+@query(
+    "js_summary",
+    """SELECT count(*) AS files, 10 * count(*) AS lines_total, 6 * count(*) AS lines_code, 3 * count(*) AS lines_comments, count(*) AS lines_blank,
+    2 * count(*) AS imports_static, 0::BIGINT AS imports_dynamic, count(*) AS imports_require, 1.0::DOUBLE AS avg_functions, 0.0::DOUBLE AS avg_classes, 0.0::DOUBLE AS avg_arrow_functions FROM documents""",
+)
+def _(t):
+    return jsfiles.js_summary(jsfiles.js_facts(t.derived("js")))
+
+
+@query("js_top_packages", "SELECT unnest(['fs', 'react']) AS package, n AS files FROM (SELECT count(*) AS n FROM documents)")
+def _(t):
+    return jsfiles.js_top_packages(jsfiles.js_facts(t.derived("js")))
+
+
+@query("js_hint_counts", "SELECT hint, count(*) AS files FROM (SELECT unnest(CASE WHEN doc_id % 2 = 0 THEN ['node', 'react'] ELSE ['node', 'react', 'typescript'] END) AS hint FROM documents) GROUP BY hint")
+def _(t):
+    return jsfiles.js_hint_counts(jsfiles.js_facts(t.derived("js")))
+
+
+@query(
+    "import_edges",
+    f"""SELECT 'native/s' || s_suppkey || '.c' AS path, unnest(['system', 'local']) AS kind, unnest(['stdio.h', 'n' || s_nationkey || '.h']) AS target FROM supplier
+    UNION ALL SELECT 'cs/s' || s_suppkey || '.cs', 'using', 'System.Text' FROM supplier
+    UNION ALL SELECT path, unnest(['esm', 'esm', 'cjs']), unnest(['react', './m' || doc_id, 'fs']) FROM {_JS} WHERE path LIKE '%.js'
+    UNION ALL SELECT path, 'esm', unnest(['react', './m' || doc_id]) FROM {_JS} WHERE path LIKE '%.ts'""",
+)
+def _(t):
+    out = jsfiles.import_edges(t.derived("native"), "cpp").unionByName(jsfiles.import_edges(t.derived("csharp"), "csharp"))
+    return out.unionByName(jsfiles.import_edges(t.derived("js"), "javascript")).unionByName(jsfiles.import_edges(t.derived("js"), "typescript"))
+
+
+@query("analyze_languages", f"""SELECT language, count(*) AS edges, count(DISTINCT path) AS files FROM (
+    SELECT 'cpp' AS language, s_suppkey::VARCHAR AS path, unnest([1, 2]) AS x FROM supplier UNION ALL SELECT 'csharp', s_suppkey::VARCHAR, 1 FROM supplier
+    UNION ALL SELECT 'javascript', doc_id::VARCHAR, unnest([1, 2, 3]) FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'typescript', doc_id::VARCHAR, unnest([1, 2]) FROM documents WHERE doc_id % 2 = 1
+    UNION ALL SELECT 'sql', path, unnest([1, 2, 3, 4, 5]) FROM {_SQL}) GROUP BY language""")
+def _(t):
+    src = None
+    for kind in ("native", "csharp", "js", "sql"):
+        d = t.derived(kind).select("path", "text")
+        src = d if src is None else src.unionByName(d)
+    return languages.analyze_languages(src).groupBy("language").agg(F.count("*").alias("edges"), F.countDistinct("path").alias("files"))
+
+
+@query("cs_symbols", "SELECT 'cs/s' || s_suppkey || '.cs' AS path, 'Ns' || s_nationkey || '.Core' AS namespace, 'S' || s_suppkey || ',I' || s_suppkey AS types FROM supplier")
+def _(t):
+    return jsfiles.cs_symbols(t.derived("csharp")).withColumn("types", F.array_join("types", ","))
+
+
+@query(
+    "shell_facts",
+    "SELECT 'bin/d' || doc_id || '.sh' AS path, '/bin/bash' AS interpreter, 'build,ship' AS functions, 'lib_' || source || '.sh' AS sources, 'MODE' AS exports FROM documents",
+)
+def _(t):
+    f = shellfiles.shell_facts(t.derived("shell"))
+    return f.select("path", "interpreter", *[F.array_join(c, ",").alias(c) for c in ("functions", "sources", "exports")])
+
+
+@query(
+    "shell_edges",
+    """SELECT 'bin/d' || doc_id || '.sh' AS path, unnest([2, 4, 5, 5, 8, 8, 10, 10, 10]) AS line_no,
+    unnest(['bin/d' || doc_id || '.sh', 'build', 'build', 'build', 'ship', 'ship', 'ship', 'ship', 'ship']) AS src,
+    unnest(['lib_' || source || '.sh', 'build', 'make', 'tee', 'build', 'curl', 'date', 'ship', 'echo']) AS dst,
+    unnest(['sources', 'calls-function', 'calls-external', 'calls-external', 'calls-function', 'calls-external', 'calls-external', 'calls-function', 'calls-external']) AS kind FROM documents""",
+)
+def _(t):
+    return shellfiles.shell_edges(shellfiles.shell_lines(t.derived("shell")))
+
+
+@query("shell_commands", "SELECT 'bin/d' || doc_id || '.sh' AS path, unnest(['build', 'make', 'tee', 'curl', 'date', 'ship', 'echo']) AS command FROM documents")
+def _(t):
+    return shellfiles.shell_commands(shellfiles.shell_edges(shellfiles.shell_lines(t.derived("shell"))))
+
+
+# ---- entry points, assets, dependencies -----------------------------------------------
+
+
+@query(
+    "entrypoints",
+    """SELECT 'pkg/m' || doc_id || '.py' AS path, 'entrypoint.python' AS kind, 'pkg.m' || doc_id AS module, true AS has_main_fn, NULL::VARCHAR AS interpreter FROM documents
+    UNION ALL SELECT 'bin/d' || doc_id || '.sh', 'entrypoint.shell', NULL, NULL, '/bin/bash' FROM documents""",
+)
+def _(t):
+    both = t.derived("py").select("path", "text").unionByName(t.derived("shell").select("path", "text"))
+    return entrypoints.file_entrypoints(both)
+
+
+@query(
+    "config_entrypoints",
+    """SELECT 'js' || s_suppkey || '/package.json' AS path, 'package.json.bin' AS source, unnest(['run' || s_suppkey, 'x']) AS name, unnest(['./a.js', './b.js']) AS target FROM supplier
+    UNION ALL SELECT 'py' || s_suppkey || '/pyproject.toml', 'pyproject.project.scripts', 'cmd' || s_suppkey, 'app.cli:main' FROM supplier""",
+)
+def _(t):
+    both = t.derived("packages").select("path", "text").unionByName(t.derived("pyprojects").select("path", "text"))
+    return entrypoints.config_entrypoints(both)
+
+
+@query("entrypoint_summary", "SELECT unnest(['entrypoint.python', 'entrypoint.shell']) AS kind, n AS entries FROM (SELECT count(*) AS n FROM documents)")
+def _(t):
+    both = t.derived("py").select("path", "text").unionByName(t.derived("shell").select("path", "text"))
+    return entrypoints.entrypoint_summary(entrypoints.file_entrypoints(both))
+
+
+_ASSETS = """(SELECT source || '/' || doc_id || ['.md', '.png', '.bin', '.weird', '.py'][doc_id % 5 + 1] AS path,
+    ['document', 'image', 'binary', 'other', 'code'][doc_id % 5 + 1] AS category, octet_length(encode(text)) AS size, sha256(text) AS sha256,
+    CASE WHEN doc_id % 5 = 0 THEN len(string_split(text, chr(10))) END AS lines FROM documents WHERE doc_id % 5 <> 4)"""
+
+
+@query("asset_facts", f"SELECT path, category, size, sha256, lines FROM {_ASSETS}")
+def _(t):
+    return assets.asset_facts(t.derived("assets")).select("path", "category", "size", "sha256", "lines")
+
+
+@query("asset_summary", f"SELECT category, count(*) AS files, sum(size)::BIGINT AS bytes FROM {_ASSETS} GROUP BY category")
+def _(t):
+    return assets.asset_summary(assets.asset_facts(t.derived("assets")))
+
+
+@query("asset_largest", f"SELECT path, size FROM {_ASSETS} ORDER BY size DESC, path LIMIT 20")
+def _(t):
+    return assets.largest(assets.asset_facts(t.derived("assets")))
+
+
+@query(
+    "image_buckets",
+    """SELECT CASE WHEN mp < 0.3 THEN '<0.3MP' WHEN mp < 1 THEN '0.3–1MP' WHEN mp < 3 THEN '1–3MP' WHEN mp < 8 THEN '3–8MP' ELSE '>=8MP' END AS bucket, count(*) AS images
+    FROM (SELECT (p_size * 100)::DOUBLE * (p_partkey % 4000 + 1)::DOUBLE / 1000000.0::DOUBLE AS mp FROM part) GROUP BY 1""",
+)
+def _(t):
+    im = assets.asset_facts(t.derived("images")).select("image.*")
+    return assets.image_buckets(im)
+
+
+_REQ = """(SELECT 'svc' || p_partkey || '/requirements.txt' AS path, unnest([3, 4, 5, 6]) AS line_no,
+    unnest([replace(p_brand, '#', '-'), 'requests', 'local_' || p_size, 'plain']) AS package, unnest(['1.' || p_size, '2.' || p_size, NULL, NULL]) AS version FROM part)"""
+
+
+@query("deps_requirements", f"SELECT * FROM {_REQ}")
+def _(t):
+    return deps.deps_requirements(t.derived("requirements"))
+
+
+@query(
+    "deps_toml",
+    """SELECT 'py' || s_suppkey || '/pyproject.toml' AS path, 'pyproject' AS source, unnest([0, 1, 2]) AS seq, unnest(['numpy', 'pandas', 'httpx']) AS package,
+    unnest(['1.' || s_nationkey, NULL, '~0.' || s_nationkey]) AS version FROM supplier""",
+)
+def _(t):
+    return deps.deps_toml(t.derived("pyprojects"))
+
+
+@query(
+    "deps_merge",
+    f"""SELECT package, version, source, path FROM (SELECT *, row_number() OVER (PARTITION BY package ORDER BY rank, version IS NULL, path, seq) AS rn FROM (
+    SELECT 1 AS rank, 'requirements' AS source, path, line_no AS seq, package, version FROM {_REQ}
+    UNION ALL SELECT 2, 'pyproject', 'py' || s_suppkey || '/pyproject.toml', unnest([0, 1, 2]), unnest(['numpy', 'pandas', 'httpx']), unnest(['1.' || s_nationkey, NULL, '~0.' || s_nationkey]) FROM supplier)) WHERE rn = 1""",
+)
+def _(t):
+    null = F.lit(None).cast("string")
+    r = deps.deps_requirements(t.derived("requirements")).select("path", F.lit("requirements").alias("source"), F.col("line_no").alias("seq"), "package", "version", null.alias("lockfile"))
+    p = deps.deps_toml(t.derived("pyprojects")).withColumn("lockfile", null)
+    return deps.deps_merge(r.unionByName(p), ["path", "seq"]).select("package", "version", "source", "path")
+
+
+@query(
+    "precedence_pick",
+    """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 9 END, event_id) AS rn FROM events) WHERE rn = 1""",
+)
+def _(t):
+    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "click", 2).otherwise(9)
+    return first_seen(t.events, ["user_id"], [rank, "event_id"]).select("user_id", "event_id", "event_type")
+
+
+# ---- python sources --------------------------------------------------------------------
+
+_PY = "(SELECT doc_id, 'pkg/m' || doc_id || '.py' AS path, doc_id % 50 = 7 AS bad FROM documents)"
+
+
+def _facts(t):
+    return pysource.py_facts(t.derived("py"))
+
+
+@query(
+    "py_facts",
+    f"""SELECT fact, count(*) AS n FROM (SELECT unnest(['module', 'env', 'import', 'import', 'import', 'def', 'def', 'def', 'def', 'signature', 'signature', 'signature', 'signature',
+    'check', 'check', 'check', 'call', 'call', 'call', 'call', 'call', 'call', 'call', 'call']) AS fact FROM {_PY} WHERE NOT bad
+    UNION ALL SELECT 'docstring' FROM {_PY} WHERE NOT bad AND doc_id % 2 = 0 UNION ALL SELECT 'error' FROM {_PY} WHERE bad) GROUP BY fact""",
+)
+def _(t):
+    return _facts(t).groupBy("fact").agg(F.count("*").alias("n"))
+
+
+@query(
+    "python_index",
+    f"""SELECT path, 'pkg.m' || doc_id AS module, CASE WHEN bad THEN '' ELSE 'C' || doc_id END AS classes,
+    CASE WHEN bad THEN '' ELSE 'C' || doc_id || '.run,C' || doc_id || '.step,main' END AS functions, CASE WHEN bad THEN '' ELSE 'json,os,pkg.m' || (doc_id + 1) END AS imports, bad AS failed FROM {_PY}""",
+)
+def _(t):
+    m = pysource.python_modules(_facts(t))
+    return m.select("path", "module", *[F.array_join(c, ",").alias(c) for c in ("classes", "functions", "imports")], F.col("error").isNotNull().alias("failed"))
+
+
+@query("python_stats", f"SELECT path, (22 + CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS loc, CASE WHEN bad THEN 0 ELSE 3 END::BIGINT AS functions, CASE WHEN bad THEN 0 ELSE 1 END::BIGINT AS classes, CASE WHEN bad THEN 0 ELSE 3 END::BIGINT AS imports FROM {_PY}")
+def _(t):
+    return pysource.python_stats(t.derived("py"), _facts(t)).drop("error")
+
+
+@query(
+    "quality_metric",
+    f"""SELECT path, (22 + CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS loc, (19 - CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN bad THEN 1 ELSE 0 END)::BIGINT AS sloc,
+    CASE WHEN bad THEN 0 ELSE 7 END::BIGINT AS cyclomatic, CASE WHEN bad THEN 0 ELSE 3 END::BIGINT AS n_functions, CASE WHEN bad THEN 0 ELSE 1 END::BIGINT AS n_classes,
+    CASE WHEN bad THEN 0 ELSE 3.67 END::DOUBLE AS avg_fn_len, CASE WHEN bad THEN 'parse_error' END AS notes FROM {_PY}""",
+)
+def _(t):
+    return pysource.quality_metric(t.derived("py"), _facts(t))
+
+
+@query("complexity", f"SELECT path, 3::BIGINT AS functions, 7::BIGINT AS total, 2.333::DOUBLE AS avg, 3::BIGINT AS max, 3::DOUBLE AS p95 FROM {_PY} WHERE NOT bad")
+def _(t):
+    return pysource.complexity(pysource.functions_of(_facts(t))).withColumn("p95", F.col("p95").cast("double"))
+
+
+@query("complexity_summary", f"SELECT 3 * count(*) AS functions, (7 * count(*))::BIGINT AS total, round(7 / 3, 3)::DOUBLE AS avg, 3::BIGINT AS max FROM {_PY} WHERE NOT bad")
+def _(t):
+    return pysource.complexity_summary(pysource.functions_of(_facts(t)))
+
+
+@query("exact_percentile", "SELECT quantile_disc(l_extendedprice, 0.95) AS l_extendedprice FROM lineitem")
+def _(t):
+    return pysource.exact_percentile(t.lineitem, "l_extendedprice", 0.95)
+
+
+@query(
+    "doc_coverage",
+    f"""SELECT path, 1::BIGINT AS classes_total, (1 - doc_id % 2)::BIGINT AS classes_doc, 2::BIGINT AS methods_total, 0::BIGINT AS methods_doc, 1::BIGINT AS functions_total, 0::BIGINT AS functions_doc,
+    doc_id % 3 <> 0 AS module_doc, 5::BIGINT AS documentables, (1 - doc_id % 2 + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END)::BIGINT AS documented,
+    (1 - doc_id % 2 + CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END)::DOUBLE / 5::DOUBLE AS coverage FROM {_PY} WHERE NOT bad""",
+)
+def _(t):
+    return pysource.doc_coverage(_facts(t)).drop("classes_coverage", "methods_coverage", "functions_coverage")
+
+
+@query(
+    "doc_coverage_summary",
+    f"""SELECT count(*) AS files, count(*) FILTER (WHERE doc_id % 3 <> 0) AS module_docs, (count(*) FILTER (WHERE doc_id % 2 = 0) + count(*) FILTER (WHERE doc_id % 3 <> 0))::BIGINT AS documented, 5 * count(*) AS documentables FROM {_PY} WHERE NOT bad""",
+)
+def _(t):
+    return pysource.doc_coverage_summary(pysource.doc_coverage(_facts(t))).select("files", "module_docs", "documented", "documentables")
+
+
+@query("coverage_by_lang", """SELECT lang, count(*) AS docs, count(quality) AS labelled, sum(quality)::DOUBLE / nullif(count(quality), 0) AS good_share FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
+def _(t):
+    g = t.documents.join(t.labels, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("docs"), F.count("quality").alias("labelled"), F.sum("quality").alias("_q"))
+    return g.select("lang", "docs", "labelled", M.coverage("_q", "labelled").alias("good_share"))
+
+
+@query(
+    "line_checks",
+    f"""SELECT path, line_no, 'ST100' AS code, 121 AS col, 'Line exceeds 120 characters (' || length(line) || ').' AS message FROM {LINES} WHERE length(line) > 120
+    UNION ALL SELECT path, line_no, 'ST101', length(line), 'Trailing whitespace.' FROM {LINES} WHERE regexp_matches(line, '\\s$')
+    UNION ALL SELECT path, line_no, 'ST102', 1, 'Indentation uses hard tab.' FROM {LINES} WHERE line LIKE chr(9) || '%'""",
+)
+def _(t):
+    return pysource.line_checks(t.files).select("path", "line_no", "code", "col", "message")
+
+
+@query(
+    "ast_checks",
+    f"""SELECT path, unnest([8, 18, 19]) AS line_no, unnest(['ST006', 'ST001', 'ST004']) AS code, unnest(['warning', 'error', 'info']) AS severity FROM {_PY} WHERE NOT bad""",
+)
+def _(t):
+    return pysource.ast_checks(_facts(t)).select("path", "line_no", "code", "severity")
+
+
+@query("static_summary", f"""WITH i AS (SELECT unnest(['ST006', 'ST001', 'ST004']) AS code, unnest(['warning', 'error', 'info']) AS severity, unnest(['mutable-default-arg', 'bare-except', 'print-call']) AS c FROM {_PY} WHERE NOT bad
+    UNION ALL SELECT 'ST100', 'info', 'long-line' FROM {LINES} WHERE length(line) > 120)
+    SELECT 'severity' AS "by", severity AS name, count(*) AS issues FROM i GROUP BY severity UNION ALL SELECT 'code', code, count(*) FROM i GROUP BY code UNION ALL SELECT 'check', c, count(*) FROM i GROUP BY c""")
+def _(t):
+    issues = pysource.line_checks(t.files).unionByName(pysource.ast_checks(_facts(t)))
+    return pysource.static_summary(issues)
+
+
+@query(
+    "resolve_imports",
+    f"""SELECT path AS src_path, dst_module, CASE WHEN dst_module LIKE 'pkg.m%' AND nxt IN (SELECT doc_id FROM documents) THEN 'pkg/m' || nxt || '.py' END AS dst_path,
+    NOT (dst_module LIKE 'pkg.m%' AND nxt IN (SELECT doc_id FROM documents)) AS external
+    FROM (SELECT path, doc_id + 1 AS nxt, unnest(['os', 'json', 'pkg.m' || (doc_id + 1)]) AS dst_module FROM {_PY} WHERE NOT bad)""",
+)
+def _(t):
+    modules = t.derived("py").select(P.module_name("path").alias("module"), "path")
+    return pysource.resolve_imports(pysource.python_edges(_facts(t)), modules).select("src_path", "dst_module", "dst_path", "external")
+
+
+@query(
+    "resolve_calls",
+    f"""SELECT path, unnest([10, 11, 17, 17, 17, 17, 19, 22]) AS line, unnest(['pkg.m' || doc_id || ':C' || doc_id || '.step', 'os.getenv', 'C' || doc_id || '.run', 'pkg.m' || doc_id || ':C' || doc_id,
+    'json.dumps', 'pkg.m' || (doc_id + 1) || '.helper', 'print', 'pkg.m' || doc_id || ':main']) AS target,
+    unnest(['high', 'medium', 'low', 'medium', 'medium', 'medium', 'low', 'medium']) AS confidence FROM {_PY} WHERE NOT bad""",
+)
+def _(t):
+    return pysource.resolve_calls(_facts(t)).select("path", "line", "target", "confidence")
+
+
+@query(
+    "nearest_symbol",
+    f"""SELECT path, target_line, CASE WHEN bad OR target_line > 15 THEN 'module' WHEN target_line <= 6 THEN 'class' ELSE 'function' END AS kind,
+    CASE WHEN bad OR target_line > 15 THEN NULL WHEN target_line <= 6 THEN 'C' || doc_id ELSE 'main' END AS name FROM (SELECT *, (doc_id % 22 + 1)::INT AS target_line FROM {_PY})""",
+)
+def _(t):
+    targets = t.derived("py").select("path", (F.col("doc_id") % 22 + 1).cast("int").alias("target_line"), F.lit(None).cast("string").alias("symbol_name"))
+    return pysource.nearest_symbol(targets, _facts(t)).select("path", "target_line", "kind", "name")
+
+
+@query(
+    "context_code",
+    f"""SELECT path, CASE WHEN bad THEN 'module' ELSE 'function' END AS kind, CASE WHEN NOT bad THEN 'def run(self, x=[])' END AS signature,
+    CASE WHEN bad THEN 23 ELSE 14 END::BIGINT AS n_lines FROM {_PY}""",
+)
+def _(t):
+    targets = t.derived("py").select("path", F.lit(1).alias("target_line"), F.lit("run").alias("symbol_name"))
+    c = pysource.context_code(t.derived("py"), targets, _facts(t))
+    return c.select("path", "kind", "signature", F.size(F.split("context_code", "\n")).cast("bigint").alias("n_lines"))
+
+
+@query("python_symbols", f"""SELECT path, unnest(['C' || doc_id, 'C' || doc_id || '.run', 'C' || doc_id || '.step', 'main']) AS qualname, unnest([8, 4, 2, 5])::BIGINT AS loc, unnest([NULL, 2, 2, 0])::BIGINT AS arg_count FROM {_PY} WHERE NOT bad""")
+def _(t):
+    return pysource.python_symbols(_facts(t)).select("path", "qualname", "loc", "arg_count")
+
+
+@query(
+    "python_docstrings",
+    f"""SELECT path, 'C' || doc_id AS owner, 'class' AS owner_kind, 'Class doc.' AS doc FROM {_PY} WHERE NOT bad AND doc_id % 2 = 0
+    UNION ALL SELECT path, 'pkg.m' || doc_id, 'module', regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || '.' FROM {_PY} JOIN documents USING (doc_id) WHERE NOT bad AND doc_id % 3 <> 0""",
+)
+def _(t):
+    return pysource.python_docstrings(_facts(t)).select("path", "owner", "owner_kind", "doc")
+
+
+@query(
+    "code_index",
+    f"""SELECT unnest(['n_files', 'n_sql_files', 'n_sh_files', 'n_py_modules', 'n_py_functions', 'n_py_classes', 'n_py_calls', 'n_sql_defs', 'n_sql_refs', 'n_sh_functions', 'n_sh_commands']) AS stat,
+    unnest([2 * d + o, o, d, g, g, g, 8 * g, o, 4 * o, 2 * d, 7 * d]) AS value
+    FROM (SELECT count(*) AS d, count(*) FILTER (WHERE doc_id % 50 <> 7) AS g FROM documents), (SELECT count(*) AS o FROM orders)""",
+)
+def _(t):
+    files = t.derived("py").select("path", "text").unionByName(t.derived("sql").select("path", "text")).unionByName(t.derived("shell").select("path", "text"))
+    sh = t.derived("shell")
+    return pysource.code_index_stats(
+        files, _facts(t), sqlfiles.sql_objects(t.derived("sql")), shellfiles.shell_facts(sh), shellfiles.shell_commands(shellfiles.shell_edges(shellfiles.shell_lines(sh)))
+    )
+
+
+@query(
+    "text_functions",
+    r"""SELECT doc_id, trim(string_split(trim(text), chr(10))[1]) AS first_line, left(regexp_replace(trim(text), '\s+', ' ', 'g'), 40) || CASE WHEN length(regexp_replace(trim(text), '\s+', ' ', 'g')) > 40 THEN '…' ELSE '' END AS short,
+    CASE WHEN length(text) <= 60 THEN text ELSE left(text, 60) || '...' END AS cut, (length(text) + 3) // 4 AS tokens FROM documents WHERE length(text) = length(trim(text)) AND NOT regexp_matches(text, '[^\x00-\x7f]')""",
+)
+def _(t):
+    d = t.documents.where((F.length("text") == F.length(F.trim("text"))) & ~F.col("text").rlike(r"[^\x00-\x7f]"))
+    return d.select("doc_id", X.first_line("text", 100000).alias("first_line"), X.oneliner("text", 40).alias("short"), X.truncate("text", 60).alias("cut"), X.approx_tokens("text").alias("tokens"))
+
+
+@query("normalize_text", """SELECT doc_id, sha256(replace(rtrim(text), chr(10), chr(13) || chr(10)) || chr(13) || chr(10)) AS sha FROM documents WHERE NOT regexp_matches(text, '[ \\t]\\n') AND text = rtrim(text)""")
+def _(t):
+    d = t.documents.where(~F.col("text").rlike(r"[ \t]\n") & (F.col("text") == F.rtrim("text")))
+    return d.select("doc_id", F.sha2(X.normalize_newlines(X.rstrip_lines("text"), "crlf"), 256).alias("sha"))

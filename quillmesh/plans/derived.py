@@ -1,0 +1,186 @@
+"""Source files, configs and patches that Spark derives row by row from the input tables.
+
+The tables hold no source code, so each of these turns every row of a table into one
+file. The work of a query over them grows with the table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _s(c) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def _lines(*parts) -> Column:
+    return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _f(template: str, **cols) -> Column:
+    """Concatenation of literal text and ``{name}`` columns."""
+    out, rest = [], template
+    while "{{" in rest:
+        head, rest = rest.split("{{", 1)
+        name, rest = rest.split("}}", 1)
+        out += [F.lit(head), _s(cols[name])]
+    return F.concat(*out, F.lit(rest))
+
+
+def py(t) -> DataFrame:
+    """One module per document."""
+    d = t.documents
+    i = d["doc_id"]
+    doc = F.when(i % 3 != 0, F.concat(F.lit('"""'), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""), F.lit('."""'))).otherwise("# plain")
+    text = _lines(
+        doc, "import os", "import json as js", _f("from pkg.m{{n}} import helper", n=i + 1), "",
+        _f("class C{{i}}:", i=i), F.when(i % 2 == 0, '    """Class doc."""').otherwise("    ok = True"),
+        "    def run(self, x=[]):", "        if x and self.ok:", "            return self.step(x)",
+        _f('        return os.getenv("VAR_{{s}}")', s=F.upper("source")), "    def step(self, y):", "        return [v for v in y if v]", "",
+        "def main():", "    try:", _f("        C{{i}}().run(js.dumps(helper(1)))", i=i), "    except:", _f('        print("{{l}}")', l="lang"), "",
+        'if __name__ == "__main__":', "    main()", F.when(i % 50 == 7, "def broken(:"),
+    )
+    return d.select("doc_id", _f("pkg/m{{i}}.py", i=i).alias("path"), text.alias("text"))
+
+
+def sql(t) -> DataFrame:
+    """One script per order."""
+    o = t.orders
+    tail = F.when(F.col("o_orderkey") % 2 == 0, ";").otherwise(" WHERE id = $1;")
+    text = _lines(
+        _f("-- order {{k}}; note", k="o_orderkey"),
+        _f("CREATE TABLE IF NOT EXISTS stage_{{s}} (id INTEGER PRIMARY KEY, note TEXT UNIQUE);", s="o_orderstatus"),
+        _f("INSERT INTO stage_{{s}} SELECT * FROM orders o JOIN customer c ON o.k = c.k WHERE c.k = :cust AND x = 'a;b';", s="o_orderstatus"),
+        F.concat(_f("DELETE FROM audit_{{p}}", p=F.substring("o_orderpriority", 1, 1)), tail),
+    )
+    return o.select("o_orderkey", _f("sql/o{{k}}.sql", k="o_orderkey").alias("path"), text.alias("text"))
+
+
+def js(t) -> DataFrame:
+    """One script per document; odd ones are TypeScript."""
+    d = t.documents
+    i = d["doc_id"]
+    text = _lines(
+        _f("// {{l}} module", l="lang"), "import React from 'react';", _f("import { a } from './m{{i}}';", i=i),
+        "const fs = require('fs'); /* block", "comment */", _f("export const v{{i}} = process.env.VAR_{{s}};", i=i, s=F.upper("source")),
+        _f('export function f{{i}}() { return "// no comment"; }', i=i), "", "// TODO tidy", _f("export { a as b{{i}} };", i=i),
+    )
+    return d.select("doc_id", F.concat(F.lit("web/d"), _s(i), F.when(i % 2 == 0, ".js").otherwise(".ts")).alias("path"), text.alias("text"))
+
+
+def shell(t) -> DataFrame:
+    """One script per document."""
+    d = t.documents
+    text = _lines(
+        "#!/bin/bash", _f("source lib_{{s}}.sh", s="source"), _f("export MODE={{l}}", l="lang"), "build() {", "  make all | tee log.txt", "}",
+        "function ship {", "  build && curl -s host", "}", "ship; echo $(date)",
+    )
+    return d.select("doc_id", _f("bin/d{{i}}.sh", i="doc_id").alias("path"), text.alias("text"))
+
+
+def requirements(t) -> DataFrame:
+    """One requirements file per part."""
+    brand = F.translate("p_brand", "#", "-")
+    text = _lines(
+        "# deps", "-r base.txt", F.concat(brand, _f("==1.{{z}}", z="p_size")), _f("requests[socks]>=2.{{z}} # http", z="p_size"),
+        _f("-e git+https://host/x#egg=local_{{z}}", z="p_size"), "plain",
+    )
+    return t.part.select("p_partkey", _f("svc{{k}}/requirements.txt", k="p_partkey").alias("path"), text.alias("text"))
+
+
+def pyprojects(t) -> DataFrame:
+    """One pyproject file per supplier."""
+    text = _lines(
+        "[project]", _f('dependencies = ["numpy>=1.{{n}}", "pandas"]', n="s_nationkey"), "[project.scripts]", _f('cmd{{k}} = "app.cli:main"', k="s_suppkey"),
+        "[tool.poetry.dependencies]", 'python = "^3.11"', _f('httpx = {version = "~0.{{n}}"}', n="s_nationkey"),
+    )
+    return t.supplier.select("s_suppkey", _f("py{{k}}/pyproject.toml", k="s_suppkey").alias("path"), text.alias("text"))
+
+
+def packages(t) -> DataFrame:
+    """One package.json per supplier."""
+    text = _f('{"name":"s{{k}}","bin":{"run{{k}}":"./a.js","x":"./b.js"}}', k="s_suppkey")
+    return t.supplier.select("s_suppkey", _f("js{{k}}/package.json", k="s_suppkey").alias("path"), text.alias("text"))
+
+
+def env_files(t) -> DataFrame:
+    """One env file per customer; even ones are templates."""
+    name = F.when(F.col("c_custkey") % 2 == 0, ".env.example").otherwise(".env")
+    text = _lines("# settings", _f("export SEG_{{s}}=1 # note", s="c_mktsegment"), _f('NATION_{{n}}="a#b"', n="c_nationkey"), "not a key")
+    return t.customer.select("c_custkey", F.concat(_f("app{{k}}/", k="c_custkey"), name).alias("path"), text.alias("text"))
+
+
+def configs(t) -> DataFrame:
+    """One YAML file per customer."""
+    text = _lines(_f("host: ${HOST_{{n}}:-local}", n="c_nationkey"), _f("key: $KEY_{{s}}", s="c_mktsegment"), "price: $$5 and $lower")
+    return t.customer.select("c_custkey", _f("app{{k}}/conf.yml", k="c_custkey").alias("path"), text.alias("text"))
+
+
+def native(t) -> DataFrame:
+    """One C file per supplier."""
+    text = _lines("#include <stdio.h>", _f('  #  include "n{{n}}.h"', n="s_nationkey"), "int main(void) { return 0; }")
+    return t.supplier.select("s_suppkey", _f("native/s{{k}}.c", k="s_suppkey").alias("path"), text.alias("text"))
+
+
+def csharp(t) -> DataFrame:
+    """One C# file per supplier."""
+    text = _lines("using System.Text;", _f("namespace Ns{{n}}.Core;", n="s_nationkey"), _f("public class S{{k}} { }", k="s_suppkey"), _f("interface I{{k}} { }", k="s_suppkey"))
+    return t.supplier.select("s_suppkey", _f("cs/s{{k}}.cs", k="s_suppkey").alias("path"), text.alias("text"))
+
+
+def assets(t) -> DataFrame:
+    """Documents under several extensions."""
+    exts = F.array(*[F.lit(e) for e in (".md", ".png", ".bin", ".weird", ".py")])
+    e = F.get(exts, (F.col("doc_id") % 5).cast("int"))
+    return t.documents.select(F.concat("source", F.lit("/"), _s("doc_id"), e).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+def images(t) -> DataFrame:
+    """A PNG header per part: width from the size, height from the key."""
+    w, h = F.col("p_size") * 100, F.col("p_partkey") % 4000 + 1
+    hex8 = lambda c: F.lpad(F.hex(c.cast("bigint")), 8, "0")
+    body = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hex8(w), hex8(h)))
+    return t.part.select(_f("img/p{{k}}.png", k="p_partkey").alias("path"), body.alias("content"))
+
+
+def license_headers(t) -> DataFrame:
+    """Documents with an SPDX tag in front; every fourth has none."""
+    ids = F.array(*[F.lit(x) for x in ("MIT", "Apache-2.0", "GPL-3.0-only")])
+    tag = F.concat(F.lit("# file\n# SPDX-License-Identifier: "), F.get(ids, (F.col("doc_id") % 3).cast("int")), F.lit("\n"))
+    text = F.concat(F.when(F.col("doc_id") % 4 != 0, tag).otherwise(F.lit("")), F.col("text"))
+    return t.documents.select("doc_id", _f("lic/d{{i}}.py", i="doc_id").alias("path"), text.alias("text"))
+
+
+def license_texts(t) -> DataFrame:
+    """Documents as LICENSE, NOTICE and COPYING files."""
+    names = F.array(*[F.lit(x) for x in ("LICENSE", "NOTICE.txt", "COPYRIGHT")])
+    return t.documents.select("doc_id", F.concat(_f("pkg{{i}}/", i="doc_id"), F.get(names, (F.col("doc_id") % 3).cast("int"))).alias("path"), "text")
+
+
+def ignores(t) -> DataFrame:
+    text = _lines("# build", _f("out_{{s}}/", s="c_mktsegment"), "", "*.log")
+    return t.customer.select("c_custkey", _f("r{{k}}/.gitignore", k="c_custkey").alias("path"), text.alias("text"))
+
+
+def patches(t) -> DataFrame:
+    """A patch per document file: even ones replace the real first line, odd ones a line that is not there."""
+    path = F.concat("source", F.lit("/"), _s("doc_id"), F.lit(".txt"))
+    first = F.substring_index("text", "\n", 1)
+    old = F.when(F.col("doc_id") % 2 == 0, first).otherwise("no such line")
+    text = F.concat(_lines(F.concat(F.lit("--- a/"), path), F.concat(F.lit("+++ b/"), path), "@@ -1,1 +1,1 @@", F.concat(F.lit("-"), old), _f("+new {{i}}", i="doc_id")), F.lit("\n"))
+    return t.documents.select(_s("doc_id").alias("patch_id"), path.alias("path"), text.alias("text"))
+
+
+def responses(t) -> DataFrame:
+    """A model answer per message, in one of five shapes."""
+    item = F.to_json(F.struct(F.concat_ws(":", _s("conv_id"), _s("turn")).alias("id"), F.col("role").alias("role")))
+    shape = (F.col("conv_id") + F.col("turn")) % 5
+    raw = (
+        F.when(shape == 0, F.concat(F.lit('```json\n{"items":['), item, F.lit("]}\n```")))
+        .when(shape == 1, F.concat(F.lit("["), item, F.lit(", 5]")))
+        .when(shape == 2, F.concat(F.lit("Sure, here: {\"results\": ["), item, F.lit("]} hope it helps")))
+        .when(shape == 3, F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("["), item, F.lit("]")).alias("content")).alias("message"))).alias("choices"))))
+        .otherwise("no json at all")
+    )
+    return t.conversations.select(F.concat_ws(":", _s("conv_id"), _s("turn")).alias("id"), raw.alias("raw"))
