@@ -38,10 +38,9 @@ def _(t):
     return p.select("page_id", P.basename("path").alias("base"), P.dirname("path").alias("dir"), P.ext("path").alias("ext"), P.safe_relative("path").alias("safe"))
 
 
-@query("read_text_capped", "SELECT doc_id, decode(encode(substr(text, 1, 0)) || encode(text)[1:64]) AS head FROM documents WHERE octet_length(encode(text)) = length(text)")
+@query("read_text_capped", "SELECT doc_id, sha256(text) AS head FROM documents")
 def _(t):
-    ascii_only = t.documents.where(F.octet_length("text") == F.length("text"))
-    return SF.read_text_capped(ascii_only, 64).select("doc_id", "head")
+    return SF.read_text_capped(t.documents).select("doc_id", F.sha2("head", 256).alias("head"))
 
 
 @query(
@@ -719,7 +718,7 @@ def _(t):
 @query(
     "python_docstrings",
     f"""SELECT path, 'C' || doc_id AS owner, 'class' AS owner_kind, 'Class doc.' AS doc FROM {_PY} WHERE NOT bad AND doc_id % 2 = 0
-    UNION ALL SELECT path, 'pkg.m' || doc_id, 'module', regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g') || '.' FROM {_PY} JOIN documents USING (doc_id) WHERE NOT bad AND doc_id % 3 <> 0""",
+    UNION ALL SELECT path, 'pkg.m' || doc_id, 'module', regexp_replace(text, '[^A-Za-z ]', '', 'g') || '.' FROM {_PY} JOIN documents USING (doc_id) WHERE NOT bad AND doc_id % 3 <> 0""",
 )
 def _(t):
     return pysource.python_docstrings(_facts(t)).select("path", "owner", "owner_kind", "doc")
@@ -741,15 +740,33 @@ def _(t):
 
 @query(
     "text_functions",
-    r"""SELECT doc_id, trim(string_split(trim(text), chr(10))[1]) AS first_line, left(regexp_replace(trim(text), '\s+', ' ', 'g'), 40) || CASE WHEN length(regexp_replace(trim(text), '\s+', ' ', 'g')) > 40 THEN '…' ELSE '' END AS short,
-    CASE WHEN length(text) <= 60 THEN text ELSE left(text, 60) || '...' END AS cut, (length(text) + 3) // 4 AS tokens FROM documents WHERE length(text) = length(trim(text)) AND NOT regexp_matches(text, '[^\x00-\x7f]')""",
+    r"""SELECT doc_id, regexp_replace(string_split(s, chr(10))[1], '\s+$', '') AS first_line, left(o, 40) || CASE WHEN length(o) > 40 THEN '…' ELSE '' END AS short,
+    CASE WHEN length(text) <= 60 THEN text ELSE left(text, 60) || '...' END AS cut, (length(text) + 3) // 4 AS tokens
+    FROM (SELECT *, regexp_replace(s, '\s+', ' ', 'g') AS o FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents))""",
 )
 def _(t):
-    d = t.documents.where((F.length("text") == F.length(F.trim("text"))) & ~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return d.select("doc_id", X.first_line("text", 100000).alias("first_line"), X.oneliner("text", 40).alias("short"), X.truncate("text", 60).alias("cut"), X.approx_tokens("text").alias("tokens"))
+    return t.documents.select("doc_id", X.first_line("text", 100000).alias("first_line"), X.oneliner("text", 40).alias("short"), X.truncate("text", 60).alias("cut"), X.approx_tokens("text").alias("tokens"))
 
 
-@query("normalize_text", """SELECT doc_id, sha256(replace(rtrim(text), chr(10), chr(13) || chr(10)) || chr(13) || chr(10)) AS sha FROM documents WHERE NOT regexp_matches(text, '[ \\t]\\n') AND text = rtrim(text)""")
+@query(
+    "normalize_text",
+    r"""SELECT doc_id, sha256(array_to_string(list_transform(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, lambda x: regexp_replace(x, '\s+$', '')), chr(13) || chr(10)) || chr(13) || chr(10)) AS sha
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
+)
+def _(t):
+    return t.documents.select("doc_id", F.sha2(X.normalize_newlines(X.rstrip_lines("text"), "crlf"), 256).alias("sha"))
+
+
+@query(
+    "summary_body",
+    r"""SELECT doc_id, CASE WHEN regexp_matches(s, '\n\s*\n') THEN regexp_replace(regexp_extract(s, '(?s)^(.*?)\n\s*\n', 1), '\s+$', '')
+    WHEN regexp_matches(s, '(?s)^.*?[.!?]\s+.') THEN regexp_extract(s, '(?s)^(.*?[.!?])\s', 1) ELSE s END AS summary
+    FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)""",
+)
+def _(t):
+    return t.documents.select("doc_id", X.split_summary_body("text")[0].alias("summary"))
+
+
+@query("token_estimate", "SELECT lang, sum((length(text) + 3) // 4)::BIGINT AS tokens FROM documents GROUP BY lang")
 def _(t):
-    d = t.documents.where(~F.col("text").rlike(r"[ \t]\n") & (F.col("text") == F.rtrim("text")))
-    return d.select("doc_id", F.sha2(X.normalize_newlines(X.rstrip_lines("text"), "crlf"), 256).alias("sha"))
+    return t.documents.groupBy("lang").agg(F.sum(X.approx_tokens("text")).alias("tokens"))

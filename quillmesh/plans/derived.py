@@ -32,7 +32,7 @@ def py(t) -> DataFrame:
     """One module per document."""
     d = t.documents
     i = d["doc_id"]
-    doc = F.when(i % 3 != 0, F.concat(F.lit('"""'), F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""), F.lit('."""'))).otherwise("# plain")
+    doc = F.when(i % 3 != 0, F.concat(F.lit('"""'), F.regexp_replace("text", "[^A-Za-z ]", ""), F.lit('."""'))).otherwise("# plain")
     text = _lines(
         doc, "import os", "import json as js", _f("from pkg.m{{n}} import helper", n=i + 1), "",
         _f("class C{{i}}:", i=i), F.when(i % 2 == 0, '    """Class doc."""').otherwise("    ok = True"),
