@@ -235,22 +235,29 @@ def sanitize_items(df: DataFrame, json_col: str, forbid_secrets: bool = True) ->
     reduced to their scalars.
     """
     banned = r"(?i)^(payload|raw)$" + (r"|secret|token|password|key" if forbid_secrets else "")
-    top = F.from_json(json_col, "map<string,string>")
+    top = F.try_parse_json(json_col).cast("map<string,variant>")
     small = F.map_filter(top, lambda k, v: ~k.rlike(banned) & _keep_value(v))
     return df.withColumn(json_col, F.to_json(F.transform_values(small, lambda _, v: _reduce_value(v)), {"ignoreNullFields": "false"}))
 
 
+def _nested(v: Column, kind: str) -> Column:
+    return F.schema_of_variant(v).startswith(kind)
+
+
+def _scalar(v: Column) -> Column:
+    return ~_nested(v, "OBJECT") & ~_nested(v, "ARRAY")
+
+
 def _keep_value(v: Column) -> Column:
-    is_map, is_list = v.startswith("{"), v.startswith("[")
-    n_keys = F.size(F.json_object_keys(v))
-    items = F.filter(F.from_json(v, "array<string>"), lambda x: F.coalesce(~x.rlike(r"^[\[{]"), F.lit(True)))
-    return F.when(is_map, n_keys <= 8).when(is_list, F.size(items).between(1, 16)).otherwise(F.lit(True))
+    n_keys = F.size(F.map_keys(v.try_cast("map<string,variant>")))
+    n_items = F.size(F.filter(v.try_cast("array<variant>"), _scalar))
+    return F.when(_nested(v, "OBJECT"), n_keys <= 8).when(_nested(v, "ARRAY"), n_items.between(1, 16)).otherwise(F.lit(True))
 
 
 def _reduce_value(v: Column) -> Column:
-    scalar_map = F.map_filter(F.from_json(v, "map<string,string>"), lambda _, x: F.coalesce(~x.rlike(r"^[\[{]"), F.lit(True)))
-    items = F.filter(F.from_json(v, "array<string>"), lambda x: F.coalesce(~x.rlike(r"^[\[{]"), F.lit(True)))
-    return F.when(v.startswith("{"), F.to_json(scalar_map)).when(v.startswith("["), F.to_json(items)).otherwise(v)
+    fields = F.map_filter(v.try_cast("map<string,variant>"), lambda _, x: _scalar(x))
+    items = F.filter(v.try_cast("array<variant>"), _scalar)
+    return F.when(_nested(v, "OBJECT"), F.to_variant_object(fields)).when(_nested(v, "ARRAY"), F.to_variant_object(items)).otherwise(v)
 
 
 def apply_emission_mode(families: DataFrame, default: str, modes: Mapping[str, str], override: Mapping[str, str]) -> DataFrame:

@@ -123,7 +123,7 @@ def _(t):
 
 @query("sanitize_items", "SELECT event_id, props FROM (SELECT event_id, json_object('k', json_extract(props, '$.k'), 'n', user_id, 'o', json('{\"a\":1}')) AS props FROM events)")
 def _(t):
-    raw = F.concat(F.lit('{"k":"'), F.get_json_object("props", "$.k"), F.lit('","api_key":"x","payload":{"z":1},"n":"'), F.col("user_id").cast("string"), F.lit('","o":{"a":1,"b":{"c":2}}}'))
+    raw = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"api_key":"x","payload":{"z":1},"n":'), F.col("user_id").cast("string"), F.lit(',"o":{"a":1,"b":{"c":2}}}'))
     s = R.sanitize_items(t.events.select("event_id", raw.alias("props")), "props")
     g = lambda k: F.get_json_object("props", f"$.{k}")
     keys = F.array_join(F.array_sort(F.json_object_keys("props")), ",")

@@ -1,0 +1,87 @@
+"""Source and sink queries: parts, bundles, sums, manifests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..sources import files as SF
+from ..sources import manifest as M
+from .registry import FILES, query
+
+_PARTS = """(WITH RECURSIVE r AS (SELECT doc_id // 128 AS shard, doc_id AS seq, octet_length(encode(text)) + 1 AS size, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) AS n FROM documents),
+    w AS (SELECT shard, seq, size, n, size AS used, 0 AS part_no FROM r WHERE n = 1
+      UNION ALL SELECT r.shard, r.seq, r.size, r.n, CASE WHEN w.used + r.size > 20000 THEN r.size ELSE w.used + r.size END, w.part_no + CASE WHEN w.used + r.size > 20000 THEN 1 ELSE 0 END
+      FROM w JOIN r ON r.shard = w.shard AND r.n = w.n + 1)
+    SELECT seq, size, 'manifest_' || lpad(shard::VARCHAR, 5, '0') || '_' || lpad((part_no // 10)::VARCHAR, 2, '0') || '_' || lpad(part_no::VARCHAR, 4, '0') || '.jsonl' AS part FROM w)"""
+
+
+def _parts(t):
+    d = t.documents.withColumn("shard", F.floor(F.col("doc_id") / 128))
+    return M.assign_parts(d, "shard", "doc_id", "text", split_bytes=20_000)
+
+
+@query("assign_parts", f"SELECT seq, part FROM {_PARTS}")
+def _(t):
+    return _parts(t).select("seq", "part")
+
+
+@query("parts_index", f"SELECT part, sum(size)::BIGINT AS bytes, count(*) AS lines FROM {_PARTS} GROUP BY part")
+def _(t):
+    return M.parts_index(_parts(t))
+
+
+@query("write_sums", f"SELECT path AS name, sha256(text) || '  ' || path AS value FROM {FILES}")
+def _(t):
+    return SF.sums_lines(t.files)
+
+
+@query("read_sums", f"SELECT sha256(text) AS sha256, path AS name FROM {FILES}")
+def _(t):
+    lines = SF.sums_lines(t.files).select("value")
+    return SF.read_sums(lines.unionByName(t.files.select(F.col("lang").alias("value"))))
+
+
+@query("write_bundle", f"""SELECT path, '{{"content_b64":"' || base64(encode(text)) || '","mode":"0644","path":"' || path || '","sha256":"' || sha256(text) || '"}}' AS value FROM {FILES}""")
+def _(t):
+    return M.bundle_lines(t.files)
+
+
+@query("read_bundle", f"SELECT path, sha256(text) AS digest, NULL AS reason FROM {FILES} WHERE lang <> 'fr' AND lang <> 'de' UNION ALL SELECT '../' || path, NULL, 'unsafe path' FROM {FILES} WHERE lang = 'fr' UNION ALL SELECT path, NULL, 'hash mismatch' FROM {FILES} WHERE lang = 'de'")
+def _(t):
+    f = t.files.withColumn("path", F.when(F.col("lang") == "fr", F.concat(F.lit("../"), "path")).otherwise(F.col("path")))
+    raw = F.encode("text", "UTF-8")
+    sha = F.when(F.col("lang") == "de", F.sha2(F.lit("x"), 256)).otherwise(F.sha2(raw, 256))
+    lines = f.select(F.to_json(F.struct("path", sha.alias("sha256"), F.lit("0644").alias("mode"), F.base64(raw).alias("content_b64"))).alias("value"))
+    good, bad = M.read_bundle(lines)
+    return good.select("path", F.sha2("content", 256).alias("digest"), F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("path", F.lit(None).cast("string").alias("digest"), "reason")
+    )
+
+
+@query("iter_json_objects", """SELECT conv_id || ':' || turn AS id, unnest([1, 2]) AS object_no, unnest([role, turn::VARCHAR]) AS a FROM conversations""")
+def _(t):
+    one = F.to_json(F.struct(F.col("role").alias("a"), F.col("text").alias("t")))
+    two = F.concat(F.lit('{"a":{"x":'), F.col("turn").cast("string"), F.lit("}}"))
+    src = t.conversations.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.concat(F.lit("junk "), one, F.lit(" } , "), two).alias("text"))
+    o = M.iter_json_objects(src)
+    return o.select("id", "object_no", F.coalesce(F.get_json_object("object", "$.a.x"), F.get_json_object("object", "$.a")).alias("a"))
+
+
+@query(
+    "read_manifest",
+    """SELECT 'p' || conv_id || '_' || turn AS part, conv_id AS part_no, unnest(CASE WHEN turn % 2 = 0 THEN [0, 1] ELSE [0, 2] END) AS line_no, unnest(['chat_' || role, 'done']) AS family FROM conversations""",
+)
+def _(t):
+    one = F.to_json(F.struct(F.concat(F.lit("Chat-"), "role").alias("kind"), F.col("text").alias("t")))
+    two = F.lit('{"family": "", "record_type": "end"}')
+    value = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("["), one, F.lit(", "), two, F.lit(", 7]"))).otherwise(F.concat(one, F.lit("\n{broken\n"), two, F.lit("\n[1]\n")))
+    part = F.concat(F.lit("p"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    raw = t.conversations.select(part.alias("part"), value.alias("value"))
+    order = t.conversations.select(part.alias("part"), F.col("conv_id").alias("part_no"))
+    return M.parse_manifest(raw, order, {"end": "done"}).select("part", "part_no", "line_no", "family")
+
+
+@query("write_records", """SELECT 1 AS seq, '{"kind":"' || lang || '","path":"' || path || '"}' AS value FROM (SELECT lang, source || '/' || doc_id || '.txt' AS path FROM documents) UNION ALL SELECT 0, '{"record_type":"manifest_header","tool":"x"}'
+    UNION ALL SELECT 2, '{"counts":[' || string_agg('{"kind":"' || lang || '","n":' || n || '}', ',' ORDER BY lang) || '],"record_type":"bundle_summary"}' FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""")
+def _(t):
+    return M.write_records(t.files.select(F.col("lang").alias("kind"), "path"), {"tool": "x"})

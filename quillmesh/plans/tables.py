@@ -170,16 +170,15 @@ def _(t):
 
 @query(
     "map_qualnames",
-    """SELECT p_partkey, coalesce((SELECT m.new || substr(d, length(m.old) + 1) FROM (SELECT DISTINCT regexp_replace(p_type, ' .*', '') AS old, 'x.' || lower(regexp_replace(p_type, ' .*', '')) AS new FROM part
-    UNION SELECT DISTINCT replace(p_type, ' ', '.'), 'whole' FROM part WHERE p_size = 1) m WHERE d = m.old OR starts_with(d, m.old || '.') ORDER BY length(m.old) DESC LIMIT 1), d) AS new_name
-    FROM (SELECT p_partkey, replace(p_type, ' ', '.') AS d FROM part)""",
+    """WITH n AS (SELECT p_partkey, p_type || '.' || p_brand || '.' || p_size AS d, p_type AS a, p_type || '.' || p_brand AS b, lower(p_type) AS low FROM part),
+    w AS (SELECT DISTINCT p_type || '.' || p_brand AS old FROM part WHERE p_size = 1)
+    SELECT p_partkey, CASE WHEN b IN (SELECT old FROM w) THEN 'whole' || substr(d, length(b) + 1) ELSE 'x.' || low || substr(d, length(a) + 1) END AS new_name FROM n""",
 )
 def _(t):
-    names = t.part.select("p_partkey", F.translate("p_type", " ", ".").alias("name"))
-    first = F.substring_index("p_type", " ", 1)
-    short = t.part.select(first.alias("old"), F.concat(F.lit("x."), F.lower(first)).alias("new"))
-    whole = t.part.where(F.col("p_size") == 1).select(F.translate("p_type", " ", ".").alias("old"), F.lit("whole").alias("new"))
-    return J.map_qualnames(names, short.union(whole).distinct()).select("p_partkey", "new_name")
+    name = F.concat_ws(".", "p_type", "p_brand", F.col("p_size").cast("string"))
+    short = t.part.select(F.col("p_type").alias("old"), F.concat(F.lit("x."), F.lower("p_type")).alias("new"))
+    whole = t.part.where(F.col("p_size") == 1).select(F.concat_ws(".", "p_type", "p_brand").alias("old"), F.lit("whole").alias("new"))
+    return J.map_qualnames(t.part.select("p_partkey", name.alias("name")), short.union(whole).distinct()).select("p_partkey", "new_name")
 
 
 @query("fk_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)")

@@ -67,13 +67,17 @@ def write_records(records: DataFrame, header: dict[str, str]) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, parts_order: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(part, part_no, line_no, record, family) of all parts.
+    """All records of the part files below a folder; parts are small by construction."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    return parse_manifest(raw.select(P.basename(F.col("_metadata.file_path")).alias("part"), "value"), parts_order, aliases)
+
+
+def parse_manifest(raw: DataFrame, parts_order: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """(part, part_no, line_no, record, family) of part texts(part, value).
 
     A part is JSONL or one JSON array; lines that are no objects are skipped. Parts come
-    in the order given, else by name. JSONL parts are split by line while reading.
+    in the order given, else by name.
     """
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    raw = raw.select(P.basename(F.col("_metadata.file_path")).alias("part"), "value")
     is_array = F.ltrim("value").startswith("[")
     arrays = raw.where(is_array).select("part", F.posexplode(F.from_json("value", "array<string>")).alias("line_no", "record"))
     lines = raw.where(~is_array).select("part", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "record"))
@@ -91,7 +95,7 @@ def read_manifest(spark: SparkSession, path: str, parts_order: DataFrame | None
 def bundle_lines(files: DataFrame, mode: str = "0644") -> DataFrame:
     """(path, value): bundle record per file."""
     raw = F.encode("text", "UTF-8")
-    rec = F.struct(F.base64(raw).alias("content_b64"), F.lit(mode).alias("mode"), F.col("path"), H.sha256_hex("text").alias("sha256"))
+    rec = F.struct(F.translate(F.base64(raw), "\r\n", "").alias("content_b64"), F.lit(mode).alias("mode"), F.col("path"), H.sha256_hex("text").alias("sha256"))
     return files.select("path", F.to_json(rec).alias("value"))
 
 
