@@ -12,6 +12,15 @@ LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+# A character that is no blank: finding the first one is cheaper than stripping.
+INK = "[^" + BLANK[1:]
+
+
+def has_ink(c) -> Column:
+    """The text is more than blanks."""
+    return col(c).rlike(INK)
+
+
 def lines_of(c) -> Column:
     """Lines of a text without their ends; no empty piece after the last end."""
     parts = F.split(col(c), LINE_BREAK)

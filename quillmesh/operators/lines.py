@@ -21,13 +21,13 @@ def line_counts(files: DataFrame) -> DataFrame:
 
     Counted with array functions on the row itself: no explode, no shuffle.
     """
-    stripped = F.transform(X.lines_of("text"), lambda x: X.strip(x))
-    rows = files.select("path", F.size(stripped).cast("bigint").alias("loc"), stripped.alias("_s"))
+    rows = files.select("path", X.lines_of("text").alias("_l"))
+    code = "^" + X.BLANK + "*+[^#" + X.BLANK[1:]
     return rows.select(
         "path",
-        "loc",
-        F.size(F.filter("_s", lambda x: (x != "") & ~x.startswith("#"))).cast("bigint").alias("sloc"),
-        F.size(F.filter("_s", lambda x: x != "")).cast("bigint").alias("non_blank"),
+        F.size("_l").cast("bigint").alias("loc"),
+        F.size(F.filter("_l", lambda x: x.rlike(code))).cast("bigint").alias("sloc"),
+        F.size(F.filter("_l", X.has_ink)).cast("bigint").alias("non_blank"),
     )
 
 
@@ -38,13 +38,8 @@ def line_totals(files: DataFrame) -> DataFrame:
 
 
 def _counts_with(files: DataFrame, *keep: str) -> DataFrame:
-    stripped = F.transform(X.lines_of("text"), lambda x: X.strip(x))
-    rows = files.select(*keep, stripped.alias("_s"))
-    return rows.select(
-        *keep,
-        F.size("_s").cast("bigint").alias("loc"),
-        F.size(F.filter("_s", lambda x: x != "")).cast("bigint").alias("non_blank"),
-    )
+    rows = files.select(*keep, X.lines_of("text").alias("_l"))
+    return rows.select(*keep, F.size("_l").cast("bigint").alias("loc"), F.size(F.filter("_l", X.has_ink)).cast("bigint").alias("non_blank"))
 
 
 def dir_tree(files: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def _s(c) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
@@ -46,7 +48,7 @@ def py(t) -> DataFrame:
 
 def sql(t) -> DataFrame:
     """One script per order."""
-    o = t.orders
+    o = spread(t.orders, 1 << 18)
     tail = F.when(F.col("o_orderkey") % 2 == 0, ";").otherwise(" WHERE id = $1;")
     text = _lines(
         _f("-- order {{k}}; note", k="o_orderkey"),

@@ -45,3 +45,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the data survives the loss of any executor."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
+    """Give a small scan enough tasks for its parsing work.
+
+    A file with one row group is one task, however many cores wait. Large scans already
+    have more partitions than cores and are returned as they are, without a shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size > cores * (128 << 20):
+        return df
+    wanted = min(cores, max(1, size // bytes_per_task))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
