@@ -91,7 +91,7 @@ def asset_facts(files: DataFrame) -> DataFrame:
     Input: path, content. Category and extension are decided before content is read.
     """
     own = files.withColumn("category", P.categorize("path")).where(F.col("category") != "code")
-    body = F.decode("content", "UTF-8")
+    body = F.make_valid_utf8(F.col("content").cast("string"))
     breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
     lines = F.when(body == "", 0).otherwise(breaks + F.when(body.endswith("\n"), 0).otherwise(1))
     texty = (F.col("category") == "document") | (P.ext("path") == ".svg")

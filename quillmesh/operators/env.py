@@ -43,8 +43,8 @@ def json_strings(text) -> Column:
     A string literal followed by a colon is a key, every other literal is a value.
     """
     valid = F.try_parse_json(P.col(text)).isNotNull()
-    values = F.regexp_extract_all(P.col(text), F.lit(r'"((?:[^"\\]++|\\.)*+)"(?!\s*:)'), 1)
-    return F.when(valid, values)
+    literals = F.regexp_extract_all(P.col(text), F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?'), 0)
+    return F.when(valid, F.filter(literals, lambda x: ~x.endswith(":")))
 
 
 def env_required(files: DataFrame) -> DataFrame:

@@ -48,15 +48,20 @@ def read_files(spark: SparkSession, root: str, **rules) -> DataFrame:
     return select_paths(raw.select(rel.alias("path"), "content", F.col("length").alias("size")), **rules)
 
 
+def utf8(raw) -> Column:
+    """Bytes as text; bad bytes become the replacement character."""
+    return F.make_valid_utf8(P.col(raw).cast("string"))
+
+
 def with_text(files: DataFrame) -> DataFrame:
     """``text`` and ``sha256`` from ``content``; bad bytes are replaced."""
-    return files.withColumn("text", F.decode("content", "UTF-8")).withColumn("sha256", F.sha2("content", 256))
+    return files.withColumn("text", utf8("content")).withColumn("sha256", F.sha2("content", 256))
 
 
 def read_text_capped(df: DataFrame, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:
     """``head``: the first bytes of ``content`` (or of ``text``) decoded as UTF-8."""
     raw = F.col("content") if "content" in df.columns else F.encode("text", "UTF-8")
-    return df.withColumn("head", F.decode(F.substring(raw, 1, max_bytes), "UTF-8"))
+    return df.withColumn("head", utf8(F.substring(raw, 1, max_bytes)))
 
 
 def document_files(documents: DataFrame) -> DataFrame:
