@@ -22,12 +22,10 @@ def is_requirements(path):
 
 def deps_requirements(files: DataFrame) -> DataFrame:
     """(path, line_no, package, version) of requirement lines."""
-    ln = to_lines(files.where(is_requirements("path"))).withColumn("line", X.strip("line"))
-    skip = F.lit(False)
-    for o in ["#", *OPTIONS]:
-        skip = skip | F.col("line").startswith(o)
-    editable = F.col("line").startswith("-e") | F.col("line").startswith("--editable")
-    rows = ln.where((F.col("line") != "") & ~skip).select(
+    ln = to_lines(files.where(is_requirements("path")))
+    skip = F.col("line").rlike(r"^\s*(#|" + "|".join(OPTIONS) + ")")
+    editable = F.col("line").rlike(r"^\s*(-e|--editable)")
+    rows = ln.where(X.has_ink("line") & ~skip).select(
         "path",
         "line_no",
         F.when(editable, F.regexp_extract("line", r"#egg=([A-Za-z0-9_.-]+)", 1)).otherwise(F.regexp_extract("line", REQUIREMENT, 1)).alias("package"),

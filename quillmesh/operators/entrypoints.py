@@ -23,18 +23,19 @@ def file_entrypoints(files: DataFrame) -> DataFrame:
     """(path, kind, module, has_main_fn, interpreter) found in file texts."""
     e = P.ext("path")
     own = files.where(e.isin(*TEXT_EXTS, ""))
-    first = F.coalesce(F.get(X.lines_of("text"), 0), F.lit(""))
-    guard = F.col("text").rlike(GUARD)
+    first = F.regexp_extract("text", r"^[^\n\r]*", 0)
     dotted = F.when(e == ".py", F.translate(F.regexp_replace("path", r"(?i)\.py$", ""), "/", "."))
-    py = own.where(guard).select(
-        "path", F.lit("entrypoint.python").alias("kind"), dotted.alias("module"), F.col("text").rlike(DEF_MAIN).alias("has_main_fn"),
-        F.lit(None).cast("string").alias("interpreter"),
-    )
-    sh = own.where(e.isin(*SHELL_EXTS) | first.rlike(SHEBANG)).select(
-        "path", F.lit("entrypoint.shell").alias("kind"), F.lit(None).cast("string").alias("module"),
-        F.lit(None).cast("boolean").alias("has_main_fn"), F.nullif(F.regexp_extract(first, SHEBANG, 1), F.lit("")).alias("interpreter"),
-    )
-    return py.unionByName(sh)
+    null, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+
+    def entry(kind: str, module, has_main, interpreter):
+        return F.struct(F.lit(kind).alias("kind"), module.alias("module"), has_main.alias("has_main_fn"), interpreter.alias("interpreter"))
+
+    # The literal probe is part of the rule and spares most texts the pattern.
+    guard = F.contains("text", F.lit("__main__")) & F.col("text").rlike(GUARD)
+    py = F.when(guard, entry("entrypoint.python", dotted, F.col("text").rlike(DEF_MAIN), null))
+    interp = F.nullif(F.regexp_extract(first, SHEBANG, 1), F.lit(""))
+    sh = F.when(e.isin(*SHELL_EXTS) | first.rlike(SHEBANG), entry("entrypoint.shell", null, no, interp))
+    return own.select("path", F.inline(F.array_compact(F.array(py, sh))))
 
 
 def config_entrypoints(files: DataFrame) -> DataFrame:

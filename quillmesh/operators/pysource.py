@@ -151,11 +151,12 @@ def _facts(path: str, text: str):
             kind = "class" if not is_fn else "async_function" if isinstance(node, ast.AsyncFunctionDef) else "function"
             qual = ".".join([*scope, node.name])
             args = ast.unparse(node.args) if is_fn else ", ".join(_dotted(b) for b in node.bases)
-            yield _fact("def", kind, node.name, qual, top, node.lineno, node.end_lineno, len(scope),
+            doc = ast.get_docstring(node, clean=False)
+            # A definition's col tells whether it is documented.
+            yield _fact("def", kind, node.name, qual, top, node.lineno, node.end_lineno, int(bool(doc)),
                         _branches(node) if is_fn else None, order[id(node)], cls)
             yield _fact("signature", kind, node.name, qual, ",".join(_dotted(d) for d in node.decorator_list), node.lineno,
                         value=_arg_count(node.args) if is_fn else None, text=args)
-            doc = ast.get_docstring(node, clean=False)
             if doc:
                 yield _fact("docstring", "class" if not is_fn else "function", node.name, qual, top, node.lineno, node.end_lineno, text=doc)
             for d in node.args.defaults if is_fn else ():
@@ -207,9 +208,14 @@ def python_edges(facts: DataFrame) -> DataFrame:
 
 def python_symbols(facts: DataFrame) -> DataFrame:
     """Symbol metrics: kind, qualname, lines, arguments, async flag."""
-    d = _of(facts, "def").select("path", "kind", "qualname", "line", (F.col("end_line") - F.col("line") + 1).cast("bigint").alias("loc"))
-    s = _of(facts, "signature").select("path", "qualname", "line", F.col("value").alias("arg_count"), F.col("text").alias("signature"))
-    return d.join(s, ["path", "qualname", "line"]).withColumn("is_async", F.col("kind") == "async_function")
+    d, sig = F.col("fact") == "def", F.col("fact") == "signature"
+    pick = lambda cond, c: F.max(F.when(cond, c))
+    g = _of(facts, "def", "signature").groupBy("path", "qualname", "line", "kind").agg(
+        pick(d, F.col("end_line") - F.col("line") + 1).cast("bigint").alias("loc"),
+        pick(sig, F.col("value")).alias("arg_count"),
+        pick(sig, F.col("text")).alias("signature"),
+    )
+    return g.withColumn("is_async", F.col("kind") == "async_function")
 
 
 def python_calls(facts: DataFrame) -> DataFrame:
@@ -308,13 +314,8 @@ def doc_coverage(facts: DataFrame) -> DataFrame:
         .when(d & _is_fn() & (F.col("parent") == "module"), "functions")
         .when(d & _is_fn() & (F.col("parent") == "class1"), "methods")
     )
-    docs = _of(facts, "docstring").select("path", "qualname", "line", F.lit(True).alias("_doc")).distinct()
-    rows = facts.where(d | (F.col("fact") == "module")).select(
-        "path", "qualname", "line", group.alias("_g"), (F.length("text") > 0).alias("_own"), "fact"
-    )
-    rows = rows.join(docs, ["path", "qualname", "line"], "left")
-    has = F.when(F.col("fact") == "module", F.coalesce("_own", F.lit(False))).otherwise(F.coalesce("_doc", F.lit(False)))
-    rows = rows.withColumn("_has", has)
+    has = F.when(F.col("fact") == "module", F.coalesce(F.length("text") > 0, F.lit(False))).otherwise(F.col("col") == 1)
+    rows = facts.where(d | (F.col("fact") == "module")).select("path", group.alias("_g"), has.alias("_has"))
     parts = []
     for g in ("classes", "methods", "functions"):
         parts += [F.count(F.when(F.col("_g") == g, 1)).alias(f"{g}_total"), F.count(F.when((F.col("_g") == g) & F.col("_has"), 1)).alias(f"{g}_doc")]
