@@ -47,22 +47,17 @@ def upsert_index(target: DataFrame, updates: DataFrame) -> DataFrame:
     """
     u = updates.withColumn("filepath", P.posix_path(F.trim("filepath")))
     resolved = _resolve_by_hash(target, u)
-    named = aggregate_updates(resolved.where(F.col("name").isNotNull()), KEY)
-    # Rows without a name conflict only by hash; without a known hash each is its own row.
-    unnamed = resolved.where(F.col("name").isNull())
-    by_hash = aggregate_updates(
-        unnamed.withColumn("_h", F.coalesce("unique_key_hash", F.concat(F.lit("#"), F.col("seq").cast("string")))),
-        ["filepath", "symbol_type", "name", "lineno", "_h"],
-    ).drop("_h")
-    agg = named.unionByName(by_hash)
-
-    t = target.withColumn("_k", _match_key())
-    a = agg.withColumn("unique_key_hash", F.col("first_hash")).withColumn("_k", _match_key())
+    # Rows without a name conflict only by hash; without a hash each is its own row.
+    own = F.when(F.col("name").isNull(), F.coalesce("unique_key_hash", F.concat(F.lit("#"), F.col("seq").cast("string"))))
+    agg = aggregate_updates(resolved.withColumn("_h", own), [*KEY, "_h"])
+
+    # Keys that cannot meet still differ, so they spread over the shuffle.
+    lone_t = F.concat(F.lit("t\x1f"), F.xxhash64("filepath", "description", "last_seen_at").cast("string"))
+    lone_a = F.concat(F.lit("u\x1f"), F.col("_h"))
+    t = target.withColumn("_k", F.coalesce(_match_key(), lone_t))
+    a = agg.withColumn("unique_key_hash", F.col("first_hash")).withColumn("_k", F.coalesce(_match_key(), lone_a))
     a = a.select("_k", *[F.col(c).alias(f"u_{c}") for c in (*KEY, "n", "first_at", "last_at", "first_desc", "best_desc", "last_status", "first_hash")])
-    # Rows without a match key cannot meet; they stay out of the shuffle.
-    loose_t, loose_a = t.where(F.col("_k").isNull()), a.where(F.col("_k").isNull())
-    j = t.where(F.col("_k").isNotNull()).join(a.where(F.col("_k").isNotNull()), "_k", "full_outer")
-    j = j.unionByName(loose_t, allowMissingColumns=True).unionByName(loose_a, allowMissingColumns=True)
+    j = t.join(a, "_k", "full_outer")
     is_new, touched = F.col("filepath").isNull(), F.col("u_n").isNotNull()
     old_desc = F.when(is_new, F.col("u_first_desc")).otherwise(F.col("description"))
     return j.select(
