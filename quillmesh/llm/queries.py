@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import mixing, quality_rules, sharding, simhash
 from .common import documents
 
 SHARDS = 8
@@ -16,6 +16,11 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(documents(spark, sf_dir))
 
 
+def op6_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.link_documents(documents(spark, sf_dir))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
@@ -26,4 +31,4 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op9_jump_sharding, op10_water_filling)}
+QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op6_deletion_variants, op9_jump_sharding, op10_water_filling)}
