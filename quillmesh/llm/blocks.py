@@ -80,9 +80,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def _bytes_table(seed: int) -> np.ndarray:
-    table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    table[_BLANK] = 0
-    return table
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
 def multiplier(seed: int) -> int:
@@ -96,24 +94,29 @@ def _powers(seed: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(block: Block, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of every word; equal words have equal hashes in every block and on every machine."""
-    out = np.empty(len(block.starts), np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of every span, in order and without overlap; equal bytes hash alike everywhere."""
+    out = np.empty(len(starts), np.uint64)
     a = 0
-    while a < len(out):  # in parts of words, so that a long document takes no more memory
-        b = max(a + 1, int(np.searchsorted(block.starts, block.starts[a] + BLOCK_BYTES)))
-        lo, hi = block.starts[a], block.ends[b - 1]
-        starts = block.starts[a:b] - lo
-        place = np.arange(hi - lo) - np.repeat(starts, np.diff(np.append(starts, hi - lo)))
-        longest = int((block.ends[a:b] - block.starts[a:b]).max())
-        powers = _powers(seed, 1 << max(8, (longest - 1).bit_length()))
-        place[place >= longest] = 0  # blanks after a word count nothing
-        values = _bytes_table(seed)[block.data[lo:hi]] * powers[place]
-        out[a:b] = mix(np.add.reduceat(values, starts) + (block.ends[a:b] - block.starts[a:b]).astype(np.uint64))
+    while a < len(out):  # in parts, so that a long document takes no more memory
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + BLOCK_BYTES)))
+        lo, hi = starts[a], ends[b - 1]
+        sizes, runs = ends[a:b] - starts[a:b], np.diff(np.append(starts[a:b], hi))
+        place = np.arange(hi - lo) - np.repeat(starts[a:b] - lo, runs)
+        powers = _powers(seed, 1 << max(8, int(sizes.max() - 1).bit_length()))
+        between = place >= np.repeat(sizes, runs)
+        place[between] = 0
+        values = _bytes_table(seed)[data[lo:hi]] * powers[place]
+        values[between] = 0
+        out[a:b] = mix(np.add.reduceat(values, starts[a:b] - lo) + sizes.astype(np.uint64))
         a = b
     return out
 
 
+def word_hashes(block: Block, seed: int = 0) -> np.ndarray:
+    return span_hashes(block.data, block.starts, block.ends, seed)
+
+
 def window_hashes(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     """Rolling hashes of every ``size`` consecutive words, across documents too; one per start."""
     n = len(words) - size + 1

@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding, simhash
+from . import mixing, packing, quality_rules, sharding, simhash, token_counts
 from .common import documents
 
 SHARDS = 8
+TOKEN_LIMIT, SEQUENCE_TOKENS, END_ID = 512, 4096, 1
 MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED = (1, 2, 3), 3, "mix"
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers  # vocabulary files, on every machine
+
+    return public_tokenizers.path(name)
+
+
 def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(documents(spark, sf_dir))
 
 
+def op4_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), TOKEN_LIMIT)
+
+
+def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, END_ID)
+
+
 def op6_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.link_documents(documents(spark, sf_dir))
     return linked.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -31,4 +46,4 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op6_deletion_variants, op9_jump_sharding, op10_water_filling)}
+QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op9_jump_sharding, op10_water_filling)}
