@@ -22,6 +22,23 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT (base_failed OR dup_gram_share > 0.30 OR dup_line_share > 0.20) AS kept FROM f
 """
 
+OP7 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, text, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+  FROM (SELECT doc_id, text, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d)),
+k AS (SELECT DISTINCT doc_id, text, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM l WHERE len(tokens) >= 3),
+leaves AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+v AS (SELECT n, lead, tokens, count(*) AS c FROM k JOIN leaves USING (n, lead) GROUP BY ALL),
+m AS (SELECT n, lead, arg_max(tokens, {'c': c, 'tokens': tokens}) AS best FROM v GROUP BY n, lead),
+t AS (SELECT n, lead, tokens, CASE WHEN len(list_filter(list_zip(tokens, best), lambda z: z[1] = z[2])) >= 0.7 * n THEN [] ELSE tokens END AS template FROM v JOIN m USING (n, lead)),
+met AS (SELECT k.doc_id, k.tokens, k.n, k.lead, t.template FROM k JOIN t USING (n, lead, tokens)),
+r AS (SELECT n, lead, template, min(doc_id) AS first FROM met GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 3),
+x AS (SELECT DISTINCT doc_id, tokens FROM met JOIN r USING (n, lead, template) WHERE doc_id <> first),
+o AS (SELECT l.doc_id, i, line, x.tokens IS NULL AS stays FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.tokens = x.tokens)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
+FROM o GROUP BY doc_id
+"""
+
 OP9 = f"""
 WITH RECURSIVE walk AS (
   SELECT doc_id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END)::UHUGEINT AS state, -1::BIGINT AS b, 0::BIGINT AS j
@@ -57,4 +74,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}
+ORACLES = {"op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality_rules, sharding, simhash, token_counts
+from . import line_templates, mixing, packing, quality_rules, sharding, simhash, token_counts
 from .common import documents
 
 SHARDS = 8
@@ -36,6 +36,10 @@ def op6_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(documents(spark, sf_dir))
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
@@ -46,4 +50,4 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op9_jump_sharding, op10_water_filling)}
+QUERIES = {f.__name__: f for f in (op2_repetition_coverage, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op9_jump_sharding, op10_water_filling)}
