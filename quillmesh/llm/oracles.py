@@ -4,6 +4,15 @@ from __future__ import annotations
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+OP1 = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM w)),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM (SELECT *, min(doc_id) OVER (PARTITION BY s) AS first FROM s) WHERE doc_id > first),
+x AS (SELECT doc_id, w[i] AS word, i, c.i IS NOT NULL AS gone FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) LEFT JOIN c USING (doc_id, i)),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM x GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 OP2 = f"""
 WITH w AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
 g AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, unnest([3, 5, 6, 7, 8, 9, 10]) t(n))),
@@ -74,4 +83,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}
+ORACLES = {"op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}
