@@ -47,7 +47,7 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], value: str | None = None) -> DataFrame:
     """Add ``rank`` (from 0, gapless in each group, by ``order``) and, for a ``value`` column, ``before``:
     the sum of the values ranked earlier in the group.
 

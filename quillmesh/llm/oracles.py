@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .spotsigs import ANCHORS
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1 = f"""
@@ -31,6 +33,31 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT (base_failed OR dup_gram_share > 0.30 OR dup_line_share > 0.20) AS kept FROM f
 """
 
+_STOPS = ", ".join(f"'{a}'" for a in dict.fromkeys(ANCHORS))
+_MD5 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+def _sigs(source: str) -> str:
+    """Signatures of the texts (doc_id, text) in a named relation."""
+    return f"""(SELECT doc_id, CASE WHEN len(s) > 0 THEN s ELSE [{_MD5.format("text")}] END AS s FROM (
+      SELECT doc_id, text, list_sort(list_distinct(list_filter(list_transform(p, lambda x, i:
+        CASE WHEN x - i + 1 < len(c) THEN {_MD5.format("w[x] || ' ' || c[x - i + 1] || ' ' || c[x - i + 2]")} END), lambda y: y IS NOT NULL))) AS s
+      FROM (SELECT doc_id, text, w, list_filter(w, lambda y: y NOT IN ({_STOPS})) AS c, list_filter(range(1, len(w) + 1), lambda x: w[x] IN ({_STOPS})) AS p
+        FROM (SELECT doc_id, text, list_filter(string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || '.,;:!?"()[]', 'abcdefghijklmnopqrstuvwxyz' || repeat(' ', 16)), ' '), lambda y: y <> '') AS w FROM {source}))))"""
+
+
+_JACCARD = "len(list_intersect({0}, {1}))::DOUBLE / (len({0}) + len({1}) - len(list_intersect({0}, {1})))"
+OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, len(coalesce(text, '')) AS n, row_number() OVER (ORDER BY doc_id DESC) - 1 AS r, count(*) OVER () AS total FROM documents),
+e AS (SELECT a.doc_id, b.doc_id AS next_id, left(a.text, a.n - a.n // 2) || left(b.text, a.n // 2) AS text FROM d a JOIN d b ON b.r = (a.r + 1) % a.total),
+s AS (SELECT * FROM {_sigs("d")}), t AS (SELECT * FROM {_sigs("e")}),
+f AS (SELECT doc_id, s.s AS a, t.s AS b, x.s AS c, text AS edited, next_id FROM s JOIN t USING (doc_id) JOIN e USING (doc_id) JOIN s x ON x.doc_id = e.next_id)
+SELECT f.doc_id, n AS n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(list_transform(a, lambda x: printf('%08x', x)), '') AS fingerprint, array_to_string(list_transform(b, lambda x: printf('%08x', x)), '') AS edited_fingerprint,
+  {_JACCARD.format("a", "b")} AS near_edited, {_JACCARD.format("a", "c")} AS near_next
+FROM f JOIN d USING (doc_id)
+"""
+
 OP7 = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, text, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
@@ -83,4 +110,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}
+ORACLES = {"op3_spot_signatures": OP3, "op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}

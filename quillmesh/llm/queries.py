@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, mixing, packing, quality_rules, sharding, simhash, substring_dedup, token_counts
+from . import line_templates, mixing, packing, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
 from .common import documents
 
 SHARDS = 8
@@ -27,6 +27,10 @@ def op2_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(documents(spark, sf_dir))
 
 
+def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(documents(spark, sf_dir))
+
+
 def op4_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
@@ -54,4 +58,4 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op9_jump_sharding, op10_water_filling)}
+QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op9_jump_sharding, op10_water_filling)}
