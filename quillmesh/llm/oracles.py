@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_templates import LICENSE_WORDS, TEMPLATES
 from .spotsigs import ANCHORS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -75,6 +76,28 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sh
 FROM o GROUP BY doc_id
 """
 
+_FORMS = ", ".join(f"('{name}', '{name}#{i}', '{text}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts))
+_TERMS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:\.[0-9]+)*')"
+OP8 = f"""
+WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(lower(lines[-1]), '{LICENSE_WORDS}') AND lang = 'en' THEN concat_ws('/', source, 'LICENSE-' || doc_id)
+    WHEN regexp_matches(lower(lines[-1]), '{LICENSE_WORDS}') THEN concat_ws('/', source, lang, 'LICENSE-' || doc_id) ELSE concat_ws('/', source, lang, doc_id || '.txt') END AS path, lines
+  FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
+l AS (SELECT path, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(lower(x), '{LICENSE_WORDS}')))) AS line FROM d),
+u AS (SELECT line, count(*) AS n FROM l GROUP BY line),
+c AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest({_TERMS.format("line")}) AS term FROM u) GROUP BY ALL),
+k AS (SELECT license, form, term, count(*) AS tf FROM (SELECT license, form, unnest({_TERMS.format("txt")}) AS term FROM (VALUES {_FORMS}) t(license, form, txt)) GROUP BY ALL),
+f AS (SELECT term, ln(((SELECT sum(n) FROM u) + 1.0::DOUBLE) / (sum(df) + 1.0::DOUBLE)) + 1.0 AS idf FROM (SELECT term, n AS df FROM c UNION ALL SELECT term, 0 FROM k) GROUP BY term),
+a AS (SELECT line, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY line)) AS w FROM c JOIN f USING (term)),
+b AS (SELECT license, form, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license, form)) AS w FROM k JOIN f USING (term)),
+s AS (SELECT line, license, round(sum(a.w * b.w), 6) AS score FROM a JOIN b USING (term) GROUP BY line, license, form HAVING score >= 0.6),
+o AS (SELECT path, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score FROM l JOIN s USING (line) GROUP BY path),
+g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, arg_min(own_license, (-own_score, own_license)) AS given FROM o WHERE regexp_matches(path, '(^|/)LICENSE-[^/]*$') GROUP BY folder),
+p AS (SELECT path, string_split(path, '/') AS parts FROM d LEFT JOIN o USING (path) WHERE own_license IS NULL),
+n AS (SELECT path, arg_max(folder, up) AS inherited_from, arg_max(given, up) AS given
+  FROM (SELECT path, up, array_to_string(parts[1:up], '/') AS folder FROM (SELECT path, parts, unnest(range(0, len(parts))) AS up FROM p)) JOIN g USING (folder) GROUP BY path)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, given) AS license, inherited_from FROM d LEFT JOIN o USING (path) LEFT JOIN n USING (path)
+"""
+
 OP9 = f"""
 WITH RECURSIVE walk AS (
   SELECT doc_id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616::HUGEINT ELSE coalesce(doc_id, 0)::HUGEINT END)::UHUGEINT AS state, -1::BIGINT AS b, 0::BIGINT AS j
@@ -110,4 +133,4 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op3_spot_signatures": OP3, "op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}
+ORACLES = {"op8_license_templates": OP8, "op3_spot_signatures": OP3, "op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}

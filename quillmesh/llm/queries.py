@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, mixing, packing, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
+from . import license_templates, line_templates, mixing, packing, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
 from .common import documents
 
 SHARDS = 8
@@ -48,6 +48,20 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.line_report(documents(spark, sf_dir))
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """(path, doc_id, text). A document that closes with a licence notice stands for a licence file: in English of its
+    source's folder, else of its language's; the others lie in their source's folder for their language."""
+    closing = F.lower(F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), -1)).rlike(license_templates.LICENSE_WORDS)
+    home = F.concat_ws("/", "source", "lang")
+    name = F.concat(F.lit("LICENSE-"), "doc_id")
+    path = F.when(closing & (F.col("lang") == "en"), F.concat_ws("/", "source", name)).when(closing, F.concat_ws("/", home, name))
+    return docs.select(path.otherwise(F.concat_ws("/", home, F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))).alias("path"), "doc_id", "text")
+
+
+def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.scan_licenses(document_paths(documents(spark, sf_dir)), ["doc_id"])
+
+
 def op9_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
@@ -58,4 +72,4 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op9_jump_sharding, op10_water_filling)}
+QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op8_license_templates, op9_jump_sharding, op10_water_filling)}
