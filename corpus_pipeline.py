@@ -1,12 +1,16 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return
+the columns of the documents table.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import mixing, quality_rules
+from quillmesh.llm import line_templates, mixing, packing, quality_rules, simhash
 from quillmesh.llm.common import documents, stored
-from quillmesh.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS
+from quillmesh.llm.queries import END_ID, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, SEQUENCE_TOKENS, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +18,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut recurring template lines out of every document but the first that has them."""
+    return line_templates.dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents so that the sources come to their target weights."""
     return mixing.mix_documents(docs, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
 
 
-STAGES = [("quality", quality), ("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all documents into sequences; one row per piece."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), SEQUENCE_TOKENS, END_ID)
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
+# Fingerprints and tokens are not SQL; tests/llm compares the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
