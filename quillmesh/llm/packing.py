@@ -14,47 +14,97 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import Block, blocks, word_hashes
+from .blocks import Block, blocks, span_hashes
 from .common import ranked, stored
 from .token_counts import tokenizer
 
-CACHE_ROWS = 1 << 19
+CACHE_ROWS, ENCODE_ROWS = 1 << 20, 1 << 14
 _RANKS = 1 << 48
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b".,;:!?")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 class WordIds:
-    """Token ids of words; the tokenizer never joins characters across a blank."""
+    """Token ids of texts, word by word, of a tokenizer that folds case and drops blanks.
+
+    It never joins characters across a blank, nor a letter and a stop after it; both cut the texts, so that
+    few different words are left to encode. Case is folded before the look-up, but for words that may hold a
+    special token.
+    """
 
     def __init__(self, path: str):
         self.path = path
-        self.cache: dict[int, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, words: list[str]) -> None:
+        for i in range(0, len(words), ENCODE_ROWS):
+            part = words[i : i + ENCODE_ROWS]
+            found = tokenizer(self.path).encode(part, is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)) if len(found.ids) else np.zeros(len(part), np.int64)
+            self.add(np.array(found.ids, np.uint32), sizes)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, ids))
 
     def of(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in order, and the number of each word."""
-        if not len(block.starts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        unique, first, back = np.unique(word_hashes(block), return_index=True, return_inverse=True)
+        """All ids in order, and where each document's begin, with the end of the last."""
+        data = block.data
+        marked = data == ord("<")
+        folded = _LOWER[data]
+        if marked.any():
+            for i in np.unique(np.searchsorted(block.starts, np.flatnonzero(marked), side="right") - 1).tolist():
+                folded[block.starts[i] : block.ends[i]] = data[block.starts[i] : block.ends[i]]
+        stops = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+        stops = stops[~np.isin(stops, block.offsets)]  # a text's last letter and the next text's stop
+        starts, ends = np.sort(np.concatenate((block.starts, stops))), np.sort(np.concatenate((block.ends, stops)))
+        unique, first, back = np.unique(span_hashes(folded, starts, ends), return_index=True, return_inverse=True)
         keys = unique.tolist()
-        ids = [self.cache.get(h) for h in keys]
-        new = [i for i, x in enumerate(ids) if x is None]
-        if new:
-            raw = block.data.tobytes()
-            texts = [raw[block.starts[first[i]] : block.ends[first[i]]].decode() for i in new]
-            if len(self.cache) + len(new) > CACHE_ROWS:
-                self.cache.clear()
-            for i, found in zip(new, tokenizer(self.path).encode_batch(texts, add_special_tokens=False), strict=True):
-                ids[i] = np.array(found.ids, np.uint32)
-                if len(self.cache) < CACHE_ROWS:
-                    self.cache[keys[i]] = ids[i]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat, begins = np.concatenate(ids), np.cumsum(sizes) - sizes
-        each = sizes[back]
-        return flat[np.repeat(begins[back] - (np.cumsum(each) - each), each) + np.arange(each.sum())], each
+        slots = np.fromiter((self.slots.get(h, -1) for h in keys), np.int64, len(keys))
+        if len(self.slots) + int((slots < 0).sum()) > CACHE_ROWS:
+            self.forget()
+            slots[:] = -1
+        special = []
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            raw = folded.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            special = [i for i, x in enumerate(texts) if "<" in x]
+            plain = np.setdiff1d(np.arange(len(new)), special)
+            slots[new[plain]] = len(self.sizes) + np.arange(len(plain))
+            self.encode([texts[i] for i in plain.tolist()])
+            for i in special:
+                ids = tokenizer(self.path).encode(texts[i], add_special_tokens=False).ids
+                slots[new[i]] = len(self.sizes)
+                self.add(np.array(ids, np.uint32), np.array([len(ids)]))
+            self.slots.update(zip(unique[new].tolist(), slots[new].tolist(), strict=True))
+        slot = slots[back]
+        each = self.sizes[slot]
+        ends_ = np.cumsum(each)
+        at = np.repeat(self.begins[slot] - (ends_ - each), each) + np.arange(int(each.sum()))
+        return self.flat[at], np.concatenate(([0], ends_))[np.searchsorted(starts, block.offsets)]
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One cache for all tasks of a worker."""
+    return WordIds(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
@@ -63,11 +113,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         for batch in batches:
             for block in blocks(batch.column(1)):
-                ids, each = words.of(block)
-                sums = np.concatenate(([0], np.cumsum(each)))[block.first]
+                ids, sums = words.of(block)
                 out: list[tuple[int, int, int, int, int]] = []
                 for doc, (a, b) in enumerate(zip(sums[:-1], sums[1:], strict=True), block.row):
                     whole = np.append(ids[a:b], np.uint32(end_id)).astype("<u4")

@@ -67,16 +67,22 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _sizes(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     raw = data.tobytes()
     texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    found = tokenizer(path).encode_batch(texts, add_special_tokens=False)
+    found = tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)
     return np.fromiter((len(x.ids) for x in found), np.int64, len(texts))
 
 
+@lru_cache(maxsize=4)
+def worker_cache(path: str) -> dict[int, int]:
+    """Token numbers by hash, for all tasks of a worker."""
+    return {}
+
+
 class Lengths:
     """Token numbers of pre-tokens by hash: the shared table, then this worker's cache, then the library."""
 
     def __init__(self, path: str, hashes: np.ndarray, sizes: np.ndarray):
         self.path, self.hashes, self.sizes = path, hashes, sizes
-        self.cache: dict[int, int] = {}
+        self.cache = worker_cache(path)
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         hashes = span_hashes(data, starts, ends)
