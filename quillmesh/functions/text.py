@@ -27,24 +27,33 @@ def lines_of(c) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+# The same blanks as characters.
+_BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(col(c), F.lit(_BLANKS))
 
 
 def rstrip(c) -> Column:
-    return F.regexp_replace(col(c), f"{BLANK}+\\z", "")
+    return F.rtrim(col(c), F.lit(_BLANKS))
 
 
 def lstrip(c) -> Column:
-    return F.regexp_replace(col(c), f"^{BLANK}+", "")
+    return F.ltrim(col(c), F.lit(_BLANKS))
 
 
-def first_line(c, n: int = 200) -> Column:
-    return F.substring(strip(F.element_at(F.split(strip(c), LINE_BREAK), 1)), 1, n)
+def first_line(c, n: int | None = None) -> Column:
+    """The first line, whole unless ``n`` cuts it."""
+    line = strip(F.element_at(F.split(strip(c), LINE_BREAK), 1))
+    return line if n is None else F.substring(line, 1, n)
 
 
-def oneliner(c, n: int = 220) -> Column:
+def oneliner(c, n: int | None = None) -> Column:
+    """All text on one line, whole unless ``n`` cuts it."""
     clean = F.regexp_replace(strip(c), f"{BLANK}+", " ")
+    if n is None:
+        return clean
     return F.when(F.length(clean) > n, F.concat(F.substring(clean, 1, n), F.lit("…"))).otherwise(clean)
 
 

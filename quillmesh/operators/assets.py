@@ -43,7 +43,7 @@ def sniff_other_images(files: DataFrame) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            yield pd.DataFrame([(p, *_dims(bytes(b))) for p, b in zip(pdf["path"], pdf["content"])], columns=["path", "width", "height", "format"])
+            yield pd.DataFrame([(p, *_dims(b"" if b is None else bytes(b))) for p, b in zip(pdf["path"], pdf["content"])], columns=["path", "width", "height", "format"])
 
     return own.mapInPandas(run, IMAGE_SCHEMA).where(F.col("format").isNotNull())
 
@@ -67,12 +67,12 @@ def _dims(b: bytes):
         return None, None, "jpeg"
     if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
         kind = b[12:16]
-        if kind == b"VP8X":
+        if kind == b"VP8X" and len(b) >= 30:
             return 1 + int.from_bytes(b[24:27], "little"), 1 + int.from_bytes(b[27:30], "little"), "webp"
-        if kind == b"VP8 ":
+        if kind == b"VP8 " and len(b) >= 30:
             w, h = struct.unpack("<HH", b[26:30])
             return w & 0x3FFF, h & 0x3FFF, "webp"
-        if kind == b"VP8L":
+        if kind == b"VP8L" and len(b) >= 25:
             bits = int.from_bytes(b[21:25], "little")
             return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), "webp"
         return None, None, "webp"
@@ -81,6 +81,9 @@ def _dims(b: bytes):
         tag = re.search(r"<svg\b[^>]*>", text, re.S)
         num = {k: re.search(rf'\b{k}="\s*([0-9.]+)', tag.group(0)) for k in ("width", "height")} if tag else {}
         size = [int(float(m.group(1))) if m else None for m in num.values()] or [None, None]
+        box = re.search(r'\bviewBox="\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)', tag.group(0)) if tag else None
+        if box:
+            size = [int(float(v)) if s is None else s for s, v in zip(size, box.groups())]
         return size[0], size[1], "svg"
     return None, None, None
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -13,7 +13,9 @@ from .ordered import first_seen
 # Source ranks, requirement pattern and option prefixes.
 SOURCES = ["poetry_lock", "requirements", "pyproject", "setup_cfg"]
 REQUIREMENT = r"^\s*([A-Za-z0-9_.-]+)(?:\[[^\]]*\])?\s*(?:(===|==|~=|>=|<=|!=|>|<)\s*([A-Za-z0-9*_.+-]+))?"
-OPTIONS = "-r --requirement -c --constraint -f --find-links --extra-index-url --index-url".split()
+OPTIONS = [
+    "-r", "--requirement", "-c", "--constraint", "-f", "--find-links", "--extra-index-url", "--index-url",
+]
 
 
 def is_requirements(path):
@@ -34,70 +36,97 @@ def deps_requirements(files: DataFrame) -> DataFrame:
     return rows.where(F.col("package") != "")
 
 
-DEPS_SCHEMA = "path string, source string, seq int, package string, version string"
+LEAVES = "path string, leaves array<struct<at: array<string>, value: string>>"
+
+
+def config_leaves(files: DataFrame) -> DataFrame:
+    """(path, leaves): every value of a TOML or INI file under the keys and list positions that lead to it, in
+    file order. Values that are no strings, and empty tables, are null; a file that does not parse has none."""
+    def run(batches):
+        import configparser
+        import tomllib
+
+        import pandas as pd
+
+        def parse(path, text):
+            if not path.lower().endswith(".cfg"):
+                return tomllib.loads(text)
+            ini = configparser.ConfigParser()
+            ini.read_string(text)
+            return {name: dict(ini.items(name, raw=True)) for name in ini.sections()}
+
+        def leaves(path, text):
+            try:
+                todo = [([], parse(path, text or ""))]
+            except (ValueError, RecursionError, configparser.Error):
+                return []
+            out = []
+            while todo:
+                at, node = todo.pop()
+                below = list(node.items() if isinstance(node, dict) else enumerate(node)) if isinstance(node, (dict, list)) else []
+                if not below:
+                    out.append({"at": at, "value": node if isinstance(node, str) else None})
+                todo += [([*at, str(k)], v) for k, v in reversed(below)]
+            return out
+
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "leaves": [leaves(p, t) for p, t in zip(pdf["path"], pdf["text"])]})
+
+    return files.select("path", "text").mapInPandas(run, LEAVES)
+
+
+def _specs(texts: Column) -> Column:
+    """Requirement strings as (package, version)."""
+    trimmed = F.transform(texts, lambda s: F.trim(s))
+    pairs = F.transform(trimmed, lambda s: F.struct(F.regexp_extract(s, REQUIREMENT, 1).alias("package"), F.nullif(F.regexp_extract(s, REQUIREMENT, 3), F.lit("")).alias("version")))
+    return F.filter(pairs, lambda p: p["package"] != "")
+
+
+def _strings(leaves: Column) -> Column:
+    return F.filter(F.transform(leaves, lambda x: x["value"]), lambda v: v.isNotNull())
+
+
+def _named(leaves: Column, depth: int) -> Column:
+    """Entries whose name is the key at ``depth``, with their own text or that of a ``version`` key below."""
+    names = F.array_distinct(F.transform(leaves, lambda x: F.slice(x["at"], 1, depth + 1)))
+
+    def entry(at: Column) -> Column:
+        own = F.filter(leaves, lambda y: (y["at"] == at) | (y["at"] == F.array_append(at, F.lit("version"))))
+        return F.struct(F.get(at, depth).alias("package"), F.nullif(F.trim(F.get(own, 0)["value"]), F.lit("")).alias("version"))
+
+    return F.transform(names, entry)
+
+
+def _under(*keys: str | None) -> Column:
+    """Leaves below the keys; None stands for any."""
+    def below(x: Column) -> Column:
+        hit = F.size(x["at"]) > len(keys)
+        for n, k in enumerate(keys):
+            hit &= (F.get(x["at"], n) == k) if k is not None else F.lit(True)
+        return hit
+
+    return F.filter("leaves", below)
 
 
 def deps_toml(files: DataFrame) -> DataFrame:
     """(path, source, seq, package, version) of poetry.lock, pyproject and setup.cfg."""
-    own = files.where(F.lower(P.basename("path")).isin("poetry.lock", "pyproject.toml", "setup.cfg"))
-    return own.select("path", "text").mapInPandas(_dep_rows, DEPS_SCHEMA)
-
-
-def _dep_rows(batches):
-    import configparser
-    import re
-    import tomllib
-
-    import pandas as pd
-
-    requirement = re.compile(REQUIREMENT)
-
-    def spec(s):
-        m = requirement.match(s.strip()) if isinstance(s, str) else None
-        return [(m.group(1), m.group(3))] if m else []
-
-    def poetry_entry(name, value):
-        if isinstance(value, dict):
-            value = value.get("version")
-        return (name, value.strip() or None) if isinstance(value, str) else (name, None)
-
-    def lock(text):
-        for p in tomllib.loads(text).get("package") or []:
-            if isinstance(p.get("name"), str) and p["name"].strip():
-                yield p["name"].strip(), p.get("version")
-
-    def pyproject(text):
-        data = tomllib.loads(text)
-        proj, poetry = data.get("project") or {}, (data.get("tool") or {}).get("poetry") or {}
-        groups = [proj.get("dependencies") or [], *(proj.get("optional-dependencies") or {}).values()]
-        for s in (s for g in groups for s in g):
-            yield from spec(s)
-        for n, v in (poetry.get("dependencies") or {}).items():
-            if n.lower() != "python":
-                yield poetry_entry(n, v)
-        for g in (poetry.get("group") or {}).values():
-            for n, v in (g.get("dependencies") or {}).items():
-                yield poetry_entry(n, v)
-
-    def setup_cfg(text):
-        cp = configparser.ConfigParser()
-        cp.read_string(text)
-        raws = [cp.get("options", "install_requires")] if cp.has_option("options", "install_requires") else []
-        raws += [v for _, v in cp.items("options.extras_require")] if cp.has_section("options.extras_require") else []
-        for part in (p.strip() for raw in raws for line in raw.splitlines() for p in line.split(",")):
-            yield from spec(part) if part else []
-
-    readers = {"poetry.lock": ("poetry_lock", lock), "pyproject.toml": ("pyproject", pyproject), "setup.cfg": ("setup_cfg", setup_cfg)}
-    for pdf in batches:
-        rows = []
-        for path, text in zip(pdf["path"], pdf["text"]):
-            source, read = readers[path.rsplit("/", 1)[-1].lower()]
-            try:
-                found = list(read(text or ""))
-            except Exception:
-                found = []
-            rows += [(path, source, i, n, v) for i, (n, v) in enumerate(found)]
-        yield pd.DataFrame(rows, columns=["path", "source", "seq", "package", "version"]).astype({"version": object})
+    base = F.lower(P.basename("path"))
+    parsed = config_leaves(files.where(base.isin("poetry.lock", "pyproject.toml", "setup.cfg")))
+    locked = F.filter(_named(_under("package", None), 1), lambda p: p["package"].isNotNull())
+
+    def of_lock(p: Column) -> Column:
+        name = F.get(F.filter("leaves", lambda y: y["at"] == F.array(F.lit("package"), p["package"], F.lit("name"))), 0)["value"]
+        return F.struct(F.trim(name).alias("package"), p["version"].alias("version"))
+
+    lock = F.filter(F.transform(locked, of_lock), lambda p: F.coalesce(p["package"], F.lit("")) != "")
+    poetry = F.filter(_named(_under("tool", "poetry", "dependencies"), 3), lambda p: F.lower(p["package"]) != "python")
+    groups = _named(F.filter(_under("tool", "poetry", "group", None), lambda x: (F.get(x["at"], 4) == "dependencies") & (F.size(x["at"]) > 5)), 5)
+    project = F.concat(_specs(_strings(_under("project", "dependencies"))), _specs(_strings(_under("project", "optional-dependencies"))), poetry, groups)
+    raw = F.concat(F.filter(_under("options"), lambda x: F.get(x["at"], 1) == "install_requires"), _under("options.extras_require"))
+    setup = _specs(F.flatten(F.transform(_strings(raw), lambda v: F.split(v, r"[\n,]"))))
+    kind = F.when(base == "poetry.lock", "poetry_lock").when(base == "pyproject.toml", "pyproject").otherwise("setup_cfg")
+    found = F.when(kind == "poetry_lock", lock).when(kind == "pyproject", project).otherwise(setup)
+    return parsed.select("path", kind.alias("source"), F.posexplode(found).alias("seq", "_d")).select("path", "source", "seq", "_d.package", "_d.version")
 
 
 def deps_merge(candidates: DataFrame, order: list[str]) -> DataFrame:

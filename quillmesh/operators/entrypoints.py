@@ -13,8 +13,10 @@ from .ordered import top_n
 GUARD = r"""(?m)^\s*if\s+__name__\s*==\s*['"]__main__['"]\s*:"""
 DEF_MAIN = r"(?m)^\s*def\s+main\s*\("
 SHEBANG = r"^#!\s*(\S+)"
-SHELL_EXTS = ".sh .bash .zsh .ps1 .bat .cmd".split()
-TEXT_EXTS = ".py .pyi .pyw .sh .bash .zsh .ps1 .bat .cmd .toml .cfg .ini .json .jsonc .md .txt".split()
+SHELL_EXTS = [".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd"]
+TEXT_EXTS = [
+    ".py", ".pyi", ".pyw", ".sh", ".bash", ".zsh", ".ps1", ".bat", ".cmd", ".toml", ".cfg", ".ini", ".json", ".jsonc", ".md", ".txt",
+]
 
 CONFIG_SCHEMA = "path string, source string, name string, target string"
 

@@ -12,8 +12,8 @@ from ..functions import text as X
 KEY = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*="
 BRACED = r"\$\{([A-Z][A-Z0-9_]*)(?::-[^}]*)?\}"
 BARE = r"(?<![\w$])\$([A-Z][A-Z0-9_]*)\b"
-CONFIG_EXTS = ".yml .yaml .json .toml .ini .cfg .conf".split()
-JS_EXTS = ".js .jsx .ts .tsx .mjs .cjs".split()
+CONFIG_EXTS = [".yml", ".yaml", ".json", ".toml", ".ini", ".cfg", ".conf"]
+JS_EXTS = [".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"]
 JS_USES = [
     r"process\.env\.([A-Za-z_][A-Za-z0-9_]*)",
     r"process\.env\[\s*['\"]([A-Za-z_][A-Za-z0-9_]*)['\"]\s*\]",
@@ -50,11 +50,11 @@ def json_strings(text) -> Column:
 def env_required(files: DataFrame) -> DataFrame:
     """Variables config files ask for. JSON looks at string values only.
 
-    TOML files go through ``env_required_toml`` first (their strings need a parser);
-    here they are read as text.
+    TOML too: its strings need a parser, which sees the TOML files alone.
     """
     e = P.ext("path")
-    own = files.where(e.isin(*CONFIG_EXTS) & ~X.is_env_name(P.basename("path")))
+    own = files.where(e.isin(*CONFIG_EXTS) & ~X.is_env_name(P.basename("path"))).select("path", "text")
+    own = own.where(e != ".toml").unionByName(toml_string_values(own.where(e == ".toml")))
     src = F.when(e == ".json", F.coalesce(F.array_join(json_strings("text"), "\n"), F.col("text"))).otherwise(F.col("text"))
     rows = own.select("path", F.array_sort(placeholders(src)).alias("vars"))
     return rows.where(F.size("vars") > 0).withColumn("count", F.size("vars").cast("bigint"))
@@ -84,10 +84,6 @@ def toml_string_values(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, text string")
 
 
-def env_required_toml(files: DataFrame) -> DataFrame:
-    return env_required(toml_string_values(files.where(P.ext("path") == ".toml")))
-
-
 def env_usage_js(files: DataFrame) -> DataFrame:
     """Variables and call count per JS/TS file."""
     found = F.concat(*[F.regexp_extract_all("text", F.lit(p), 1) for p in JS_USES])

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import paths as P
+from ..functions import text as X
 
-COUNTERS = (
-    "h1 h2 h3 links links_external links_internal scripts scripts_inline scripts_external stylesheets images forms"
-).split()
+# Names of the counts.
+COUNTERS = [
+    "h1", "h2", "h3", "links", "links_external", "links_internal", "scripts", "scripts_inline", "scripts_external", "stylesheets",
+    "images", "forms",
+]
 # What counts as an external link, a mount point and a framework script.
 EXTERNAL = r"^(https?://|//)"
 FRAMEWORKS = ["react", "vue", "angular", "svelte"]
@@ -38,12 +41,15 @@ def attr(attrs: Column, name: str) -> Column:
 
 def html_counts(pages: DataFrame) -> DataFrame:
     """All page counters as JVM expressions: one narrow pass over the text."""
-    m = pages.select("path", F.octet_length("text").cast("bigint").alias("size"), markup("text").alias("_m"))
+    return _counted(pages.select("path", F.octet_length("text").cast("bigint").alias("size"), markup("text").alias("_m")), ["path", "size"])
+
+
+def _counted(m: DataFrame, keep: list[str]) -> DataFrame:
     hrefs = F.filter(F.transform(_tags("a"), lambda a: F.trim(attr(a, "href"))), lambda h: h != "")
     srcs = F.transform(_tags("script"), lambda a: F.trim(attr(a, "src")))
     rels = F.transform(_tags("link"), lambda a: F.lower(attr(a, "rel")))
     m = m.select(
-        "path", "size", hrefs.alias("_h"), srcs.alias("_s"),
+        *keep, hrefs.alias("_h"), srcs.alias("_s"),
         F.size(F.filter(rels, lambda r: F.contains(r, F.lit("stylesheet")))).alias("stylesheets"),
         *[F.size(_tags(t)).alias(n) for t, n in (("h1", "h1"), ("h2", "h2"), ("h3", "h3"), ("img", "images"), ("form", "forms"))],
     )
@@ -53,26 +59,60 @@ def html_counts(pages: DataFrame) -> DataFrame:
         "links": F.size("_h"), "links_external": external, "links_internal": F.size("_h") - external,
         "scripts": F.size("_s"), "scripts_inline": F.size("_s") - loaded, "scripts_external": loaded,
     }
-    return m.select("path", "size", *[out.get(c, F.col(c)).cast("bigint").alias(c) for c in COUNTERS])
+    return m.select(*keep, *[out.get(c, F.col(c)).cast("bigint").alias(c) for c in COUNTERS])
+
+
+META = ["description", "keywords", "viewport", "robots"]
+# Character references that a title may hold.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def _is(field: str, value: str):
+    return lambda t: t[field] == value
 
 
-HTML_SCHEMA = (
-    "path string, title string, lang string, doctype_html5 boolean, description string, keywords string, "
-    "viewport string, robots string, canonical string, hints array<string>, counts map<string,bigint>"
-)
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v != ""), 0)
 
 
 def html_facts(pages: DataFrame) -> DataFrame:
-    """Everything known about a page, read with the standard HTML tokenizer."""
-    def run(batches):
-        import pandas as pd
+    """Title, language, doctype, meta values, canonical link, hints (in fixed order) and counts of a page.
+
+    Everything is read off the start tags, in the same narrow pass as the counts.
+    """
+    m = pages.select("path", "text", markup(F.coalesce("text", F.lit(""))).alias("_m"))
+    metas = F.transform(_tags("meta"), lambda a: F.struct(
+        F.lower(F.coalesce(F.nullif(attr(a, "name"), F.lit("")), attr(a, "property"))).alias("name"), attr(a, "content").alias("content")))
+    links = F.transform(_tags("link"), lambda a: F.struct(F.lower(attr(a, "rel")).alias("rel"), attr(a, "href").alias("href")))
+    divs = F.transform(_tags("div"), lambda a: F.struct(F.lower(attr(a, "id")).alias("id"), F.lower(attr(a, "class")).alias("cls")))
+    m = m.select(
+        "path", "text", "_m", metas.alias("_meta"), links.alias("_link"), divs.alias("_div"),
+        F.transform(_tags("script"), lambda a: F.lower(attr(a, "src"))).alias("_src"), F.transform(_tags("html"), lambda a: F.trim(attr(a, "lang"))).alias("_lang"),
+    )
+    title = X.strip(F.regexp_extract("_m", r"(?is)<title\b[^>]*>\s*(.*?)\s*(?:</title|<|\z)", 1))
+    for ref, char in REFERENCES.items():
+        title = F.replace(title, F.lit(ref), F.lit(char))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    html5 = text.rlike(r"(?s)<!\s*doctype\s+html") | ((F.size("_lang") > 0) & F.contains(text, F.lit("<meta charset=")))
+    meta = {k: _first(F.transform(F.filter("_meta", _is("name", k)), lambda t: t["content"])) for k in META}
+    canonical = F.element_at(F.reverse(F.filter("_link", lambda x: F.contains(x["rel"], F.lit("canonical")) & (x["href"] != ""))), 1)
+    generator = F.filter("_meta", lambda t: t["name"] == "generator")
+    made_by = F.lower(F.array_join(F.transform(generator, lambda t: t["content"]), "\n"))
+    has = {f: F.contains(F.array_join("_src", "\n"), F.lit(f)) for f in FRAMEWORKS}
+    has |= {"nextjs": F.contains(made_by, F.lit("next.js")), "gatsby": F.contains(made_by, F.lit("gatsby"))}
+    has["spa_mount"] = F.exists("_div", lambda d: d["id"].isin(*MOUNT_IDS) | F.contains(d["cls"], F.lit("root")) | F.contains(d["cls"], F.lit("app")))
+    hints = F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, hit in has.items())))
+    facts = m.select(
+        "path", F.nullif(title, F.lit("")).alias("title"), F.element_at(F.reverse(F.filter("_lang", lambda x: x != "")), 1).alias("lang"), html5.alias("doctype_html5"),
+        *[c.alias(k) for k, c in meta.items()], canonical["href"].alias("canonical"), hints.alias("hints"), "text",
+    )
+    return _with_counts(facts)
 
-        for pdf in batches:
-            rows = [(p, *_page_facts(t or "")) for p, t in zip(pdf["path"], pdf["text"])]
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in HTML_SCHEMA.split(", ")])
 
-    facts = pages.select("path", "text").mapInPandas(run, HTML_SCHEMA)
-    return facts
+def _with_counts(facts: DataFrame) -> DataFrame:
+    counted = _counted(facts.withColumn("_m", markup(F.coalesce("text", F.lit("")))), [c for c in facts.columns if c != "text"])
+    counts = F.create_map(*[x for c in COUNTERS for x in (F.lit(c), F.col(c))])
+    return counted.select(*[c for c in facts.columns if c != "text"], counts.alias("counts"))
 
 
 def html_file_records(pages: DataFrame) -> DataFrame:
@@ -81,86 +121,6 @@ def html_file_records(pages: DataFrame) -> DataFrame:
     return html_facts(pages).join(sized, "path")
 
 
-def _page_facts(text: str):
-    from html.parser import HTMLParser
-
-    state = {"title": None, "lang": None, "html5": False, "html": False, "canonical": None, "open": False}
-    meta = dict.fromkeys(("description", "keywords", "viewport", "robots"))
-    counts, hints = dict.fromkeys(COUNTERS, 0), []
-
-    def hint(name, yes):
-        if yes and name not in hints:
-            hints.append(name)
-
-    def on_link(a):
-        rel, href = a.get("rel", "").lower(), a.get("href", "")
-        counts["stylesheets"] += "stylesheet" in rel
-        if "canonical" in rel and href:
-            state["canonical"] = href
-
-    def on_anchor(a):
-        href = a.get("href", "").strip()
-        if href:
-            counts["links"] += 1
-            counts["links_external" if href.startswith(("http://", "https://", "//")) else "links_internal"] += 1
-
-    def on_script(a):
-        src = a.get("src", "").strip()
-        counts["scripts"] += 1
-        counts["scripts_external" if src else "scripts_inline"] += 1
-        for f in FRAMEWORKS:
-            hint(f, f in src.lower())
-
-    def on_meta(a):
-        name, content = (a.get("name") or a.get("property") or "").lower(), a.get("content") or ""
-        if name in meta and not meta[name]:
-            meta[name] = content
-        if name == "generator":
-            hint("nextjs", "next.js" in content.lower())
-            hint("gatsby", "gatsby" in content.lower())
-
-    def on_div(a):
-        cls = a.get("class", "").lower()
-        hint("spa_mount", a.get("id", "").lower() in MOUNT_IDS or "root" in cls or "app" in cls)
-
-    def on_html(a):
-        state["html"] = True
-        if a.get("lang", "").strip():
-            state["lang"] = a["lang"].strip()
-
-    def bump(key):
-        return lambda a: counts.__setitem__(key, counts[key] + 1)
-
-    handlers = {"link": on_link, "a": on_anchor, "script": on_script, "meta": on_meta, "div": on_div, "html": on_html,
-                "h1": bump("h1"), "h2": bump("h2"), "h3": bump("h3"), "img": bump("images"), "form": bump("forms")}
-
-    class Page(HTMLParser):
-        def handle_decl(self, decl):
-            state["html5"] = state["html5"] or decl.strip().lower().startswith("doctype html")
-
-        def handle_starttag(self, tag, attrs):
-            state["open"] = state["open"] or tag == "title"
-            if tag in handlers:
-                handlers[tag]({k.lower(): v or "" for k, v in attrs})
-
-        def handle_endtag(self, tag):
-            if tag == "title":
-                state["open"] = False
-
-        def handle_data(self, data):
-            if state["open"] and data.strip() and not state["title"]:
-                state["title"] = data.strip()[:300]
-
-    page = Page(convert_charrefs=True)
-    try:
-        page.feed(text)
-        page.close()
-    except Exception:  # keep what was read so far
-        pass
-    html5 = state["html5"] or (state["html"] and "<meta charset=" in text.lower())
-    return (state["title"], state["lang"], html5, *meta.values(), state["canonical"], hints, counts)
-
-
 def html_totals(counts: DataFrame) -> DataFrame:
     return counts.agg(F.count("*").alias("files"), *[F.sum(c).alias(c) for c in COUNTERS])
 

@@ -208,10 +208,10 @@ INSTRUCTIONS = (
 CLOSING = "Return EXACTLY one JSON object with an `items` array. No markdown."
 
 
-def build_prompts(items: DataFrame, max_source: int = 1800) -> DataFrame:
-    """(id, prompt): filled fields only; the source is cut to a snippet for the prompt."""
+def build_prompts(items: DataFrame, max_source: int | None = None) -> DataFrame:
+    """(id, prompt): filled fields only; the source is whole unless ``max_source`` cuts it."""
     line = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
-    snippet = X.truncate("source", max_source)
+    snippet = F.col("source") if max_source is None else X.truncate("source", max_source)
     name = F.coalesce(F.nullif("name", F.lit("")), F.col("id").cast("string"), F.lit("<unknown symbol>"))
     parts = [
         F.concat(F.lit("Target file: "), F.coalesce(F.nullif("filepath", F.lit("")), F.lit("UNKNOWN_FILE"))),

@@ -35,6 +35,6 @@ def analyze_languages(files: DataFrame) -> DataFrame:
 
 
 for _lang, (_exts, _) in jsfiles.EDGE_PATTERNS.items():
-    register_language(_lang, _exts.split(), lambda files, lang=_lang: jsfiles.import_edges(files, lang))
+    register_language(_lang, _exts, lambda files, lang=_lang: jsfiles.import_edges(files, lang))
 register_language("html", [".html", ".htm"], html.html_resources)
 register_language("sql", [".sql"], lambda files: sqlfiles.sql_refs(files).select("path", F.lit("reference").alias("kind"), F.col("table").alias("target")))

@@ -101,20 +101,20 @@ def limit_totals(
     return out
 
 
-def dup_flag(df: DataFrame, text: str, order: str, min_len: int = 50) -> DataFrame:
-    """``verdict`` per text: too short, seen earlier in order, or kept.
+def dup_flag(df: DataFrame, text: str, order: str, row_id: str, min_len: int = 50) -> DataFrame:
+    """``verdict`` per text: too short, seen earlier in order, or kept; ``row_id`` (unique) settles ties.
 
-    Only (digest, order) pairs are grouped; the first of each digest is a partial
-    minimum, so a text copied a billion times costs one value per task.
+    Only (digest, order, id) are grouped; the first of each digest is a partial minimum, so a text copied a
+    billion times costs one value per task.
     """
     from ..functions.text import strip
 
     t = strip(F.col(text))
-    d = df.withColumn("_d", F.sha2(t, 256)).withColumn("_short", F.length(t) <= min_len)
-    firsts = d.where(~F.col("_short")).groupBy("_d").agg(F.min(order).alias("_first"))
-    firsts = firsts.select(F.col("_first").alias(order), F.lit(True).alias("_is_first"))
+    d = df.withColumn("_t", t).withColumn("_d", F.sha2("_t", 256)).withColumn("_short", F.length("_t") <= min_len).drop("_t")
+    firsts = d.where(~F.col("_short")).groupBy("_d").agg(F.min(F.struct(order, row_id)).alias("_first"))
+    firsts = firsts.select(F.col(f"_first.{row_id}").alias(row_id), F.lit(True).alias("_is_first"))
     return (
-        d.join(firsts, order, "left")
+        d.join(firsts, row_id, "left")
         .withColumn(
             "verdict",
             F.when(F.col("_short"), "Bad docstring")
@@ -125,23 +125,23 @@ def dup_flag(df: DataFrame, text: str, order: str, min_len: int = 50) -> DataFra
     )
 
 
-def phase_durations(events: DataFrame) -> DataFrame:
-    """Begin and end of each (run_id, phase): duration in ms and status.
+def phase_durations(events: DataFrame, order: Sequence[str] = ("seq",), width: str = "hour") -> DataFrame:
+    """One row per begin of a phase: its end, duration in ms and status; without an end it is open.
 
-    Input: run_id, phase, event (begin/end), status, ts. Pure conditional
-    aggregates, so phases of any size merge map-side. A phase without an end is open.
+    Input: run_id, phase, event (begin/end), status, ts and the ``order`` of events with one ts; a ``step``
+    column, if there, is part of the key. An end closes the latest open begin of its key. With begins counted
+    up and ends down, begins and ends between two levels of that count alternate, so a begin's end is the next
+    row of its level. Both counts are two-level over slices of time: no key is sorted in one task.
     """
-    begin = F.min(F.when(F.col("event") == "begin", F.col("ts"))).alias("begin_ts")
-    end = F.max(F.when(F.col("event") == "end", F.col("ts"))).alias("end_ts")
-    failed = F.max(F.when((F.col("event") == "end") & (F.col("status") == "error"), 1).otherwise(0)).alias("_failed")
-    g = events.groupBy("run_id", "phase").agg(begin, end, failed)
-    closed = F.col("end_ts") >= F.col("begin_ts")
+    keys = ["run_id", "phase", *(["step"] if "step" in events.columns else [])]
+    at = ["ts", *order]
+    e = events.where(F.col("event").isin("begin", "end")).withColumn("_s", F.date_trunc(width, "ts"))
+    begins = F.col("event") == "begin"
+    e = running_sum(e.withColumn("_up", F.when(begins, 1).otherwise(-1).cast("bigint")), keys, "_s", at, "_up", "_level")
+    e = e.withColumn("_level", F.when(begins, F.col("_level") - 1).otherwise(F.col("_level")))
+    e = numbered(e, [*keys, "_level"], "_s", at, "_n")
+    ends = e.where(~begins).select(*keys, "_level", (F.col("_n") - 1).alias("_n"), F.col("ts").alias("end_ts"), F.col("status").alias("_end"))
+    j = e.where(begins).select(*keys, "_level", "_n", F.col("ts").alias("begin_ts")).join(ends, [*keys, "_level", "_n"], "left")
     us = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("begin_ts").cast("timestamp"))
-    return g.where(F.col("begin_ts").isNotNull()).select(
-        "run_id",
-        "phase",
-        "begin_ts",
-        F.when(closed, F.col("end_ts")).alias("end_ts"),
-        F.when(closed, F.floor(us / 1000)).cast("bigint").alias("dur_ms"),
-        F.when(~F.coalesce(closed, F.lit(False)), "open").when(F.col("_failed") == 1, "error").otherwise("ok").alias("status"),
-    )
+    status = F.when(F.col("end_ts").isNull(), "open").when(F.col("_end") == "error", "error").otherwise("ok")
+    return j.select(*keys, "begin_ts", "end_ts", F.floor(us / 1000).cast("bigint").alias("dur_ms"), status.alias("status"))

@@ -81,6 +81,16 @@ def _facts(path: str, text: str):
     except (SyntaxError, ValueError, RecursionError) as e:
         yield _fact("error", "SyntaxError", line=getattr(e, "lineno", None), col=getattr(e, "offset", None), text=str(e))
         return
+    try:
+        yield from list(_tree_facts(tree))
+    except RecursionError as e:  # unparse recurses; a file too deep for it is one error, not a lost job
+        yield _fact("error", "RecursionError", text=str(e))
+
+
+def _tree_facts(tree):
+    """Facts of a parsed file, its nodes taken from a stack."""
+    import ast
+
     defs, funcs = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef), (ast.FunctionDef, ast.AsyncFunctionDef)
     decision = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.ExceptHandler, ast.BoolOp, ast.IfExp, ast.comprehension)
     walked = list(ast.walk(tree))
@@ -117,8 +127,10 @@ def _facts(path: str, text: str):
     def check(code, node, name, message):
         return _fact("check", code, name, line=node.lineno, col=node.col_offset + 1, text=message)
 
-    def visit(node, scope, cls, top):
-        """scope: dotted definitions around; cls: nearest class; top: module, class1 or nested."""
+    # Around a node: dotted definitions, nearest class; top: module, class1 or nested.
+    todo = [(tree, [], None, "module")]
+    while todo:
+        node, scope, cls, top = todo.pop()
         form, var = env_use(node)
         if var:
             yield _fact("env", form, var, line=node.lineno)
@@ -166,10 +178,8 @@ def _facts(path: str, text: str):
             inner_cls = cls if is_fn else node.name
             inner_top = "class1" if not is_fn and top == "module" else "nested"
         direct = isinstance(node, (ast.Module, *defs))
-        for child in ast.iter_child_nodes(node):
-            yield from visit(child, inner_scope, inner_cls, inner_top if direct else "nested")
-
-    yield from visit(tree, [], None, "module")
+        below = [(child, inner_scope, inner_cls, inner_top if direct else "nested") for child in ast.iter_child_nodes(node)]
+        todo += reversed(below)
 
 
 def _arg_count(a) -> int:
@@ -446,12 +456,12 @@ def nearest_symbol(targets: DataFrame, facts: DataFrame, nearest_line: bool = Fa
     )
 
 
-def context_code(files: DataFrame, targets: DataFrame, facts: DataFrame, trailing: int = 10, module_lines: int = 80) -> DataFrame:
-    """Signature (header up to the first colon) and the code around each target."""
+def context_code(files: DataFrame, targets: DataFrame, facts: DataFrame, trailing: int = 10, module_lines: int | None = None) -> DataFrame:
+    """Signature (header up to the first colon) and the code around each target; of a module, all lines."""
     sym = nearest_symbol(targets, facts)
     body = files.select("path", X.lines_of("text").alias("_l"))
     start = F.coalesce(F.col("line"), F.lit(1))
-    count = F.when(F.col("line").isNull(), module_lines).otherwise(F.col("end_line") + trailing - F.col("line") + 1)
+    count = F.when(F.col("line").isNull(), F.size("_l") if module_lines is None else module_lines).otherwise(F.col("end_line") + trailing - F.col("line") + 1)
     header = F.when(F.col("line").isNotNull(), F.trim(F.substring_index(F.get("_l", F.col("line") - 1), ":", 1)))
     code = F.array_join(F.slice("_l", start, F.greatest(count, F.lit(1))), "\n")
     return sym.join(body, "path").select("path", "target_line", "symbol_name", "kind", "name", header.alias("signature"), code.alias("context_code"))

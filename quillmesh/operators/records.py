@@ -101,12 +101,11 @@ def lift_int(df: DataFrame, keys: Sequence[str]) -> Column:
     return F.coalesce(*cols) if cols else F.lit(None).cast("int")
 
 
-def wrap_records(df: DataFrame, producer: str, version: str = "1", detected_at: Column | None = None) -> DataFrame:
+def wrap_records(df: DataFrame, producer: str, detected_at: Column, version: str = "1") -> DataFrame:
     """Raw findings to envelopes. Columns the envelope does not lift land in ``data``.
 
     Rows that already carry the envelope schema keep their kind and fingerprint.
     """
-    when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") if detected_at is None else detected_at
     null = F.lit(None).cast("string")
     rt = F.col("record_type") if "record_type" in df.columns else null
     raw_kind = F.nullif(F.col("kind"), F.lit("")) if "kind" in df.columns else null
@@ -164,7 +163,7 @@ def wrap_records(df: DataFrame, producer: str, version: str = "1", detected_at:
         ).alias("edge"),
         "data",
         F.struct(F.lit(producer).alias("name"), F.lit(version).alias("version")).alias("scanner"),
-        F.coalesce(F.col("_seen"), when).alias("detected_at"),
+        F.coalesce(F.col("_seen"), detected_at).alias("detected_at"),
         F.struct((~F.col("_bad")).alias("ok"), F.col("_bad").alias("parse_error"), F.lit(False).alias("suppressed"), F.col("_reason").alias("reason")).alias("status"),
         F.coalesce(F.col("_fp"), H.record_fp("kind", "path", "code", "message", "line")).alias("fp"),
     )
@@ -228,15 +227,15 @@ def coalesce_edges(edges: DataFrame, position: Sequence[str]) -> DataFrame:
     return first_seen(keyed, ["_k", "_s", "_d"], position).drop("_k", "_s", "_d")
 
 
-def sanitize_items(df: DataFrame, json_col: str, forbid_secrets: bool = True) -> DataFrame:
+def sanitize_items(df: DataFrame, json_col: str, forbid_secrets: bool = True, max_keys: int | None = None, max_items: int | None = None) -> DataFrame:
     """A JSON object column without payload, raw and (if asked) secret-looking keys.
 
-    Scalars stay; objects of at most 8 keys and arrays of at most 16 scalars stay,
-    reduced to their scalars.
+    Scalars stay; objects and arrays with a scalar stay, reduced to their scalars, but
+    for those over ``max_keys`` or ``max_items``, if given.
     """
     banned = r"(?i)^(payload|raw)$" + (r"|secret|token|password|key" if forbid_secrets else "")
     top = F.try_parse_json(json_col).cast("map<string,variant>")
-    small = F.map_filter(top, lambda k, v: ~k.rlike(banned) & _keep_value(v))
+    small = F.map_filter(top, lambda k, v: ~k.rlike(banned) & _keep_value(v, max_keys, max_items))
     return df.withColumn(json_col, F.to_json(F.transform_values(small, lambda _, v: _reduce_value(v)), {"ignoreNullFields": "false"}))
 
 
@@ -248,10 +247,12 @@ def _scalar(v: Column) -> Column:
     return ~_nested(v, "OBJECT") & ~_nested(v, "ARRAY")
 
 
-def _keep_value(v: Column) -> Column:
+def _keep_value(v: Column, max_keys: int | None, max_items: int | None) -> Column:
     n_keys = F.size(F.map_keys(v.try_cast("map<string,variant>")))
     n_items = F.size(F.filter(v.try_cast("array<variant>"), _scalar))
-    return F.when(_nested(v, "OBJECT"), n_keys <= 8).when(_nested(v, "ARRAY"), n_items.between(1, 16)).otherwise(F.lit(True))
+    few_keys = F.lit(True) if max_keys is None else n_keys <= max_keys
+    few_items = n_items >= 1 if max_items is None else n_items.between(1, max_items)
+    return F.when(_nested(v, "OBJECT"), few_keys).when(_nested(v, "ARRAY"), few_items).otherwise(F.lit(True))
 
 
 def _reduce_value(v: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Sequence
 
@@ -17,7 +18,7 @@ K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 def _fold_table() -> tuple[str, str]:
     """Letters whose canonical decomposition is one letter plus marks, and that letter."""
     pairs = []
-    for cp in range(0xC0, 0x2000):
+    for cp in range(0xC0, sys.maxunicode + 1):
         d = unicodedata.normalize("NFD", chr(cp).lower())
         if len(d) > 1 and d[0].isalnum() and all(unicodedata.category(c) == "Mn" for c in d[1:]):
             pairs.append((chr(cp), d[0]))

@@ -16,7 +16,6 @@ _DQ = r'"(?:[^"\\]++|\\"|\\)*+(?:"|\z)'
 _BQ = r"`[^`]*+(?:`|\z)"
 _TOKENS = rf"(?s)({_SQ}|{_DQ}|{_BQ}|--[^\n\r]*+[\n\r]?|#[^\n\r]*+[\n\r]?|/\*.*?(?:\*/|\z)|[^'\"`#/-]++|.)"
 _SPLIT = r"(?s)('(?:[^']++|'')*+(?:'|\z)|\"[^\"]*+(?:\"|\z)|`[^`]*+(?:`|\z)|;|[^'\"`;]++)"
-_MARK = "\x01"
 
 
 def without_comments(text) -> Column:
@@ -31,8 +30,18 @@ def without_comments(text) -> Column:
 def statement_array(text) -> Column:
     """Trimmed statements: cut at semicolons outside quotes."""
     toks = F.regexp_extract_all(without_comments(text), F.lit(_SPLIT), 1)
-    marked = F.array_join(F.transform(toks, lambda t: F.when(t == ";", _MARK).otherwise(t)), "")
-    return F.filter(F.transform(F.split(marked, _MARK), lambda s: X.strip(s)), lambda s: s != "")
+    return _between_semicolons(toks)
+
+
+def _between_semicolons(toks: Column) -> Column:
+    """The trimmed, non-empty texts between the semicolon tokens, cut by their places."""
+    ends = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: (F.element_at(toks, i) == ";") | (i == F.size(toks)))
+
+    def statement(end: Column, k: Column) -> Column:
+        begin = F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 1)
+        return X.strip(F.array_join(F.filter(F.slice(toks, begin, end - begin + 1), lambda t: t != ";"), ""))
+
+    return F.when(F.size(toks) > 0, F.filter(F.transform(ends, statement), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
 
 
 def sql_statements(files: DataFrame) -> DataFrame:
@@ -113,9 +122,7 @@ def sql_refs(files: DataFrame) -> DataFrame:
     """(path, stmt_no from 1, dialect, table) references; comments are not stripped here."""
     own = files.where(F.lower("path").endswith(".sql"))
     toks = F.regexp_extract_all("text", F.lit(r"(?s)('[^']*+'|\"[^\"]*+\"|;|[^'\";]++|['\"])"), 1)
-    marked = F.array_join(F.transform(toks, lambda t: F.when(t == ";", _MARK).otherwise(t)), "")
-    stmts = F.filter(F.transform(F.split(marked, _MARK), lambda s: X.strip(s)), lambda s: s != "")
-    rows = own.select("path", F.posexplode(stmts).alias("_i", "_s"))
+    rows = own.select("path", F.posexplode(_between_semicolons(toks)).alias("_i", "_s"))
     found = F.concat(*[F.regexp_extract_all("_s", F.lit(p), 1) for p in REF_PATTERNS])
     return rows.select("path", (F.col("_i") + 1).alias("stmt_no"), S.plugin_dialect("_s").alias("dialect"), F.explode(found).alias("table"))
 

@@ -96,7 +96,7 @@ def _resolve_by_hash(target: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def fetch_rows(
-    df: DataFrame, columns: Sequence[str] = (), status: str | None = None, status_any: Sequence[str] = (), limit: int = 50
+    df: DataFrame, columns: Sequence[str] = (), status: str | None = None, status_any: Sequence[str] = (), *, limit: int
 ) -> DataFrame:
     """Requested columns that exist, filtered by status, newest id first, limited."""
     out = df.withColumn("filepath", F.col("file")) if "filepath" not in df.columns and "file" in df.columns else df
@@ -119,26 +119,12 @@ def fetch_rows(
 INDEX_COLUMNS = ["id", "filepath", "symbol_type", "name", "lineno", "description", "status"]
 
 
-def oversample(max_rows: int) -> int:
-    return max_rows * max(1, min(10, 5 if max_rows <= 50 else max_rows // 10))
-
-
-def fetch_index(
-    df: DataFrame, status: Sequence[str] = ("todo",), max_rows: int = 50, exclude: Sequence[str] = (), compat: bool = False
-) -> DataFrame:
-    """Newest rows of a status with excluded paths left out.
-
-    Excluded paths are filtered before the limit. ``compat`` limits to the oversampled
-    count first, filters, then limits, so it may return fewer rows.
-    """
+def fetch_index(df: DataFrame, max_rows: int, status: Sequence[str] = ("todo",), exclude: Sequence[str] = ()) -> DataFrame:
+    """The newest ``max_rows`` rows of a status, excluded paths left out before the limit."""
     wanted = sorted({s.replace("_", "").replace("-", "").lower() for s in status})
     rows = df.where(normalize_status("status").isin(*wanted)) if wanted else df
     keep = ~P.matches_any(P.posix_path("filepath"), [*exclude, *ALWAYS_EXCLUDED])
-    if compat:
-        rows = rows.orderBy(F.desc("id")).limit(oversample(max_rows)).where(keep)
-    else:
-        rows = rows.where(keep)
-    return rows.orderBy(F.desc("id")).limit(max_rows).select(*[c for c in INDEX_COLUMNS if c in df.columns])
+    return rows.where(keep).orderBy(F.desc("id")).limit(max_rows).select(*[c for c in INDEX_COLUMNS if c in df.columns])
 
 
 def fetch_diagnostics(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import assets, deps, entrypoints, env, html, jsfiles, languages, licenses, lines, owners, pysource, secrets, shellfiles, sqlfiles
 from ..operators.ordered import first_seen
 from ..sources import files as SF
-from .registry import FILES, LINES, query
+from .registry import FILES, ORACLES, LINES, query
 
 # ---- paths and lines -----------------------------------------------------------------
 
@@ -38,9 +38,10 @@ def _(t):
     return p.select("page_id", P.basename("path").alias("base"), P.dirname("path").alias("dir"), P.ext("path").alias("ext"), P.safe_relative("path").alias("safe"))
 
 
-@query("read_text_capped", "SELECT doc_id, sha256(text) AS head FROM documents")
+@query("read_text_capped", "SELECT doc_id, left(text, 200) AS head FROM documents WHERE length(text) = octet_length(encode(text))")
 def _(t):
-    return SF.read_text_capped(t.documents).select("doc_id", F.sha2("head", 256).alias("head"))
+    ascii_only = t.documents.where(F.char_length("text") == F.octet_length("text"))
+    return SF.read_text_capped(ascii_only, 200).select("doc_id", "head")
 
 
 @query(
@@ -94,7 +95,7 @@ def _(t):
 
 @query(
     "license_headers",
-    """SELECT 'lic/d' || doc_id || '.py' AS path, 2 AS line, i AS spdx_id, '# SPDX-License-Identifier: ' || i AS snippet
+    """SELECT 'lic/d' || doc_id || '.py' AS path, CASE WHEN doc_id % 4 = 1 THEN 502 ELSE 2 END AS line, i AS spdx_id, '# SPDX-License-Identifier: ' || i AS snippet
     FROM (SELECT doc_id, ['MIT', 'Apache-2.0', 'GPL-3.0-only'][doc_id % 3 + 1] AS i FROM documents WHERE doc_id % 4 <> 0)""",
 )
 def _(t):
@@ -135,7 +136,7 @@ def _(t):
     return secrets.secrets_scan(t.files)
 
 
-@query("secrets_summary")
+@query("secrets_summary", f"SELECT kind, count(*) AS findings, count(DISTINCT path) AS files FROM ({ORACLES['secrets_scan']}) GROUP BY kind")
 def _(t):
     return secrets.secrets_summary(secrets.secrets_scan(t.files))
 
@@ -746,7 +747,7 @@ def _(t):
     FROM (SELECT *, regexp_replace(s, '\s+', ' ', 'g') AS o FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents))""",
 )
 def _(t):
-    return t.documents.select("doc_id", X.first_line("text", 100000).alias("first_line"), X.oneliner("text", 40).alias("short"), X.truncate("text", 60).alias("cut"), X.approx_tokens("text").alias("tokens"))
+    return t.documents.select("doc_id", X.first_line("text").alias("first_line"), X.oneliner("text", 40).alias("short"), X.truncate("text", 60).alias("cut"), X.approx_tokens("text").alias("tokens"))
 
 
 @query(

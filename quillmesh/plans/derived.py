@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
 
 
 def _s(c) -> Column:
@@ -48,7 +47,7 @@ def py(t) -> DataFrame:
 
 def sql(t) -> DataFrame:
     """One script per order."""
-    o = spread(t.orders, 1 << 18)
+    o = t.orders
     tail = F.when(F.col("o_orderkey") % 2 == 0, ";").otherwise(" WHERE id = $1;")
     text = _lines(
         _f("-- order {{k}}; note", k="o_orderkey"),
@@ -147,9 +146,10 @@ def images(t) -> DataFrame:
 
 
 def license_headers(t) -> DataFrame:
-    """Documents with an SPDX tag in front; every fourth has none."""
+    """Documents with an SPDX tag in front, in every fourth on line 502; every fourth has none."""
     ids = F.array(*[F.lit(x) for x in ("MIT", "Apache-2.0", "GPL-3.0-only")])
-    tag = F.concat(F.lit("# file\n# SPDX-License-Identifier: "), F.get(ids, (F.col("doc_id") % 3).cast("int")), F.lit("\n"))
+    above = F.when(F.col("doc_id") % 4 == 1, F.repeat(F.lit("x\n"), 500)).otherwise(F.lit(""))
+    tag = F.concat(above, F.lit("# file\n# SPDX-License-Identifier: "), F.get(ids, (F.col("doc_id") % 3).cast("int")), F.lit("\n"))
     text = F.concat(F.when(F.col("doc_id") % 4 != 0, tag).otherwise(F.lit("")), F.col("text"))
     return t.documents.select("doc_id", _f("lic/d{{i}}.py", i="doc_id").alias("path"), text.alias("text"))
 

@@ -89,7 +89,7 @@ def _(t):
 @query(
     "build_prompts",
     """SELECT doc_id AS id, sha256('Target file: f' || doc_id || chr(10) || 'Symbol: ' || lang || ' (line 0)' || chr(10) || 'Signature: ' || source || chr(10) || 'Source snippet:' || chr(10) ||
-    CASE WHEN length(text) <= 1800 THEN text ELSE left(text, 1800) || '...' END || chr(10) || chr(10) || 'Instructions:' || chr(10) ||
+    text || chr(10) || chr(10) || 'Instructions:' || chr(10) ||
     'Add or fix the Python docstring for the referenced symbol. Keep it accurate, PEP 257 compliant, and do not change code behavior.' || chr(10) || chr(10) ||
     'Return EXACTLY one JSON object with an `items` array. No markdown.') AS h FROM documents""",
 )

@@ -11,6 +11,10 @@ from .registry import FILES, LINES, ORACLES, query
 # ---- raw findings of three scanners -----------------------------------------------------
 
 
+def seen_at():
+    return F.lit("2024-01-01T00:00:00.000000Z")
+
+
 def raw_findings(t):
     """Unwrapped rows of the license, static and secret scanners."""
     f = t.files
@@ -29,7 +33,7 @@ _FP = "'sha256:' || sha256(concat_ws('|', kind, coalesce(path, ''), coalesce(cod
 
 @query("wrap_records", f"SELECT kind, 'file' AS scope, path, line, code, message, severity, {_FP} AS fp FROM {_RAW}")
 def _(t):
-    w = R.wrap_records(raw_findings(t), "scan")
+    w = R.wrap_records(raw_findings(t), "scan", seen_at())
     return w.select("kind", "scope", "path", F.col("loc.line").alias("line"), "code", "message", "severity", "fp")
 
 
@@ -40,7 +44,7 @@ def _(t):
     GROUP BY split_part(kind, '.', 1)""",
 )
 def _(t):
-    w = R.wrap_records(raw_findings(t), "scan")
+    w = R.wrap_records(raw_findings(t), "scan", seen_at())
     codes = w.groupBy(F.substring_index("kind", ".", 1).alias("family"), "code").agg(F.count("*").alias("c"))
     top = reducers.top_n(codes, ["family"], [F.desc("c"), "code"], 1).select("family", F.col("code").alias("top_code"))
     return reducers.family_counts(w).join(top, "family")
@@ -64,13 +68,13 @@ def _(t):
 def _(t):
     rt = F.when(F.col("event_type") == "view", "ast.xref").when(F.col("event_type") == "click", "ast.call").when(F.col("event_type") == "error", "manifest_header")
     raw = t.events.select(F.coalesce(rt, "event_type").alias("record_type"), F.col("event_id").cast("string").alias("id"), "value", F.col("user_id").alias("line"))
-    w = R.wrap_records(raw, "log")
+    w = R.wrap_records(raw, "log", seen_at())
     return w.groupBy("kind", "scope", F.col("status.parse_error").alias("bad"), F.col("status.reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("validate_records", f"SELECT count(*) AS ok, 0::BIGINT AS bad FROM {_RAW}")
 def _(t):
-    w = R.wrap_records(raw_findings(t), "scan")
+    w = R.wrap_records(raw_findings(t), "scan", seen_at())
     return w.agg(F.count(F.when(R.record_problem(w).isNull(), 1)).alias("ok"), F.count(F.when(R.record_problem(w).isNotNull(), 1)).alias("bad"))
 
 
@@ -160,7 +164,7 @@ def _(t):
 
 @query("bundle_summary", f"SELECT 'scan' AS producer, count(*) AS records FROM {_RAW}")
 def _(t):
-    return reducers.bundle_summary(R.wrap_records(raw_findings(t), "scan"))
+    return reducers.bundle_summary(R.wrap_records(raw_findings(t), "scan", seen_at()))
 
 
 @query("reduce_generic", "SELECT 'totals' AS metric, unnest(['l_linenumber', 'l_orderkey', 'l_partkey', 'l_suppkey']) AS name, unnest([sum(l_linenumber)::DOUBLE, sum(l_orderkey)::DOUBLE, sum(l_partkey)::DOUBLE, sum(l_suppkey)::DOUBLE]) AS value FROM lineitem")

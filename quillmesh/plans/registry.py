@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
+#: Session setting: deal the text tables to so many tasks on reading. Unset, scans stay as the files are laid
+#: out; it is for files of one row group, which are one task whatever the cores.
+READ_TASKS = "quillmesh.read.tasks"
 TEXT_TABLES = {"documents", "pages", "conversations"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +23,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        df = spread(df) if name in TEXT_TABLES else df
+        tasks = self.spark.conf.get(READ_TASKS, None)
+        df = df.repartition(int(tasks)) if tasks and name in TEXT_TABLES else df
         setattr(self, name, df)
         return df
 

@@ -59,20 +59,12 @@ def _index(t):
 
 @query("fetch_rows", "SELECT o_orderkey::VARCHAR AS id, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'F') ORDER BY o_orderkey DESC LIMIT 50")
 def _(t):
-    return S.fetch_rows(_index(t), ["id", "o_totalprice", "nope"], status_any=["TO-DO", "to_do"])
+    return S.fetch_rows(_index(t), ["id", "o_totalprice", "nope"], status_any=["TO-DO", "to_do"], limit=50)
 
 
 @query("fetch_index", "SELECT o_orderkey AS id, 'src/' || o_orderkey AS filepath, o_orderpriority AS name FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_orderpriority NOT LIKE '1%' ORDER BY o_orderkey DESC LIMIT 50")
 def _(t):
-    return S.fetch_index(_index(t)).select("id", "filepath", "name")
-
-
-@query(
-    "fetch_index_compat",
-    "SELECT id FROM (SELECT o_orderkey AS id, o_orderpriority FROM orders WHERE o_orderstatus IN ('O', 'F') ORDER BY o_orderkey DESC LIMIT 250) WHERE o_orderpriority NOT LIKE '1%' ORDER BY id DESC LIMIT 50",
-)
-def _(t):
-    return S.fetch_index(_index(t), compat=True).select("id")
+    return S.fetch_index(_index(t), 50).select("id", "filepath", "name")
 
 
 @query("fetch_diagnostics", "SELECT s AS status, count(*) AS n_rows, count(*) FILTER (WHERE p NOT LIKE '1%') AS after_globs FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'TO-DO' WHEN 'F' THEN 'to_do' ELSE 'done' END AS s, o_orderpriority AS p FROM orders) GROUP BY ROLLUP (s)")

@@ -51,49 +51,52 @@ def _(t):
     return O.batch_items(e, "_s", ["event_id"], 50).select("event_id", "batch_no")
 
 
-@query("limit_totals", f"SELECT path FROM (SELECT path, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM {FILES}) WHERE upto <= 1000000000000")
+@query("limit_totals", f"SELECT path FROM (SELECT path, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM {FILES}) WHERE upto <= total // 3")
 def _(t):
     f = t.files.select("path", "doc_id", "size", F.floor(F.col("doc_id") / 512).alias("_s"))
-    return O.limit_totals(f, "_s", ["doc_id"], "size", max_bytes=1_000_000_000_000).select("path")
+    third = f.agg(F.floor(F.sum("size") / 3)).first()[0]
+    return O.limit_totals(f, "_s", ["doc_id"], "size", max_bytes=third).select("path")
 
 
 @query(
     "dup_flag",
-    r"""SELECT doc_id, CASE WHEN length(s) <= 50 THEN 'Bad docstring' WHEN row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 THEN 'keep' ELSE 'Duplicate docstring — skipped' END AS verdict
-    FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)""",
+    r"""SELECT doc_id, CASE WHEN length(s) <= 50 THEN 'Bad docstring' WHEN row_number() OVER (PARTITION BY s ORDER BY lang, doc_id) = 1 THEN 'keep' ELSE 'Duplicate docstring — skipped' END AS verdict
+    FROM (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents)""",
 )
 def _(t):
-    return O.dup_flag(t.documents, "text", "doc_id").select("doc_id", "verdict")
+    return O.dup_flag(t.documents, "text", "lang", "doc_id").select("doc_id", "verdict")
 
 
 @query(
     "scan_outcomes",
     r"""SELECT count(*) AS entries, count(*) FILTER (WHERE v <> 'd') AS written, count(*) FILTER (WHERE v = 'd') AS duplicates, count(*) FILTER (WHERE v = 'b') AS bad, count(*) FILTER (WHERE v = 'k') AS ok
-    FROM (SELECT CASE WHEN length(s) <= 50 THEN 'b' WHEN row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 THEN 'k' ELSE 'd' END AS v FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents))""",
+    FROM (SELECT CASE WHEN length(s) <= 50 THEN 'b' WHEN row_number() OVER (PARTITION BY s ORDER BY doc_id) = 1 THEN 'k' ELSE 'd' END AS v FROM (SELECT doc_id, lang, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM documents))""",
 )
 def _(t):
-    return I.scan_outcomes(O.dup_flag(t.documents, "text", "doc_id"))
+    return I.scan_outcomes(O.dup_flag(t.documents, "text", "lang", "doc_id"))
 
 
-_FLOW = """(SELECT user_id::VARCHAR AS run_id, json_extract_string(props, '$.k') AS phase, CASE WHEN event_type = 'view' THEN 'begin' WHEN event_type IN ('purchase', 'error') THEN 'end' END AS event, CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS status, ts FROM events)"""
+_FLOW = """(SELECT user_id::VARCHAR AS run_id, json_extract_string(props, '$.k') AS phase, CASE WHEN event_type = 'view' THEN 'begin' WHEN event_type IN ('purchase', 'error') THEN 'end' END AS event, CASE event_type WHEN 'error' THEN 'error' ELSE 'ok' END AS status, ts, event_id AS seq FROM events)"""
 
 
 def _flow(t):
     event = F.when(F.col("event_type") == "view", "begin").when(F.col("event_type").isin("purchase", "error"), "end")
     status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
-    return t.events.select(F.col("user_id").cast("string").alias("run_id"), F.get_json_object("props", "$.k").alias("phase"), event.alias("event"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return t.events.select(F.col("user_id").cast("string").alias("run_id"), F.get_json_object("props", "$.k").alias("phase"), event.alias("event"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
 
 
-@query(
-    "phase_durations",
-    f"""SELECT run_id, phase, CASE WHEN e >= b THEN (epoch_us(e) - epoch_us(b)) // 1000 END AS dur_ms, CASE WHEN e IS NULL OR e < b THEN 'open' WHEN bad THEN 'error' ELSE 'ok' END AS status
-    FROM (SELECT run_id, phase, min(ts) FILTER (WHERE event = 'begin') AS b, max(ts) FILTER (WHERE event = 'end') AS e, coalesce(bool_or(status = 'error') FILTER (WHERE event = 'end'), false) AS bad FROM {_FLOW} GROUP BY ALL) WHERE b IS NOT NULL""",
-)
+_PHASES = f"""(SELECT run_id, phase, ts AS b, CASE WHEN next = 'end' THEN next_ts END AS e, CASE WHEN next = 'end' THEN next_status END AS status FROM (
+    SELECT *, lead(event) OVER w AS next, lead(ts) OVER w AS next_ts, lead(status) OVER w AS next_status FROM (
+      SELECT *, sum(CASE event WHEN 'begin' THEN 1 ELSE -1 END) OVER (PARTITION BY run_id, phase ORDER BY ts, seq) - CASE event WHEN 'begin' THEN 1 ELSE 0 END AS level FROM {_FLOW} WHERE event IS NOT NULL)
+    WINDOW w AS (PARTITION BY run_id, phase, level ORDER BY ts, seq)) WHERE event = 'begin')"""
+
+
+@query("phase_durations", f"SELECT run_id, phase, epoch_us(b) AS begin_us, (epoch_us(e) - epoch_us(b)) // 1000 AS dur_ms, coalesce(status, 'open') AS status FROM {_PHASES}")
 def _(t):
-    return O.phase_durations(_flow(t)).select("run_id", "phase", "dur_ms", "status")
+    return O.phase_durations(_flow(t)).select("run_id", "phase", F.unix_micros("begin_ts").alias("begin_us"), "dur_ms", "status")
 
 
-@query("phase_pairs", f"SELECT b.run_id, b.phase, (epoch_us(e.ts) - epoch_us(b.ts)) // 1000 AS dur_ms, e.status FROM {_FLOW} b JOIN {_FLOW} e ON b.run_id = e.run_id AND b.phase = e.phase AND b.event = 'begin' AND e.event = 'end' AND e.ts >= b.ts AND e.ts <= b.ts + INTERVAL 1 DAY")
+@query("phase_pairs", f"SELECT run_id, phase, (epoch_us(e) - epoch_us(b)) // 1000 AS dur_ms, status FROM {_PHASES} WHERE e <= b + INTERVAL 1 DAY")
 def _(t):
     return flows.phase_pairs(_flow(t)).select("run_id", "phase", "dur_ms", "status")
 

@@ -1,10 +1,8 @@
-"""Session defaults and the shared checkpoint folder."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every operator relies on; values a cluster already set are kept.
 DEFAULTS = {
@@ -14,6 +12,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -28,34 +27,3 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="quillmesh-ckpt-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the data survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, bytes_per_task: int = 1 << 20) -> DataFrame:
-    """Give a small scan enough tasks for its parsing work.
-
-    A file with one row group is one task, however many cores wait. Large scans already
-    have more partitions than cores and are returned as they are, without a shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if size > cores * (128 << 20):
-        return df
-    wanted = min(cores, max(1, size // bytes_per_task))
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -58,7 +58,7 @@ def with_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", utf8("content")).withColumn("sha256", F.sha2("content", 256))
 
 
-def read_text_capped(df: DataFrame, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:
+def read_text_capped(df: DataFrame, max_bytes: int) -> DataFrame:
     """``head``: the first bytes of ``content`` (or of ``text``) decoded as UTF-8."""
     raw = F.col("content") if "content" in df.columns else F.encode("text", "UTF-8")
     return df.withColumn("head", utf8(F.substring(raw, 1, max_bytes)))

@@ -11,15 +11,12 @@ from pyspark.sql.types import StructType
 
 from ..functions.misc import expires_at
 from ..operators import search, store
-from ..operators.ordered import latest_version
+from ..operators.ordered import latest_version, phase_durations
 
-LATE = "10 minutes"
-
-
-def stream_events(spark: SparkSession, path: str, schema: StructType | str, ts: str = "ts", fmt: str = "json", max_files: int = 1000) -> DataFrame:
-    """A folder of event files as a stream with a watermark on its time column."""
+def stream_events(spark: SparkSession, path: str, schema: StructType | str, late: str, ts: str = "ts", fmt: str = "json", max_files: int = 1000) -> DataFrame:
+    """A folder of event files as a stream; rows more than ``late`` behind the newest time are dropped."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).format(fmt).load(path)
-    return raw.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATE)
+    return raw.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
 def event_counts(events: DataFrame, keys: Sequence[str], width: str, ts: str = "ts") -> DataFrame:
@@ -52,30 +49,76 @@ def start_upserts(updates: DataFrame, folder: str, checkpoint: str, once: bool =
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def read_index(spark: SparkSession, base: DataFrame, folder: str) -> DataFrame:
-    """The base index with every landed batch folded in."""
-    return store.upsert_index(base, spark.read.parquet(f"{folder}/deltas").drop("batch"))
+def _unfolded(spark: SparkSession, folder: str, version: int | None) -> DataFrame:
+    """Landed batches that the given version of the base does not hold yet."""
+    deltas = spark.read.parquet(f"{folder}/deltas")
+    if version is None:
+        return deltas
+    folded = spark.read.parquet(f"{folder}/folded/version={version}").first()["batch"]
+    return deltas.where(F.col("batch") > folded)
+
+
+def read_index(spark: SparkSession, base: DataFrame, folder: str, version: int | None = None) -> DataFrame:
+    """The base index, of the given version, with every batch folded in that landed after it."""
+    return store.upsert_index(base, _unfolded(spark, folder, version).drop("batch"))
+
 
+def compact_index(spark: SparkSession, base: DataFrame, folder: str, version: int, base_version: int | None = None) -> DataFrame:
+    """Write the folded index as a new version and read it back.
 
-def compact_index(spark: SparkSession, base: DataFrame, folder: str, version: int) -> DataFrame:
-    """Write the folded index as a new version and read it back."""
+    ``base_version`` is the version ``base`` was compacted to, None for an index without landed batches. The
+    last folded batch is written beside each version, after it: a batch counts once, whatever is retried.
+    """
     out = f"{folder}/base/version={version}"
-    read_index(spark, base, folder).write.mode("overwrite").parquet(out)
+    rest = _unfolded(spark, folder, base_version)
+    last = rest.agg(F.max("batch")).first()[0]
+    if last is None:
+        last = -1 if base_version is None else spark.read.parquet(f"{folder}/folded/version={base_version}").first()["batch"]
+    rest = rest.where(F.col("batch") <= last)
+    store.upsert_index(base, rest.drop("batch")).write.mode("overwrite").parquet(out)
+    spark.range(1).select(F.lit(last).cast("bigint").alias("batch")).write.mode("overwrite").parquet(f"{folder}/folded/version={version}")
     return spark.read.parquet(out)
 
 
-def phase_pairs(events: DataFrame, within: str = "1 day") -> DataFrame:
-    """Begin and end of a phase of one run, joined within a time bound.
+PAIR_OUTPUT = "run_id string, phase string, begin_ts timestamp, end_ts timestamp, status string, dur_ms bigint"
+
+
+def phase_pairs(events: DataFrame, within_s: int = 86_400, late: str | None = None, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Each end of a phase with the latest begin that is open in its run, not longer than ``within_s`` ago.
 
-    Works on a stream (both sides watermarked, so state is dropped) and in batch.
+    In batch these are the closed rows of ``phase_durations``. On a stream, watermarked here if ``late`` is
+    given, the state of a (run, phase) is its open begins; an end pairs with one of them and no other.
     """
-    b = events.where(F.col("event") == "begin").select(F.col("run_id"), F.col("phase"), F.col("ts").alias("begin_ts"))
-    e = events.where(F.col("event") == "end").select(F.col("run_id").alias("e_run"), F.col("phase").alias("e_phase"), F.col("ts").alias("end_ts"), "status")
-    if events.isStreaming:
-        b, e = b.withWatermark("begin_ts", LATE), e.withWatermark("end_ts", LATE)
-    bound = F.expr(f"run_id = e_run AND phase = e_phase AND end_ts >= begin_ts AND end_ts <= begin_ts + INTERVAL {within}")
-    ms = (F.unix_micros("end_ts") - F.unix_micros("begin_ts")) / 1000
-    return b.join(e, bound).select("run_id", "phase", "begin_ts", "end_ts", "status", F.floor(ms).cast("bigint").alias("dur_ms"))
+    if not events.isStreaming:
+        closed = phase_durations(events, order).where(F.col("end_ts").isNotNull() & (F.col("dur_ms") <= within_s * 1000))
+        return closed.select("run_id", "phase", "begin_ts", "end_ts", "status", "dur_ms")
+    watched = events.withWatermark("ts", late) if late else events
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        begins = list(state.get[0]) if state.exists else []
+        rows = []
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            now = pd.concat(list(batches)).sort_values(["ts", "event"], kind="stable")
+            for r in now.itertuples(index=False):
+                us = int(r.ts.value // 1000)
+                if r.event == "begin":
+                    begins.append(us)
+                elif r.event == "end" and begins:
+                    start = begins.pop()
+                    if us - start <= within_s * 1_000_000:
+                        rows.append((*key, pd.Timestamp(start, unit="us"), r.ts, "error" if r.status == "error" else "ok", (us - start) // 1000))
+            if begins:
+                state.update((begins,))
+                state.setTimeoutTimestamp(max(begins[-1] // 1000 + within_s * 1000, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(rows, columns=["run_id", "phase", "begin_ts", "end_ts", "status", "dur_ms"])
+
+    return watched.groupBy("run_id", "phase").applyInPandasWithState(step, PAIR_OUTPUT, "begins array<bigint>", "append", "EventTimeTimeout")
 
 
 def lock_states(events: DataFrame, now, ttl: str = "ttl_seconds") -> DataFrame:

@@ -129,7 +129,7 @@ def test_env_files_and_placeholders(spark):
     assert v["vars"] == ["A", "C", "D"] and v["is_template"]
     req = {r["path"]: r["vars"] for r in env.env_required(df.where("path like '%.json'")).collect()}
     assert req == {"c.json": ["V1", "V2", "V3"], "bad.json": ["RAW"]}
-    assert env.env_required_toml(df).first()["vars"] == ["T1"]
+    assert env.env_required(df.where("path like '%.toml'")).first()["vars"] == ["T1"]
 
 
 def test_owners(spark):
@@ -157,11 +157,11 @@ def test_assets(spark):
     gif = b"GIF89a" + struct.pack("<HH", 3, 4) + b"\x00"
     bmp = b"BM" + b"\x00" * 16 + struct.pack("<ii", 5, -6)
     jpg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + struct.pack(">HH", 20, 10) + b"\x00" * 8
-    df = spark.createDataFrame([("a.png", bytearray(png)), ("b.gif", bytearray(gif)), ("c.bmp", bytearray(bmp)), ("d.jpg", bytearray(jpg)), ("e.svg", bytearray(b'<svg width="7" height="8">')), ("f.py", bytearray(b"x"))], "path string, content binary")
+    df = spark.createDataFrame([("a.png", bytearray(png)), ("b.gif", bytearray(gif)), ("c.bmp", bytearray(bmp)), ("d.jpg", bytearray(jpg)), ("e.svg", bytearray(b'<svg width="7" height="8">')), ("g.svg", bytearray(b'<svg viewBox="0 0 30 40">')), ("h.webp", bytearray(b"RIFF0000WEBPVP8X")), ("i.webp", None), ("f.py", bytearray(b"x"))], "path string, content binary")
     got = {r["path"]: r["image"] for r in assets.asset_facts(df).collect()}
     assert "f.py" not in got and tuple(got["a.png"]) == (640, 480, "png") and tuple(got["b.gif"]) == (3, 4, "gif") and tuple(got["c.bmp"]) == (5, 6, "bmp")
     other = {r["path"]: (r["width"], r["height"]) for r in assets.sniff_other_images(df).collect()}
-    assert other == {"d.jpg": (10, 20), "e.svg": (7, 8)}
+    assert other == {"d.jpg": (10, 20), "e.svg": (7, 8), "g.svg": (30, 40), "h.webp": (None, None)}
 
 
 def test_deps(spark):
@@ -216,12 +216,12 @@ def test_wrap_records(spark):
         [("ast.xref", "import_from", "a\\b.py", "7", None, "os", None, 1), (None, "entrypoints.python", None, "x", "n", None, None, 2), ("manifest_header", None, None, None, None, None, None, 3), ("zzz", None, "p", None, None, None, None, 4)],
         "record_type string, kind string, file string, lineno string, note string, module string, severity string, extra int",
     )
-    rows = {r["kind"]: r for r in records.wrap_records(raw, "t").collect()}
+    rows = {r["kind"]: r for r in records.wrap_records(raw, "t", F.lit("now")).collect()}
     assert set(rows) == {"edge.import", "entrypoint.python", "unknown.zzz"}
     e = rows["edge.import"]
     assert e["path"] == "a/b.py" and e["loc"]["line"] == 7 and e["edge"]["type"] == "import_from" and e["edge"]["to_name"] == "os" and e["data"] == '{"extra":1}'
     assert rows["entrypoint.python"]["message"] == "n" and rows["unknown.zzz"]["status"]["reason"] == "record_type_unmapped"
-    good, bad = records.validate_records(records.wrap_records(raw, "t"))
+    good, bad = records.validate_records(records.wrap_records(raw, "t", F.lit("now")))
     assert good.count() == 3 and bad.count() == 0
 
 

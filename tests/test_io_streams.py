@@ -44,7 +44,7 @@ def test_event_log(spark, tmp_path):
 def stream(spark, folder):
     e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartition(3).write.mode("overwrite").parquet(str(folder))
-    return e, flows.stream_events(spark, str(folder), e.schema, fmt="parquet", max_files=1)
+    return e, flows.stream_events(spark, str(folder), e.schema, "10 minutes", fmt="parquet", max_files=1)
 
 
 def run(df, name, mode="append"):
@@ -62,7 +62,7 @@ def test_stream_counts(spark, tmp_path):
 def test_stream_dedup(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.union(e).coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = flows.stream_events(spark, str(tmp_path / "in"), e.schema, fmt="parquet")
+    s = flows.stream_events(spark, str(tmp_path / "in"), e.schema, "10 minutes", fmt="parquet")
     assert run(flows.stream_dedup(s, ["event_id"]), "dedup").count() == e.count()
 
 
@@ -75,15 +75,17 @@ def test_stream_upsert_equals_batch(spark, tmp_path):
     base = spark.createDataFrame([], EMPTY)
     got = flows.compact_index(spark, base, str(tmp_path / "ix"), 1)
     assert rows(got) == rows(store.upsert_index(base, u))
+    again = flows.compact_index(spark, got, str(tmp_path / "ix"), 2, base_version=1)
+    assert rows(again) == rows(got) == rows(flows.read_index(spark, got, str(tmp_path / "ix"), 1))
 
 
 def test_stream_phase_pairs(spark, tmp_path):
-    data = [("r", "p", "begin", None, 0), ("r", "p", "end", "ok", 5), ("r", "q", "begin", None, 1)]
+    data = [("r", "p", "begin", None, 0), ("r", "p", "end", "ok", 5), ("r", "p", "begin", None, 100), ("r", "p", "end", "ok", 103), ("r", "q", "begin", None, 1)]
     df = spark.createDataFrame(data, "run_id string, phase string, event string, status string, s int").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
     df.write.parquet(str(tmp_path / "in"))
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    got = run(flows.phase_pairs(s), "pairs")
-    assert [(r["phase"], r["dur_ms"]) for r in got.collect()] == [("p", 5000)]
+    got = run(flows.phase_pairs(s, late="1 minute"), "pairs")
+    assert [(r["phase"], r["dur_ms"]) for r in got.orderBy("dur_ms").collect()] == [("p", 3000), ("p", 5000)]
 
 
 def test_stream_lock_expiry(spark, tmp_path):
