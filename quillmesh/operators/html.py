@@ -95,7 +95,7 @@ def html_facts(pages: DataFrame) -> DataFrame:
     text = F.lower(F.coalesce("text", F.lit("")))
     html5 = text.rlike(r"(?s)<!\s*doctype\s+html") | ((F.size("_lang") > 0) & F.contains(text, F.lit("<meta charset=")))
     meta = {k: _first(F.transform(F.filter("_meta", _is("name", k)), lambda t: t["content"])) for k in META}
-    canonical = F.element_at(F.reverse(F.filter("_link", lambda x: F.contains(x["rel"], F.lit("canonical")) & (x["href"] != ""))), 1)
+    canonical = F.get(F.reverse(F.filter("_link", lambda x: F.contains(x["rel"], F.lit("canonical")) & (x["href"] != ""))), 0)
     generator = F.filter("_meta", lambda t: t["name"] == "generator")
     made_by = F.lower(F.array_join(F.transform(generator, lambda t: t["content"]), "\n"))
     has = {f: F.contains(F.array_join("_src", "\n"), F.lit(f)) for f in FRAMEWORKS}
@@ -103,7 +103,7 @@ def html_facts(pages: DataFrame) -> DataFrame:
     has["spa_mount"] = F.exists("_div", lambda d: d["id"].isin(*MOUNT_IDS) | F.contains(d["cls"], F.lit("root")) | F.contains(d["cls"], F.lit("app")))
     hints = F.array_compact(F.array(*(F.when(hit, F.lit(name)) for name, hit in has.items())))
     facts = m.select(
-        "path", F.nullif(title, F.lit("")).alias("title"), F.element_at(F.reverse(F.filter("_lang", lambda x: x != "")), 1).alias("lang"), html5.alias("doctype_html5"),
+        "path", F.nullif(title, F.lit("")).alias("title"), F.get(F.reverse(F.filter("_lang", lambda x: x != "")), 0).alias("lang"), html5.alias("doctype_html5"),
         *[c.alias(k) for k, c in meta.items()], canonical["href"].alias("canonical"), hints.alias("hints"), "text",
     )
     return _with_counts(facts)

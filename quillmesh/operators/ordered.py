@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def _order(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -84,21 +86,19 @@ def carry_last(
     )
 
 
-def batch_items(df: DataFrame, slice_col: str, order: Sequence[str | Column], size: int) -> DataFrame:
+def batch_items(df: DataFrame, order: Sequence[str | Column], size: int) -> DataFrame:
     """``batch_no`` from 1: consecutive rows in order, ``size`` per batch."""
-    return numbered(df, [], slice_col, order, "_n").withColumn("batch_no", F.ceil(F.col("_n") / size).cast("bigint")).drop("_n")
+    return ranked(df, [], order).withColumn("batch_no", F.floor(F.col("rank") / size).cast("bigint") + 1).drop("rank")
 
 
-def limit_totals(
-    df: DataFrame, slice_col: str, order: Sequence[str | Column], size: str, max_files: int = 0, max_bytes: int = 0
-) -> DataFrame:
+def limit_totals(df: DataFrame, order: Sequence[str | Column], size: str, max_files: int = 0, max_bytes: int | Column = 0) -> DataFrame:
     """Rows in order while the file and byte totals stay in bounds; 0 means no bound."""
-    out = df
-    if max_bytes:
-        out = running_sum(out, [], slice_col, order, size, "_bytes").where(F.col("_bytes") <= max_bytes).drop("_bytes")
+    out = ranked(df, [], order, size)
+    if isinstance(max_bytes, Column) or max_bytes:
+        out = out.where(F.col("before") + F.col(size) <= max_bytes)
     if max_files:
-        out = out.orderBy(*_order(order)).limit(max_files)
-    return out
+        out = out.where(F.col("rank") < max_files)
+    return out.drop("rank", "before")
 
 
 def dup_flag(df: DataFrame, text: str, order: str, row_id: str, min_len: int = 50) -> DataFrame:

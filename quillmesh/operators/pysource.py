@@ -291,17 +291,14 @@ def complexity(functions: DataFrame) -> DataFrame:
 def exact_percentile(df: DataFrame, value: str, pct: float) -> DataFrame:
     """Nearest-rank percentile over all rows, as one row.
 
-    Equal values are counted map-side; their running count is two-level over slices
-    cut at approximate quantiles, so no task sees more than one slice.
+    Equal values are counted map-side; the counts add up over ranges of the values.
     """
-    from .ordered import running_sum
+    from .ranks import ranked
 
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    cuts = sorted(set(df.approxQuantile(value, [i / 200 for i in range(1, 200)], 0.002)))
-    slices = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("v"))) if cuts else F.lit(0)
+    running = ranked(counts, [], ["v"], "c")
     total = counts.agg(F.sum("c")).scalar()
-    running = running_sum(counts.withColumn("_s", slices), [], "_s", ["v"], "c", "_upto")
-    return running.where(F.col("_upto") >= F.ceil(F.lit(pct) * total)).agg(F.min("v").alias(value))
+    return running.where(F.col("before") + F.col("c") >= F.ceil(F.lit(pct) * total)).agg(F.min("v").alias(value))
 
 
 def complexity_summary(functions: DataFrame) -> DataFrame:

@@ -47,19 +47,19 @@ def build_text_index(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFra
 def search_bm25(index: DataFrame, query: str, k: int) -> DataFrame:
     """(id, score): the k best documents for a query, ties by id.
 
-    Only postings of the query's terms are joined with document lengths.
+    One partial aggregate per document gives its length and its postings of the query's terms, which are as
+    many as the query has; corpus statistics are scalar subqueries of it. Nothing runs while the plan is built.
     """
-    spark = index.sparkSession
-    wanted = sorted(set(t for t in spark.range(1).select(terms_of(F.lit(query)).alias("t")).first()["t"]))
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    n, avg = stats["n"], stats["avg"] or 1.0
-    hits = index.where(F.col("term").isin(wanted)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.select("term", F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf).alias("idf"))
-    scored = hits.join(idf, "term").join(lengths, "id")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg)))
+    wanted = F.array_contains(F.array_distinct(terms_of(F.lit(query))), F.col("term"))
+    hits = F.collect_list(F.when(wanted, F.struct("term", "tf")))
+    docs = index.groupBy("id", "term").agg(F.sum("tf").alias("tf")).groupBy("id").agg(F.sum("tf").alias("len"), hits.alias("hits"))
+    n = docs.agg(F.count("*").cast("double")).scalar()
+    avg = docs.agg(F.avg("len")).scalar()
+    found = docs.where(F.size("hits") > 0).select("id", "len", F.inline("hits"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = found.join(df.select("term", F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf).alias("idf")), "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif(avg, F.lit(0.0)), F.lit(1.0))))
     total = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
     return total.orderBy(F.desc("score"), "id").limit(k)
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .ordered import first_seen, top_n
 
-BLOCK_FLOATS = 4_000_000
+#: Queries and vectors that are compared at once; it bounds a score matrix.
+CHUNK = 1024
 
 
 def embedding_upsert(current: DataFrame, updates: DataFrame) -> DataFrame:
@@ -41,59 +42,49 @@ def unpack_vector(c):
     return unpack(c)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """(query_id, vec_id, rank, score): the k nearest vectors of every query, ties by id.
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_blocks: int = 1, vector_blocks: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest vectors of every query, ties by id.
 
-    Queries are read in blocks of bounded size that travel with the task; each Arrow batch
-    of vectors keeps its own k best, and the partial lists meet in a rank-limited window.
-    Exact: nothing is dropped that could be among the k best.
+    Both sides are cut into blocks by the hash of their ids, ``vector_blocks`` by default as many as shuffle
+    partitions, and each pair of blocks is one group: the two numbers bound what a task holds. A group goes
+    through its vectors in chunks and keeps k per query. Exact: nothing is dropped that could be among the best.
     """
-    import numpy as np
-
-    out, block, floats = None, [], 0
-    blocks = []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        block.append((row[0], np.asarray(row[1], dtype="float64")))
-        floats += len(row[1])
-        if floats >= BLOCK_FLOATS:
-            blocks.append(block)
-            block, floats = [], 0
-    if block:
-        blocks.append(block)
-    for b in blocks:
-        part = _block_topk(b, vectors, k, metric)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score double, rank int")
-    order = [F.desc("score") if metric == "cosine" else F.asc("score"), "vec_id"]
-    return top_n(out, ["query_id"], order, k, "rank")
-
-
-def _block_topk(block, vectors: DataFrame, k: int, metric: str) -> DataFrame:
-    import numpy as np
+    n = vector_blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    block = lambda id_, count: F.pmod(F.xxhash64(id_), F.lit(count)).cast("int")
+    q = queries.select("query_id", "embedding", block("query_id", query_blocks).alias("qb")).withColumn("vb", blocks(n))
+    v = vectors.select("vec_id", "embedding", block("vec_id", n).alias("vb")).withColumn("qb", blocks(query_blocks))
 
-    ids, q = [i for i, _ in block], np.stack([v for _, v in block])
-
-    def run(batches):
-        import pandas as pd
+    def best(ids, wanted, chunks):
+        import numpy as np
 
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            v, vid = np.stack(pdf["embedding"].to_numpy()).astype("float64"), pdf["vec_id"].to_numpy()
+        kept_score, kept_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), dtype=np.int64)
+        for vec_ids, matrix in chunks:
             if metric == "cosine":
-                score = (q @ v.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1))
-                key = -score
+                score = (wanted @ matrix.T) / np.outer(np.linalg.norm(wanted, axis=1), np.linalg.norm(matrix, axis=1))
             else:
-                score = np.sqrt(np.maximum(((q[:, None, :] - v[None, :, :]) ** 2).sum(-1), 0)) if len(q) * v.size < 2e7 else np.stack(
-                    [np.linalg.norm(v - x, axis=1) for x in q]
-                )
-                key = score
-            best = [np.lexsort((vid, row))[:k] for row in key]
-            yield pd.DataFrame({
-                "query_id": np.repeat(ids, [len(b) for b in best]),
-                "vec_id": np.concatenate([vid[b] for b in best]),
-                "score": np.concatenate([score[i][b] for i, b in enumerate(best)]),
-            })
-
-    return vectors.select("vec_id", "embedding").mapInPandas(run, "query_id bigint, vec_id bigint, score double")
+                score = np.stack([np.linalg.norm(matrix - x, axis=1) for x in wanted])
+            score = np.concatenate((kept_score, score), axis=1)
+            all_ids = np.concatenate((kept_id, np.broadcast_to(vec_ids, (len(ids), len(vec_ids)))), axis=1)
+            order = np.lexsort((all_ids, -score if metric == "cosine" else score), axis=1)[:, :k]
+            kept_score, kept_id = np.take_along_axis(score, order, 1), np.take_along_axis(all_ids, order, 1)
+        return kept_score, kept_id
+
+    def group(left, right):
+        import numpy as np
+        import pandas as pd
+
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        out = []
+        for a in range(0, len(left), CHUNK):
+            part = left.iloc[a : a + CHUNK]
+            wanted = np.stack(part["embedding"].to_numpy()).astype("float64")
+            chunks = ((r["vec_id"].to_numpy(), np.stack(r["embedding"].to_numpy()).astype("float64")) for r in (right.iloc[b : b + CHUNK] for b in range(0, len(right), CHUNK)))
+            score, ids = best(part["query_id"].to_numpy(), wanted, chunks)
+            out.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), ids.shape[1]), "vec_id": ids.ravel(), "score": score.ravel()}))
+        return pd.concat(out)
+
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInPandas(group, "query_id bigint, vec_id bigint, score double")
+    order = [F.desc("score") if metric == "cosine" else F.asc("score"), "vec_id"]
+    return top_n(found, ["query_id"], order, k, "rank")

@@ -12,6 +12,7 @@ from ..operators import messages as MS
 from ..operators import ordered as O
 from ..operators import quality as Q
 from ..operators.deps import stable_order
+from ..operators.ranks import ranked
 from ..streaming import flows
 from .registry import FILES, query
 
@@ -47,15 +48,14 @@ def _(t):
 
 @query("batch_items", "SELECT event_id, ((row_number() OVER (ORDER BY event_id) - 1) // 50 + 1) AS batch_no FROM events")
 def _(t):
-    e = t.events.select("event_id", F.floor(F.col("event_id") / 4096).alias("_s"))
-    return O.batch_items(e, "_s", ["event_id"], 50).select("event_id", "batch_no")
+    return O.batch_items(t.events.select("event_id"), ["event_id"], 50).select("event_id", "batch_no")
 
 
 @query("limit_totals", f"SELECT path FROM (SELECT path, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM {FILES}) WHERE upto <= total // 3")
 def _(t):
-    f = t.files.select("path", "doc_id", "size", F.floor(F.col("doc_id") / 512).alias("_s"))
-    third = f.agg(F.floor(F.sum("size") / 3)).first()[0]
-    return O.limit_totals(f, "_s", ["doc_id"], "size", max_bytes=third).select("path")
+    f = t.files.select("path", "doc_id", "size")
+    third = f.agg(F.floor(F.sum("size") / 3)).scalar()
+    return O.limit_totals(f, ["doc_id"], "size", max_bytes=third).select("path")
 
 
 @query(
@@ -222,10 +222,8 @@ def _(t):
 
 @query("stable_order", "SELECT n_name, row_number() OVER (ORDER BY lower(n_name), n_name) AS pos FROM nation")
 def _(t):
-    from pyspark.sql import Window
-
     ordered = stable_order(t.nation.select("n_name"), "n_name")
-    return ordered.select("n_name", F.row_number().over(Window.orderBy(F.lower("n_name"), "n_name")).alias("pos"))
+    return ranked(ordered, [], [F.lower("n_name"), F.col("n_name")]).select("n_name", (F.col("rank") + 1).alias("pos"))
 
 
 @query(

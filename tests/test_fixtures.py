@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmesh.functions import paths as P
 from quillmesh.functions import text as X
-from quillmesh.operators import assets, deps, edits, entrypoints, env, html, items, jsfiles, lines, owners, pysource, records, shellfiles, sqlfiles
+from quillmesh.operators import assets, deps, edits, entrypoints, env, html, items, jsfiles, lines, ordered, owners, pysource, records, shellfiles, sqlfiles
 from quillmesh.operators import store
 
 
@@ -253,3 +253,48 @@ def test_text_helpers(spark):
     s, b = X.split_summary_body("s")
     r = df.select(X.strip_triple_quotes("q"), X.strip_fences("f"), X.collapse_blank_lines("b"), s, b).first()
     assert tuple(r) == ("a\nb", "{}", "a\n\n\nb", "One two.", "Three")
+
+
+def test_dup_flag_ties(spark):
+    text = "the same words again and again, more than fifty characters of them"
+    df = spark.createDataFrame([(1, 5, text), (2, 5, f" {text}\n"), (3, 4, "short"), (4, 9, text + "!")], "id long, o int, text string")
+    got = {r["id"]: r["verdict"][:4] for r in ordered.dup_flag(df, "text", "o", "id").collect()}
+    assert got == {1: "keep", 2: "Dupl", 3: "Bad ", 4: "keep"}
+
+
+def test_phases_repeat_and_nest(spark):
+    rows = [("r", "p", "begin", 0), ("r", "p", "end", 5), ("r", "p", "begin", 100), ("r", "p", "end", 103), ("r", "q", "end", 1), ("r", "q", "begin", 2), ("r", "q", "begin", 4000), ("r", "q", "end", 4001), ("r", "q", "end", 9000), ("r", "o", "begin", 3)]
+    df = spark.createDataFrame([(*x, i, "error" if i == 8 else "ok") for i, x in enumerate(rows)], "run_id string, phase string, event string, s int, seq int, status string")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    got = sorted((r["phase"], r["dur_ms"], r["status"]) for r in ordered.phase_durations(df).collect() if r["dur_ms"])
+    assert got == [("p", 3000, "ok"), ("p", 5000, "ok"), ("q", 1000, "ok"), ("q", 8998000, "error")]
+    assert [r["phase"] for r in ordered.phase_durations(df).where("status = 'open'").collect()] == ["o"]
+
+
+def test_deep_sources(spark):
+    df = files(spark, sum_DOT_py="x = " + " + ".join(["a"] * 1500), chain_DOT_py="y = b" + ".f()" * 600, ok_DOT_py="print(1)")
+    got = {r["path"]: r["n"] for r in pysource.py_facts(df).where("fact IN ('call', 'error')").groupBy("path").agg(F.count("*").alias("n")).collect()}
+    assert got["ok.py"] == 1 and got.get("chain.py", 0) >= 1
+    assert {r["path"] for r in pysource.py_facts(df).where("fact IN ('module', 'error')").collect()} == {"sum.py", "chain.py", "ok.py"}
+
+
+def test_html_facts_of_one_page(spark):
+    page = (
+        "<!DOCTYPE html><html lang=' de '><head><title>\n A &amp; B </title><meta name=Description content='d1'><meta name=description content=d2>"
+        "<meta property='keywords' content='k'><meta name=generator content='Next.js 1'><link rel='canonical' href='/c'></head><body><div class='my-App'></div><script src=vue.js></script></body>"
+    )
+    r = html.html_facts(spark.createDataFrame([("a", page), ("b", None), ("c", "<html><META CHARSET=x>")], "path string, text string")).collect()
+    a, b, c = sorted(r, key=lambda x: x["path"])
+    assert (a["title"], a["lang"], a["doctype_html5"], a["description"], a["keywords"], a["viewport"], a["robots"], a["canonical"]) == ("A & B", "de", True, "d1", "k", None, None, "/c")
+    assert a["hints"] == ["vue", "nextjs", "spa_mount"] and a["counts"]["scripts_external"] == 1
+    assert (b["title"], b["doctype_html5"], b["hints"]) == (None, False, []) and c["doctype_html5"]
+
+
+def test_pyproject_entries(spark):
+    toml = (
+        '[project]\ndependencies = ["a>=1", " b[x] == 2 "]\n[project.optional-dependencies]\nt = ["c"]\n[tool.poetry.dependencies]\npython = "^3"\nd = "^4"\ne = {version = "5", extras = ["z"]}\n'
+        'f = {git = "u"}\n[tool.poetry.group.dev.dependencies]\ng = "*"\n[tool.poetry.group.doc.dependencies]\nh = {version = "8"}\n'
+    )
+    got = [(r["package"], r["version"]) for r in deps.deps_toml(one(spark, "x/pyproject.toml", toml)).orderBy("seq").collect()]
+    assert got == [("a", "1"), ("b", "2"), ("c", None), ("d", "^4"), ("e", "5"), ("f", None), ("g", "*"), ("h", "8")]
+    assert deps.deps_toml(one(spark, "setup.cfg", "[options")).count() == 0

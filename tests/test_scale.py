@@ -74,6 +74,11 @@ def test_vector_blocks_are_exact(spark, monkeypatch):
     df = spark.createDataFrame(vecs, "vec_id bigint, embedding array<float>")
     q = df.select(F.col("vec_id").alias("query_id"), "embedding")
     whole = vectors.vector_topk(q, df, 3).collect()
-    monkeypatch.setattr(vectors, "BLOCK_FLOATS", 40)
-    assert sorted(map(tuple, vectors.vector_topk(q, df, 3).collect())) == sorted(map(tuple, whole))
+    near = lambda rows: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in rows)
+    assert near(vectors.vector_topk(q, df, 3, query_blocks=4, vector_blocks=7).collect()) == near(whole)
+    for metric in ("cosine", "l2"):
+        monkeypatch.setattr(vectors, "CHUNK", 1024)
+        one = near(vectors.vector_topk(q, df, 3, metric, vector_blocks=2).collect())
+        monkeypatch.setattr(vectors, "CHUNK", 7)
+        assert near(vectors.vector_topk(q, df, 3, metric, vector_blocks=2).collect()) == one
     assert all(r["query_id"] == r["vec_id"] for r in whole if r["rank"] == 1)
