@@ -153,7 +153,8 @@ def validate_hunks(hunks: DataFrame, files: DataFrame) -> DataFrame:
     ascend, a deleted file must exist; one failure rejects the whole patch.
     """
     target = F.coalesce("old_path", "new_path")
-    lines = files.select("path", F.posexplode(keep_ends("text")).alias("_i", "_line")).select(
+    touched = hunks.where(F.col("old_line").isNotNull()).select(target.alias("path")).distinct()
+    lines = files.join(touched, "path", "left_semi").select("path", F.posexplode(keep_ends("text")).alias("_i", "_line")).select(
         F.col("path").alias("_p"), (F.col("_i") + 1).alias("_n"), "_line"
     )
     must = hunks.where(F.col("old_line").isNotNull()).withColumn("_p", target)

@@ -21,15 +21,24 @@ def aggregate_updates(updates: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Input: the key columns, unique_key_hash, description, status, seen_at, seq. The
     description rule (replace only by a longer one that is no placeholder) depends on
-    the first description and the earliest of the longest ones.
+    the first description and the earliest of the longest ones. ``merge_updates`` adds
+    such rows up.
     """
     desc = F.trim(F.coalesce("description", F.lit("")))
     real = F.when((desc != "") & (desc != PLACEHOLDER), desc)
     status = F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("active"))
+    best = F.when(real.isNotNull(), F.struct(F.length(real).alias("length"), (-F.col("seq")).alias("at")))
     return updates.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("seen_at").alias("first_at"), F.max("seen_at").alias("last_at"),
-        F.min_by(desc, "seq").alias("first_desc"), F.max_by(real, F.when(real.isNotNull(), F.struct(F.length(real), -F.col("seq")))).alias("best_desc"),
-        F.max_by(status, "seq").alias("last_status"), F.min_by("unique_key_hash", "seq").alias("first_hash"), F.min("seq").alias("first_seq"),
+        F.min_by(desc, "seq").alias("first_desc"), F.max_by(real, best).alias("best_desc"), F.max(best).alias("best_rank"),
+        F.max_by(status, "seq").alias("last_status"), F.min_by("unique_key_hash", "seq").alias("first_hash"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
+    )
+
+
+def merge_updates(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.min_by("first_desc", "first_seq").alias("first_desc"),
+        F.max_by("best_desc", "best_rank").alias("best_desc"), F.max_by("last_status", "last_seq").alias("last_status"), F.min_by("first_hash", "first_seq").alias("first_hash"),
     )
 
 
@@ -46,10 +55,11 @@ def upsert_index(target: DataFrame, updates: DataFrame) -> DataFrame:
     occurrences.
     """
     u = updates.withColumn("filepath", P.posix_path(F.trim("filepath")))
-    resolved = _resolve_by_hash(target, u)
     # Rows without a name conflict only by hash; without a hash each is its own row.
-    own = F.when(F.col("name").isNull(), F.coalesce("unique_key_hash", F.concat(F.lit("#"), F.col("seq").cast("string"))))
-    agg = aggregate_updates(resolved.withColumn("_h", own), [*KEY, "_h"])
+    own = F.when(F.col("name").isNull() & F.col("unique_key_hash").isNull(), F.col("seq"))
+    parts = aggregate_updates(u.withColumn("_own", own), [*KEY, "unique_key_hash", "_own"])
+    lone = F.when(F.col("name").isNull(), F.coalesce("unique_key_hash", F.concat(F.lit("#"), F.col("_own").cast("string"))))
+    agg = merge_updates(_resolve_by_hash(target, parts).withColumn("_h", lone), [*KEY, "_h"])
 
     # Keys that cannot meet still differ, so they spread over the shuffle.
     lone_t = F.concat(F.lit("t\x1f"), F.xxhash64("filepath", "description", "last_seen_at").cast("string"))
@@ -78,21 +88,21 @@ def _match_key():
     return F.when(F.col("name").isNotNull(), natural).otherwise(hashed)
 
 
-def _resolve_by_hash(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """Updates whose key is unknown but whose hash is known take over that row's key.
+def _resolve_by_hash(target: DataFrame, parts: DataFrame) -> DataFrame:
+    """Aggregated updates whose key is unknown but whose hash is known take over that row's key.
 
-    A hash is known from the target, or from the first update of the batch that has it.
-    Hash owners are one row per hash, found by a partial minimum.
+    A hash is known from the target, or from the first update of the batch that has it. Only rows with a hash
+    are joined, one per (key, hash); owners are one row per hash, found by a partial minimum.
     """
-    cols = updates.columns
+    hashed, cols = parts.where(F.col("unique_key_hash").isNotNull()), parts.columns
     known = target.select(*KEY).where(F.col("name").isNotNull()).distinct().withColumn("_known", F.lit(True))
     rank0 = target.where(F.col("unique_key_hash").isNotNull()).select("unique_key_hash", F.struct(*KEY).alias("_owner"), F.lit(-1).cast("bigint").alias("_at"))
-    rank1 = updates.where(F.col("unique_key_hash").isNotNull()).select("unique_key_hash", F.struct(*KEY).alias("_owner"), F.col("seq").alias("_at"))
+    rank1 = hashed.select("unique_key_hash", F.struct(*KEY).alias("_owner"), F.col("first_seq").alias("_at"))
     owners = rank0.unionByName(rank1).groupBy("unique_key_hash").agg(F.min_by("_owner", "_at").alias("_owner"))
-    j = updates.join(known, KEY, "left").join(owners, "unique_key_hash", "left")
-    move = F.col("_known").isNull() & F.col("_owner").isNotNull()
-    keyed = j.select(*[F.when(move, F.col(f"_owner.{c}")).otherwise(F.col(c)).alias(c) if c in KEY else F.col(c) for c in cols])
-    return keyed
+    j = hashed.join(known, KEY, "left").join(owners, "unique_key_hash")
+    move = F.col("_known").isNull()
+    moved = j.select(*[F.when(move, F.col(f"_owner.{c}")).otherwise(F.col(c)).alias(c) if c in KEY else F.col(c) for c in cols])
+    return moved.unionByName(parts.where(F.col("unique_key_hash").isNull()))
 
 
 def fetch_rows(
