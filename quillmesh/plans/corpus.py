@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import misc as M
@@ -111,6 +114,11 @@ def _(t):
     return licenses.license_files(t.derived("license_texts"))
 
 
+@query("license_examples", "SELECT 'lic/d' || doc_id || '.py' AS path FROM documents WHERE doc_id % 4 <> 0 ORDER BY path LIMIT 10")
+def _(t):
+    return licenses.examples(licenses.license_headers(t.derived("license_headers")), 10)
+
+
 @query(
     "license_summary",
     f"""SELECT spdx_id, count(*) AS findings FROM (SELECT ['MIT', 'Apache-2.0', 'GPL-3.0-only'][doc_id % 3 + 1] AS spdx_id FROM documents WHERE doc_id % 4 <> 0
@@ -175,16 +183,17 @@ def _(t):
 
 _ENV_USES = """(SELECT 'env_files' AS source, c_custkey::VARCHAR AS path, unnest(['NATION_' || c_nationkey, 'SEG_' || c_mktsegment]) AS var FROM customer
     UNION ALL SELECT 'configs', c_custkey::VARCHAR, unnest(['HOST_' || c_nationkey, 'KEY_' || c_mktsegment]) FROM customer
-    UNION ALL SELECT 'javascript', doc_id::VARCHAR, 'VAR_' || upper(source) FROM documents)"""
+    UNION ALL SELECT 'javascript', doc_id::VARCHAR, 'VAR_' || upper(source) FROM documents
+    UNION ALL SELECT 'python', doc_id::VARCHAR, 'VAR_' || upper(source) FROM documents WHERE doc_id % 50 <> 7)"""
 
 
 def _env_uses(t):
     parts = [
         ("env_files", env.env_file_vars(t.derived("env_files"))), ("configs", env.env_required(t.derived("configs"))),
-        ("javascript", env.env_usage_js(t.derived("js"))),
+        ("javascript", env.env_usage_js(t.derived("js"))), ("python", env.env_usage_py(pysource.py_facts(t.derived("py")))),
     ]
     rows = [d.select(F.lit(n).alias("source"), "path", F.explode("vars").alias("var")) for n, d in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(
@@ -198,7 +207,7 @@ def _(t):
 @query("union_vars", f"SELECT DISTINCT var FROM {_ENV_USES}")
 def _(t):
     u = _env_uses(t)
-    return env.union_vars(*[u.where(F.col("source") == s) for s in ("env_files", "configs", "javascript")])
+    return env.union_vars(*[u.where(F.col("source") == s) for s in ("env_files", "configs", "javascript", "python")])
 
 
 # ---- owners --------------------------------------------------------------------------
@@ -255,14 +264,40 @@ def _(t):
     return html.html_counts(t.html_files)
 
 
+_PLAIN_TITLE = "replace(replace(replace(trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
 @query(
     "html_facts",
-    r"""SELECT url AS path, regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1) AS lang, regexp_matches(html, '(?i)^\s*<!doctype html') AS doctype_html5,
-    len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1 FROM pages""",
+    rf"""SELECT url AS path, nullif({_PLAIN_TITLE}, '') AS title, nullif(regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1), '') AS lang, regexp_matches(html, '(?i)^\s*<!doctype html') AS doctype_html5,
+    NULL::VARCHAR AS description, NULL::VARCHAR AS canonical, '' AS hints, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1 FROM pages""",
 )
 def _(t):
     f = html.html_facts(t.html_files)
-    return f.select("path", F.coalesce("lang", F.lit("")).alias("lang"), "doctype_html5", F.col("counts")["h1"].alias("h1"))
+    return f.select("path", "title", "lang", "doctype_html5", "description", "canonical", F.array_join("hints", ",").alias("hints"), F.col("counts")["h1"].alias("h1"))
+
+
+@query(
+    "html_built_facts",
+    """SELECT 'p' || doc_id AS path, source AS title, lang, true AS html5, CASE WHEN doc_id % 3 = 0 THEN lang || ' page' END AS description, CASE WHEN doc_id % 2 = 0 THEN '/c/' || source END AS canonical,
+    concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'react' END, CASE WHEN doc_id % 7 = 0 THEN 'gatsby' END, CASE WHEN doc_id % 4 = 0 THEN 'spa_mount' END) AS hints,
+    len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS h2 FROM (SELECT *, replace(replace(replace(text, '<', ' '), '>', ' '), '&', ' ') AS t FROM documents)""",
+)
+def _(t):
+    clean = F.translate("text", "<>&", "   ")
+    heads = F.array_join(F.transform(F.filter(F.split(clean, "\n"), lambda x: x != ""), lambda x: F.concat(F.lit("<h2>"), x, F.lit("</h2>"))), "")
+    each = lambda k, *parts: F.when(F.col("doc_id") % k == 0, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(F.lit(""))
+    page = F.concat(
+        F.lit("<!doctype html><html lang='"), "lang", F.lit("'><title> "), "source", F.lit("</title>"), each(3, "<META content='", F.col("lang"), " page' name=Description>"),
+        each(2, '<link href="/c/', F.col("source"), '" rel="canonical">'), each(5, "<script src=/lib/React.js></script>"), each(7, "<meta name=generator content='Gatsby 2'>"), each(4, "<div id=root></div>"), heads,
+    )
+    f = html.html_facts(t.documents.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), page.alias("text")))
+    return f.select("path", "title", "lang", F.col("doctype_html5").alias("html5"), "description", "canonical", F.array_join("hints", ",").alias("hints"), F.col("counts")["h2"].alias("h2"))
+
+
+@query("html_file_records", "SELECT url AS path, octet_length(encode(html)) AS size, sha256(html) AS sha256, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS h1 FROM pages")
+def _(t):
+    return html.html_file_records(t.html_files).select("path", "size", "sha256", F.col("counts")["h1"].alias("h1"))
 
 
 @query("html_summary", f"SELECT count(*) AS files, {', '.join(f'sum({c})::BIGINT AS {c}' for c in html.COUNTERS)} FROM (SELECT *, links - links_external AS links_internal, scripts - scripts_external AS scripts_inline FROM {_HTML_COUNTS})")
@@ -270,6 +305,16 @@ def _(t):
     return html.html_totals(html.html_counts(t.html_files))
 
 
+@query("html_top_scripts", f"SELECT path, scripts AS count FROM {_HTML_COUNTS} ORDER BY scripts DESC, path LIMIT 10")
+def _(t):
+    return html.html_top(html.html_counts(t.html_files), "scripts")
+
+
+@query("html_top_images", f"SELECT path, images AS count FROM {_HTML_COUNTS} ORDER BY images DESC, path LIMIT 10")
+def _(t):
+    return html.html_top(html.html_counts(t.html_files), "images")
+
+
 @query("html_top_links", f"SELECT path, links AS count FROM {_HTML_COUNTS} ORDER BY links DESC, path LIMIT 10")
 def _(t):
     return html.html_top(html.html_counts(t.html_files), "links")
@@ -397,6 +442,17 @@ def _(t):
     return jsfiles.js_summary(jsfiles.js_facts(t.derived("js")))
 
 
+@query(
+    "js_top_files",
+    """SELECT 'web/w' || doc_id || '.js' AS path, len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) AS functions FROM documents ORDER BY functions DESC, path LIMIT 20""",
+)
+def _(t):
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    source = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("function f"), i.cast("string"), F.lit("() { return '"), F.regexp_replace(x, r"['\\]", ""), F.lit("' }"))), "\n")
+    files = t.documents.select(F.concat(F.lit("web/w"), F.col("doc_id").cast("string"), F.lit(".js")).alias("path"), source.alias("text"))
+    return jsfiles.js_top_files(jsfiles.js_facts(files), 20)
+
+
 @query("js_top_packages", "SELECT unnest(['fs', 'react']) AS package, n AS files FROM (SELECT count(*) AS n FROM documents)")
 def _(t):
     return jsfiles.js_top_packages(jsfiles.js_facts(t.derived("js")))
@@ -474,6 +530,16 @@ def _(t):
     return entrypoints.file_entrypoints(both)
 
 
+@query(
+    "entrypoint_examples",
+    """SELECT kind, n, path FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY path) AS n FROM (SELECT 'pkg/m' || doc_id || '.py' AS path, 'entrypoint.python' AS kind FROM documents
+    UNION ALL SELECT 'bin/d' || doc_id || '.sh', 'entrypoint.shell' FROM documents)) WHERE n <= 10""",
+)
+def _(t):
+    both = t.derived("py").select("path", "text").unionByName(t.derived("shell").select("path", "text"))
+    return entrypoints.entrypoint_examples(entrypoints.file_entrypoints(both), 10)
+
+
 @query(
     "config_entrypoints",
     """SELECT 'js' || s_suppkey || '/package.json' AS path, 'package.json.bin' AS source, unnest(['run' || s_suppkey, 'x']) AS name, unnest(['./a.js', './b.js']) AS target FROM supplier
@@ -520,6 +586,11 @@ def _(t):
     return assets.image_buckets(im)
 
 
+@query("image_formats", "SELECT 'png' AS format, count(*) AS images FROM part")
+def _(t):
+    return assets.image_formats(assets.asset_facts(t.derived("images")).select("image.*"))
+
+
 _REQ = """(SELECT 'svc' || p_partkey || '/requirements.txt' AS path, unnest([3, 4, 5, 6]) AS line_no,
     unnest([replace(p_brand, '#', '-'), 'requests', 'local_' || p_size, 'plain']) AS package, unnest(['1.' || p_size, '2.' || p_size, NULL, NULL]) AS version FROM part)"""
 
@@ -614,6 +685,25 @@ def _(t):
     return pysource.complexity_summary(pysource.functions_of(_facts(t)))
 
 
+@query("heaviest_files", f"SELECT path, 7::BIGINT AS total FROM {_PY} WHERE NOT bad ORDER BY path LIMIT 20")
+def _(t):
+    return pysource.heaviest_files(pysource.complexity(pysource.functions_of(_facts(t))), 20)
+
+
+@query(
+    "complexity_of_texts",
+    """SELECT 'm' || doc_id || '.py' AS path, count(*) AS functions, sum(1 + n)::BIGINT AS total, max(1 + n)::BIGINT AS max FROM (
+    SELECT doc_id, len(regexp_extract_all(unnest(list_filter(string_split(text, chr(10)), lambda x: x <> '')), '[A-Z]')) AS n FROM documents) GROUP BY doc_id""",
+)
+def _(t):
+    # A function for each line, with a branch for each capital of it.
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    branches = lambda x: F.repeat(F.lit("    if x: pass\n"), F.regexp_count(x, F.lit("[A-Z]")))
+    source = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("def f"), i.cast("string"), F.lit("(x):\n    pass\n"), branches(x))), "")
+    files = t.documents.select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), source.alias("text"))
+    return pysource.complexity(pysource.functions_of(pysource.py_facts(files))).select("path", "functions", "total", "max")
+
+
 @query("exact_percentile", "SELECT quantile_disc(l_extendedprice, 0.95) AS l_extendedprice FROM lineitem")
 def _(t):
     return pysource.exact_percentile(t.lineitem, "l_extendedprice", 0.95)
@@ -740,6 +830,17 @@ def _(t):
     )
 
 
+@query(
+    "code_index_files",
+    r"""SELECT 'src/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.sql' ELSE '.sh' END AS path, sha256(text) AS sha256, len(string_split(rtrim(text, chr(10)), chr(10))) AS loc
+    FROM documents WHERE NOT regexp_matches(text, '[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]|\n\n$|^\n*$')""",
+)
+def _(t):
+    ext = F.get(F.array(F.lit(".py"), F.lit(".sql"), F.lit(".sh")), (F.col("doc_id") % 3).cast("int"))
+    plain = t.documents.where(~F.col("text").rlike(r"[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]|\n\n\z|\A\n*\z"))
+    return pysource.code_index_files(plain.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), ext).alias("path"), "text"))
+
+
 @query(
     "text_functions",
     r"""SELECT doc_id, regexp_replace(string_split(s, chr(10))[1], '\s+$', '') AS first_line, left(o, 40) || CASE WHEN length(o) > 40 THEN '…' ELSE '' END AS short,

@@ -145,3 +145,11 @@ def _(t):
     sizes = t.files.select(F.col("source").alias("patch_id"), "path", F.col("size").alias("bytes"), (F.col("doc_id") % 300).alias("hunks"))
     r = E.patch_limits(sizes, 5000, 100_000, 200, deny=["*7.txt"])
     return r.select("path", F.array_join("problems", ",").alias("problems"))
+
+
+@query(
+    "prompt_rows",
+    """SELECT doc_id AS id, '{"id":' || doc_id || ',"messages":[{"role":"user","content":"' || lang || ' ' || source || '"}]}' AS value FROM documents""",
+)
+def _(t):
+    return I.prompt_rows(t.documents.select(F.col("doc_id").alias("id"), F.concat_ws(" ", "lang", "source").alias("prompt")))
