@@ -354,21 +354,24 @@ MARKER = r"(?i)\b(TODO|FIXME|XXX)\b"
 SEVERITY = {"ST001": "error", "ST002": "warning", "ST003": "error", "ST004": "info", "ST005": "info", "ST006": "warning"}
 
 
-def line_checks(files: DataFrame) -> DataFrame:
-    """ST100 long line, ST101 trailing blanks, ST102 leading tab, ST200 marker; narrow."""
-    ln = L.to_lines(files)
-    n = F.length("line")
-    first = F.regexp_instr("line", F.lit(MARKER))
+def line_issues(line: str) -> Column:
+    """(code, check, col, message) of a line: ST100 long, ST101 trailing blanks, ST102 leading tab, ST200 marker."""
+    n = F.length(line)
+    first = F.regexp_instr(line, F.lit(MARKER))
     issue = lambda cond, code, check, col, msg: F.when(
         cond, F.struct(F.lit(code).alias("code"), F.lit(check).alias("check"), col.cast("int").alias("col"), msg.alias("message"))
     )
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         issue(n > LONG_LINE, "ST100", "long-line", F.lit(LONG_LINE + 1), F.concat(F.lit(f"Line exceeds {LONG_LINE} characters ("), n, F.lit(")."))),
-        issue((n > 0) & (X.rstrip("line") != F.col("line")), "ST101", "trailing-whitespace", n, F.lit("Trailing whitespace.")),
-        issue(F.col("line").startswith("\t"), "ST102", "hard-tab", F.lit(1), F.lit("Indentation uses hard tab.")),
+        issue((n > 0) & (X.rstrip(line) != F.col(line)), "ST101", "trailing-whitespace", n, F.lit("Trailing whitespace.")),
+        issue(F.col(line).startswith("\t"), "ST102", "hard-tab", F.lit(1), F.lit("Indentation uses hard tab.")),
         issue(first > 0, "ST200", "todo-comment", first, F.lit("Contains TODO/FIXME/XXX comment.")),
     ))
-    return ln.select("path", "line_no", F.inline(found)).withColumn("severity", F.lit("info"))
+
+
+def line_checks(files: DataFrame) -> DataFrame:
+    """The issues of every line; narrow."""
+    return L.to_lines(files).select("path", "line_no", F.inline(line_issues("line"))).withColumn("severity", F.lit("info"))
 
 
 def ast_checks(facts: DataFrame) -> DataFrame:

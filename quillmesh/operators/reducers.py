@@ -6,7 +6,7 @@ reduces in one job and top lists are rank-limited before they shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -218,16 +218,36 @@ def top_records(records: DataFrame, n: int = 200) -> DataFrame:
     return records.orderBy(F.coalesce(*keys), *[k for k in keys[1:]]).limit(n)
 
 
-def highlights(summary: DataFrame) -> DataFrame:
-    """One KPI row from a long summary table; absent risks count 0."""
+# Section, name, and the family, metric and key of the summary it shows.
+HIGHLIGHTS = [
+    ("stats", "files_total_python", "quality_metric", "totals", "files"),
+    ("stats", "python_functions", "quality_metric", "totals", "n_functions"),
+    ("stats", "python_classes", "quality_metric", "totals", "n_classes"),
+    ("stats", "python_loc", "quality_metric", "totals", "loc"),
+    ("stats", "python_symbols", "ast_symbols", "totals", "count"),
+    ("stats", "imports_statements", "ast_imports", "totals", "imports"),
+    ("stats", "sql_graph_edges", "sql_refs", "totals", "count"),
+    ("risks", "secrets_findings", "secrets", "totals", "count"),
+    ("risks", "license_flags", "license", "totals", "files"),
+]
+
+
+def highlights(summary: DataFrame, tops: Mapping[str, DataFrame] | None = None, n: int = 5) -> DataFrame:
+    """(section, name, rank, label, value): figures of a long summary table, absent risks counting 0, and the
+    first ``n`` rows of each top list, given as (label, value), by (-value, label)."""
     def pick(fam: str, metric: str, name: str):
         return F.max(F.when((F.col("family") == fam) & (F.col("metric") == metric) & (F.col("name") == name), F.col("value")))
 
-    return summary.agg(
-        pick("quality_metric", "totals", "loc").alias("loc"),
-        pick("quality_metric", "totals", "n_functions").alias("functions"),
-        pick("quality_metric", "totals", "n_classes").alias("classes"),
-        pick("ast_imports", "totals", "imports").alias("imports"),
-        F.coalesce(pick("secrets", "totals", "count"), F.lit(0.0)).alias("secrets_findings"),
-        F.coalesce(pick("license", "totals", "files"), F.lit(0.0)).alias("license_flags"),
-    )
+    none = F.lit(None)
+    figures = summary.agg(*[pick(*at).alias(f"{section}_{name}") for section, name, *at in HIGHLIGHTS])
+    cells = [
+        F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), none.cast("int").alias("rank"), none.cast("string").alias("label"),
+                 (F.coalesce(f"{section}_{name}", F.lit(0.0)) if section == "risks" else F.col(f"{section}_{name}")).alias("value"))
+        for section, name, *_ in HIGHLIGHTS
+    ]
+    out = figures.select(F.inline(F.array(*cells)))
+    for name, rows in (tops or {}).items():
+        best = top_n(rows.select(F.lit(name).alias("name"), F.col("label").cast("string").alias("label"), F.col("value").cast("double").alias("value")), ["name"], [F.desc("value"), "label"], n, "rank")
+        out = out.unionByName(best.select(F.lit("top").alias("section"), "name", "rank", "label", "value"))
+    return out
+

@@ -17,18 +17,21 @@ PATTERNS = {
 PROBES = {"token_assignment": "=", "email": "@", "ipv4": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]"}
 
 
-def secrets_scan(files: DataFrame) -> DataFrame:
-    """(path, line_no, kind, sha256) of every finding; cards pass the Luhn check."""
+def line_secrets(line: str) -> Column:
+    """(kind, sha256) of the findings of a line; cards pass the Luhn check."""
 
     def hits(kind: str, pattern: str) -> Column:
         # A probe every match must pass spares most lines the full pattern.
-        found = F.when(F.col("line").rlike(PROBES[kind]), F.regexp_extract_all("line", F.lit(pattern), 0)).otherwise(F.array())
-        return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("v")))
+        found = F.when(F.col(line).rlike(PROBES[kind]), F.regexp_extract_all(line, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
+        good = F.filter(found, lambda v: luhn_ok(F.regexp_replace(v, "[ -]", ""))) if kind == "card" else found
+        return F.transform(good, lambda v: F.struct(F.lit(kind).alias("kind"), F.sha2(v, 256).alias("sha256")))
+
+    return F.concat(*[hits(k, p) for k, p in PATTERNS.items()])
 
-    found = F.concat(*[hits(k, p) for k, p in PATTERNS.items()])
-    rows = L.to_lines(files).select("path", "line_no", F.inline(found))
-    ok = (F.col("kind") != "card") | luhn_ok(F.regexp_replace("v", "[ -]", ""))
-    return rows.where(ok).select("path", "line_no", "kind", F.sha2("v", 256).alias("sha256"))
+
+def secrets_scan(files: DataFrame) -> DataFrame:
+    """(path, line_no, kind, sha256) of every finding."""
+    return L.to_lines(files).select("path", "line_no", F.inline(line_secrets("line")))
 
 
 def luhn_ok(digits: Column) -> Column:

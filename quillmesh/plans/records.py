@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..functions import text as X
 from ..operators import licenses, pysource, records as R, reducers, secrets
 from .registry import FILES, LINES, ORACLES, query
 
@@ -16,12 +17,23 @@ def seen_at():
 
 
 def raw_findings(t):
-    """Unwrapped rows of the license, static and secret scanners."""
-    f = t.files
-    hints = licenses.license_hints(f).select(F.lit("license.hint").alias("kind"), "path", F.col("spdx_id").alias("code"))
-    static = pysource.line_checks(f).select(F.lit("static.issue").alias("kind"), "path", F.col("line_no").alias("line"), "code", "message", "severity", "check")
-    sec = secrets.secrets_scan(f).select(F.lit("secrets.finding").alias("kind"), "path", F.col("line_no").alias("line"), F.col("kind").alias("code"), "sha256")
-    return R.union_records(hints, static, sec)
+    """Unwrapped rows of the license, static and secret scanners, from one pass over the lines."""
+    rows = t.files.select("path", licenses.license_hint("text").alias("hint"), F.posexplode_outer(X.lines_of("text")).alias("_i", "line"))
+
+    def finding(kind, line, code, message=None, severity=None, check=None, sha256=None):
+        text = {"code": code, "message": message, "severity": severity, "check": check, "sha256": sha256}
+        cells = [(F.lit(None) if c is None else c).cast("string").alias(k) for k, c in text.items()]
+        return F.struct(F.lit(kind).alias("kind"), line.cast("int").alias("line"), *cells)
+
+    n = F.col("_i") + 1
+    hint = F.when((F.coalesce("_i", F.lit(0)) == 0) & F.col("hint").isNotNull(), finding("license.hint", F.lit(None), F.col("hint")))
+    static = F.transform(pysource.line_issues("line"), lambda x: finding("static.issue", n, x["code"], x["message"], F.lit("info"), x["check"]))
+    found = F.transform(secrets.line_secrets("line"), lambda x: finding("secrets.finding", n, x["kind"], sha256=x["sha256"]))
+    of_line = F.when(F.col("line").isNotNull(), F.concat(static, found))
+    return rows.select("path", F.inline(F.concat(F.array_compact(F.array(hint)), F.coalesce(of_line, F.array().cast(FINDINGS)))))
+
+
+FINDINGS = "array<struct<kind:string,line:int,code:string,message:string,severity:string,check:string,sha256:string>>"
 
 
 _SECRETS = ORACLES["secrets_scan"]
@@ -45,9 +57,11 @@ def _(t):
 )
 def _(t):
     w = R.wrap_records(raw_findings(t), "scan", seen_at())
-    codes = w.groupBy(F.substring_index("kind", ".", 1).alias("family"), "code").agg(F.count("*").alias("c"))
-    top = reducers.top_n(codes, ["family"], [F.desc("c"), "code"], 1).select("family", F.col("code").alias("top_code"))
-    return reducers.family_counts(w).join(top, "family")
+    groups = w.groupBy(F.substring_index("kind", ".", 1).alias("family"), "code", "path", "fp").agg(F.count("*").alias("n"))
+    codes = groups.groupBy("family", "code").agg(F.sum("n").alias("c"))
+    top = codes.groupBy("family").agg(F.min(F.struct((-F.col("c")).alias("c"), "code"))["code"].alias("top_code"))
+    counts = groups.groupBy("family").agg(F.sum("n").alias("records"), F.countDistinct("path").alias("paths"), F.countDistinct("fp").alias("fingerprints"))
+    return counts.join(top, "family")
 
 
 _EVENT_FP = "'sha256:' || sha256(concat_ws('|', event_type, '', event_id::VARCHAR, '', user_id::VARCHAR))"
@@ -72,9 +86,10 @@ def _(t):
     return w.groupBy("kind", "scope", F.col("status.parse_error").alias("bad"), F.col("status.reason").alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("validate_records", f"SELECT count(*) AS ok, 0::BIGINT AS bad FROM {_RAW}")
+@query("validate_records", f"SELECT count(*) FILTER (code <> 'ST100') AS ok, count(*) FILTER (code = 'ST100') AS bad FROM {_RAW}")
 def _(t):
     w = R.wrap_records(raw_findings(t), "scan", seen_at())
+    w = w.withColumn("schema", F.when(F.col("code") == "ST100", "other").otherwise(F.col("schema")))
     return w.agg(F.count(F.when(R.record_problem(w).isNull(), 1)).alias("ok"), F.count(F.when(R.record_problem(w).isNotNull(), 1)).alias("bad"))
 
 
@@ -259,12 +274,29 @@ def _(t):
     return reducers.reduce_families(items, ["static", "deps"])
 
 
-@query("highlights", "SELECT sum(l_quantity)::DOUBLE AS loc, NULL::DOUBLE AS functions, NULL::DOUBLE AS classes, (SELECT count(*) FROM part)::DOUBLE AS imports, 0::DOUBLE AS secrets_findings, (SELECT count(*) FROM documents)::DOUBLE AS license_flags FROM lineitem")
+@query(
+    "highlights",
+    """SELECT 'stats' AS section, unnest(['files_total_python', 'python_functions', 'python_classes', 'python_loc', 'python_symbols', 'imports_statements', 'sql_graph_edges']) AS name, NULL::INT AS rank, NULL AS label,
+    unnest([NULL, (SELECT sum(l_linenumber) FROM lineitem), (SELECT count(*) FILTER (l_returnflag = 'A') FROM lineitem), (SELECT sum(l_quantity::BIGINT) FROM lineitem), (SELECT count(*) FROM customer), (SELECT count(*) FROM part), (SELECT count(*) FROM orders)])::DOUBLE AS value
+    UNION ALL SELECT 'risks', unnest(['secrets_findings', 'license_flags']), NULL, NULL, unnest([0, (SELECT count(*) FROM documents)])::DOUBLE
+    UNION ALL SELECT 'top', 'complexity_modules', row_number() OVER (ORDER BY n_chars DESC, doc_id::VARCHAR), doc_id::VARCHAR, n_chars FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id::VARCHAR) <= 5
+    UNION ALL SELECT 'top', 'import_modules', row_number() OVER (ORDER BY c DESC, p_brand), p_brand, c FROM (SELECT p_brand, count(*) AS c FROM part GROUP BY p_brand) QUALIFY row_number() OVER (ORDER BY c DESC, p_brand) <= 5
+    UNION ALL SELECT 'top', 'entrypoints', row_number() OVER (ORDER BY s_name), s_name, NULL FROM supplier QUALIFY row_number() OVER (ORDER BY s_name) <= 5""",
+)
 def _(t):
-    q = reducers.reduce_quality_metric(t.lineitem.select(F.col("l_quantity").cast("bigint").alias("loc"))).withColumn("family", F.lit("quality_metric"))
-    i = reducers.reduce_ast_imports(t.part.select(F.col("p_brand").alias("module"))).withColumn("family", F.lit("ast_imports"))
-    lic = reducers.reduce_license(t.documents.select(F.col("lang").alias("spdx_id"))).withColumn("family", F.lit("license"))
-    return reducers.highlights(q.unionByName(i).unionByName(lic))
+    quality = t.lineitem.select(F.col("l_quantity").cast("bigint").alias("loc"), F.col("l_linenumber").alias("n_functions"), F.when(F.col("l_returnflag") == "A", 1).otherwise(0).alias("n_classes"))
+    parts = {
+        "quality_metric": reducers.reduce_quality_metric(quality), "ast_imports": reducers.reduce_ast_imports(t.part.select(F.col("p_brand").alias("module"))),
+        "license": reducers.reduce_license(t.documents.select(F.col("lang").alias("spdx_id"))),
+        "ast_symbols": reducers.reduce_generic(t.customer.select("c_name")), "sql_refs": reducers.reduce_generic(t.orders.select("o_orderpriority")),
+    }
+    summary = R.union_records(*(df.withColumn("family", F.lit(name)) for name, df in parts.items()))
+    tops = {
+        "complexity_modules": t.documents.select(F.col("doc_id").alias("label"), F.col("n_chars").alias("value")),
+        "import_modules": t.part.groupBy(F.col("p_brand").alias("label")).agg(F.count("*").alias("value")),
+        "entrypoints": t.supplier.select(F.col("s_name").alias("label"), F.lit(None).alias("value")),
+    }
+    return reducers.highlights(summary, tops)
 
 
 @query("sample_items", "SELECT c_name AS name, c_custkey FROM customer ORDER BY c_name LIMIT 200")

@@ -184,9 +184,9 @@ def _(t):
     return J.map_qualnames(t.part.select("p_partkey", name.alias("name")), short.union(whole).distinct()).select("p_partkey", "new_name")
 
 
-@query("fk_orphans", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT doc_id FROM documents)")
+@query("fk_orphans", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
 def _(t):
-    return J.fk_orphans(t.orders, t.documents, "o_custkey", "doc_id").select("o_orderkey")
+    return J.fk_orphans(t.lineitem, t.orders.where("o_orderstatus <> 'F'"), "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
 
 
 @query("required_rows", "SELECT n_nationkey AS k, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000) THEN 'ok' ELSE 'missing' END AS status FROM nation")

@@ -82,3 +82,34 @@ def test_vector_blocks_are_exact(spark, monkeypatch):
         monkeypatch.setattr(vectors, "CHUNK", 7)
         assert near(vectors.vector_topk(q, df, 3, metric, vector_blocks=2).collect()) == one
     assert all(r["query_id"] == r["vec_id"] for r in whole if r["rank"] == 1)
+
+
+def test_findings_read_the_documents_once(spark):
+    from quillmesh.plans import QUERIES
+
+    plan = QUERIES["wrap_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    plan = QUERIES["reduce_family"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2
+
+
+def test_searches_and_ranks_start_no_job_before_the_write(spark):
+    from quillmesh.operators import search
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c"), (3, None)], "id bigint, text string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    out = search.search_bm25(search.build_text_index(docs, "id", ["text"]), "A c", 2)
+    assert not tracker.getJobIdsForGroup("plan")
+    assert [r["id"] for r in out.collect()] == [1, 2] or {r["id"] for r in out.collect()} == {1, 2}
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_index_upsert_joins_aggregates(spark):
+    from quillmesh.plans.store import EMPTY, updates
+    from quillmesh.plans.registry import Tables
+    from quillmesh.operators import store
+
+    u = updates(Tables(spark, "/root/testdata/sf0.001"))
+    plan = store.upsert_index(spark.createDataFrame([], EMPTY), u)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 3
