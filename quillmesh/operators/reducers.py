@@ -15,7 +15,9 @@ from ..functions import paths as P
 from .ordered import top_n
 from .records import canonical_family, lift_first, literal_map
 
-Reducer = Callable[[DataFrame], DataFrame]
+Reducer = Callable[..., DataFrame]
+#: Default lengths of the top lists; every reducer takes its own ``n``.
+TOP, TOP_STATIC, TOP_BUNDLES = 50, 15, 5
 _REDUCERS: dict[str, Reducer] = {}
 
 
@@ -48,87 +50,87 @@ def _totals(agg: DataFrame, metric: str = "totals") -> DataFrame:
     return agg.select(F.lit(metric).alias("metric"), F.inline(cells)).where(F.col("value").isNotNull())
 
 
-def top_counts(items: DataFrame, name, metric: str, n: int = 50) -> DataFrame:
+def top_counts(items: DataFrame, name, metric: str, n: int) -> DataFrame:
     """The n most frequent names by (-count, name)."""
     counts = items.select(P.col(name).alias("name")).where(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("c"))
     return _long(counts.orderBy(F.desc("c"), "name").limit(n), metric, "name", "c")
 
 
-def reduce_generic(items: DataFrame) -> DataFrame:
+def reduce_generic(items: DataFrame, n: int | None = None) -> DataFrame:
     """Sum of every integer column."""
     ints = [f.name for f in items.schema.fields if f.dataType.typeName() in ("integer", "long", "short", "byte")]
     return _totals(items.agg(*[F.sum(c).alias(c) for c in ints])) if ints else _totals(items.agg(F.count("*").alias("count")))
 
 
 @register_reducer("quality")
-def reduce_quality(items: DataFrame) -> DataFrame:
+def reduce_quality(items: DataFrame, n: int | None = None) -> DataFrame:
     loc = F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in ("loc", "sloc") if c in items.columns], F.lit(0))
     cyc = F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in ("cyclomatic", "complexity") if c in items.columns], F.lit(0))
     rows = items.select(loc.alias("loc"), cyc.alias("cyclomatic"), lift_first(items, ["name", "file", "path"], True).alias("file"))
     worst = rows.where(F.col("file").isNotNull()).groupBy("file").agg(F.max("cyclomatic").alias("score"))
     return _totals(rows.agg(F.sum("loc").alias("loc"), F.sum("cyclomatic").alias("cyclomatic"))).unionByName(
-        _long(worst.orderBy(F.desc("score"), "file").limit(50), "top", "file", "score")
+        _long(worst.orderBy(F.desc("score"), "file").limit(n or TOP), "top", "file", "score")
     )
 
 
 @register_reducer("quality_metric")
-def reduce_quality_metric(items: DataFrame) -> DataFrame:
+def reduce_quality_metric(items: DataFrame, n: int | None = None) -> DataFrame:
     keys = [k for k in ("loc", "sloc", "n_functions", "n_classes", "cyclomatic") if k in items.columns]
     return _totals(items.agg(*[F.sum(k).alias(k) for k in keys]))
 
 
 @register_reducer("env")
-def reduce_env(items: DataFrame) -> DataFrame:
+def reduce_env(items: DataFrame, n: int | None = None) -> DataFrame:
     key = lift_first(items, ["key", "name"], True)
     f = lift_first(items, ["file", "path"])
-    return _totals(items.agg(F.count(key).alias("keys"), F.countDistinct(f).alias("files"))).unionByName(top_counts(items, key, "top"))
+    return _totals(items.agg(F.count(key).alias("keys"), F.countDistinct(f).alias("files"))).unionByName(top_counts(items, key, "top", n or TOP))
 
 
 @register_reducer("deps")
-def reduce_deps(items: DataFrame) -> DataFrame:
+def reduce_deps(items: DataFrame, n: int | None = None) -> DataFrame:
     name = lift_first(items, ["name", "package", "id"], True)
-    return _totals(items.agg(F.countDistinct(name).alias("packages"))).unionByName(top_counts(items, name, "top"))
+    return _totals(items.agg(F.countDistinct(name).alias("packages"))).unionByName(top_counts(items, name, "top", n or TOP))
 
 
 @register_reducer("ast_imports")
-def reduce_ast_imports(items: DataFrame) -> DataFrame:
+def reduce_ast_imports(items: DataFrame, n: int | None = None) -> DataFrame:
     name = lift_first(items, ["module", "name", "target"], True)
-    return _totals(items.agg(F.count(name).alias("imports"), F.countDistinct(name).alias("unique"))).unionByName(top_counts(items, name, "top"))
+    return _totals(items.agg(F.count(name).alias("imports"), F.countDistinct(name).alias("unique"))).unionByName(top_counts(items, name, "top", n or TOP))
 
 
 @register_reducer("ast_calls")
-def reduce_ast_calls(items: DataFrame) -> DataFrame:
+def reduce_ast_calls(items: DataFrame, n: int | None = None) -> DataFrame:
     name = lift_first(items, ["name", "call", "func", "callee"], True)
-    return _totals(items.agg(F.count(name).alias("calls_total"))).unionByName(top_counts(items, name, "calls_top"))
+    return _totals(items.agg(F.count(name).alias("calls_total"))).unionByName(top_counts(items, name, "calls_top", n or TOP))
 
 
 @register_reducer("docs")
-def reduce_docs(items: DataFrame) -> DataFrame:
+def reduce_docs(items: DataFrame, n: int | None = None) -> DataFrame:
     cov = F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in ("coverage", "doc_coverage") if c in items.columns])
     whole = F.when(cov == F.floor(cov), cov)
     return _totals(items.agg(F.sum(whole).alias("coverage")), "metrics_sum")
 
 
 @register_reducer("ast_docstring")
-def reduce_ast_docstring(items: DataFrame) -> DataFrame:
+def reduce_ast_docstring(items: DataFrame, n: int | None = None) -> DataFrame:
     kind = F.nullif(F.translate(F.lower(F.trim(lift_first(items, ["owner_kind", "kind"], True))), "-", "_"), F.lit(""))
     owner = lift_first(items, ["owner", "symbol", "name"], True)
     out = _totals(items.agg(F.count("*").alias("docstrings")))
-    out = out.unionByName(top_counts(items, kind, "by_owner_kind")).unionByName(top_counts(items, owner, "top_owners"))
-    return out.unionByName(top_counts(items, lift_first(items, ["file", "path"]), "files_top"))
+    out = out.unionByName(top_counts(items, kind, "by_owner_kind", n or TOP)).unionByName(top_counts(items, owner, "top_owners", n or TOP))
+    return out.unionByName(top_counts(items, lift_first(items, ["file", "path"]), "files_top", n or TOP))
 
 
 @register_reducer("static")
-def reduce_static(items: DataFrame) -> DataFrame:
+def reduce_static(items: DataFrame, n: int | None = None) -> DataFrame:
     out = _totals(items.agg(F.count("*").alias("count")))
-    for c, metric, n in (("severity", "by_severity", 50), ("check", "top_checks", 15), ("code", "top_codes", 15)):
+    for c, metric, few in (("severity", "by_severity", TOP), ("check", "top_checks", TOP_STATIC), ("code", "top_codes", TOP_STATIC)):
         if c in items.columns:
-            out = out.unionByName(top_counts(items, F.coalesce(F.col(c), F.lit("unknown")), metric, n))
+            out = out.unionByName(top_counts(items, F.coalesce(F.col(c), F.lit("unknown")), metric, n or few))
     return out
 
 
 @register_reducer("entrypoints")
-def reduce_entrypoints(items: DataFrame) -> DataFrame:
+def reduce_entrypoints(items: DataFrame, n: int | None = None) -> DataFrame:
     kind = F.translate(F.lower(F.trim(lift_first(items, ["kind", "type"], True))), "-", "_")
     interp = F.col("interpreter") if "interpreter" in items.columns else F.lit(None)
     k = F.coalesce(kind, F.when(interp.isNotNull(), "shell"))
@@ -141,7 +143,7 @@ def reduce_entrypoints(items: DataFrame) -> DataFrame:
 
 
 @register_reducer("license")
-def reduce_license(items: DataFrame) -> DataFrame:
+def reduce_license(items: DataFrame, n: int | None = None) -> DataFrame:
     sid = lift_first(items, ["spdx_id", "spdx", "id"], True)
     has = F.col("has_header") if "has_header" in items.columns else F.lit(None).cast("boolean")
     agg = items.agg(
@@ -149,14 +151,14 @@ def reduce_license(items: DataFrame) -> DataFrame:
         F.count(F.when(has, 1)).alias("with_header"),
         F.count(F.when(~has, 1)).alias("without_header"),
     )
-    return _totals(agg).unionByName(top_counts(items, sid, "spdx_top"))
+    return _totals(agg).unionByName(top_counts(items, sid, "spdx_top", n or TOP))
 
 
 register_reducer("license_header", reduce_license)
 
 
 @register_reducer("git")
-def reduce_git(items: DataFrame) -> DataFrame:
+def reduce_git(items: DataFrame, n: int | None = None) -> DataFrame:
     """Later records overwrite keys of earlier ones: (name = key, text value).
 
     Input: seq, props map. One partial max_by per key.
@@ -166,19 +168,19 @@ def reduce_git(items: DataFrame) -> DataFrame:
 
 
 @register_reducer("io_core")
-def reduce_io_core(items: DataFrame) -> DataFrame:
-    """First header and first five bundle summaries by seq. Input: seq, record_type, payload."""
+def reduce_io_core(items: DataFrame, n: int | None = None) -> DataFrame:
+    """First header and first ``n`` bundle summaries by seq. Input: seq, record_type, payload."""
     wanted = items.where(F.col("record_type").isin("manifest_header", "bundle_summary"))
-    ranked = top_n(wanted, ["record_type"], ["seq"], 5, "n")
+    ranked = top_n(wanted, ["record_type"], ["seq"], n or TOP_BUNDLES, "n")
     keep = (F.col("record_type") == "bundle_summary") | (F.col("n") == 1)
     return ranked.where(keep).select(F.col("record_type").alias("metric"), F.col("n").cast("string").alias("name"), F.col("payload").alias("text"))
 
 
-def reduce_families(items: DataFrame, families: Iterable[str]) -> DataFrame:
-    """Every listed family through its reducer, as one long table."""
+def reduce_families(items: DataFrame, families: Iterable[str], n: int | None = None) -> DataFrame:
+    """Every listed family through its reducer, as one long table; ``n`` sets the length of all top lists."""
     out = None
     for fam in sorted(families):
-        part = reducer_for(fam)(items.where(F.col("family") == fam)).select(F.lit(fam).alias("family"), "metric", "name", "value")
+        part = reducer_for(fam)(items.where(F.col("family") == fam), n).select(F.lit(fam).alias("family"), "metric", "name", "value")
         out = part if out is None else out.unionByName(part)
     return out
 
