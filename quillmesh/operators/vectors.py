@@ -21,6 +21,11 @@ def embedding_upsert(current: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.unionByName(newest).withColumn("dim", F.size("embedding").cast("bigint"))
 
 
+def embedding_orphans(stored: DataFrame, items: DataFrame) -> DataFrame:
+    """Embeddings whose item is gone."""
+    return stored.join(items.select("item_id").distinct(), "item_id", "left_anti")
+
+
 def pack_vector(c):
     """Embedding as little-endian float32 bytes (the stored form)."""
     @F.pandas_udf("binary")

@@ -12,6 +12,7 @@ from ..functions import paths as P
 from ..functions import sqltext as S
 from ..functions import text as X
 from ..operators import assets, deps, entrypoints, env, html, jsfiles, languages, licenses, lines, owners, pysource, secrets, shellfiles, sqlfiles
+from ..operators.lines import to_lines
 from ..operators.ordered import first_seen
 from ..sources import files as SF
 from .registry import FILES, ORACLES, LINES, query
@@ -733,6 +734,17 @@ def _(t):
     return g.select("lang", "docs", "labelled", M.coverage("_q", "labelled").alias("good_share"))
 
 
+@query(
+    "line_markers",
+    f"""SELECT path, line_no, strpos(line, 'TODO') AS col FROM (SELECT path, line_no, replace(replace(line, 'and ', 'TODO '), 'und ', 'TODO ') AS line FROM {LINES}) WHERE regexp_matches(line, '\\bTODO\\b') AND NOT regexp_matches(line, '(?i)[A-Za-z0-9_À-ɏ]TODO|FIXME|XXX')""",
+)
+def _(t):
+    marked = t.files.withColumn("text", F.replace(F.replace("text", F.lit("and "), F.lit("TODO ")), F.lit("und "), F.lit("TODO ")))
+    found = pysource.line_checks(marked).where("code = 'ST200'")
+    clean = to_lines(marked).where(~F.col("line").rlike("(?i)[A-Za-z0-9_À-ɏ]TODO|FIXME|XXX")).select("path", "line_no")
+    return found.join(clean, ["path", "line_no"]).select("path", "line_no", "col")
+
+
 @query(
     "line_checks",
     f"""SELECT path, line_no, 'ST100' AS code, 121 AS col, 'Line exceeds 120 characters (' || length(line) || ').' AS message FROM {LINES} WHERE length(line) > 120

@@ -40,13 +40,26 @@ def _(t):
     return e.select("chunk_id", "model", "dim", F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.lit(63)).alias("last"))
 
 
-@query("embedding_upsert", "SELECT item_id, 'm' AS model, 64::BIGINT AS dim, CASE WHEN item_id IN (SELECT doc_id FROM documents) THEN 'new' ELSE 'old' END AS origin FROM (SELECT vec_id AS item_id FROM embeddings UNION SELECT doc_id FROM documents)")
+@query(
+    "embedding_upsert",
+    """SELECT item_id, 'm' AS model, dim, round(total, 3) AS total FROM (
+      SELECT doc_id AS item_id, 32::BIGINT AS dim, (32 * (n_chars % 1000) + 528)::DOUBLE AS total FROM documents
+      UNION ALL SELECT vec_id, len(embedding)::BIGINT, list_sum(embedding::DOUBLE[]) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents))""",
+)
 def _(t):
     cur = t.embeddings.select(F.col("vec_id").alias("item_id"), F.lit("m").alias("model"), "embedding")
-    vec = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.lit(9.0).cast("float"))
-    upd = t.documents.select(F.col("doc_id").alias("item_id"), F.lit("m").alias("model"), vec.alias("embedding"), F.col("n_chars").alias("seq"))
-    u = V.embedding_upsert(cur, upd)
-    return u.select("item_id", "model", "dim", F.when(F.get("embedding", F.lit(0)) == 9.0, "new").otherwise("old").alias("origin"))
+    vec = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (F.col("n_chars") % 1000 + i).cast("float"))
+    new = t.documents.select(F.col("doc_id").alias("item_id"), F.lit("m").alias("model"), vec.alias("embedding"), F.lit(2).alias("seq"))
+    old = new.withColumn("embedding", F.reverse("embedding")).withColumn("embedding", F.slice("embedding", 1, 5)).withColumn("seq", F.lit(1))
+    u = V.embedding_upsert(cur, new.unionByName(old))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return u.select("item_id", "model", "dim", F.round(total, 3).alias("total"))
+
+
+@query("embedding_orphans", "SELECT item_id FROM (SELECT vec_id AS item_id FROM embeddings) WHERE item_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+def _(t):
+    stored = t.embeddings.select(F.col("vec_id").alias("item_id"), "embedding")
+    return V.embedding_orphans(stored, t.documents.where("lang = 'en'").select(F.col("doc_id").alias("item_id"))).select("item_id")
 
 
 @query("pack_vectors", "SELECT vec_id, 256 AS bytes, true AS same FROM embeddings")
