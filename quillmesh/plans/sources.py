@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import search
+from ..session import shared_folder
 from ..sources import files as SF
 from ..sources import manifest as M
-from .registry import FILES, query
+from ..sources.eventlog import read_event_log
+from ..streaming import flows
+from .registry import FILES, ORACLES, query
+from . import search as _  # noqa: F401  its checks are shared by the streams
+from .store import EMPTY, updates
 
 _PARTS = """(WITH RECURSIVE r AS (SELECT doc_id // 128 AS shard, doc_id AS seq, octet_length(encode(text)) + 1 AS size, row_number() OVER (PARTITION BY doc_id // 128 ORDER BY doc_id) AS n FROM documents),
     w AS (SELECT shard, seq, size, n, size AS used, 0 AS part_no FROM r WHERE n = 1
@@ -85,3 +93,59 @@ def _(t):
     UNION ALL SELECT 2, '{"counts":[' || string_agg('{"kind":"' || lang || '","n":' || n || '}', ',' ORDER BY lang) || '],"record_type":"bundle_summary"}' FROM (SELECT lang, count(*) AS n FROM documents GROUP BY lang)""")
 def _(t):
     return M.write_records(t.files.select(F.col("lang").alias("kind"), "path"), {"tool": "x"})
+
+
+# ---- sinks and streams, through the shared folder ------------------------------------------
+
+
+def _folder(t) -> str:
+    return f"{shared_folder(t.spark)}/query-{uuid.uuid4().hex}"
+
+
+@query("write_rows", "SELECT doc_id, lang, source, sha256(text) AS text_sha256 FROM documents")
+def _(t):
+    rows, table = _folder(t), _folder(t)
+    M.write_rows(t.documents.select("doc_id", "text"), rows, "json")
+    M.write_rows(t.documents.select("doc_id", "lang", "source"), table, "csv")
+    texts = t.spark.read.schema("doc_id bigint, text string").json(rows)
+    named = t.spark.read.schema("doc_id bigint, lang string, source string").option("header", "true").csv(table)
+    return named.join(texts, "doc_id").select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("read_event_log", "SELECT user_id::VARCHAR AS run_id, event_type AS type, count(*) AS n, sum(event_id)::BIGINT AS dur_ms, min(epoch_ms(ts)) AS first_ms FROM events GROUP BY ALL")
+def _(t):
+    at = _folder(t)
+    M.write_rows(t.events.select("ts", F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("type"), F.col("event_id").alias("dur_ms")), at, "json")
+    log = read_event_log(t.spark, at)
+    return log.groupBy("run_id", "type").agg(F.count("*").alias("n"), F.sum("dur_ms").alias("dur_ms"), F.min(F.unix_millis("ts")).alias("first_ms"))
+
+
+@query("read_files", "SELECT sum(octet_length(encode(text)) + 1)::BIGINT AS bytes, sum(len(text) + 1)::BIGINT AS chars FROM documents")
+def _(t):
+    at = _folder(t)
+    t.documents.select("text").write.text(at)
+    found = SF.with_text(SF.read_files(t.spark, at, include=["*.txt"]))
+    return found.agg(F.sum("size").alias("bytes"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("stream_upsert", ORACLES["upsert_index"])
+def _(t):
+    at, u = _folder(t), updates(t)
+    u.repartition(3).write.parquet(f"{at}/in")
+    stream = t.spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    flows.start_upserts(stream, f"{at}/index", f"{at}/state").awaitTermination()
+    out = flows.compact_index(t.spark, t.spark.createDataFrame([], EMPTY), f"{at}/index", 1)
+    out = flows.compact_index(t.spark, out, f"{at}/index", 2, base_version=1)
+    return out.select("filepath", "name", "occurrences", F.unix_micros("discovered_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "status", "description")
+
+
+@query("stream_text_index", ORACLES["maintain_text_index"])
+def _(t):
+    at = _folder(t)
+    op = F.when(F.col("quality") == 1, "update").otherwise("delete")
+    changes = t.labels.select(F.col("doc_id").alias("id"), op.alias("op"), F.lit(1).cast("bigint").alias("seq"), F.lit("Updated!").alias("text"))
+    changes.repartition(2).write.parquet(f"{at}/in")
+    stream = t.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    flows.start_text_index(stream, ["text"], f"{at}/index", f"{at}/state").awaitTermination()
+    index = flows.read_text_index(t.spark, search.build_text_index(t.documents, "doc_id", ["text"]), ["text"], f"{at}/index")
+    return index.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
