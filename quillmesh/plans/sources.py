@@ -112,7 +112,7 @@ def _(t):
     return named.join(texts, "doc_id").select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("read_event_log", "SELECT user_id::VARCHAR AS run_id, event_type AS type, count(*) AS n, sum(event_id)::BIGINT AS dur_ms, min(epoch_ms(ts)) AS first_ms FROM events GROUP BY ALL")
+@query("read_event_log", "SELECT user_id::VARCHAR AS run_id, event_type AS type, count(*) AS n, sum(event_id)::BIGINT AS dur_ms, min(epoch_us(ts)) // 1000 AS first_ms FROM events GROUP BY ALL")
 def _(t):
     at = _folder(t)
     M.write_rows(t.events.select("ts", F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("type"), F.col("event_id").alias("dur_ms")), at, "json")
