@@ -66,7 +66,7 @@ l AS (SELECT doc_id, text, i, line, list_transform(regexp_extract_all(line, '[^\
 k AS (SELECT DISTINCT doc_id, text, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM l WHERE len(tokens) >= 3),
 leaves AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
 v AS (SELECT n, lead, tokens, count(*) AS c FROM k JOIN leaves USING (n, lead) GROUP BY ALL),
-m AS (SELECT n, lead, arg_max(tokens, {'c': c, 'tokens': tokens}) AS best FROM v GROUP BY n, lead),
+m AS (SELECT n, lead, arg_max(tokens, {'c': c, 'line': array_to_string(tokens, ' ')}) AS best FROM v GROUP BY n, lead),
 t AS (SELECT n, lead, tokens, CASE WHEN len(list_filter(list_zip(tokens, best), lambda z: z[1] = z[2])) >= 0.7 * n THEN [] ELSE tokens END AS template FROM v JOIN m USING (n, lead)),
 met AS (SELECT k.doc_id, k.tokens, k.n, k.lead, t.template FROM k JOIN t USING (n, lead, tokens)),
 r AS (SELECT n, lead, template, min(doc_id) AS first FROM met GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 3),

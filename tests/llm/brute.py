@@ -100,7 +100,6 @@ def line_dedup(rows, depth=3, similarity=0.7, min_docs=3, min_tokens=3):
         for t in {masked(x) for x in (text or "").split("\n")}:
             if len(t) >= min_tokens:
                 docs[t].add((doc is None, doc if doc is not None else 0, text or ""))
-    units = {(doc is None, doc if doc is not None else 0, text or "") for doc, text in rows}
     leaves = defaultdict(list)
     for t in docs:
         leaves[len(t), t[:depth]].append(t)
@@ -108,14 +107,13 @@ def line_dedup(rows, depth=3, similarity=0.7, min_docs=3, min_tokens=3):
     for leaf, ts in leaves.items():
         if len(set().union(*(docs[t] for t in ts))) < min_docs:
             continue
-        counts = {t: sum(1 for d, x in rows if any(masked(y) == t for y in (x or "").split("\n"))) for t in ts}
+        counts = {t: len(docs[t]) for t in ts}
         best = max(ts, key=lambda t: (counts[t], [y.encode() for y in t]))
         for t in ts:
             template[t] = (leaf, None) if sum(a == b for a, b in zip(t, best)) >= similarity * len(t) else (leaf, t)
     owners = defaultdict(set)
     for t, k in template.items():
         owners[k] |= docs[t]
-    assert units
     out = []
     for doc, text in rows:
         me = (doc is None, doc if doc is not None else 0, text or "")
