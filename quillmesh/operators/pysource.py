@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
@@ -440,18 +440,31 @@ def nearest_symbol(targets: DataFrame, facts: DataFrame, nearest_line: bool = Fa
     """Symbol for each (path, target_line, symbol_name): same name, else the first at or below
     the line in breadth-first order (or by line, if asked), else the module.
 
-    Partial minima per target: nothing is sorted per path.
+    Same names meet by equality. What lies below is a running minimum from the last line up, inside slices of
+    lines and then over one row per slice: a target never meets all symbols of its file.
     """
-    syms = _of(facts, "def").select("path", "kind", "name", "line", "end_line", "walk_order")
-    j = targets.join(syms, "path", "left")
-    same = F.coalesce(F.col("name") == F.col("symbol_name"), F.lit(False))
-    below = F.col("line") >= F.greatest(F.col("target_line"), F.lit(1))
-    place = F.col("line") if nearest_line else F.col("walk_order")
-    best = F.when(same, F.struct(F.lit(0), F.col("walk_order"))).when(below, F.struct(F.lit(1), place))
-    pick = F.min_by(F.struct(F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind"), "name", "line", "end_line"), best)
-    g = j.groupBy("path", "target_line", "symbol_name").agg(pick.alias("s"))
-    return g.select(
-        "path", "target_line", "symbol_name", F.coalesce("s.kind", F.lit("module")).alias("kind"), F.col("s.name").alias("name"),
+    key = ["path", "target_line", "symbol_name"]
+    wanted = targets.select(*key).distinct()
+    kind = F.when(F.col("kind") == "class", "class").otherwise("function").alias("kind")
+    syms = _of(facts, "def").select("path", "line", "walk_order", F.struct(kind, "name", "line", "end_line").alias("s"))
+    same = wanted.join(syms.withColumn("symbol_name", F.col("s.name")), ["path", "symbol_name"]).groupBy(*key).agg(F.min_by("s", "walk_order").alias("same"))
+
+    place = F.struct("line", "walk_order", "s") if nearest_line else F.struct("walk_order", "line", "s")
+    rows = syms.select("path", "line", F.lit(False).alias("asks"), place.alias("m")).unionByName(
+        wanted.select(*key, F.greatest("target_line", F.lit(1)).alias("line"), F.lit(True).alias("asks")), allowMissingColumns=True
+    ).withColumn("_s", F.floor(F.col("line") / 1024))
+    up = Window.partitionBy("path", "_s").orderBy(F.desc("line"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy("path").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    later = rows.groupBy("path", "_s").agg(F.min("m").alias("_m")).withColumn("later", F.min("_m").over(below)).drop("_m")
+    found = rows.withColumn("here", F.min("m").over(up)).where("asks").join(later, ["path", "_s"])
+    found = found.select(*key, F.least("here", "later")["s"].alias("below"))
+
+    match = F.lit(True)
+    for c in key:
+        match &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = found.alias("a").join(same.alias("b"), match, "left").select(*[F.col(f"a.{c}").alias(c) for c in key], F.coalesce("same", "below").alias("s"))
+    return both.select(
+        *key, F.coalesce("s.kind", F.lit("module")).alias("kind"), F.col("s.name").alias("name"),
         F.col("s.line").alias("line"), F.col("s.end_line").alias("end_line"),
     )
 
