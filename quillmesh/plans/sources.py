@@ -60,10 +60,7 @@ def _(t):
     raw = F.encode("text", "UTF-8")
     sha = F.when(F.col("lang") == "de", F.sha2(F.lit("x"), 256)).otherwise(F.sha2(raw, 256))
     lines = f.select(F.to_json(F.struct("path", sha.alias("sha256"), F.lit("0644").alias("mode"), F.base64(raw).alias("content_b64"))).alias("value"))
-    good, bad = M.read_bundle(lines)
-    return good.select("path", F.sha2("content", 256).alias("digest"), F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select("path", F.lit(None).cast("string").alias("digest"), "reason")
-    )
+    return M.read_bundle(lines).select("path", F.sha2("content", 256).alias("digest"), "reason")
 
 
 @query("iter_json_objects", """SELECT conv_id || ':' || turn AS id, unnest([1, 2]) AS object_no, unnest([role, turn::VARCHAR]) AS a FROM conversations""")

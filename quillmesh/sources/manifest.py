@@ -102,8 +102,9 @@ def bundle_lines(files: DataFrame, mode: str = "0644") -> DataFrame:
 BUNDLE_SCHEMA = "path string, sha256 string, mode string, content_b64 string"
 
 
-def read_bundle(lines: DataFrame, verify: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(unpacked files, rejected records with the reason). Input: value."""
+def read_bundle(lines: DataFrame, verify: bool = True) -> DataFrame:
+    """(path, mode, sha256, content, reason): ``reason`` is null for a file that can be unpacked, and ``content``
+    for a record that is rejected. Each record is decoded and hashed once. Input: value."""
     rec = lines.select(F.from_json("value", BUNDLE_SCHEMA).alias("r")).select("r.*")
     rows = rec.withColumn("content", F.try_to_binary("content_b64", F.lit("base64")))
     reason = (
@@ -113,8 +114,7 @@ def read_bundle(lines: DataFrame, verify: bool = True) -> tuple[DataFrame, DataF
         .when(F.lit(verify) & F.col("sha256").isNotNull() & (F.sha2("content", 256) != F.lower("sha256")), "hash mismatch")
     )
     rows = rows.withColumn("reason", reason)
-    good = rows.where(F.col("reason").isNull()).select("path", "mode", "sha256", "content")
-    return good, rows.where(F.col("reason").isNotNull()).select("path", "reason")
+    return rows.select("path", "mode", "sha256", F.when(F.col("reason").isNull(), F.col("content")).alias("content"), "reason")
 
 
 def iter_json_objects(df: DataFrame) -> DataFrame:
