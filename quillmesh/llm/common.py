@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import ranked, stored  # noqa: F401
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The blanks of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
 
