@@ -79,33 +79,35 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     return F.when(apart, 0.0).when(bound < floor, 0.0).otherwise(F.when(exact < floor, 0.0).otherwise(exact))
 
 
-def _followers(docs: DataFrame) -> DataFrame:
-    """(id, digest, to_id, to_digest, need): every document, the one it follows, and half that one's length."""
-    keys = docs.select("doc_id", "digest", F.floor(F.char_length("text") / 2).cast("int").alias("half")).distinct()
-    placed = stored(ranked(keys, [], [F.col("doc_id").desc_nulls_last(), F.col("digest")]))
+KEY = ["id", "no_id", "digest"]
+
+
+def _followers(rows: DataFrame) -> DataFrame:
+    """(KEY, to_id, to_no_id, to_digest, need): every document, the one it follows, and half that one's length."""
+    keys = rows.select(*KEY, F.floor(F.char_length("text") / 2).cast("int").alias("half")).distinct()
+    placed = stored(ranked(keys, [], [F.col("no_id"), F.col("id").desc(), F.col("digest")]))
     last = placed.count()
-    before = placed.select(F.col("doc_id").alias("to_id"), F.col("digest").alias("to_digest"), F.col("half").alias("need"), ((F.col("rank") + 1) % F.lit(max(1, last))).alias("rank"))
-    return placed.join(before, "rank").select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "to_id", "to_digest", "need")
+    before = placed.select(*[F.col(c).alias(f"to_{c}") for c in KEY], F.col("half").alias("need"), ((F.col("rank") + 1) % F.lit(max(1, last))).alias("rank"))
+    return placed.join(before, "rank").select(*KEY, *[f"to_{c}" for c in KEY], "need")
 
 
 def fingerprint_edits(docs: DataFrame, chain: int = CHAIN, floor: float = 0.0) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
     The edited text has its last half replaced by the start of the next document, by descending id. Only
-    that start and the next document's signatures are sent; the texts themselves are shuffled once.
+    that start and the next document's signatures are sent; the texts themselves are shuffled once, by a key
+    without nulls, so that the joins and the pick of one row per key agree on it.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", body.alias("text")).withColumn("digest", F.xxhash64("text")).select("doc_id", "digest", "text")
-    follow = _followers(rows)
-    own = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))
-    given = rows.join(follow, own)
-    once = Window.partitionBy("doc_id", "digest").orderBy("to_id")
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(body).alias("digest"), body.alias("text"))
+    given = rows.join(_followers(rows), KEY)
+    once = Window.partitionBy(*KEY).orderBy("to_id")
     given = given.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    given = add_signatures(given, "text", "next_sigs", chain).select("to_id", "to_digest", F.substring("text", F.lit(1), F.col("need")).alias("start"), "next_sigs")
-    both = rows.join(given, F.col("doc_id").eqNullSafe(F.col("to_id")) & (F.col("digest") == F.col("to_digest")))
+    given = add_signatures(given, "text", "next_sigs", chain).select(*[F.col(f"to_{c}").alias(c) for c in KEY], F.substring("text", F.lit(1), F.col("need")).alias("start"), "next_sigs")
+    both = rows.join(given, KEY)
     n = F.char_length("text")
     head = F.substring("text", F.lit(1), n - F.floor(n / 2).cast("int"))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(head, F.col("start")).alias("edited"), "next_sigs")
+    both = both.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", F.concat(head, F.col("start")).alias("edited"), "next_sigs")
     both = add_signatures(both, "text", "sigs", chain)
     both = add_signatures(both, "edited", "edited_sigs", chain)
     return both.select(
