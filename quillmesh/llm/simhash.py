@@ -151,8 +151,10 @@ def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The documents with one of each component: the one with the least id (and of equal ids, least digest)."""
     linked = link_documents(docs, bits)
     best = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
-    best = best.select(F.col("best.doc_id").alias("_id"), F.col("best.digest").alias("_digest"))
-    rows = docs.select(F.struct("*").alias("_row")).withColumn("_key", F.xxhash64(F.coalesce("_row.text", F.lit(""))))
-    kept = rows.join(best, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")))
-    one = Window.partitionBy(F.col("_row.doc_id"), "_key").orderBy(F.lit(1))
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
+    # A key without nulls: the join and the pick of one of equal rows then share its shuffle.
+    key = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), F.col(c).isNull().alias("_none")]
+    best = best.select(*key("best.doc_id"), F.col("best.digest").alias("_digest"))
+    rows = docs.select(F.struct("*").alias("_row"), *key("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_digest"))
+    one = Window.partitionBy("_id", "_none", "_digest").orderBy(F.lit(1))
+    kept = rows.join(best, ["_id", "_none", "_digest"]).withColumn("_n", F.row_number().over(one))
+    return kept.where("_n = 1").select("_row.*")
