@@ -33,15 +33,15 @@ def statement_array(text) -> Column:
     return _between_semicolons(toks)
 
 
-def _between_semicolons(toks: Column) -> Column:
-    """The trimmed, non-empty texts between the semicolon tokens, cut by their places."""
-    ends = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: (F.element_at(toks, i) == ";") | (i == F.size(toks)))
+# A mark that no text can hold once its own first character is escaped.
+_ESCAPED, _MARK = "\x01\x02", "\x01\x03"
 
-    def statement(end: Column, k: Column) -> Column:
-        begin = F.when(k == 0, 1).otherwise(F.get(ends, k - 1) + 1)
-        return X.strip(F.array_join(F.filter(F.slice(toks, begin, end - begin + 1), lambda t: t != ";"), ""))
 
-    return F.when(F.size(toks) > 0, F.filter(F.transform(ends, statement), lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+def _between_semicolons(toks: Column) -> Column:
+    """The trimmed, non-empty texts between the semicolon tokens."""
+    marked = F.transform(toks, lambda t: F.when(t == ";", _MARK).otherwise(F.replace(t, F.lit("\x01"), F.lit(_ESCAPED))))
+    parts = F.split(F.array_join(marked, ""), _MARK)
+    return F.filter(F.transform(parts, lambda s: X.strip(F.replace(s, F.lit(_ESCAPED), F.lit("\x01")))), lambda s: s != "")
 
 
 def sql_statements(files: DataFrame) -> DataFrame:

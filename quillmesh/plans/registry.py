@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Session setting: deal the text tables to so many tasks on reading. Unset, scans stay as the files are laid
 #: out; it is for files of one row group, which are one task whatever the cores.
 READ_TASKS = "quillmesh.read.tasks"
-TEXT_TABLES = {"documents", "pages", "conversations"}
+TEXT_TABLES = {"documents", "pages", "conversations", "orders"}  # orders become SQL sources
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -298,3 +298,9 @@ def test_pyproject_entries(spark):
     got = [(r["package"], r["version"]) for r in deps.deps_toml(one(spark, "x/pyproject.toml", toml)).orderBy("seq").collect()]
     assert got == [("a", "1"), ("b", "2"), ("c", None), ("d", "^4"), ("e", "5"), ("f", None), ("g", "*"), ("h", "8")]
     assert deps.deps_toml(one(spark, "setup.cfg", "[options")).count() == 0
+
+
+def test_statements_with_control_characters(spark):
+    df = files(spark, a_DOT_sql="SELECT '\x01;\x03' ; SELECT \x01\x02\x03 ;; \x01")
+    got = [r["stmt"] for r in sqlfiles.sql_statements(df).orderBy("i").collect()]
+    assert got == ["SELECT '\x01;\x03'", "SELECT \x01\x02\x03", "\x01"]
