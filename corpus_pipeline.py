@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmesh.llm import line_templates, mixing, packing, quality_rules, simhash
+from quillmesh.llm import line_templates, mixing, packing, quality_rules, similar
 from quillmesh.llm.common import documents, stored
 from quillmesh.llm.queries import END_ID, MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, SEQUENCE_TOKENS, tokenizer_path
 
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies."""
-    return simhash.keep_one(docs)
+    return similar.keep_one_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,7 +149,11 @@ def link_documents(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def keep_one(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The documents with one of each component: the one with the least id (and of equal ids, least digest)."""
-    linked = link_documents(docs, bits)
+    return one_each(docs, link_documents(docs, bits))
+
+
+def one_each(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The first document of each component of (doc_id, digest, component_id)."""
     best = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("best"))
     # A key without nulls: the join and the pick of one of equal rows then share its shuffle.
     key = lambda c: [F.coalesce(c, F.lit(0)).alias("_id"), F.col(c).isNull().alias("_none")]

@@ -7,7 +7,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
-from quillmesh.llm import license_templates, line_templates, mixing, packing, quality_rules, queries, sharding, simhash, spotsigs, substring_dedup, token_counts
+from quillmesh.llm import license_templates, line_templates, mixing, packing, quality_rules, queries, sharding, similar, simhash, spotsigs, substring_dedup, token_counts
 
 CLASHING = "rank before size copies _row _key _id _digest drop leaf line tokens n bucket found docs counts hashes print root node a b key col path license".split()
 VOCABULARY = [a + b for a in "ba ce di fo gu the of ñu ßa 日".split() for b in "ra se ti lo mu na ke".split()] + "the of and to in a is that".split()
@@ -297,3 +297,37 @@ def test_mixing_draws(spark):
     rows = sorted({r for r in ROWS if r[0] is not None and r[0] != 305}, key=repr)
     plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), (1, 2, 3), 3, "mix")
     assert rows_of(plan, "doc_id", "source", "copies") == sorted(((d, s, n) for (d, _, s), n in brute.mix(rows).items()), key=repr)
+
+
+def five_grams(text):
+    w = [x.lower() for x in brute.words(text)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_by_five_words(spark):
+    """Near copies of short and long texts at 0.8 and above, most of them over 4 bits apart, and others below."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(60):
+        words = [f"{rng.choice(VOCABULARY)}{rng.randrange(50)}" for _ in range(rng.choice([60, 150, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            near = list(words)
+            for k in rng.sample(range(len(near)), max(1, len(near) * rng.choice([1, 2, 6]) // 100)):
+                near[k] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+    texts += [None, "", " \n", "Two words", "two  WORDS"]
+    sets, prints, group = [five_grams(t) for t in texts], [brute.simhash(t) for t in texts], list(range(len(texts)))
+    missed = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            alike, bits = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]), (prints[i] ^ prints[j]).bit_count() <= 4
+            missed += alike and not bits
+            if alike or bits:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    assert missed > 20
+    least = sorted(min(i for i, g in enumerate(group) if g == x) for x in set(group))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one_similar(docs).collect()) == least
+    assert similar.keep_one_similar(docs.limit(0)).count() == 0
