@@ -331,3 +331,24 @@ def test_near_copies_by_five_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in similar.keep_one_similar(docs).collect()) == least
     assert similar.keep_one_similar(docs.limit(0)).count() == 0
+
+
+def cut_lines(spark, texts):
+    got = line_templates.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    return [r.text.split("\n") for r in got.orderBy("doc_id").collect()]
+
+
+def test_line_templates_of_one_leaf(spark):
+    """Three templates with a variable field in one leaf."""
+    names = ["Ann", "Bob", "Cid", "Dee"]
+    lines = [[f"This page was seen by {x} on our wiki", f"This page was printed for {x} at the library", f"This page was sent from {x} with kind regards"] for x in names]
+    assert {len(x.split()) for y in lines for x in y} == {9}
+    got = cut_lines(spark, ["\n".join([*x, f"body {n}"]) for x, n in zip(lines, names)])
+    assert got == [[*lines[0], "body Ann"], *([f"body {n}"] for n in names[1:])]
+
+
+def test_line_templates_keep_different_lines(spark):
+    """Rows of numbers and short sentences of one leaf stay; copies of them go."""
+    own = [["12 7 2021", "I do not know", "5 of 9"], ["3 44 1999", "I do not care", "6 of 9"], ["8 80 800", "I do not agree", "7 of 9"]]
+    same = ["1 2 3", "All rights are reserved", "Page 3 of 10"]
+    assert cut_lines(spark, ["\n".join([*x, *same]) for x in own]) == [[*own[0], *same], *own[1:]]
