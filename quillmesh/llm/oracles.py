@@ -133,4 +133,62 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
   (size * (whole + CASE WHEN before + size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """
 
-ORACLES = {"op8_license_templates": OP8, "op3_spot_signatures": OP3, "op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10}
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(n)))"""
+#: The CRC-32 of a whole number's decimal digits.
+_CRC = "xor(list_reduce([4294967295] || list_transform(range(1, len({0}::VARCHAR) + 1), lambda i: ascii(({0}::VARCHAR)[i])::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+OP11 = f"""
+WITH {_CRC_TABLE},
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS k
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+built AS (
+  SELECT c.conv_id, 0 AS own, k, role, text FROM convs c JOIN turns b ON b.conv_id = c.base AND b.k <= c.h
+  UNION ALL SELECT conv_id, 1, k, role, text FROM turns JOIN convs USING (conv_id) WHERE k > h),
+seqs AS (SELECT conv_id, coalesce(list(sha256(octet_length(encode(role))::VARCHAR || ':' || role || text) ORDER BY own, k) FILTER (k IS NOT NULL), []) AS s,
+    coalesce(list(len(text) ORDER BY own, k) FILTER (k IS NOT NULL), []) AS sizes
+  FROM convs LEFT JOIN built USING (conv_id) GROUP BY conv_id),
+steps AS (SELECT conv_id, d, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size, len(s) = d AS at_end, sha256(array_to_string(s[1:d], ',')) AS name, CASE WHEN d > 0 THEN sha256(array_to_string(s[1:d - 1], ',')) END AS above
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs)),
+nodes AS (SELECT d, name, above, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (at_end), '') AS ends FROM steps GROUP BY d, name, above),
+kids AS (SELECT d - 1 AS d, above AS name, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (d, name)),
+sums AS (SELECT s.d, s.name, sum((o.n_children = 0)::BIGINT) AS n_leaves, sum((o.n_convs - 1) * o.size) AS saved FROM own o JOIN steps s ON s.conv_id = o.conv_id AND s.d <= o.d GROUP BY s.d, s.name)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM own o JOIN sums USING (d, name) LEFT JOIN nodes p ON p.d = o.d - 1 AND p.name = o.above
+"""
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR)) || ':' || {0}::VARCHAR END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (SELECT doc_id, source, sha256({_LEAF} || {_FIELD.format("text")}) AS leaf,
+    CASE WHEN {_CRC.format("doc_id")} % 2 = 0 THEN sha256({_LEAF} || {_FIELD.format("replace(text, chr(10), '')")}) END AS changed FROM documents, crc_table),
+placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS part, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+inner_tree AS (
+  SELECT part, 0 AS level, pos, leaf AS node, count(*) OVER (PARTITION BY part) AS n FROM placed
+  UNION ALL SELECT part, level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), ((min(n) + 2) // 3)::BIGINT FROM inner_tree WHERE n > 1 GROUP BY part, level, pos // 3),
+subroots AS (SELECT part, node AS subroot, level AS height FROM inner_tree WHERE n = 1),
+outer_tree AS (
+  SELECT 0 AS level, part AS pos, subroot AS node, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, pos // 3, sha256(string_agg(node, '' ORDER BY pos)), ((min(n) + 2) // 3)::BIGINT FROM outer_tree WHERE n > 1 GROUP BY level, pos // 3),
+tree AS (
+  SELECT part, level, pos, node FROM inner_tree WHERE n > 1
+  UNION ALL SELECT s.part, height + level, pos, node FROM subroots s, outer_tree WHERE n > 1),
+way AS (
+  SELECT part, pos AS leaf_pos, 0 AS level, pos, coalesce(changed, leaf) AS folded, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.part, w.leaf_pos, w.level + 1, CASE WHEN w.level + 1 = min(height) THEN w.part ELSE w.pos // 3 END,
+    sha256(string_agg(CASE WHEN t.pos = w.pos THEN w.folded ELSE t.node END, '' ORDER BY t.pos)), w.proof || coalesce(string_agg(t.node, '' ORDER BY t.pos) FILTER (t.pos <> w.pos), '')
+  FROM (SELECT way.part, leaf_pos, level, CASE WHEN height = 0 AND level = 0 THEN way.part ELSE pos END AS pos, folded, proof, height FROM way JOIN subroots USING (part)) w
+  JOIN tree t ON t.part = w.part AND t.level = w.level AND t.pos // 3 = w.pos // 3 GROUP BY w.part, w.leaf_pos, w.level, w.pos, w.folded, w.proof),
+done AS (SELECT part, leaf_pos AS pos, arg_max(folded, level) AS folded_root, arg_max(proof, level) AS proof FROM way GROUP BY part, leaf_pos),
+root AS (SELECT node AS root FROM outer_tree WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN done USING (part, pos) JOIN subroots USING (part), root
+"""
+
+ORACLES = {"op8_license_templates": OP8, "op3_spot_signatures": OP3, "op1_block_anchors": OP1, "op7_line_templates": OP7, "op2_repetition_coverage": OP2, "op9_jump_sharding": OP9, "op10_water_filling": OP10, "op11_prefix_trie": OP11, "op12_merkle_exchange": OP12}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_templates, line_templates, mixing, packing, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
+from . import license_templates, line_templates, merkle, mixing, packing, prefix_trie, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
 from .common import documents
 
 SHARDS = 8
@@ -72,4 +72,12 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op8_license_templates, op9_jump_sharding, op10_water_filling)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_merkle_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op8_license_templates, op9_jump_sharding, op10_water_filling, op11_prefix_trie, op12_merkle_exchange)}

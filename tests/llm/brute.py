@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import xxhash
@@ -185,3 +187,74 @@ def signatures(text, anchors, chain=2):
             if len(rest) == chain:
                 out.add(hashlib.md5(" ".join([x, *rest]).encode()).hexdigest()[:8])
     return out or {hashlib.md5(text.encode()).hexdigest()[:8]}
+
+
+def trie(rows, group=100, most=6):
+    """Node rows of the prefix trie of (conv_id, turn, role, text); ties of a turn by the digest of role and text."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()[:16]
+            convs[conv].append(((turn is not None, turn or 0, tie), (role, text)))
+    own = {c: [x for _, x in sorted(v, key=lambda y: y[0])] for c, v in convs.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        built[c] = tuple(own.get(c - int(math.fmod(c, group)), [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c in sorted(built):
+        for d in range(len(built[c]) + 1):
+            members[built[c][:d]].append(c)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for node, who in members.items():
+        if node:
+            children[node[:-1]] += 1
+    for node, who in members.items():
+        for d in range(len(node) + 1):
+            leaves[node[:d]] += not children[node]
+            saved[node[:d]] += (len(who) - 1) * len(node[-1][1]) if node else 0
+    return [
+        (who[0], len(node), members[node[:-1]][0] if node else None, len(who), children[node], leaves[node], saved[node], sha(",".join(str(c) for c in who if len(built[c]) == len(node))))
+        for node, who in members.items()
+    ]
+
+
+def merkle(rows, fan=3):
+    """Manifest rows of (doc_id, source, lang, n_chars, text)."""
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf = lambda r: sha("".join(map(field, r)))
+
+    def build(nodes):
+        tree = [nodes]
+        while len(tree[-1]) > 1:
+            tree.append([sha("".join(tree[-1][i : i + fan])) for i in range(0, len(tree[-1]), fan)])
+        return tree
+
+    def climb(tree, i, node):
+        proof = []
+        for level in tree[:-1]:
+            run = range(i - i % fan, min(i - i % fan + fan, len(level)))
+            proof += [level[j] for j in run if j != i]
+            node = sha("".join(node if j == i else level[j] for j in run))
+            i //= fan
+        return proof, node
+
+    sources = defaultdict(list)
+    for r in rows:
+        sources[r[1]].append(r)
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    for s in order:
+        sources[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {s: build([leaf(r) for r in sources[s]]) for s in order}
+    top = build([trees[s][-1][0] for s in order]) if order else []
+    out = []
+    for k, s in enumerate(order):
+        for i, r in enumerate(sources[s]):
+            seen = r
+            if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0 and r[4] is not None:
+                seen = (*r[:4], r[4].replace("\n", ""))
+            inner, node = climb(trees[s], i, leaf(seen))
+            outer, node = climb(top, k, node)
+            out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], sha("".join(inner + outer)), node, node == top[-1][0]))
+    return out
