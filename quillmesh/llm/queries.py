@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_templates, line_templates, merkle, mixing, packing, prefix_trie, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
+from . import chunk_bpe, license_templates, line_templates, merkle, mixing, packing, prefix_trie, quality_rules, sharding, simhash, spotsigs, substring_dedup, token_counts
 from .common import documents
 
 SHARDS = 8
@@ -80,4 +80,8 @@ def op12_merkle_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_manifest(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op8_license_templates, op9_jump_sharding, op10_water_filling, op11_prefix_trie, op12_merkle_exchange)}
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.encode_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_block_anchors, op2_repetition_coverage, op3_spot_signatures, op4_two_tier_token_counts, op5_best_two_fit, op6_deletion_variants, op7_line_templates, op8_license_templates, op9_jump_sharding, op10_water_filling, op11_prefix_trie, op12_merkle_exchange, op13_chunk_bpe)}
