@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import text as X
-from ..operators import licenses, pysource, records as R, reducers, secrets
+from ..operators import families, licenses, pysource, records as R, reducers, secrets
 from .registry import FILES, LINES, ORACLES, query
 
 # ---- raw findings of three scanners -----------------------------------------------------
@@ -274,6 +274,59 @@ def _(t):
     return reducers.reduce_families(items, ["static", "deps"])
 
 
+def _ranked_sql(family: str, metric: str, name: str, source: str, n: int) -> str:
+    return f"""SELECT '{family}' AS family, '{metric}' AS metric, name, c::DOUBLE AS value FROM (SELECT {name} AS name, count(*) AS c FROM {source} GROUP BY 1) WHERE name IS NOT NULL
+    QUALIFY row_number() OVER (ORDER BY c DESC, name) <= {n}"""
+
+
+@query(
+    "reduce_records",
+    f"""WITH r AS (SELECT * FROM {_RAW}), l AS (SELECT * FROM r WHERE kind = 'license.hint'), st AS (SELECT code FROM r WHERE kind = 'static.issue')
+    SELECT 'license' AS family, 'totals' AS metric, 'files' AS name, count(*)::DOUBLE AS value FROM l HAVING count(*) > 0
+    UNION ALL {_ranked_sql("license", "spdx_top", "code", "l", 50)}
+    UNION ALL SELECT 'static', 'totals', 'count', count(*)::DOUBLE FROM st HAVING count(*) > 0
+    UNION ALL SELECT 'static', 'by_severity', 'info', count(*)::DOUBLE FROM st HAVING count(*) > 0
+    UNION ALL {_ranked_sql("static", "top_checks", "'unknown'", "st", 15)}
+    UNION ALL {_ranked_sql("static", "top_codes", "code", "st", 15)}
+    UNION ALL SELECT 'secrets', 'totals', 'records', count(*)::DOUBLE FROM r WHERE kind = 'secrets.finding' HAVING count(*) > 0""",
+)
+def _(t):
+    wrapped = R.wrap_records(raw_findings(t), "scan", seen_at())
+    return families.reduce_records(wrapped).select("family", "metric", "name", "value")
+
+
+@query(
+    "reduce_event_records",
+    f"""WITH e AS (SELECT *, CASE WHEN event_type = 'view' THEN 'm' || user_id % 70 END AS module, CASE WHEN event_type = 'purchase' THEN 'f' || user_id % 90 END AS file FROM events),
+    imports AS (SELECT * FROM e WHERE event_type = 'view'), calls AS (SELECT * FROM e WHERE event_type = 'click'), quality AS (SELECT * FROM e WHERE event_type = 'purchase'), deps AS (SELECT * FROM e WHERE event_type = 'signup')
+    SELECT 'ast_imports' AS family, 'totals' AS metric, 'imports' AS name, count(*)::DOUBLE AS value FROM imports HAVING count(*) > 0
+    UNION ALL SELECT 'ast_imports', 'totals', 'unique', count(DISTINCT module)::DOUBLE FROM imports HAVING count(*) > 0
+    UNION ALL {_ranked_sql("ast_imports", "top", "module", "imports", 50)}
+    UNION ALL SELECT 'ast_calls', 'totals', 'calls_total', count(*)::DOUBLE FROM calls HAVING count(*) > 0
+    UNION ALL {_ranked_sql("ast_calls", "calls_top", "'u' || user_id", "calls", 50)}
+    UNION ALL SELECT 'quality', 'totals', unnest(['loc', 'cyclomatic']), unnest([sum(user_id % 100), sum(event_id % 10)])::DOUBLE FROM quality HAVING count(*) > 0
+    UNION ALL SELECT 'quality', 'top', file, max(event_id % 10)::DOUBLE AS score FROM quality GROUP BY file QUALIFY row_number() OVER (ORDER BY score DESC, file) <= 50
+    UNION ALL SELECT 'deps', 'totals', 'packages', count(DISTINCT user_id)::DOUBLE FROM deps HAVING count(*) > 0
+    UNION ALL {_ranked_sql("deps", "top", "'p' || user_id", "deps", 50)}
+    UNION ALL SELECT 'other', 'totals', unnest(['user', 'records']), unnest([sum(user_id), count(*)])::DOUBLE FROM e WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup') HAVING count(*) > 0""",
+)
+def _(t):
+    kinds = {"view": "edge.import", "click": "ast.call", "purchase": "quality.file", "signup": "deps.entry"}
+    user, of = F.col("user_id"), lambda name, value: F.when(F.col("event_type") == name, value)
+    named = lambda letter, value: F.concat(F.lit(letter), value.cast("string"))
+    raw = t.events.select(
+        F.coalesce(R.lookup("event_type", kinds), F.lit("other.event")).alias("kind"),
+        of("view", named("m", user % 70)).alias("module"),
+        of("click", named("u", user)).alias("callee"),
+        of("purchase", named("f", user % 90)).alias("file"),
+        of("purchase", user % 100).alias("loc"),
+        of("purchase", F.col("event_id") % 10).alias("complexity"),
+        of("signup", named("p", user)).alias("package"),
+        F.when(~F.col("event_type").isin(*kinds), user).alias("user"),
+    )
+    return families.reduce_records(R.wrap_records(raw, "log", seen_at())).select("family", "metric", "name", "value")
+
+
 @query(
     "highlights",
     """SELECT 'stats' AS section, unnest(['files_total_python', 'python_functions', 'python_classes', 'python_loc', 'python_symbols', 'imports_statements', 'sql_graph_edges']) AS name, NULL::INT AS rank, NULL AS label,
