@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunks as C
 from ..operators import search as S
+from ..operators import textindex
 from ..operators import vectors as V
+from ..session import shared_folder
+from ..streaming import segments
 from .registry import FILES, query
 
 _CHUNKS = f"""(SELECT path, i, base_sha, (i * 2048)::BIGINT AS byte_start, least((i + 1) * 2048, n)::BIGINT AS byte_end, b[i * 2048 + 1:least((i + 1) * 2048, n)] AS part, b
@@ -114,6 +119,21 @@ def _(t):
     return S.search_bm25(S.build_text_index(t.documents, "doc_id", ["text"]), QUERY_TEXT, 20)
 
 
+@query(
+    "search_index",
+    rf"""WITH p AS (SELECT id, term, count(*) AS tf FROM {_TERMS} GROUP BY id, term), l AS (SELECT id, sum(tf) AS len FROM p GROUP BY id), s AS (SELECT count(*)::DOUBLE AS n, avg(len)::DOUBLE AS avg FROM l),
+    q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM benchmark),
+    d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+    h AS (SELECT item_id, id, tf, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, len, avg FROM q JOIN p USING (term) JOIN d USING (term) JOIN l USING (id), s),
+    r AS (SELECT item_id, id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg))), 6) AS score FROM h GROUP BY ALL)
+    SELECT item_id AS query_id, id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank FROM r QUALIFY rank <= 10""",
+)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/text-index-{uuid.uuid4().hex}"
+    textindex.write_index(S.build_text_index(t.documents, "doc_id", ["text"]), folder)
+    return textindex.search_index(t.spark, folder, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
 @query(
     "maintain_text_index",
     f"""SELECT term, count(*) AS docs, sum(tf)::BIGINT AS tf FROM (SELECT id, term, count(*) AS tf FROM {_TERMS} WHERE id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL
@@ -123,3 +143,18 @@ def _(t):
     index = S.build_text_index(t.documents, "doc_id", ["text"])
     changes = t.labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "update").otherwise("delete").alias("op"), F.lit("Updated!").alias("text"))
     return S.maintain_text_index(index, changes, ["text"]).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+
+
+@query(
+    "segmented_text_index",
+    f"""SELECT term, count(*) AS docs, sum(tf)::BIGINT AS tf FROM (SELECT id, term, count(*) AS tf FROM {_TERMS} WHERE id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL
+    UNION ALL SELECT doc_id, unnest(['updated', 'twice']), 1 FROM labels WHERE quality = 1) GROUP BY term""",
+)
+def _(t):
+    folder = f"{shared_folder(t.spark)}/segments-{uuid.uuid4().hex}"
+    change = lambda df, op, seq, text: df.select(F.col("doc_id").alias("id"), op.alias("op"), F.lit(seq).cast("long").alias("seq"), text.alias("text"))
+    segments.add_segment(change(t.documents, F.lit("insert"), 0, F.col("text")), ["text"], folder, 0, fan=2)
+    judged = F.when(F.col("quality") == 1, "update").otherwise("delete")
+    segments.add_segment(change(t.labels, judged, 2, F.lit("Updated twice")), ["text"], folder, 1, fan=2)
+    segments.add_segment(change(t.labels, F.lit("update"), 1, F.lit("an older change")), ["text"], folder, 2, fan=2)
+    return segments.read_segments(t.spark, folder).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import store as S
-from .registry import query
+from ..session import shared_folder
+from ..streaming import buckets
+from .registry import ORACLES, query
 
 CUT = "2024-01-15 00:00:00"
 
@@ -40,6 +44,20 @@ def _(t):
     return out.select("filepath", "name", "occurrences", F.unix_micros("discovered_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "status", "description")
 
 
+@query("bucketed_index", ORACLES["upsert_index"])
+def _(t):
+    """Three landed batches over an empty index: two compacted one after the other, the last folded in on reading."""
+    folder = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    buckets.create_buckets(t.spark.createDataFrame([], EMPTY), folder, 16)
+    u, early, clicks = updates(t), F.col("seen_at") < F.lit(CUT).cast("timestamp"), F.col("name") == "click"
+    for n, part in enumerate([u.where(early), u.where(~early & clicks), u.where(~early & ~clicks)]):
+        part.write.parquet(f"{folder}/deltas/batch={n}")
+        if n < 2:
+            buckets.compact_buckets(t.spark, folder)
+    out = buckets.read_buckets(t.spark, folder)
+    return out.select("filepath", "name", "occurrences", F.unix_micros("discovered_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), "status", "description")
+
+
 @query("to_index_row", "SELECT 'u/' || doc_id AS filepath, CASE WHEN lang = 'en' THEN 'function' WHEN lang = 'fr' THEN 'class' ELSE 'module' END AS symbol_type, CASE WHEN lang = 'en' THEN source WHEN lang = 'fr' THEN lang ELSE doc_id::VARCHAR END AS name, CASE WHEN doc_id = 0 THEN 1 ELSE doc_id END AS lineno FROM documents")
 def _(t):
     from ..operators.items import to_index_row
