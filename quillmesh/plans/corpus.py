@@ -42,10 +42,14 @@ def _(t):
     return p.select("page_id", P.basename("path").alias("base"), P.dirname("path").alias("dir"), P.ext("path").alias("ext"), P.safe_relative("path").alias("safe"))
 
 
-@query("read_text_capped", "SELECT doc_id, left(text, 200) AS head FROM documents WHERE length(text) = octet_length(encode(text))")
+@query(
+    "read_text_capped",
+    """SELECT doc_id, CASE WHEN inside THEN left(text, k - 1) || chr(65533) ELSE left(text, k) END AS head FROM (
+      SELECT doc_id, text, hex(b[201:201]) BETWEEN '80' AND 'BF' AS inside, len(list_filter(regexp_extract_all(hex(b[1:200]), '..'), lambda x: x < '80' OR x > 'BF')) AS k
+      FROM (SELECT doc_id, text, encode(text) AS b FROM documents))""",
+)
 def _(t):
-    ascii_only = t.documents.where(F.char_length("text") == F.octet_length("text"))
-    return SF.read_text_capped(ascii_only, 200).select("doc_id", "head")
+    return SF.read_text_capped(t.documents, 200).select("doc_id", "head")
 
 
 @query(
@@ -736,13 +740,12 @@ def _(t):
 
 @query(
     "line_markers",
-    f"""SELECT path, line_no, strpos(line, 'TODO') AS col FROM (SELECT path, line_no, replace(replace(line, 'and ', 'TODO '), 'und ', 'TODO ') AS line FROM {LINES}) WHERE regexp_matches(line, '\\bTODO\\b') AND NOT regexp_matches(line, '(?i)[A-Za-z0-9_À-ɏ]TODO|FIXME|XXX')""",
+    f"""SELECT path, line_no, length(head) + 1 AS col FROM (SELECT path, line_no, regexp_matches(line, '(?i)\\b(TODO|FIXME|XXX)\\b') AS hit, regexp_extract(line, '(?is)^(.*?)\\b(?:TODO|FIXME|XXX)\\b', 1) AS head
+      FROM (SELECT path, line_no, replace(replace(line, 'and ', 'TODO '), 'und ', 'TODO ') AS line FROM {LINES})) WHERE hit""",
 )
 def _(t):
     marked = t.files.withColumn("text", F.replace(F.replace("text", F.lit("and "), F.lit("TODO ")), F.lit("und "), F.lit("TODO ")))
-    found = pysource.line_checks(marked).where("code = 'ST200'")
-    clean = to_lines(marked).where(~F.col("line").rlike("(?i)[A-Za-z0-9_À-ɏ]TODO|FIXME|XXX")).select("path", "line_no")
-    return found.join(clean, ["path", "line_no"]).select("path", "line_no", "col")
+    return pysource.line_checks(marked).where("code = 'ST200'").select("path", "line_no", "col")
 
 
 @query(
@@ -844,13 +847,12 @@ def _(t):
 
 @query(
     "code_index_files",
-    r"""SELECT 'src/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.sql' ELSE '.sh' END AS path, sha256(text) AS sha256, len(string_split(rtrim(text, chr(10)), chr(10))) AS loc
-    FROM documents WHERE NOT regexp_matches(text, '[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]|\n\n$|^\n*$')""",
+    r"""SELECT 'src/d' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.sql' ELSE '.sh' END AS path, sha256(text) AS sha256, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS loc
+    FROM (SELECT doc_id, text, regexp_split_to_array(text, '\r\n|[\x0A-\x0D\x1C-\x1E\x{85}\x{2028}\x{2029}]') AS l FROM documents)""",
 )
 def _(t):
     ext = F.get(F.array(F.lit(".py"), F.lit(".sql"), F.lit(".sh")), (F.col("doc_id") % 3).cast("int"))
-    plain = t.documents.where(~F.col("text").rlike(r"[\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]|\n\n\z|\A\n*\z"))
-    return pysource.code_index_files(plain.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), ext).alias("path"), "text"))
+    return pysource.code_index_files(t.documents.select(F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), ext).alias("path"), "text"))
 
 
 @query(
