@@ -49,7 +49,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.flat, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, words: list[str]) -> None:
@@ -74,17 +74,17 @@ class WordIds:
         stops = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
         stops = stops[~np.isin(stops, block.offsets)]  # a text's last letter and the next text's stop
         starts, ends = np.sort(np.concatenate((block.starts, stops))), np.sort(np.concatenate((block.ends, stops)))
-        unique, first, back = np.unique(span_hashes(folded, starts, ends), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        slots = np.fromiter((self.slots.get(h, -1) for h in keys), np.int64, len(keys))
+        _, first, back = np.unique(span_hashes(folded, starts, ends), return_index=True, return_inverse=True)
+        raw = folded.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        slots = np.fromiter((self.slots.get(w, -1) for w in keys), np.int64, len(keys))
         if len(self.slots) + int((slots < 0).sum()) > CACHE_ROWS:
             self.forget()
             slots[:] = -1
         special = []
         new = np.flatnonzero(slots < 0)
         if len(new):
-            raw = folded.tobytes()
-            texts = [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            texts = [keys[i].decode() for i in new.tolist()]
             special = [i for i, x in enumerate(texts) if "<" in x]
             plain = np.setdiff1d(np.arange(len(new)), special)
             slots[new[plain]] = len(self.sizes) + np.arange(len(plain))
@@ -93,7 +93,7 @@ class WordIds:
                 ids = tokenizer(self.path).encode(texts[i], add_special_tokens=False).ids
                 slots[new[i]] = len(self.sizes)
                 self.add(np.array(ids, np.uint32), np.array([len(ids)]))
-            self.slots.update(zip(unique[new].tolist(), slots[new].tolist(), strict=True))
+            self.slots.update(zip((keys[i] for i in new.tolist()), slots[new].tolist(), strict=True))
         slot = slots[back]
         each = self.sizes[slot]
         ends_ = np.cumsum(each)

@@ -6,7 +6,7 @@ Lengths come from a compact hash table of frequent pre-tokens that every task ge
 cache, and else from the library itself. Nothing but the documents' counts leaves a task.
 
 The frequent pre-tokens are those of ``SAMPLE_ROWS`` documents at most; they are a cache, and any other choice
-gives the same counts. The table has ``TABLE_ROWS`` entries of 16 bytes at most.
+gives the same counts. The table has ``TABLE_ROWS`` entries of 24 bytes at most.
 
 Defined results: null texts count as empty, with no bytes and no tokens; repeated rows get one row each; an
 empty table gives an empty result; other columns are ignored.
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import cut_rows, span_hashes, utf8
+from .blocks import cut_rows, lanes, padded, span_hashes, utf8
 
 SAMPLE_ROWS = 2000
 TABLE_ROWS = 1 << 16
-CACHE_ROWS = 1 << 19
+CACHE_ROWS, CACHE_BYTES = 1 << 19, 256
 #: ASCII characters that show, and first bytes of two-byte characters from U+00C0 on: none of them is a blank.
 _SAFE = np.zeros(256, dtype=bool)
 _SAFE[0x21:0x7F] = True
@@ -72,16 +72,20 @@ def _sizes(path: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 
 @lru_cache(maxsize=4)
-def worker_cache(path: str) -> dict[int, int]:
-    """Token numbers by hash, for all tasks of a worker."""
+def worker_cache(path: str) -> dict[bytes, int]:
+    """Token numbers by pre-token, for all tasks of a worker."""
     return {}
 
 
 class Lengths:
-    """Token numbers of pre-tokens by hash: the shared table, then this worker's cache, then the library."""
+    """Token numbers of pre-tokens: the shared table, then this worker's cache, then the library.
 
-    def __init__(self, path: str, hashes: np.ndarray, sizes: np.ndarray):
+    A hit in the table has the hash and the first eight bytes of the entry, one in the cache all bytes.
+    """
+
+    def __init__(self, path: str, hashes: np.ndarray, sizes: np.ndarray, heads: np.ndarray | None = None):
         self.path, self.hashes, self.sizes = path, hashes, sizes
+        self.heads = np.zeros(0, np.uint64) if heads is None else heads
         self.cache = worker_cache(path)
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -89,25 +93,28 @@ class Lengths:
         out = np.full(len(hashes), -1, np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            hit = self.hashes[at] == hashes
+            hit = np.flatnonzero(self.hashes[at] == hashes)
+            hit = hit[self.heads[at[hit]] == lanes(padded(data), starts[hit], ends[hit])]
             out[hit] = self.sizes[at[hit]]
         miss = np.flatnonzero(out < 0)
         if len(miss):
-            unique, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-            known = np.fromiter((self.cache.get(h, -1) for h in unique.tolist()), np.int64, len(unique))
+            _, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            spots, raw = miss[first], data.tobytes()
+            words = [raw[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
+            known = np.fromiter((self.cache.get(w, -1) for w in words), np.int64, len(words))
             new = np.flatnonzero(known < 0)
             if len(new):
-                spots = miss[first[new]]
-                known[new] = _sizes(self.path, data, starts[spots], ends[spots])
+                known[new] = _sizes(self.path, data, starts[spots[new]], ends[spots[new]])
                 if len(self.cache) + len(new) > CACHE_ROWS:
                     self.cache.clear()
-                self.cache.update(zip(unique[new].tolist()[:CACHE_ROWS], known[new].tolist()[:CACHE_ROWS], strict=True))
+                short = [(words[i], n) for i, n in zip(new.tolist()[:CACHE_ROWS], known[new].tolist(), strict=False) if len(words[i]) <= CACHE_BYTES]
+                self.cache.update(short)
             out[miss] = known[back]
         return out
 
 
-def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and token numbers of the pre-tokens that a bounded sample of documents uses most."""
+def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, token numbers and first bytes of the pre-tokens that a bounded sample of documents uses most."""
     fraction = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     sample = docs.select(F.col(text).alias("text")).sample(fraction, 1).limit(SAMPLE_ROWS)
 
@@ -121,13 +128,14 @@ def frequent_lengths(docs: DataFrame, path: str, text: str = "text") -> tuple[np
                 unique, first, counts = np.unique(span_hashes(part, starts, ends), return_index=True, return_counts=True)
                 top = np.argsort(-counts, kind="stable")[:TABLE_ROWS]
                 sizes = _sizes(path, part, starts[first[top]], ends[first[top]])
-                yield pa.RecordBatch.from_arrays([pa.array(unique[top].view(np.int64)), pa.array(sizes), pa.array(counts[top])], ["h", "size", "n"])
+                heads = lanes(padded(part), starts[first[top]], ends[first[top]])
+                yield pa.RecordBatch.from_arrays([pa.array(unique[top].view(np.int64)), pa.array(heads.view(np.int64)), pa.array(sizes), pa.array(counts[top])], ["h", "head", "size", "n"])
 
-    found = sample.mapInArrow(run, "h long, size long, n long").groupBy("h").agg(F.max("size").alias("size"), F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "h").limit(TABLE_ROWS).select("h", "size").toPandas()
+    found = sample.mapInArrow(run, "h long, head long, size long, n long").groupBy("h", "head").agg(F.max("size").alias("size"), F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "h", "head").limit(TABLE_ROWS).select("h", "head", "size").toPandas()
     hashes = rows["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], rows["size"].to_numpy(np.int64)[order]
+    return hashes[order], rows["size"].to_numpy(np.int64)[order], rows["head"].to_numpy(np.int64).view(np.uint64)[order]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:

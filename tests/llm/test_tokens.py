@@ -48,3 +48,34 @@ def test_windows_hash_like_their_words(texts, size):
         for i, h in enumerate(rolled.tolist()):
             assert seen.setdefault(h, words[i : i + size]) == words[i : i + size]
         assert len({tuple(words[i : i + size]) for i in range(len(rolled))}) == len(seen)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_collide_modulo_a_power_of_two():
+    """Thue-Morse words of 1,024 letters have equal sums under every odd base; no hash of words may be such a sum."""
+    pair = thue_morse(1024)
+    data, offsets = blocks.utf8(pa.array(pair))
+    assert len(set(blocks.span_hashes(data, offsets[:-1], offsets[1:]).tolist())) == 2
+    small = [w for n in (1, 7, 8, 9, 64, 255, 256, 257) for w in thue_morse(n)]
+    data, offsets = blocks.utf8(pa.array(small))
+    assert len(set(blocks.span_hashes(data, offsets[:-1], offsets[1:]).tolist())) == len(small)
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    tok = token_counts.tokenizer(path)
+    for word in pair:
+        data, offsets = blocks.utf8(pa.array([word]))
+        got = token_counts.Lengths(path, np.zeros(0, np.uint64), np.zeros(0, np.int64)).of(data, offsets[:-1], offsets[1:])
+        assert got.tolist() == [len(tok.encode(word, add_special_tokens=False).ids)]
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    (block,) = blocks.blocks(pa.array([" ".join(pair)]))
+    assert packing.word_ids(path).of(block)[0].tolist() == token_counts.tokenizer(path).encode(" ".join(pair), add_special_tokens=False).ids
+
+
+def test_hits_are_compared():
+    """An entry of the shared table with the hash of another word is no hit."""
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    data, offsets = blocks.utf8(pa.array(["hello"]))
+    wrong = token_counts.Lengths(path, blocks.span_hashes(data, offsets[:-1], offsets[1:]), np.array([99]), np.array([1], np.uint64))
+    assert wrong.of(data, offsets[:-1], offsets[1:]).tolist() == [1]
