@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
+from .ranks import ranked
 
 
 @dataclass(frozen=True)
@@ -45,8 +48,6 @@ def _regexes(pattern: str) -> tuple[str, str | None]:
     pat = pattern.lstrip("/")
     if pat.endswith("/") or not pat:
         prefix = pat.rstrip("/")
-        import re
-
         return (("(?s)^" + re.escape(prefix) + "/") if prefix else "(?s)^", None)
     own = P.glob_to_regex(pat)
     if "/" not in pat:
@@ -81,6 +82,78 @@ def assign_owners(files: DataFrame, rules: list[OwnerRule]) -> DataFrame:
     return idx.select("path", "rule_index", hit["pattern"].alias("pattern"), hit["owners"].alias("owners"))
 
 
+def number_rules(rules: DataFrame) -> DataFrame:
+    """(rule_index, pattern, owners) of ``owner_rules``, numbered from 1 in the order of (path, line_no), without a collect."""
+    numbered = ranked(rules, [], ["path", "line_no"])
+    return numbered.select((F.col("rank") + 1).cast("int").alias("rule_index"), "pattern", "owners")
+
+
+#: What a rule is found by, the most telling first: a folder above the path, its base name, its extension, or nothing.
+FOLDER, NAME, EXTENSION, ANY = "folder", "name", "extension", "any"
+
+
+def rule_key(pattern: str) -> tuple[str, str]:
+    """A key that every path matched by the pattern has among its own (see ``path_keys``)."""
+    pat = pattern.lstrip("/")
+    if pat.endswith("/") or not pat:
+        return (FOLDER, pat.rstrip("/")) if pat.rstrip("/") else (ANY, "")
+    special = [i for i, c in enumerate(pat) if c in "*?["]
+    head = pat[: special[0]] if special else pat
+    if pattern.startswith("/") and "/" in head:
+        return FOLDER, head.rpartition("/")[0]
+    last = pat.rpartition("/")[2]
+    if not any(c in last for c in "*?[]"):
+        return NAME, last
+    tail = pat[max(special) + 1 :].rpartition("]")[2]
+    if "." in tail:
+        return EXTENSION, tail.rpartition(".")[2]
+    return ANY, ""
+
+
+def indexed_rules(rules: DataFrame) -> DataFrame:
+    """(kind, key, rule_index, pattern, owners, on_path, on_base): each rule under the key that it is found by. The regexes are
+    null where the key itself decides."""
+
+    def parts(batches):
+        for frame in batches:
+            keys = [rule_key(p) for p in frame["pattern"]]
+            regexes = [_regexes(p) for p in frame["pattern"]]
+            whole = [p.lstrip("/").endswith("/") or not p.lstrip("/") for p in frame["pattern"]]
+            out = frame.assign(kind=[k for k, _ in keys], key=[v for _, v in keys])
+            out["on_path"] = [None if w else r[0] for r, w in zip(regexes, whole, strict=True)]
+            out["on_base"] = [r[1] for r in regexes]
+            yield pd.DataFrame(out)
+
+    schema = "rule_index int, pattern string, owners array<string>, kind string, key string, on_path string, on_base string"
+    return rules.select("rule_index", "pattern", "owners").mapInPandas(parts, schema)
+
+
+def path_keys(p: Column) -> Column:
+    """(kind, key) of a path without leading slashes: every folder above it, its base name, its extension, and the one that all have."""
+    parts = F.split(p, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    folders = F.transform(F.slice(above, 1, F.size(parts) - 1), lambda x: key(FOLDER, x))
+    own = F.array(key(NAME, P.basename(p)), key(EXTENSION, F.substring_index(p, ".", -1)), key(ANY, F.lit("")))
+    return F.concat(folders, own)
+
+
+def assign_owners_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``assign_owners`` for rules in a table (rule_index, pattern, owners), of any number.
+
+    A path meets the rules that share one of its keys by an equality join, and only these try their regex. A path
+    of several rows is matched once.
+    """
+    p = F.regexp_replace("path", r"^/+", "")
+    paths = files.select("path").distinct().withColumn("p", p)
+    keyed = paths.select("path", "p", F.inline(path_keys(F.col("p"))))
+    met = keyed.join(indexed_rules(rules), ["kind", "key"])
+    hit = F.col("on_path").isNull() | F.rlike("p", F.col("on_path")) | F.coalesce(F.rlike(P.basename("p"), F.col("on_base")), F.lit(False))
+    rule = F.struct("rule_index", "pattern", "owners")
+    best = met.where(hit).groupBy("path").agg(F.max_by(rule, "rule_index").alias("rule"))
+    return files.select("path").join(best, "path", "left").select("path", "rule.rule_index", "rule.pattern", "rule.owners")
+
+
 def owner_counts(assigned: DataFrame) -> DataFrame:
     """Files per owner by (-count, owner)."""
     rows = assigned.select(F.explode("owners").alias("owner"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,16 @@ def unpack_vector(c):
     return unpack(c)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_blocks: int = 1, vector_blocks: int | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", query_blocks: int | None = None, vector_blocks: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest vectors of every query, ties by id.
 
-    Both sides are cut into blocks by the hash of their ids, ``vector_blocks`` by default as many as shuffle
-    partitions, and each pair of blocks is one group: the two numbers bound what a task holds. A group goes
+    Both sides are cut into blocks by the hash of their ids, by default so many that the pairs of blocks are
+    about the shuffle partitions, and each pair is one group: the two numbers bound what a task holds. A group goes
     through its vectors in chunks and keeps k per query. Exact: nothing is dropped that could be among the best.
     """
-    n = vector_blocks or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    query_blocks = query_blocks or math.isqrt(tasks)
+    n = vector_blocks or -(-tasks // query_blocks)
     blocks = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     block = lambda id_, count: F.pmod(F.xxhash64(id_), F.lit(count)).cast("int")
     q = queries.select("query_id", "embedding", block("query_id", query_blocks).alias("qb")).withColumn("vb", blocks(n))

@@ -234,6 +234,22 @@ def _(t):
     return a.select("path", "rule_index", F.array_join("owners", ",").alias("owners"))
 
 
+@query(
+    "assign_owner_table",
+    f"""WITH r AS (SELECT doc_id + 1 AS rule_index, doc_id % 5 AS kind, source, doc_id || '.txt' AS name, lang FROM documents),
+    m AS (SELECT path, max(rule_index)::INT AS rule_index FROM {FILES} f JOIN r ON CASE kind WHEN 0 THEN starts_with(path, r.source || '/') WHEN 1 THEN ends_with(path, name) WHEN 2 THEN path = r.source || '/' || name
+      WHEN 3 THEN regexp_extract(path, '[^/]*$') = name ELSE starts_with(path, r.source || '/') AND ends_with(path, name) AND length(path) > length(r.source || name) END GROUP BY path)
+    SELECT f.path, m.rule_index, r.lang AS owners FROM {FILES} f LEFT JOIN m USING (path) LEFT JOIN r USING (rule_index)""",
+)
+def _(t):
+    """A rule per document: folders, endings, whole paths, names, and globs below a folder."""
+    kind, name = F.col("doc_id") % 5, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    forms = [F.concat(F.lit("/"), "source", F.lit("/")), F.concat(F.lit("*"), name), F.concat(F.lit("/"), "source", F.lit("/"), name), name, F.concat("source", F.lit("/*"), name)]
+    pattern = F.coalesce(*[F.when(kind == i, form) for i, form in enumerate(forms)])
+    rules = t.documents.select((F.col("doc_id") + 1).cast("int").alias("rule_index"), pattern.alias("pattern"), F.array("lang").alias("owners"))
+    return owners.assign_owners_by_table(t.files, rules).select("path", "rule_index", F.array_join("owners", ",").alias("owners"))
+
+
 def _some_owned(t):
     return owners.assign_owners(t.files, [owners.OwnerRule(r.index - 1, r.pattern, r.owners) for r in OWNER_RULES_SOME[:-1]])
 

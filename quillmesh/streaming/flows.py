@@ -87,12 +87,14 @@ def phase_pairs(events: DataFrame, within_s: int = 86_400, late: str | None = No
     """Each end of a phase with the latest begin that is open in its run, not longer than ``within_s`` ago.
 
     In batch these are the closed rows of ``phase_durations``. On a stream, watermarked here if ``late`` is
-    given, the state of a (run, phase) is its open begins; an end pairs with one of them and no other.
+    given, the state of a (run, phase) is its open begins; an end pairs with one of them and no other. Events of one
+    time come in the ``order`` columns' order, as in batch, or begins first if there are none.
     """
     if not events.isStreaming:
         closed = phase_durations(events, order).where(F.col("end_ts").isNotNull() & (F.col("dur_ms") <= within_s * 1000))
         return closed.select("run_id", "phase", "begin_ts", "end_ts", "status", "dur_ms")
     watched = events.withWatermark("ts", late) if late else events
+    ties = [c for c in order if c in events.columns] or ["event"]
 
     def step(key, batches, state):
         import pandas as pd
@@ -102,7 +104,7 @@ def phase_pairs(events: DataFrame, within_s: int = 86_400, late: str | None = No
         if state.hasTimedOut:
             state.remove()
         else:
-            now = pd.concat(list(batches)).sort_values(["ts", "event"], kind="stable")
+            now = pd.concat(list(batches)).sort_values(["ts", *ties], kind="stable")
             for r in now.itertuples(index=False):
                 us = int(r.ts.value // 1000)
                 if r.event == "begin":

@@ -88,6 +88,16 @@ def test_stream_phase_pairs(spark, tmp_path):
     assert [(r["phase"], r["dur_ms"]) for r in got.orderBy("dur_ms").collect()] == [("p", 3000), ("p", 5000)]
 
 
+def test_stream_phase_pairs_break_ties_as_batch(spark, tmp_path):
+    data = [("begin", 0, 1), ("end", 5, 2), ("begin", 5, 3), ("end", 9, 4)]  # an end and the next begin at one time
+    df = spark.createDataFrame([("r", "p", e, "ok", n, s) for e, n, s in data], "run_id string, phase string, event string, status string, s int, seq long")
+    df = df.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    df.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    got = run(flows.phase_pairs(s, late="1 minute"), "ties")
+    assert sorted(r["dur_ms"] for r in got.collect()) == sorted(r["dur_ms"] for r in flows.phase_pairs(df).collect()) == [4000, 5000]
+
+
 def test_stream_lock_expiry(spark, tmp_path):
     def land(i, data):
         df = spark.createDataFrame(data, "lock_name string, action string, holder string, s int, ttl_seconds int")
