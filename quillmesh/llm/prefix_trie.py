@@ -195,7 +195,8 @@ def trie_of(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     found = stored(placed.groupBy(*key).agg(F.min("conv_id").alias("least"), F.count("*").alias("n_convs"), F.max("after").alias("after"), F.max("size").alias("size")))
     children = found.groupBy((F.col("pos") - 1).alias("pos"), F.col("before").alias("after")).agg(F.count("*").alias("n_children"))
     parents = found.where("after is not null").select((F.col("pos") + 1).alias("pos"), F.col("after").alias("before"), F.col("least").alias("parent"))
-    found = found.join(children, ["pos", "after"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+    ended = found.where("after is null").withColumn("n_children", F.lit(0).cast("long"))  # no child, and no key to share
+    found = found.where("after is not null").join(children, ["pos", "after"]).select(*ended.columns).unionByName(ended)
     # The root's children need no join: their parent has the least id of all.
     least, n_all = lengths.agg(F.min("conv_id"), F.count("*")).first()
     least = F.lit(least).cast("long")
