@@ -60,18 +60,23 @@ FROM f JOIN d USING (doc_id)
 """
 
 OP7 = r"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, text, i, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
-  FROM (SELECT doc_id, text, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d)),
-k AS (SELECT DISTINCT doc_id, text, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM l WHERE len(tokens) >= 3),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d)),
+m AS (SELECT doc_id, i, line, CASE WHEN len(list_filter(words, lambda t: NOT regexp_matches(t, '[0-9]') AND t <> '<*>')) >= 3 THEN list_transform(words, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) ELSE words END AS tokens FROM l),
+k AS (SELECT DISTINCT doc_id, tokens, len(tokens) AS n, tokens[1:3] AS lead FROM m WHERE len(tokens) >= 3),
 leaves AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
-v AS (SELECT n, lead, tokens, count(*) AS c FROM k JOIN leaves USING (n, lead) GROUP BY ALL),
-m AS (SELECT n, lead, arg_max(tokens, {'c': c, 'line': array_to_string(tokens, ' ')}) AS best FROM v GROUP BY n, lead),
-t AS (SELECT n, lead, tokens, CASE WHEN len(list_filter(list_zip(tokens, best), lambda z: z[1] = z[2])) >= 0.7 * n THEN [] ELSE tokens END AS template FROM v JOIN m USING (n, lead)),
+v AS (SELECT n, lead, tokens, count(*) AS c, md5(array_to_string(tokens, ' ')) AS name FROM k JOIN leaves USING (n, lead) GROUP BY ALL),
+p AS (SELECT *, n - 3 AS size, floor((n - 3) * (1 - 0.7::DOUBLE) + 1e-9::DOUBLE)::BIGINT + 1 AS pieces, tokens[4:] AS tail FROM v WHERE n > 3),
+g AS (SELECT *, tail[i * size // pieces + 1:(i + 1) * size // pieces] AS piece FROM (SELECT *, unnest(range(0, pieces)) AS i FROM p)),
+best AS (SELECT n, lead, i, piece, arg_max(tokens, {'c': c, 'name': name}) AS other, max({'c': c, 'name': name}) AS rank FROM g GROUP BY ALL HAVING count(*) > 1),
+x AS (SELECT DISTINCT g.n, g.lead, g.tokens, g.tail, other, rank FROM g JOIN best b ON g.n = b.n AND g.lead = b.lead AND g.i = b.i AND g.piece = b.piece WHERE g.tokens <> other),
+y AS (SELECT *, list_filter(list_zip(tail, other[4:]), lambda z: NOT (z[1] = '<*>' AND z[2] = '<*>')) AS known FROM x),
+taken AS (SELECT n, lead, tokens, arg_max(other, rank) AS template FROM y WHERE len(list_filter(known, lambda z: z[1] = z[2])) > 0 AND len(list_filter(known, lambda z: z[1] = z[2])) >= 0.7::DOUBLE * len(known) GROUP BY ALL),
+t AS (SELECT n, lead, tokens, tokens AS template FROM v UNION ALL SELECT * FROM taken),
 met AS (SELECT k.doc_id, k.tokens, k.n, k.lead, t.template FROM k JOIN t USING (n, lead, tokens)),
 r AS (SELECT n, lead, template, min(doc_id) AS first FROM met GROUP BY n, lead, template HAVING count(DISTINCT doc_id) >= 3),
-x AS (SELECT DISTINCT doc_id, tokens FROM met JOIN r USING (n, lead, template) WHERE doc_id <> first),
-o AS (SELECT l.doc_id, i, line, x.tokens IS NULL AS stays FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.tokens = x.tokens)
+gone AS (SELECT DISTINCT doc_id, tokens FROM met JOIN r USING (n, lead, template) WHERE doc_id <> first),
+o AS (SELECT m.doc_id, i, line, gone.tokens IS NULL AS stays FROM m LEFT JOIN gone ON m.doc_id = gone.doc_id AND m.tokens = gone.tokens)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
 FROM o GROUP BY doc_id
 """

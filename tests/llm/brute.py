@@ -91,8 +91,10 @@ def components(rows):
     return [(doc, f"{prints[i]:016x}", least.get(find(i))) for i, (doc, _) in enumerate(rows)]
 
 
-def masked(line):
-    return tuple("<*>" if re.search("[0-9]", t) else t for t in words(line))
+def masked(line, constants=3):
+    tokens = words(line)
+    mask = ["<*>" if re.search("[0-9]", t) else t for t in tokens]
+    return tuple(mask if sum(t != "<*>" for t in mask) >= constants else tokens)
 
 
 def line_dedup(rows, depth=3, similarity=0.7, min_docs=3, min_tokens=3):
@@ -105,24 +107,39 @@ def line_dedup(rows, depth=3, similarity=0.7, min_docs=3, min_tokens=3):
     leaves = defaultdict(list)
     for t in docs:
         leaves[len(t), t[:depth]].append(t)
-    template = {}
+    templates = defaultdict(set)  # a line is a template of its own, and may belong to one led by another
+    rank = lambda t: (len(docs[t]), hashlib.md5(" ".join(t).encode()).hexdigest())
     for leaf, ts in leaves.items():
         if len(set().union(*(docs[t] for t in ts))) < min_docs:
             continue
-        counts = {t: len(docs[t]) for t in ts}
-        best = max(ts, key=lambda t: (counts[t], [y.encode() for y in t]))
+        keys = defaultdict(list)
         for t in ts:
-            template[t] = (leaf, None) if sum(a == b for a, b in zip(t, best)) >= similarity * len(t) else (leaf, t)
+            templates[t].add((leaf, t))
+            tail = t[depth:]
+            pieces = math.floor(len(tail) * (1 - similarity) + 1e-9) + 1
+            for i in range(pieces if tail else 0):
+                keys[i, tail[i * len(tail) // pieces : (i + 1) * len(tail) // pieces]].append(t)
+        leads = defaultdict(set)
+        for group in keys.values():
+            lead = max(group, key=rank)
+            for t in group:
+                known = [(a, b) for a, b in zip(t[depth:], lead[depth:]) if not a == b == "<*>"]
+                same = sum(a == b for a, b in known)
+                if t != lead and same and same >= similarity * len(known):
+                    leads[t].add(lead)
+        for t, found in leads.items():
+            templates[t].add((leaf, max(found, key=rank)))
     owners = defaultdict(set)
-    for t, k in template.items():
-        owners[k] |= docs[t]
+    for t, ks in templates.items():
+        for k in ks:
+            owners[k] |= docs[t]
     out = []
     for doc, text in rows:
         me = (doc is None, doc if doc is not None else 0, text or "")
         keep = []
         for line in (text or "").split("\n"):
-            k = template.get(masked(line))
-            if k is None or len(owners[k]) < min_docs or min(owners[k]) == me:
+            found = [owners[k] for k in templates.get(masked(line), ()) if len(owners[k]) >= min_docs]
+            if all(min(o) == me for o in found):
                 keep.append(line)
         out.append((doc, text if text is None else "\n".join(keep)))
     return out

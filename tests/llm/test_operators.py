@@ -352,3 +352,29 @@ def test_line_templates_keep_different_lines(spark):
     own = [["12 7 2021", "I do not know", "5 of 9"], ["3 44 1999", "I do not care", "6 of 9"], ["8 80 800", "I do not agree", "7 of 9"]]
     same = ["1 2 3", "All rights are reserved", "Page 3 of 10"]
     assert cut_lines(spark, ["\n".join([*x, *same]) for x in own]) == [[*own[0], *same], *own[1:]]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_templates_like_brute_force(spark, seed):
+    """Leaves of several templates, numbers, short lines, odd blanks, lines that meet several leads."""
+    rng = random.Random(seed)
+    heads = ["This page was", "seen on 12", "a b c", "1 2 3", "x <*> y"]
+    tails = ["seen", "printed", "for", "by", "Ann", "Bob", "at", "the", "wiki", "7", "99", "<*>", "our"]
+    blank = lambda: rng.choice([" ", " ", " ", " ", "  ", "\t", "\r"])
+
+    def line():
+        tokens = rng.choice(heads).split(" ")[: rng.choice([1, 3, 3, 3, 3])] + rng.choices(tails, k=rng.choice([0, 1, 3, 4, 4, 5, 8]))
+        return rng.choice(["", "", "", " "]) + "".join(t + blank() for t in tokens[:-1]) + tokens[-1]
+
+    shared = [line() for _ in range(25)]
+    frames = ["This page was seen by {} on our wiki", "This page was printed for {} at the wiki", "This page was seen today at your {}"]
+    rows = []
+    for i in range(40):
+        text = [line() for _ in range(6)] + rng.sample(shared, 4) + [f.format(rng.choice(["Ann", "Bob", "Cid", "9", f"N{i}"])) for f in frames]
+        rng.shuffle(text)
+        rows.append((i if i else None, "\n".join(text)))
+    rows += [(50, rows[4][1]), (51, rows[4][1]), (4, rows[4][1]), (52, ""), (53, None), (54, "\n \n\t\n"), (55, "This page was seen today by the team")]
+    got = line_templates.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    want = brute.line_dedup(rows)
+    assert rows_of(got, "doc_id", "text") == sorted(want, key=repr)
+    assert sum(len(a[1] or "") - len(b[1] or "") for a, b in zip(rows, want)) > 2000
