@@ -75,8 +75,8 @@ def chunk_name(chunk: bytes) -> bytes:
 
 
 @lru_cache(maxsize=4)
-def token_bytes(path: str) -> tuple[list[bytes], np.ndarray, str]:
-    """The bytes of every token of a byte-level tokenizer, their numbers, and the type that holds an id."""
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, str]:
+    """The bytes of all tokens of a byte-level tokenizer in order of their ids, the numbers of bytes, and the type that holds an id."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # of the byte alphabet, those that stand for themselves
     alphabet = {chr(b): b for b in shown}
     alphabet.update({chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)})
@@ -84,7 +84,18 @@ def token_bytes(path: str) -> tuple[list[bytes], np.ndarray, str]:
     table = [b""] * (max(names.values(), default=0) + 1)
     for name, i in names.items():
         table[i] = bytes(alphabet[c] for c in name) if all(c in alphabet for c in name) else name.encode()
-    return table, np.array([len(t) for t in table], np.int64), "<u2" if len(table) <= 1 << 16 else "<u4"
+    return np.frombuffer(b"".join(table), np.uint8), np.array([len(t) for t in table], np.int64), "<u2" if len(table) <= 1 << 16 else "<u4"
+
+
+def decode(path: str, ids: np.ndarray) -> bytes:
+    """The bytes that ids stand for."""
+    table, sizes, _ = token_bytes(path)
+    firsts, out = np.cumsum(sizes) - sizes, []
+    for i in range(0, len(ids), ENCODE_BYTES):
+        part = ids[i : i + ENCODE_BYTES]
+        n = sizes[part]
+        out.append(table[np.arange(n.sum()) + np.repeat(firsts[part] - (np.cumsum(n) - n), n)].tobytes())
+    return b"".join(out)
 
 
 def encode_all(path: str, texts: list[bytes]) -> list[np.ndarray]:
@@ -128,17 +139,15 @@ def agreed(path: str, joins: list[np.ndarray], cores: list[Core]) -> list[np.nda
 
 def widened(path: str, joins: list[np.ndarray], cores: list[Core]) -> tuple[list[np.ndarray], list[Core]]:
     """The joins over every second core, encoded anew. Their texts are what their ids stand for."""
-    table = token_bytes(path)[0]
-    raw = lambda ids: b"".join([table[i] for i in ids.tolist()])
-    texts, kept = [raw(joins[0])], []
+    texts, kept = [decode(path, joins[0])], []
     for n, (core, join) in enumerate(zip(cores, joins[1:], strict=True)):
         if n % 2:
             kept.append(core)
-            texts.append(raw(join))
+            texts.append(decode(path, join))
         else:
             ids, lead, trail = core
-            part = raw(ids)
-            texts[-1] += part[lead : len(part) - trail] + raw(join)
+            part = decode(path, ids)
+            texts[-1] += part[lead : len(part) - trail] + decode(path, join)
     return encode_all(path, texts), kept
 
 
@@ -147,8 +156,7 @@ def settled(path: str, joins: list[np.ndarray], cores: list[Core]) -> tuple[int,
     while (parts := agreed(path, joins, cores)) is None:
         joins, cores = widened(path, joins, cores)
     ids = np.concatenate(parts)
-    table = token_bytes(path)[0]
-    decoded = b"".join([table[i] for i in ids.tolist()]).decode(errors="replace")
+    decoded = decode(path, ids).decode(errors="replace")
     return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 

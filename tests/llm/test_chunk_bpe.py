@@ -69,7 +69,7 @@ def test_disagreeing_joins_are_widened():
     joins = chunk_bpe.encode_all(PATH, [text[a:b] for a, b in chunk_bpe._joins(0, len(text), chunks)])
     cores = [(x, c.lead, c.trail) for x, c in zip(chunk_bpe.encode_all(PATH, [text[c.start : c.end] for c in chunks]), chunks, strict=True)]
     assert chunk_bpe.agreed(PATH, joins, cores) and chunk_bpe.settled(PATH, joins, cores) == plain(text.decode())
-    split = lambda ids: np.concatenate([np.concatenate([chunk_bpe.encode_all(PATH, [bytes([b])])[0] for b in chunk_bpe.token_bytes(PATH)[0][i]]) for i in ids.tolist()])
+    split = lambda ids: np.concatenate([np.concatenate([chunk_bpe.encode_all(PATH, [bytes([b])])[0] for b in chunk_bpe.decode(PATH, np.array([i]))]) for i in ids.tolist()])
     for k in range(6):  # a join whose tokens are single bytes: same text, other ids
         wrong = [split(x) if i == k else x for i, x in enumerate(joins)]
         assert chunk_bpe.agreed(PATH, wrong, cores) is None and chunk_bpe.settled(PATH, wrong, cores) == plain(text.decode())
