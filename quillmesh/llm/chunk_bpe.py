@@ -6,7 +6,8 @@ where they stand. A chunk's own ends mean nothing to the tokenizer, so of a chun
 cuts* count (places where a tokenizer surely starts a new word, see ``token_counts.pre_tokens``): the core between the
 second and the last but one. What lies between two cores, the join, is encoded by itself, from one sure cut before the
 left core's end to one after the right core's start. The join must give the very tokens that the chunks have there;
-where they do not agree, the join is taken wider, and at last the whole text.
+where they do not agree, the join is taken wider, and at last the whole text. A chunk is put together from its words
+between sure cuts, which a worker keeps; a join is encoded as one text, so that their agreement is a test of both.
 
 A text whose chunks all stand alone never leaves its task. Which chunks may occur twice is told by a bit map of
 ``SLOTS`` bits over the hashes of those that do; a false hit only makes a chunk shared with itself.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .blocks import cut_rows, mix, utf8
+from .blocks import cut_rows, mix, span_hashes, utf8
 from .common import stored
 from .token_counts import pre_tokens, tokenizer
 
@@ -37,6 +38,8 @@ from .token_counts import pre_tokens, tokenizer
 CUT_BITS, LEAST, MOST = 10, 256, 1 << 14
 #: Bits of the map of shared chunks (1 MB), and bytes of text encoded at a time.
 SLOTS, ENCODE_BYTES = 1 << 23, 1 << 20
+#: Words whose ids a worker keeps.
+WORDS = 1 << 19
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 
 
@@ -111,6 +114,63 @@ def encode_all(path: str, texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+class Words:
+    """Ids of texts from the words between their sure cuts, which a worker encodes once while they are kept."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.flat = np.zeros(0, token_bytes(self.path)[2])
+        self.begins, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        starts = pre_tokens(data, offsets)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        _, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        slots = np.fromiter((self.slots.get(w, -1) for w in words), np.int64, len(words))
+        if len(self.slots) + int((slots < 0).sum()) > WORDS or len(self.flat) > 8 * WORDS:
+            self.forget()
+            slots[:] = -1
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            found = encode_all(self.path, [words[i] for i in new.tolist()])
+            sizes = np.array([len(x) for x in found], np.int64)
+            self.begins = np.concatenate((self.begins, len(self.flat) + np.cumsum(sizes) - sizes))
+            slots[new] = len(self.sizes) + np.arange(len(new))
+            self.sizes, self.flat = np.concatenate((self.sizes, sizes)), np.concatenate((self.flat, *found))
+            self.slots.update(zip((words[i] for i in new.tolist()), slots[new].tolist(), strict=True))
+        slot = slots[back]
+        each = self.sizes[slot]
+        ends_ = np.cumsum(each)
+        ids = self.flat[np.repeat(self.begins[slot] - (ends_ - each), each) + np.arange(int(each.sum()))]
+        cuts = np.concatenate(([0], ends_))[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def worker_words(path: str) -> Words:
+    """One cache for all tasks of a worker."""
+    return Words(path)
+
+
+def encode_parts(path: str, parts: list[bytes]) -> list[np.ndarray]:
+    """The ids of the parts of chunks between sure cuts, a bounded number of bytes at a time."""
+    out: list[np.ndarray] = []
+    sizes, at = np.cumsum([len(t) for t in parts]), 0
+    while at < len(parts):
+        to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 4 * ENCODE_BYTES)))
+        out.extend(worker_words(path).of(parts[at:to]))
+        at = to
+    return out
+
+
 #: A chunk's part between its first and last sure cuts: its ids, and the bytes of the guards at its two sides.
 Core = tuple[np.ndarray, int, int]
 
@@ -243,7 +303,8 @@ def _pieces(docs: DataFrame, path: str, shared: np.ndarray, slots: int) -> DataF
                 cuts = pre_tokens(part, at)
                 out: list[tuple] = []
                 sent: set[bytes] = set()
-                texts: list[bytes] = []  # all that is encoded here
+                texts: list[bytes] = []  # the joins, which the library encodes whole
+                parts: list[bytes] = []  # of the chunks that stand alone
                 plans = []
                 for k, (start, end, ends) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), chunk_ends(part, at), strict=True)):
                     own = cuts[np.searchsorted(cuts, start, "right") : np.searchsorted(cuts, end)]
@@ -252,18 +313,16 @@ def _pieces(docs: DataFrame, path: str, shared: np.ndarray, slots: int) -> DataF
                     refs = [int(bits[(s := _slot(n, slots)) >> 6]) >> (s & 63) & 1 for n in names]
                     chunks = [c for _, _, c in cored]
                     spans = _joins(start, end, chunks)
-                    first = len(texts)
+                    plans.append((k, start, end, chunks, names, refs, len(texts)))
                     texts.extend(part[a:b].tobytes() for a, b in spans)
-                    texts.extend(part[c.start : c.end].tobytes() for c, ref in zip(chunks, refs, strict=True) if not ref)
-                    plans.append((k, start, end, chunks, names, refs, first))
-                found = encode_all(path, texts)
+                    parts.extend(part[c.start : c.end].tobytes() for c, ref in zip(chunks, refs, strict=True) if not ref)
+                found, rest = encode_all(path, texts), iter(encode_parts(path, parts))
                 for k, start, end, chunks, names, refs, first in plans:
                     row, doc = ids_[i + k], docs_[i + k]
                     if start == end:
                         out.append((row, doc, "done", None, None, None, None, None, 0, empty, empty))
                         continue
                     joins = found[first : first + len(chunks) + 1]
-                    rest = iter(found[first + len(chunks) + 1 :])
                     if not any(refs):
                         cores = [(next(rest), c.lead, c.trail) for c in chunks]
                         out.append((row, doc, "done", None, None, None, None, None, *settled(path, joins, cores)))
@@ -288,7 +347,7 @@ def _encoded(texts: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [x.tobytes() for x in encode_all(path, batch.column(1).to_pylist())]
+            ids = [x.tobytes() for x in encode_parts(path, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["name", "ids"])
 
     return texts.groupBy("name").agg(F.max("ids").alias("ids")).mapInArrow(run, "name binary, ids binary")
