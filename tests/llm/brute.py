@@ -275,3 +275,23 @@ def merkle(rows, fan=3):
             outer, node = climb(top, k, node)
             out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], sha("".join(inner + outer)), node, node == top[-1][0]))
     return out
+
+
+def five_grams(text):
+    w = [x.lower() for x in words(text)]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def alike(x, y, least=0.8):
+    return len(x & y) >= least * len(x | y)
+
+
+def one_of_similar(rows):
+    """The least id of each component of texts whose five-grams are alike; ids differ."""
+    sets, group = [five_grams(t) for _, t in rows], [d for d, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) and group[i] != group[j]:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return sorted(set(group))

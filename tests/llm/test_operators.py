@@ -299,11 +299,6 @@ def test_mixing_draws(spark):
     assert rows_of(plan, "doc_id", "source", "copies") == sorted(((d, s, n) for (d, _, s), n in brute.mix(rows).items()), key=repr)
 
 
-def five_grams(text):
-    w = [x.lower() for x in brute.words(text)]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-
-
 def test_near_copies_by_five_words(spark):
     """Near copies of short and long texts at 0.8 and above, most of them over 4 bits apart, and others below."""
     rng = random.Random(11)
@@ -317,22 +312,62 @@ def test_near_copies_by_five_words(spark):
                 near[k] = f"new{rng.randrange(10**6)}"
             texts.append(" ".join(near))
     texts += [None, "", " \n", "Two words", "two  WORDS"]
-    sets, prints, group = [five_grams(t) for t in texts], [brute.simhash(t) for t in texts], list(range(len(texts)))
-    missed = 0
-    for i in range(len(texts)):
-        for j in range(i):
-            alike, bits = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]), (prints[i] ^ prints[j]).bit_count() <= 4
-            missed += alike and not bits
-            if alike or bits:
-                old, new = group[i], group[j]
-                group = [new if g == old else g for g in group]
-    assert missed > 20
-    least = sorted(min(i for i, g in enumerate(group) if g == x) for x in set(group))
+    sets, prints = [brute.five_grams(t) for t in texts], [brute.simhash(t) for t in texts]
+    apart = [(brute.alike(sets[i], sets[j]), (prints[i] ^ prints[j]).bit_count() <= 4) for i in range(len(texts)) for j in range(i)]
+    assert apart.count((True, False)) > 20
+    least = brute.one_of_similar(list(enumerate(texts)))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in similar.keep_one_similar(docs).collect()) == least
     assert similar.keep_one_similar(docs.limit(0)).count() == 0
 
 
+def kept_ids(spark, texts):
+    return sorted(r.doc_id for r in similar.keep_one_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def framed(rng, frame, own):
+    return " ".join([*frame, *(f"w{rng.randrange(10**6)}" for _ in range(own))])
+
+
+def test_near_copies_of_framed_pages(spark):
+    """Pages of one frame stay unless they are alike; each near copy in their large buckets is found."""
+    rng = random.Random(5)
+    frame = [f"f{i}" for i in range(260)]
+    pages = [framed(rng, frame, 60) for _ in range(160)]
+    near = []
+    for page in pages:
+        words = page.split()
+        words[300] = "other"
+        near.append(" ".join(words))
+    assert all(brute.alike(brute.five_grams(a), brute.five_grams(b)) for a, b in zip(pages, near))
+    assert kept_ids(spark, pages + near) == list(range(160))
+
+
+def test_near_copies_of_known_passages(spark, monkeypatch):
+    """Pages put together from few passages have no rare gram: buckets are compared by pivots."""
+    rng = random.Random(6)
+    passages = [[f"p{i}w{k}" for k in range(20)] for i in range(24)]
+    picks = [sorted(rng.sample(range(24), 16)) for _ in range(120)]
+    picks += [sorted({*p, *rng.sample([x for x in range(24) if x not in p], 1)}) for p in picks[:40]]
+    texts = [" ".join(w for i in p for w in [*passages[i], f"end{i}", "of", "this", "part", f"p{i}"]) for p in picks]
+    want = brute.one_of_similar(list(enumerate(texts)))
+    assert 20 < len(want) < 150
+    rounds = []
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    assert kept_ids(spark, texts) == want
+    assert len(rounds) > 2  # stars, rare grams, and rounds of pivots
+
+
+def test_near_copies_hold_other_columns_and_ids(spark):
+    """Repeated ids with different texts, repeated rows, and columns named like those of the operator."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, 7, 1), (1, "other words than those above here", 7, 2), (2, long + " end", 8, 3), (2, long + " end", 8, 3), (None, long, 9, 4)]
+    got = similar.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string, digest long, root long"))
+    assert got.columns == ["doc_id", "text", "digest", "root"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(rows[:2])
+
+
 def cut_lines(spark, texts):
     got = line_templates.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     return [r.text.split("\n") for r in got.orderBy("doc_id").collect()]

@@ -30,7 +30,7 @@ def test_pipeline(spark, tmp_path):
     kept = [r for r in rows if brute.quality(r[1])[-1]]
     texts = dict(brute.line_dedup([(d, t) for d, t, _ in kept]))
     kept = [(d, texts[d], s) for d, _, s in kept]
-    least = {c for _, _, c in brute.components([(d, t) for d, t, _ in kept])}
+    least = set(brute.one_of_similar([(d, t) for d, t, _ in kept]))
     kept = [r for r in kept if r[0] in least]
     copies = brute.mix(kept)
     tok = token_counts.tokenizer(queries.tokenizer_path("word_bpe_49k.json"))
