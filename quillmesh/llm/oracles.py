@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_templates import LICENSE_WORDS, TEMPLATES
+from .license_templates import BARE, LICENSE_WORDS, TEMPLATES, VARIANTS, VERSION, WINDOW
 from .spotsigs import ANCHORS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -83,18 +83,26 @@ FROM o GROUP BY doc_id
 
 _FORMS = ", ".join(f"('{name}', '{name}#{i}', '{text}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts))
 _TERMS = r"regexp_extract_all(lower({}), '[a-z0-9]+(?:\.[0-9]+)*')"
+_NOTICES = ", ".join(f"array_to_string(lines[greatest(i - {back}, 1):greatest(i - {back}, 1) + {n - 1}], ' ')" for n in range(1, WINDOW + 1) for back in range(n))
+_VERSIONS = f"list_filter(list_transform({_TERMS}, lambda t: regexp_extract(t, '{VERSION}', 1)), lambda v: v <> '')"
+_NAMED = "CASE regexp_extract(t, '" + BARE + "', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VARIANTS.items()) + " END"
+_VARIANTS = f"list_sort(list_distinct(list_filter(list_transform({_TERMS}, lambda t: {_NAMED}), lambda v: v IS NOT NULL)))"
+
 OP8 = f"""
 WITH d AS (SELECT doc_id, CASE WHEN regexp_matches(lower(lines[-1]), '{LICENSE_WORDS}') AND lang = 'en' THEN concat_ws('/', source, 'LICENSE-' || doc_id)
     WHEN regexp_matches(lower(lines[-1]), '{LICENSE_WORDS}') THEN concat_ws('/', source, lang, 'LICENSE-' || doc_id) ELSE concat_ws('/', source, lang, doc_id || '.txt') END AS path, lines
   FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)),
-l AS (SELECT path, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(lower(x), '{LICENSE_WORDS}')))) AS line FROM d),
+l AS (SELECT path, unnest(list_distinct(flatten(list_transform(list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lower(lines[i]), '{LICENSE_WORDS}')), lambda i: [{_NOTICES}])))) AS line FROM d),
 u AS (SELECT line, count(*) AS n FROM l GROUP BY line),
 c AS (SELECT line, n, term, count(*) AS tf FROM (SELECT line, n, unnest({_TERMS.format("line")}) AS term FROM u) GROUP BY ALL),
 k AS (SELECT license, form, term, count(*) AS tf FROM (SELECT license, form, unnest({_TERMS.format("txt")}) AS term FROM (VALUES {_FORMS}) t(license, form, txt)) GROUP BY ALL),
 f AS (SELECT term, ln(((SELECT sum(n) FROM u) + 1.0::DOUBLE) / (sum(df) + 1.0::DOUBLE)) + 1.0 AS idf FROM (SELECT term, n AS df FROM c UNION ALL SELECT term, 0 FROM k) GROUP BY term),
 a AS (SELECT line, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY line)) AS w FROM c JOIN f USING (term)),
 b AS (SELECT license, form, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license, form)) AS w FROM k JOIN f USING (term)),
-s AS (SELECT line, license, round(sum(a.w * b.w), 6) AS score FROM a JOIN b USING (term) GROUP BY line, license, form HAVING score >= 0.6),
+q AS (SELECT line, license, form, round(sum(a.w * b.w), 6) AS score FROM a JOIN b USING (term) GROUP BY line, license, form HAVING score >= 0.6),
+x AS (SELECT line, {_VERSIONS.format("line")} AS ver, {_VARIANTS.format("line")} AS var FROM u),
+y AS (SELECT license, form, {_VERSIONS.format("txt")} AS ver, {_VARIANTS.format("txt")} AS var FROM (VALUES {_FORMS}) t(license, form, txt)),
+s AS (SELECT line, license, score FROM q JOIN x USING (line) JOIN y USING (license, form) WHERE len(y.ver) = 0 OR list_has_any(x.ver, y.ver) AND x.var = y.var),
 o AS (SELECT path, arg_min(license, (-score, license)) AS own_license, max(score) AS own_score FROM l JOIN s USING (line) GROUP BY path),
 g AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, arg_min(own_license, (-own_score, own_license)) AS given FROM o WHERE regexp_matches(path, '(^|/)LICENSE-[^/]*$') GROUP BY folder),
 p AS (SELECT path, string_split(path, '/') AS parts FROM d LEFT JOIN o USING (path) WHERE own_license IS NULL),

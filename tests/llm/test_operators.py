@@ -368,6 +368,23 @@ def test_near_copies_hold_other_columns_and_ids(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(rows[:2])
 
 
+def test_license_versions_and_variants(spark):
+    """Each notice 20 times: versions and variants of a licence are told apart, and unknown ones are none."""
+    notices = {
+        "GNU General Public License, version 2.": "GPL-2.0", "Licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0", "Licensed under the LGPLv2.1.": "LGPL-2.1",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY 3.0.": None,
+        "Licensed under the BSD 2-Clause License.": "BSD-2-Clause", "Licensed under the BSD 3-Clause License.": "BSD-3-Clause", "Licensed under the BSD 4-Clause License.": None,
+        "Licensed under the MIT License.": "MIT", "# http://www.apache.org/licenses/LICENSE-2.0": "Apache-2.0", "Licensed under the Apache License, Version 1.1.": None,
+        "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License\n// version 2.": "GPL-2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appear in all copies.": "ISC",
+        "Copyright 2024 Some Firm SA, 3 rooms. All rights reserved.": "Proprietary",
+    }
+    files = spark.createDataFrame([(k * 20 + i, f"d{k}/f{i}.py", f"{n}\nx = {i}") for k, n in enumerate(notices) for i in range(20)], "doc_id long, path string, text string")
+    got = {r.doc_id // 20: r.own_license for r in license_templates.scan_licenses(files, ["doc_id"]).collect()}
+    assert {n: got[k] for k, n in enumerate(notices)} == notices
+
+
 def cut_lines(spark, texts):
     got = line_templates.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     return [r.text.split("\n") for r in got.orderBy("doc_id").collect()]
