@@ -124,11 +124,14 @@ def variants(found: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(named, lambda v: v.isNotNull())))
 
 
-def notices(text: Column) -> Column:
-    """The lines with a licence word, each in every run of up to ``WINDOW`` lines that holds it."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    marked = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.lower(F.element_at(lines, i)).rlike(LICENSE_WORDS))
-    return F.array_distinct(F.flatten(F.transform(marked, lambda i: F.array(*(F.array_join(F.slice(lines, F.greatest(i - back, F.lit(1)), n), " ") for n in range(1, WINDOW + 1) for back in range(n))))))
+def notices(lines: Column) -> Column:
+    """The lines with a licence word, each in every run of up to ``WINDOW`` lines that holds it.
+
+    ``lines`` should be a plain column: an expression would be computed again for each notice.
+    """
+    marked = F.filter(F.transform(lines, lambda x, i: F.when(F.lower(x).rlike(LICENSE_WORDS), i + 1)), lambda i: i.isNotNull())
+    runs = F.transform(marked, lambda i: F.array(*(F.array_join(F.slice(lines, F.greatest(i - back, F.lit(1)), n), " ") for n in range(1, WINDOW + 1) for back in range(n))))
+    return F.array_distinct(F.flatten(runs))
 
 
 def _weights(counted: DataFrame, idf: DataFrame, key: list[str]) -> DataFrame:
@@ -168,7 +171,9 @@ def folders(path: Column) -> Column:
 
 def scan_licenses(files: DataFrame, keep: Sequence[str] = (), templates: Mapping[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """From (path, text): the columns to ``keep``, path, own_license, own_score, license, inherited_from; one row per row."""
-    rows = files.select(F.struct(*keep, F.col("path")).alias("row"), "path", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"), notices(F.col("text")).alias("notices"))
+    text = F.coalesce("text", F.lit(""))
+    rows = files.select(F.struct(*keep, F.col("path")).alias("row"), "path", F.xxhash64(text).alias("digest"), F.split(text, "\n").alias("lines"))
+    rows = rows.select("row", "path", "digest", notices(F.col("lines")).alias("notices"))
     rows = stored(rows)
     lines = rows.select("path", "digest", F.explode("notices").alias("line")).withColumn("line_id", F.xxhash64("line"))
     scored = score_lines(lines.select("line_id", "line"), templates, threshold)
