@@ -19,19 +19,19 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 OP2 = f"""
 WITH w AS (SELECT doc_id, text, {WORDS} AS w FROM documents),
 g AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM w, unnest([3, 5, 6, 7, 8, 9, 10]) t(n))),
-c AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, s) AS k FROM g) WHERE k > 1),
+c AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, s) AS k FROM g) WHERE k >= CASE WHEN n > 5 THEN 3 ELSE 2 END),
 r AS (SELECT doc_id, n, count(*) AS k, sum(len(w[i])) AS chars FROM c JOIN w USING (doc_id) GROUP BY ALL),
-x AS (SELECT doc_id, max(k) FILTER (n = 3) AS k3, max(chars) FILTER (n > 3) AS gram_chars FROM r GROUP BY doc_id),
+x AS (SELECT doc_id, max(k) FILTER (n = 3) AS k3, {", ".join(f"max(chars) FILTER (n = {n}) AS chars_{n}" for n in range(5, 11))} FROM r GROUP BY doc_id),
 l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM w),
 d AS (SELECT doc_id, sum(n - 1) AS n_dup, sum((n - 1) * chars) AS dup_chars FROM (
   SELECT doc_id, count(*) AS n, len(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM l GROUP BY doc_id, line) WHERE chars > 0 GROUP BY doc_id),
 b AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda y: len(y))), 0)::BIGINT AS word_chars,
   len(coalesce(text, '')) - len(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_dup, 0)::BIGINT AS n_dup_lines, coalesce(k3, 0)::BIGINT AS n_repeat_words,
-  coalesce(dup_chars, 0)::DOUBLE / greatest(word_chars, 1) AS dup_line_share, coalesce(gram_chars, 0)::DOUBLE / greatest(word_chars, 1) AS dup_gram_share
+  coalesce(dup_chars, 0)::DOUBLE / greatest(word_chars, 1) AS dup_line_share, {", ".join(f"coalesce(chars_{n}, 0)::DOUBLE / greatest(word_chars, 1) AS gram_share_{n}" for n in range(5, 11))}
   FROM w LEFT JOIN x USING (doc_id) LEFT JOIN d USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
-SELECT *, NOT (base_failed OR dup_gram_share > 0.30 OR dup_line_share > 0.20) AS kept FROM f
+SELECT *, NOT (base_failed OR gram_share_5 > 0.30 OR gram_share_6 > 0.28 OR gram_share_7 > 0.26 OR gram_share_8 > 0.24 OR gram_share_9 > 0.22 OR gram_share_10 > 0.20 OR dup_line_share > 0.20) AS kept FROM f
 """
 
 _STOPS = ", ".join(f"'{a}'" for a in dict.fromkeys(ANCHORS))

@@ -4,6 +4,10 @@ A document fails if too large a share of its word characters lies inside duplica
 length, or inside lines that repeat an earlier one. Rolling hashes find the n-grams; a start whose n-gram
 occurs once cannot start a longer duplicated one, so each length looks only at what the shorter one left.
 
+Every length has a share and a limit of its own. The shortest counts n-grams found twice or more; the longer
+ones, whose limits fall, count those found three times or more, so that a sentence at the head and foot of a
+text is no fault, while a passage that keeps coming back is one at a smaller share.
+
 Defined results: null and blank texts have no words and fail the word minimum; repeated rows get one row
 each; an empty table gives an empty result; other columns are kept by ``keep_documents`` and ignored else.
 """
@@ -22,10 +26,9 @@ from .blocks import Block, blocks, inside, mix, window_hashes, word_hashes
 
 MIN_WORDS = 50
 BASE_WINDOW, BASE_PERCENT = 3, 50
-#: Word n-gram lengths, the largest share of word characters inside duplicated n-grams of any of them (all
-#: occurrences count, so a sentence at head and foot of a short text stays below), and inside repeated lines.
-GRAMS = (5, 6, 7, 8, 9, 10)
-GRAM_SHARE = 0.30
+#: Per word n-gram length: how often an n-gram has to occur, and the largest share of word characters inside
+#: such n-grams (all occurrences count). Then the largest share inside repeated lines.
+GRAMS = {5: (2, 0.30), 6: (3, 0.28), 7: (3, 0.26), 8: (3, 0.24), 9: (3, 0.22), 10: (3, 0.20)}
 LINE_SHARE = 0.20
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -33,7 +36,7 @@ _SYMBOL[list(SYMBOLS)] = True
 _DROP = {ord(c): None for c in " \t\n\x0b\x0c\r"}
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
-    "dup_line_share double, dup_gram_share double"
+    "dup_line_share double, " + ", ".join(f"gram_share_{n} double" for n in GRAMS)
 )
 
 
@@ -42,15 +45,14 @@ def _per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Whether each key occurs again. A count of low bits first sets aside what is surely single."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    slots = (keys & np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)).astype(np.int64)
-    out = np.bincount(slots)[slots] > 1
-    left = np.flatnonzero(out)
-    _, place, counts = np.unique(keys[left], return_inverse=True, return_counts=True)
-    out[left] = counts[place] > 1
+def _occurrences(keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs. A count of low bits first sets aside what is surely single."""
+    out = np.ones(len(keys), np.int64)
+    if len(keys):
+        slots = (keys & np.uint64((1 << max(4, (4 * len(keys)).bit_length())) - 1)).astype(np.int64)
+        left = np.flatnonzero(np.bincount(slots)[slots] > 1)
+        _, place, counts = np.unique(keys[left], return_inverse=True, return_counts=True)
+        out[left] = counts[place]
     return out
 
 
@@ -68,18 +70,17 @@ def _measure(block: Block) -> dict[str, np.ndarray]:
     out = {"n_words": block.n_words, "word_chars": _per_doc(chars, block.first), "n_symbols": _per_doc(_SYMBOL[block.data], block.offsets)}
     hashes = word_hashes(block)
     live = None
-    shares = []
     for size in (BASE_WINDOW, *GRAMS):
         fits = inside(block, size)
         rolled = window_hashes(hashes, size)
         starts = np.flatnonzero(fits) if live is None else live[(live < len(fits))][fits[live[live < len(fits)]]]
-        live = starts[_repeated(rolled[starts] ^ mix(docs[starts].astype(np.uint64) + np.uint64(1)))]
-        covered = _covered(live, size, n)
+        times = _occurrences(rolled[starts] ^ mix(docs[starts].astype(np.uint64) + np.uint64(1)))
+        live = starts[times > 1]
         if size == BASE_WINDOW:
-            out["n_repeat_words"] = _per_doc(covered, block.first)
+            out["n_repeat_words"] = _per_doc(_covered(live, size, n), block.first)
         else:
-            shares.append(_per_doc(np.where(covered, chars, 0), block.first) / np.maximum(out["word_chars"], 1))
-    out["dup_gram_share"] = np.max(shares, axis=0)
+            covered = _covered(starts[times >= GRAMS[size][0]], size, n)
+            out[f"gram_share_{size}"] = _per_doc(np.where(covered, chars, 0), block.first) / np.maximum(out["word_chars"], 1)
     return out
 
 
@@ -110,7 +111,9 @@ def _judge(texts: pa.Array) -> dict[str, list]:
         found["n_dup_lines"] = np.array(n_dup, np.int64)
         found["dup_line_share"] = np.array(dup_chars, np.int64) / np.maximum(found["word_chars"], 1)
         found["base_failed"] = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > BASE_PERCENT * found["n_words"])
-        rejected = (found["dup_gram_share"] > GRAM_SHARE) | (found["dup_line_share"] > LINE_SHARE)
+        rejected = found["dup_line_share"] > LINE_SHARE
+        for size, (_, limit) in GRAMS.items():
+            rejected |= found[f"gram_share_{size}"] > limit
         found["kept"] = ~(found["base_failed"] | rejected)
         for k, v in found.items():
             out.setdefault(k, []).extend(v.tolist())

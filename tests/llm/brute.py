@@ -39,9 +39,14 @@ def substring_dedup(rows, window=50):
     return out
 
 
-def repeated(w, n):
+def repeated(w, n, times=2):
     c = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-    return {j for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+    return {j for i in range(len(w) - n + 1) if c[tuple(w[i : i + n])] >= times for j in range(i, i + n)}
+
+
+def gram_shares(text):
+    w = words(text or "")
+    return {n: sum(len(w[i]) for i in repeated(w, n, 2 if n == 5 else 3)) / max(sum(map(len, w)), 1) for n in range(5, 11)}
 
 
 def quality(text):
@@ -56,8 +61,8 @@ def quality(text):
         seen.add(line)
     k = len(repeated(w, 3))
     base = len(w) < 50 or 100 * k > 50 * len(w)
-    share = max(sum(len(w[i]) for i in repeated(w, n)) for n in range(5, 11)) / max(chars, 1)
-    kept = not base and share <= 0.30 and sum(again) / max(chars, 1) <= 0.20
+    limits = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
+    kept = not base and all(v <= limits[n] for n, v in gram_shares(text).items()) and sum(again) / max(chars, 1) <= 0.20
     return len(w), chars, len(re.findall(r"[#*$%&|<>]", text)), len(again), k, base, kept
 
 

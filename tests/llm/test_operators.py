@@ -97,6 +97,24 @@ def test_quality_rules_repetition(spark):
     assert {r.doc_id for r in got.collect() if r.kept} == {0}
 
 
+def test_quality_rules_every_length_counts(spark):
+    word = (f"w{i:04d}" for i in range(10_000))
+    fresh = lambda n: [next(word) for _ in range(n)]
+    thrice, twice, pieces = fresh(24), fresh(60), [fresh(5) for _ in range(20)]
+    texts = {
+        "long alone": fresh(90) + thrice + fresh(90) + thrice + fresh(90) + thrice,
+        "short alone": sum(([*p, *fresh(9)] for p in pieces + pieces), []),
+        "head and foot": twice + fresh(300) + twice,
+    }
+    got = quality_rules.judge_documents(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id string, text string"))
+    broken = {r.doc_id: [n for n, (_, limit) in quality_rules.GRAMS.items() if r[f"gram_share_{n}"] > limit] for r in got.collect()}
+    assert broken == {"long alone": [10], "short alone": [5], "head and foot": []}
+    assert {r.doc_id for r in got.collect() if r.kept} == {"head and foot"}
+    for r in got.collect():
+        want = brute.gram_shares(" ".join(texts[r.doc_id]))
+        assert all(abs(r[f"gram_share_{n}"] - want[n]) < 1e-12 for n in quality_rules.GRAMS)
+
+
 def test_spot_signatures(docs, empty):
     got = {(r.doc_id, r.fingerprint): r for r in spotsigs.fingerprint_edits(docs).collect()}
     assert spotsigs.fingerprint_edits(docs).count() == len(ROWS)
