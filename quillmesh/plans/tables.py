@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import misc as M
 from ..functions import paths as P
+from ..operators import constraints as K
 from ..operators import items as I
 from ..operators import joins as J
 from ..operators import messages as MS
@@ -255,6 +256,67 @@ def _(t):
     return Q.apply_defaults(t.documents.join(t.labels, "doc_id", "left"), {"quality": -1, "status": "active"}).select("doc_id", "quality", "status")
 
 
+# ---- constraint catalog ---------------------------------------------------------------
+
+CATALOG = {
+    "nation": K.Rules(
+        types={"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}, required=("n_nationkey", "n_name"), checks={"name": "n_name = upper(n_name)"},
+        keys=(("n_nationkey",), ("n_regionkey",)), references=(K.Reference(("n_regionkey",), "region", ("r_regionkey",)),),
+    ),
+    "customer": K.Rules(
+        types={"c_custkey": "bigint", "c_name": "string", "c_mktsegment": "string"}, required=("c_custkey", "c_name"),
+        checks={"balance": "c_acctbal >= 0", "segment": "c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')"},
+        keys=(("c_custkey",),), references=(K.Reference(("c_nationkey",), "nation", ("n_nationkey",)),),
+    ),
+    "orders": K.Rules(
+        types={"o_orderkey": "bigint", "o_totalprice": "tinyint"}, required=("o_orderkey", "o_custkey", "o_orderdate"),
+        checks={"status": "o_orderstatus IN ('O', 'F')", "price": "o_totalprice > 1500"},
+        keys=(("o_orderkey",), ("o_custkey", "o_orderdate")), references=(K.Reference(("o_custkey",), "rich_customer", ("c_custkey",)),),
+    ),
+    "lineitem": K.Rules(
+        types={"l_orderkey": "bigint", "l_quantity": "double", "l_net": "double"}, required=("l_orderkey", "l_linenumber"),
+        generated={"l_net": "l_extendedprice * (1 - l_discount)"}, checks={"discount": "l_discount BETWEEN 0 AND 0.05", "net": "l_net >= 1000", "flag": "l_returnflag <> 'R' OR l_linestatus = 'F'"},
+        keys=(("l_orderkey", "l_linenumber"),), references=(K.Reference(("l_orderkey",), "open_orders", ("o_orderkey",)), K.Reference(("l_partkey",), "part", ("p_partkey",))),
+    ),
+}
+
+
+def _dup_sql(table: str, cols: str) -> str:
+    return f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM {table} GROUP BY {cols} HAVING count(*) > 1))"
+
+
+@query(
+    "constraint_report",
+    f"""SELECT 'nation' AS "table", unnest(['type n_nationkey', 'type n_name', 'type n_regionkey', 'required n_nationkey', 'required n_name', 'check name', 'key n_nationkey', 'key n_regionkey', 'reference n_regionkey -> region']) AS rule,
+      unnest([0, 0, 0, 0, 0, (SELECT count(*) FROM nation WHERE n_name <> upper(n_name)), {_dup_sql("nation", "n_nationkey")}, {_dup_sql("nation", "n_regionkey")}, (SELECT count(*) FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region))])::BIGINT AS violations
+    UNION ALL SELECT 'customer', unnest(['type c_custkey', 'type c_name', 'type c_mktsegment', 'required c_custkey', 'required c_name', 'check balance', 'check segment', 'key c_custkey', 'reference c_nationkey -> nation']),
+      unnest([0, 0, 0, 0, 0, (SELECT count(*) FROM customer WHERE c_acctbal < 0), (SELECT count(*) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')), {_dup_sql("customer", "c_custkey")}, (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation))])
+    UNION ALL SELECT 'orders', unnest(['type o_orderkey', 'type o_totalprice', 'required o_orderkey', 'required o_custkey', 'required o_orderdate', 'check status', 'check price', 'key o_orderkey', 'key o_custkey, o_orderdate', 'reference o_custkey -> rich_customer']),
+      unnest([0, (SELECT count(*) FROM orders WHERE trunc(o_totalprice) NOT BETWEEN -128 AND 127), 0, 0, 0, (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('O', 'F')), (SELECT count(*) FROM orders WHERE o_totalprice <= 1500), {_dup_sql("orders", "o_orderkey")}, {_dup_sql("orders", "o_custkey, o_orderdate")},
+        (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))])
+    UNION ALL SELECT 'lineitem', unnest(['type l_orderkey', 'type l_quantity', 'required l_orderkey', 'required l_linenumber', 'check discount', 'check net', 'check flag', 'key l_orderkey, l_linenumber', 'reference l_orderkey -> open_orders', 'reference l_partkey -> part']),
+      unnest([0, 0, 0, 0, (SELECT count(*) FROM lineitem WHERE NOT l_discount BETWEEN 0 AND 0.05), (SELECT count(*) FROM lineitem WHERE l_extendedprice * (1 - l_discount) < 1000), (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'F'), {_dup_sql("lineitem", "l_orderkey, l_linenumber")},
+        (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')), (SELECT count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))])""",
+)
+def _(t):
+    names = ("region", "nation", "customer", "orders", "lineitem", "part")
+    views = {"rich_customer": t.customer.where("c_acctbal > 0"), "open_orders": t.orders.where("o_orderstatus <> 'F'")}
+    return K.report({**{n: getattr(t, n) for n in names}, **views}, CATALOG)
+
+
+@query(
+    "conform_messages",
+    """SELECT conv_id AS sender_id, turn::BIGINT AS receiver_id, CASE WHEN role = 'user' THEN text END AS content,
+    CASE WHEN role = 'user' THEN 'info' ELSE role END AS msg_type, '{}' AS metadata, false AS read FROM conversations""",
+)
+def _(t):
+    user = F.col("role") == "user"
+    raw = t.conversations.select(
+        F.col("conv_id").cast("string").alias("sender_id"), F.col("turn").alias("receiver_id"), F.when(user, F.col("text")).alias("content"), F.when(~user, F.col("role")).alias("msg_type"), F.lit("dropped").alias("extra"),
+    )
+    return K.conform(raw, K.store_rules("agent_messages")).drop("id", "created_at", "updated_at")
+
+
 @query(
     "risk_gate",
     """SELECT c_custkey::VARCHAR AS patch_id, o_totalprice AS risk_score FROM customer JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1) ON o_custkey = c_custkey
