@@ -63,9 +63,16 @@ def running_sum(
     return df.withColumn("_local", local).join(offsets, part).withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str | Column], out: str = "n") -> DataFrame:
-    """1-based position inside each key, without sorting a key in one task."""
-    return running_sum(df.withColumn("_one", F.lit(1).cast("bigint")), keys, slice_col, order, "_one", out).drop("_one")
+def following(df: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str | Column], value: str, out: str) -> DataFrame:
+    """``value`` of the next row of the key, which must not be null in any row; null after the last.
+
+    Inside a slice it is a lead; the last row of a slice takes the first one of the key's next slice.
+    """
+    part = [*keys, slice_col]
+    here = F.lead(value).over(Window.partitionBy(*part).orderBy(*_order(order)))
+    first = df.groupBy(*part).agg(F.min_by(value, F.struct(*_order(order))).alias("_first"))
+    after = first.select(*part, F.lead("_first").over(Window.partitionBy(*keys).orderBy(slice_col)).alias("_after")).where("_after IS NOT NULL")
+    return df.withColumn("_here", here).join(after, part, "left").withColumn(out, F.coalesce("_here", "_after")).drop("_here", "_after")
 
 
 def carry_last(
@@ -131,17 +138,19 @@ def phase_durations(events: DataFrame, order: Sequence[str] = ("seq",), width: s
     Input: run_id, phase, event (begin/end), status, ts and the ``order`` of events with one ts; a ``step``
     column, if there, is part of the key. An end closes the latest open begin of its key. With begins counted
     up and ends down, begins and ends between two levels of that count alternate, so a begin's end is the next
-    row of its level. Both counts are two-level over slices of time: no key is sorted in one task.
+    row of its level. The count and the next row are two-level over slices of time, so no key is sorted in one
+    task; both work on one exchange of the events by key and slice.
     """
     keys = ["run_id", "phase", *(["step"] if "step" in events.columns else [])]
     at = ["ts", *order]
-    e = events.where(F.col("event").isin("begin", "end")).withColumn("_s", F.date_trunc(width, "ts"))
     begins = F.col("event") == "begin"
+    e = events.where(F.col("event").isin("begin", "end")).withColumn("_s", F.date_trunc(width, "ts"))
     e = running_sum(e.withColumn("_up", F.when(begins, 1).otherwise(-1).cast("bigint")), keys, "_s", at, "_up", "_level")
     e = e.withColumn("_level", F.when(begins, F.col("_level") - 1).otherwise(F.col("_level")))
-    e = numbered(e, [*keys, "_level"], "_s", at, "_n")
-    ends = e.where(~begins).select(*keys, "_level", (F.col("_n") - 1).alias("_n"), F.col("ts").alias("end_ts"), F.col("status").alias("_end"))
-    j = e.where(begins).select(*keys, "_level", "_n", F.col("ts").alias("begin_ts")).join(ends, [*keys, "_level", "_n"], "left")
+    e = e.withColumn("_row", F.struct(F.col("event"), F.col("ts"), F.col("status")))
+    e = following(e, [*keys, "_level"], "_s", at, "_row", "_next").where(begins)
+    closed = F.col("_next.event") == "end"
+    j = e.select(*keys, F.col("ts").alias("begin_ts"), F.when(closed, F.col("_next.ts")).alias("end_ts"), F.when(closed, F.col("_next.status")).alias("_end"))
     us = F.unix_micros(F.col("end_ts").cast("timestamp")) - F.unix_micros(F.col("begin_ts").cast("timestamp"))
     status = F.when(F.col("end_ts").isNull(), "open").when(F.col("_end") == "error", "error").otherwise("ok")
     return j.select(*keys, "begin_ts", "end_ts", F.floor(us / 1000).cast("bigint").alias("dur_ms"), status.alias("status"))
