@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import paths as P
 from ..functions.misc import megapixel_bucket
@@ -16,78 +18,83 @@ def _uint(content: Column, start: int, n: int, little: bool = False) -> Column:
     return F.conv(raw, 16, 10).cast("bigint")
 
 
+#: Of an SVG only the opening tag counts; numbers are cut to whole ones.
+_SVG_SIDE = r"""\b%s="\s*([0-9.]+)"""
+_SVG_BOX = r"""\bviewBox="\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)"""
+
+
+def _made(width: Column, height: Column, kind: str) -> Column:
+    return F.struct(width.cast("bigint").alias("width"), height.cast("bigint").alias("height"), F.lit(kind).alias("format"))
+
+
+def _webp_size(c: Column) -> Column:
+    """Canvas of an extended file, frame of a lossy one, first bits of a lossless one."""
+    kind, n = F.substring(c, 13, 4).cast("string"), F.octet_length(c)
+    bits, low = _uint(c, 22, 4, True), lambda v: v.bitwiseAND(F.lit(0x3FFF))
+    return (
+        F.when((kind == "VP8X") & (n >= 30), _made(_uint(c, 25, 3, True) + 1, _uint(c, 28, 3, True) + 1, "webp"))
+        .when((kind == "VP8 ") & (n >= 30), _made(low(_uint(c, 27, 2, True)), low(_uint(c, 29, 2, True)), "webp"))
+        .when((kind == "VP8L") & (n >= 25), _made(low(bits) + 1, low(F.shiftright(bits, 14)) + 1, "webp"))
+        .otherwise(_made(F.lit(None), F.lit(None), "webp"))
+    )
+
+
+def _svg_size(c: Column) -> Column:
+    tag = F.regexp_extract(F.make_valid_utf8(c.cast("string")), r"(?s)<svg\b[^>]*>", 0)
+
+    def side(name: str, place: int) -> Column:
+        stated, box = F.regexp_extract(tag, _SVG_SIDE % name, 1), F.regexp_extract(tag, _SVG_BOX, place)
+        return F.coalesce(F.nullif(stated, F.lit("")), F.nullif(box, F.lit(""))).try_cast("double")
+
+    return F.when(tag != "", _made(side("width", 1), side("height", 2), "svg"))
+
+
+@F.pandas_udf(StructType([StructField("width", LongType()), StructField("height", LongType()), StructField("format", StringType())]))
+def _jpeg_size(contents: pd.Series) -> pd.DataFrame:
+    """Sides from the first frame header; null contents give nulls."""
+    found = [(None, None, None) if b is None else (*jpeg_sides(bytes(b)), "jpeg") for b in contents]
+    return pd.DataFrame(found, columns=["width", "height", "format"]).astype({"width": "Int64", "height": "Int64"})
+
+
+def jpeg_sides(b: bytes) -> tuple[int | None, int | None]:
+    """Width and height of a JPEG. Segments have any number and length, so they are walked one by one.
+
+    A frame header is FF C0..CF (bar C4, C8, CC), length, precision, height, width.
+    """
+    at = b.find(b"\xff", 2)
+    while 0 <= at and at + 9 <= len(b):
+        marker = b[at + 1]
+        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(b[at + 7 : at + 9], "big"), int.from_bytes(b[at + 5 : at + 7], "big")
+        alone = marker == 0xFF or marker <= 0x01 or 0xD0 <= marker <= 0xD9
+        step = (1 if marker == 0xFF else 2) if alone else 2 + max(2, int.from_bytes(b[at + 2 : at + 4], "big"))
+        at = b.find(b"\xff", at + step)
+    return None, None
+
+
 def image_size(content) -> Column:
-    """struct(width, height, format) from PNG, GIF or BMP header bytes, else null."""
+    """struct(width, height, format) from the header bytes of PNG, GIF, BMP, JPEG, WebP or SVG, else null.
+
+    All but JPEG are expressions; only JPEG bytes are sent to Python. Sides that a known format does not state are null.
+    """
     c = P.col(content)
-    head = F.hex(F.substring(c, 1, 8))
+    head = F.hex(F.substring(c, 1, 12))
     signed = lambda v: F.when(v >= 2**31, 2**32 - v).otherwise(v)
-    made = lambda w, h, f: F.struct(w.alias("width"), h.alias("height"), F.lit(f).alias("format"))
-    is_png = (head == "89504E470D0A1A0A") & (F.hex(F.substring(c, 13, 4)) == "49484452") & (F.octet_length(c) >= 24)
+    is_png = head.startswith("89504E470D0A1A0A") & (F.hex(F.substring(c, 13, 4)) == "49484452") & (F.octet_length(c) >= 24)
     is_gif = head.rlike("^47494638(37|39)61") & (F.octet_length(c) >= 10)
     is_bmp = head.startswith("424D") & (F.octet_length(c) >= 26)
+    is_jpeg = head.startswith("FFD8")
+    jpeg = _jpeg_size(F.when(is_jpeg, c))
     return (
-        F.when(is_png, made(_uint(c, 17, 4), _uint(c, 21, 4), "png"))
-        .when(is_gif, made(_uint(c, 7, 2, True), _uint(c, 9, 2, True), "gif"))
-        .when(is_bmp, made(signed(_uint(c, 19, 4, True)), signed(_uint(c, 23, 4, True)), "bmp"))
+        F.when(is_png, _made(_uint(c, 17, 4), _uint(c, 21, 4), "png"))
+        .when(is_gif, _made(_uint(c, 7, 2, True), _uint(c, 9, 2, True), "gif"))
+        .when(is_bmp, _made(signed(_uint(c, 19, 4, True)), signed(_uint(c, 23, 4, True)), "bmp"))
+        .when(is_jpeg, jpeg)
+        .when(head.rlike("^52494646.{8}57454250$"), _webp_size(c))
+        .otherwise(_svg_size(c))
     )
 
 
-IMAGE_SCHEMA = "path string, width bigint, height bigint, format string"
-
-
-def sniff_other_images(files: DataFrame) -> DataFrame:
-    """Width, height and format of JPEG, WebP and SVG files."""
-    own = files.where(P.ext("path").isin(".jpg", ".jpeg", ".webp", ".svg")).select("path", "content")
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame([(p, *_dims(b"" if b is None else bytes(b))) for p, b in zip(pdf["path"], pdf["content"])], columns=["path", "width", "height", "format"])
-
-    return own.mapInPandas(run, IMAGE_SCHEMA).where(F.col("format").isNotNull())
-
-
-def _dims(b: bytes):
-    import re
-    import struct
-
-    if b[:2] == b"\xff\xd8":
-        # A frame header is FF C0..CF (bar C4, C8, CC), length, precision, height, width.
-        i = 2
-        while i + 9 <= len(b):
-            if b[i] != 0xFF:
-                i += 1
-                continue
-            marker = b[i + 1]
-            if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", b[i + 5 : i + 9])
-                return w, h, "jpeg"
-            i += 2 if marker == 0xFF or 0xD0 <= marker <= 0xD9 else 2 + struct.unpack(">H", b[i + 2 : i + 4])[0]
-        return None, None, "jpeg"
-    if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
-        kind = b[12:16]
-        if kind == b"VP8X" and len(b) >= 30:
-            return 1 + int.from_bytes(b[24:27], "little"), 1 + int.from_bytes(b[27:30], "little"), "webp"
-        if kind == b"VP8 " and len(b) >= 30:
-            w, h = struct.unpack("<HH", b[26:30])
-            return w & 0x3FFF, h & 0x3FFF, "webp"
-        if kind == b"VP8L" and len(b) >= 25:
-            bits = int.from_bytes(b[21:25], "little")
-            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF), "webp"
-        return None, None, "webp"
-    text = b.decode("utf-8", "replace")
-    if "<svg" in text:
-        tag = re.search(r"<svg\b[^>]*>", text, re.S)
-        num = {k: re.search(rf'\b{k}="\s*([0-9.]+)', tag.group(0)) for k in ("width", "height")} if tag else {}
-        size = [int(float(m.group(1))) if m else None for m in num.values()] or [None, None]
-        box = re.search(r'\bviewBox="\s*[-0-9.]+[\s,]+[-0-9.]+[\s,]+([0-9.]+)[\s,]+([0-9.]+)', tag.group(0)) if tag else None
-        if box:
-            size = [int(float(v)) if s is None else s for s, v in zip(size, box.groups())]
-        return size[0], size[1], "svg"
-    return None, None, None
-
-
 def asset_facts(files: DataFrame) -> DataFrame:
     """Everything but source code: category, media type, size, digest, lines.
 
@@ -105,10 +112,18 @@ def asset_facts(files: DataFrame) -> DataFrame:
         F.octet_length("content").cast("bigint").alias("size"),
         F.sha2("content", 256).alias("sha256"),
         F.when(texty, lines).cast("bigint").alias("lines"),
-        F.when(F.col("category") == "image", image_size("content")).alias("image"),
+        image_size(F.when(F.col("category") == "image", F.col("content"))).alias("image"),
     )
 
 
+def images(facts: DataFrame) -> DataFrame:
+    """(path, width, height, format) of the facts that have an image.
+
+    The generator keeps Catalyst from repeating the sniffing for every field that is read.
+    """
+    return facts.select("path", F.explode(F.array("image")).alias("_i")).where("_i IS NOT NULL").select("path", "_i.*")
+
+
 def asset_summary(facts: DataFrame) -> DataFrame:
     return facts.groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 

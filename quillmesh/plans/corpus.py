@@ -14,6 +14,7 @@ from ..functions import text as X
 from ..operators import assets, deps, entrypoints, env, html, jsfiles, languages, licenses, lines, owners, pysource, secrets, shellfiles, sqlfiles
 from ..operators.lines import to_lines
 from ..operators.ordered import first_seen
+from ..operators.ranks import stored
 from ..sources import files as SF
 from .registry import FILES, ORACLES, LINES, query
 
@@ -618,13 +619,21 @@ def _(t):
     FROM (SELECT (p_size * 100)::DOUBLE * (p_partkey % 4000 + 1)::DOUBLE / 1000000.0::DOUBLE AS mp FROM part) GROUP BY 1""",
 )
 def _(t):
-    im = assets.asset_facts(t.derived("images")).select("image.*")
-    return assets.image_buckets(im)
+    return assets.image_buckets(assets.images(assets.asset_facts(t.derived("images"))))
+
+
+@query(
+    "image_sizes",
+    """SELECT 'pic/p' || p_partkey || '.' || ['png', 'gif', 'jpg', 'webp', 'webp', 'webp', 'svg'][p_partkey % 7 + 1] AS path, (p_size * 10 + 1)::BIGINT AS width, p_partkey % 4000 + 1 AS height,
+    ['png', 'gif', 'jpeg', 'webp', 'webp', 'webp', 'svg'][p_partkey % 7 + 1] AS format FROM part""",
+)
+def _(t):
+    return assets.images(assets.asset_facts(t.derived("pictures")))
 
 
 @query("image_formats", "SELECT 'png' AS format, count(*) AS images FROM part")
 def _(t):
-    return assets.image_formats(assets.asset_facts(t.derived("images")).select("image.*"))
+    return assets.image_formats(assets.images(assets.asset_facts(t.derived("images"))))
 
 
 _REQ = """(SELECT 'svc' || p_partkey || '/requirements.txt' AS path, unnest([3, 4, 5, 6]) AS line_no,
@@ -823,8 +832,8 @@ def _(t):
     unnest(['high', 'medium', 'low', 'medium', 'medium', 'medium', 'low', 'medium']) AS confidence FROM {_PY} WHERE NOT bad""",
 )
 def _(t):
-    # Three sides of the joins read the facts: keep them instead of parsing three times.
-    return pysource.resolve_calls(_facts(t).persist()).select("path", "line", "target", "confidence")
+    # Three sides of the joins read the facts: a table in the shared folder instead of parsing three times.
+    return pysource.resolve_calls(stored(_facts(t))).select("path", "line", "target", "confidence")
 
 
 @query(

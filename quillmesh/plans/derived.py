@@ -145,6 +145,29 @@ def images(t) -> DataFrame:
     return t.part.select(_f("img/p{{k}}.png", k="p_partkey").alias("path"), body.alias("content"))
 
 
+def pictures(t) -> DataFrame:
+    """Per part an image header of one of seven kinds, by its key."""
+    w, h, kind = F.col("p_size") * 10 + 1, F.col("p_partkey") % 4000 + 1, (F.col("p_partkey") % 7).cast("int")
+    big = lambda c, n: F.lpad(F.hex(c.cast("bigint")), 2 * n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * i + 1, 2) for i in reversed(range(n))])
+    riff = lambda kind, rest: F.concat(F.lit("524946460000000057454250565038" + kind + "00000000"), *rest)
+    bits = (h - 1) * 16384 + w - 1
+    text = _f('<?xml version="1.0"?>\n<svg viewBox="0 0 {{w}} {{h}}" height="{{h}}.5px">', w=w, h=h)
+    made = [
+        ("png", F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4))),
+        ("gif", F.concat(F.lit("474946383961"), little(w, 2), little(h, 2))),
+        # An application segment with a false frame header inside, then the frame.
+        ("jpg", F.concat(F.lit("FFD8FFE0000AFFC0001108000100FFC0001108"), big(h, 2), big(w, 2), F.lit("03"))),
+        ("webp", riff("58", [F.lit("00000000"), little(w - 1, 3), little(h - 1, 3)])),
+        ("webp", riff("20", [F.lit("0000009D012A"), little(w, 2), little(h, 2)])),
+        ("webp", riff("4C", [F.lit("2F"), little(bits, 4), F.lit("00")])),
+        ("svg", F.hex(F.encode(text, "UTF-8"))),
+    ]
+    body = F.get(F.array(*[b for _, b in made]), kind)
+    ext = F.get(F.array(*[F.lit(e) for e, _ in made]), kind)
+    return t.part.select(F.concat(_f("pic/p{{k}}.", k="p_partkey"), ext).alias("path"), F.unhex(body).alias("content"))
+
+
 def license_headers(t) -> DataFrame:
     """Documents with an SPDX tag in front, in every fourth on line 502; every fourth has none."""
     ids = F.array(*[F.lit(x) for x in ("MIT", "Apache-2.0", "GPL-3.0-only")])

@@ -160,8 +160,9 @@ def test_assets(spark):
     df = spark.createDataFrame([("a.png", bytearray(png)), ("b.gif", bytearray(gif)), ("c.bmp", bytearray(bmp)), ("d.jpg", bytearray(jpg)), ("e.svg", bytearray(b'<svg width="7" height="8">')), ("g.svg", bytearray(b'<svg viewBox="0 0 30 40">')), ("h.webp", bytearray(b"RIFF0000WEBPVP8X")), ("i.webp", None), ("f.py", bytearray(b"x"))], "path string, content binary")
     got = {r["path"]: r["image"] for r in assets.asset_facts(df).collect()}
     assert "f.py" not in got and tuple(got["a.png"]) == (640, 480, "png") and tuple(got["b.gif"]) == (3, 4, "gif") and tuple(got["c.bmp"]) == (5, 6, "bmp")
-    other = {r["path"]: (r["width"], r["height"]) for r in assets.sniff_other_images(df).collect()}
-    assert other == {"d.jpg": (10, 20), "e.svg": (7, 8), "g.svg": (30, 40), "h.webp": (None, None)}
+    other = {k: (v["width"], v["height"]) for k, v in got.items() if v and v["format"] in ("jpeg", "svg", "webp")}
+    assert other == {"d.jpg": (10, 20), "e.svg": (7, 8), "g.svg": (30, 40), "h.webp": (None, None)} and got["i.webp"] is None
+    assert assets.jpeg_sides(b"\xff\xd8\xff\xff\xff\xd9\xff\xe0\x00\x00") == assets.jpeg_sides(b"\xff\xd8") == (None, None)
 
 
 def test_deps(spark):
