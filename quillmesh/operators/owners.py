@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as X
-from .ranks import ranked
+from .ranks import ranked, stored
 
 
 @dataclass(frozen=True)
@@ -88,66 +88,81 @@ def number_rules(rules: DataFrame) -> DataFrame:
     return numbered.select((F.col("rank") + 1).cast("int").alias("rule_index"), "pattern", "owners")
 
 
-#: What a rule is found by, the most telling first: a folder above the path, its base name, its extension, or nothing.
-FOLDER, NAME, EXTENSION, ANY = "folder", "name", "extension", "any"
+#: Where the literal head of a rule lies in the paths that it matches: it is a folder above them, the name of one, their
+#: base name, or what the path or its base name starts with.
+ABOVE, UNDER, NAME, START = "above", "under", "name", "start"
 
 
-def rule_key(pattern: str) -> tuple[str, str]:
-    """A key that every path matched by the pattern has among its own (see ``path_keys``)."""
+def rule_key(pattern: str) -> tuple[str, str, str]:
+    """(place, head, tail): every path matched by the pattern has the head at that place and ends with the tail."""
     pat = pattern.lstrip("/")
     if pat.endswith("/") or not pat:
-        return (FOLDER, pat.rstrip("/")) if pat.rstrip("/") else (ANY, "")
+        return (ABOVE, pat.rstrip("/"), "") if pat.rstrip("/") else (START, "", "")
     special = [i for i, c in enumerate(pat) if c in "*?["]
-    head = pat[: special[0]] if special else pat
-    if pattern.startswith("/") and "/" in head:
-        return FOLDER, head.rpartition("/")[0]
-    last = pat.rpartition("/")[2]
-    if not any(c in last for c in "*?[]"):
-        return NAME, last
-    tail = pat[max(special) + 1 :].rpartition("]")[2]
-    if "." in tail:
-        return EXTENSION, tail.rpartition(".")[2]
-    return ANY, ""
+    if not special:
+        return (START, "", pat) if "/" in pat else (NAME, pat, "")
+    head, tail = pat[: special[0]], pat[special[-1] + 1 :].rpartition("]")[2]
+    if "/" in head and (tail or not pattern.startswith("/")):
+        folder = head.rpartition("/")[0]
+        return (ABOVE, folder, tail) if pattern.startswith("/") else (UNDER, folder.rpartition("/")[2], tail)
+    if "/" in pat and not pattern.startswith("/"):
+        return START, "", tail
+    # With a tail, a head of some power of two letters will do: there are as many shapes of keys as pairs of lengths.
+    return START, head[: 1 << (len(head).bit_length() - 1)] if head and tail else head, tail
 
 
 def indexed_rules(rules: DataFrame) -> DataFrame:
-    """(kind, key, rule_index, pattern, owners, on_path, on_base): each rule under the key that it is found by. The regexes are
-    null where the key itself decides."""
+    """(place, head, tail, rule_index, pattern, owners, on_path, on_base): the last rule of each pattern under the key that
+    it is found by. The regexes are null where the key itself decides."""
 
     def parts(batches):
         for frame in batches:
             keys = [rule_key(p) for p in frame["pattern"]]
             regexes = [_regexes(p) for p in frame["pattern"]]
             whole = [p.lstrip("/").endswith("/") or not p.lstrip("/") for p in frame["pattern"]]
-            out = frame.assign(kind=[k for k, _ in keys], key=[v for _, v in keys])
+            out = frame.assign(place=[k[0] for k in keys], head=[k[1] for k in keys], tail=[k[2] for k in keys])
             out["on_path"] = [None if w else r[0] for r, w in zip(regexes, whole, strict=True)]
             out["on_base"] = [r[1] for r in regexes]
             yield pd.DataFrame(out)
 
-    schema = "rule_index int, pattern string, owners array<string>, kind string, key string, on_path string, on_base string"
-    return rules.select("rule_index", "pattern", "owners").mapInPandas(parts, schema)
+    last = rules.where(F.col("pattern").isNotNull()).groupBy("pattern").agg(F.max(F.struct("rule_index", "owners")).alias("rule"))
+    schema = "rule_index int, pattern string, owners array<string>, place string, head string, tail string, on_path string, on_base string"
+    return last.select("rule.rule_index", "pattern", "rule.owners").mapInPandas(parts, schema)
 
 
-def path_keys(p: Column) -> Column:
-    """(kind, key) of a path without leading slashes: every folder above it, its base name, its extension, and the one that all have."""
-    parts = F.split(p, "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
-    folders = F.transform(F.slice(above, 1, F.size(parts) - 1), lambda x: key(FOLDER, x))
-    own = F.array(key(NAME, P.basename(p)), key(EXTENSION, F.substring_index(p, ".", -1)), key(ANY, F.lit("")))
-    return F.concat(folders, own)
+def key_shapes(indexed: DataFrame) -> DataFrame:
+    """One row: the places of the keys with the lengths of heads that paths start with and of tails, as an array."""
+    size = F.when(F.col("place") == START, F.length("head")).otherwise(0)
+    return indexed.agg(F.collect_set(F.struct("place", size.alias("head"), F.length("tail").alias("tail"))).alias("shapes"))
+
+
+def path_keys(p: Column, shapes: Column) -> Column:
+    """(place, head, tail) keys of a path without leading slashes: in each shape, what a rule that matches it can have."""
+    parts, base = F.split(p, "/"), P.basename(p)
+    names = F.slice(parts, 1, F.size(parts) - 1)
+    folders = F.transform(names, lambda _, i: F.array_join(F.slice(parts, F.lit(1), i + 1), "/"))
+
+    def keys(shape):
+        heads = F.when(shape["place"] == ABOVE, folders).when(shape["place"] == UNDER, names).when(shape["place"] == NAME, F.array(base))
+        heads = heads.otherwise(F.array(F.substring(p, F.lit(1), shape["head"]), F.substring(base, F.lit(1), shape["head"])))
+        tail = F.substring(p, F.length(p) - shape["tail"] + 1, shape["tail"])
+        return F.transform(F.array_distinct(heads), lambda h: F.struct(shape["place"].alias("place"), h.alias("head"), tail.alias("tail")))
+
+    return F.flatten(F.transform(F.filter(shapes, lambda s: s["tail"] <= F.length(p)), keys))
 
 
 def assign_owners_by_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """``assign_owners`` for rules in a table (rule_index, pattern, owners), of any number.
 
-    A path meets the rules that share one of its keys by an equality join, and only these try their regex. A path
-    of several rows is matched once.
+    A path meets the rules that share one of its keys by an equality join, and only these try their regex. Of equal
+    patterns the last one counts, and a path of several rows is matched once. Rules that share their head, up to a
+    power of two, and tail still meet all paths that have both.
     """
     p = F.regexp_replace("path", r"^/+", "")
+    indexed = stored(indexed_rules(rules))
     paths = files.select("path").distinct().withColumn("p", p)
-    keyed = paths.select("path", "p", F.inline(path_keys(F.col("p"))))
-    met = keyed.join(indexed_rules(rules), ["kind", "key"])
+    keyed = paths.crossJoin(key_shapes(indexed)).select("path", "p", F.inline(path_keys(F.col("p"), F.col("shapes"))))
+    met = keyed.join(indexed, ["place", "head", "tail"])
     hit = F.col("on_path").isNull() | F.rlike("p", F.col("on_path")) | F.coalesce(F.rlike(P.basename("p"), F.col("on_base")), F.lit(False))
     rule = F.struct("rule_index", "pattern", "owners")
     best = met.where(hit).groupBy("path").agg(F.max_by(rule, "rule_index").alias("rule"))

@@ -31,3 +31,14 @@ def test_rules_of_a_file_are_numbered_without_a_collect(spark):
     text = "*.py @a @b\n# none\ndocs/ @d\n!x @no\n/src/*.py @e\n"
     rules = owners.number_rules(owners.owner_rules(lines.to_lines(spark.createDataFrame([("OWNERS", text)], "path string, text string"))))
     assert [(r.rule_index, r.pattern, r.owners) for r in rules.orderBy("rule_index").collect()] == [(1, "*.py", ["@a", "@b"]), (2, "docs/", ["@d"]), (3, "/src/*.py", ["@e"])]
+
+
+def test_a_path_meets_few_of_many_rules(spark):
+    """Rules that share folders, endings or patterns by the thousand: the pairs met grow with the paths."""
+    n = 3000
+    forms = ["/src/", "*{}.txt", "/src/{}.txt", "{}.txt", "src/*{}.txt", "{}*.txt", "/src/{}*"]
+    table = spark.createDataFrame([(i, forms[i % len(forms)].format(i), ["@a"]) for i in range(1, n + 1)], "rule_index int, pattern string, owners array<string>")
+    paths = spark.range(1, n + 1).select(F.format_string("src/%d.txt", "id").alias("p"))
+    indexed = owners.indexed_rules(table)
+    keyed = paths.crossJoin(owners.key_shapes(indexed)).select("p", F.inline(owners.path_keys(F.col("p"), F.col("shapes"))))
+    assert keyed.join(indexed, ["place", "head", "tail"]).count() < 40 * n
