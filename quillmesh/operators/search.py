@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .ranks import stored
 
 # The usual BM25 constants and the smallest idf.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -48,11 +49,12 @@ def search_bm25(index: DataFrame, query: str, k: int) -> DataFrame:
     """(id, score): the k best documents for a query, ties by id.
 
     One partial aggregate per document gives its length and its postings of the query's terms, which are as
-    many as the query has; corpus statistics are scalar subqueries of it. Nothing runs while the plan is built.
+    many as the query has. Statistics and scores read it from the shared folder: the texts are cut into terms once.
     """
     wanted = F.array_contains(F.array_distinct(terms_of(F.lit(query))), F.col("term"))
     hits = F.collect_list(F.when(wanted, F.struct("term", "tf")))
     docs = index.groupBy("id", "term").agg(F.sum("tf").alias("tf")).groupBy("id").agg(F.sum("tf").alias("len"), hits.alias("hits"))
+    docs = stored(docs)
     n = docs.agg(F.count("*").cast("double")).scalar()
     avg = docs.agg(F.avg("len")).scalar()
     found = docs.where(F.size("hits") > 0).select("id", "len", F.inline("hits"))
