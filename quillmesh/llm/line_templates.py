@@ -25,6 +25,8 @@ DEPTH, SIMILARITY, MIN_DOCS, MIN_TOKENS = 3, 0.7, 3, 3
 #: Constant tokens that a line must have for its other tokens to be masked.
 CONSTANTS = 3
 WILDCARD = "<*>"
+#: Lines of one piece that meet without a second piece in common.
+CROWD = 16
 #: Leaves that recur are told to the second pass over the lines by so many slots at most.
 SLOTS = 1 << 18
 #: What a line must have for its tokens to differ from itself.
@@ -63,30 +65,59 @@ def _unit(key: str, text: str) -> list[Column]:
     return [F.coalesce(key, F.lit(0)).alias("id"), F.col(key).isNull().alias("no_id"), _digest(F.col(text)).alias("digest")]
 
 
+def _agreeing(pairs: DataFrame, variants: DataFrame, tail, similarity: float) -> DataFrame:
+    """Of the pairs (leaf, line, lead, n, name) those that agree in enough of the constant tokens after the leading ones."""
+    pairs = pairs.join(variants.select("leaf", "line", "masked"), ["leaf", "line"])
+    pairs = pairs.join(variants.select("leaf", F.col("line").alias("lead"), F.col("masked").alias("other")), ["leaf", "lead"])
+    both = F.zip_with(tail("masked"), tail("other"), lambda a, b: F.when((a == WILDCARD) & (b == WILDCARD), None).otherwise((a == b) & (a != WILDCARD)))
+    same, known = F.size(F.filter(both, lambda x: x)), F.size(F.filter(both, lambda x: x.isNotNull()))
+    return pairs.where((same > 0) & (same >= similarity * known)).select("leaf", "line", "lead", "n", "name")
+
+
 def _templates(variants: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(leaf, line, template): any number of templates a leaf, agreement counted over constant tokens after the leading ones.
 
     The tokens after the leading ones are cut into one piece more than may differ, so that lines of one template share
-    a piece. The line that most documents have leads the lines of its piece; of the leads that a line agrees with it
-    takes the most frequent, and it is a template of its own as well.
+    a piece. A line takes the line of most documents, more than its own, that it agrees with, and it is a template of
+    its own as well. Of a piece it meets the most frequent line first; if it disagrees with that one it meets all others
+    above it. Pieces of more than ``CROWD`` lines are told apart by a second piece for that, cut from the other tokens.
     """
     tail = lambda c: F.slice(_tokens(c), depth + 1, F.size(_tokens(c)))
     size = F.greatest(F.size(_tokens("masked")) - depth, F.lit(0))
-    pieces = (F.floor(size * (1 - similarity) + 1e-9) + 1).cast("int")
-    cut = lambda i: F.floor(i * F.col("_size") / F.col("_pieces")).cast("int")
-    key = lambda i: F.xxhash64("leaf", i, F.slice("_tail", cut(i) + 1, cut(i + 1) - cut(i)))
-    dealt = variants.withColumn("_size", size).withColumn("_pieces", pieces).withColumn("_tail", tail("masked")).where("_size > 0")
-    keys = F.transform(F.sequence(F.lit(0), F.col("_pieces") - 1), key)
-    dealt = stored(dealt.select("leaf", "line", "n", "name", F.explode(keys).alias("key")))
+    pieces = (F.floor(F.col("_size") * (1 - similarity) + 1e-9) + 1).cast("int")
+    cut = lambda i, n: F.floor(i * n / F.col("_pieces")).cast("int")
+
+    def keys(of: str, tokens: str) -> Column:
+        n = F.size(tokens)
+        key = lambda i: F.xxhash64(of, i, F.slice(tokens, cut(i, n) + 1, cut(i + 1, n) - cut(i, n)))
+        return F.posexplode(F.transform(F.sequence(F.lit(0), F.col("_pieces") - 1), key)).alias("piece", "key")
+
+    tails = variants.withColumn("_size", size).withColumn("_pieces", pieces).withColumn("_tail", tail("masked")).where("_size > 0")
     rank = F.struct("n", "name", "line")  # equal counts: by digest
-    leads = dealt.groupBy("key").agg(F.max(rank).alias("lead"), F.count("*").alias("size")).where("size > 1").select("key", "lead")
-    pairs = dealt.join(leads, "key").where(F.col("line") != F.col("lead.line"))
-    pairs = pairs.select("leaf", "line", F.col("lead.line").alias("lead"), F.col("lead.n").alias("n"), F.col("lead.name").alias("name")).distinct()
-    pairs = pairs.join(variants.select("leaf", "line", "masked"), ["leaf", "line"])
-    pairs = pairs.join(variants.select("leaf", F.col("line").alias("lead"), F.col("masked").alias("other")), ["leaf", "lead"])
-    both = F.zip_with(tail("masked"), tail("other"), lambda a, b: F.when((a == WILDCARD) & (b == WILDCARD), None).otherwise((a == b) & (a != WILDCARD)))
-    same, known = F.size(F.filter(both, lambda x: x)), F.size(F.filter(both, lambda x: x.isNotNull()))
-    taken = pairs.where((same > 0) & (same >= similarity * known)).groupBy("leaf", "line").agg(F.max(F.struct("n", "name", "lead")).alias("best"))
+    dealt = stored(tails.select("leaf", "line", "n", "name", keys("leaf", "_tail")))
+    leads = dealt.groupBy("key").agg(F.max(rank).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    met = dealt.join(leads, "key").where(F.col("line") != F.col("lead.line"))
+    pairs = met.select("leaf", "line", F.col("lead.line").alias("lead"), F.col("lead.n").alias("n"), F.col("lead.name").alias("name")).distinct()
+    first = stored(_agreeing(pairs, variants, tail, similarity))
+
+    # Others of a piece are below its lead: a line with a template above all of them need not look.
+    best = first.groupBy("leaf", "line").agg(F.max(F.struct("n", "name", F.col("lead").alias("line"))).alias("best"))
+    seekers = met.where("size > 2").join(best, ["leaf", "line"], "left").where(F.col("best").isNull() | (F.col("best") < F.col("lead")))
+    seekers = stored(seekers.select("leaf", "line", "piece", "key", "size", F.coalesce(F.greatest(rank, "best"), rank).alias("over")))
+    others = dealt.join(seekers.select("key", "size").distinct(), "key").select("leaf", "line", "piece", "key", "size", rank.alias("rank"))
+
+    def told_apart(rows: DataFrame, value: str) -> DataFrame:
+        few = rows.where(F.col("size") <= CROWD).select("leaf", "line", "key", value)
+        many = rows.where(F.col("size") > CROWD).withColumnRenamed("key", "_key").withColumnRenamed("piece", "_piece")
+        many = many.join(tails.select("leaf", "line", "_size", "_pieces", "_tail"), ["leaf", "line"])
+        start, end = cut(F.col("_piece"), F.col("_size")), cut(F.col("_piece") + 1, F.col("_size"))
+        rest = F.concat(F.slice("_tail", F.lit(1), start), F.slice("_tail", end + 1, F.col("_size") - end))
+        many = many.withColumn("_rest", rest).select("leaf", "line", value, keys("_key", "_rest"))
+        return few.unionByName(many.select("leaf", "line", "key", value))
+
+    meet = told_apart(seekers, "over").join(told_apart(others, "rank").select("key", "rank"), "key").where(F.col("rank") > F.col("over"))
+    pairs = meet.select("leaf", "line", F.col("rank.line").alias("lead"), F.col("rank.n").alias("n"), F.col("rank.name").alias("name")).distinct()
+    taken = first.unionByName(_agreeing(pairs, variants, tail, similarity)).groupBy("leaf", "line").agg(F.max(F.struct("n", "name", "lead")).alias("best"))
     own = variants.select("leaf", "line", F.col("line").alias("template"))
     return own.unionByName(taken.select("leaf", "line", F.col("best.lead").alias("template")))
 

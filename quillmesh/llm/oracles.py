@@ -68,8 +68,7 @@ leaves AS (SELECT n, lead FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
 v AS (SELECT n, lead, tokens, count(*) AS c, md5(array_to_string(tokens, ' ')) AS name FROM k JOIN leaves USING (n, lead) GROUP BY ALL),
 p AS (SELECT *, n - 3 AS size, floor((n - 3) * (1 - 0.7::DOUBLE) + 1e-9::DOUBLE)::BIGINT + 1 AS pieces, tokens[4:] AS tail FROM v WHERE n > 3),
 g AS (SELECT *, tail[i * size // pieces + 1:(i + 1) * size // pieces] AS piece FROM (SELECT *, unnest(range(0, pieces)) AS i FROM p)),
-best AS (SELECT n, lead, i, piece, arg_max(tokens, {'c': c, 'name': name}) AS other, max({'c': c, 'name': name}) AS rank FROM g GROUP BY ALL HAVING count(*) > 1),
-x AS (SELECT DISTINCT g.n, g.lead, g.tokens, g.tail, other, rank FROM g JOIN best b ON g.n = b.n AND g.lead = b.lead AND g.i = b.i AND g.piece = b.piece WHERE g.tokens <> other),
+x AS (SELECT DISTINCT a.n, a.lead, a.tokens, a.tail, b.tokens AS other, {'c': b.c, 'name': b.name} AS rank FROM g a JOIN g b ON a.n = b.n AND a.lead = b.lead AND a.i = b.i AND a.piece = b.piece WHERE (b.c, b.name) > (a.c, a.name)),
 y AS (SELECT *, list_filter(list_zip(tail, other[4:]), lambda z: NOT (z[1] = '<*>' AND z[2] = '<*>')) AS known FROM x),
 taken AS (SELECT n, lead, tokens, arg_max(other, rank) AS template FROM y WHERE len(list_filter(known, lambda z: z[1] = z[2])) > 0 AND len(list_filter(known, lambda z: z[1] = z[2])) >= 0.7::DOUBLE * len(known) GROUP BY ALL),
 t AS (SELECT n, lead, tokens, tokens AS template FROM v UNION ALL SELECT * FROM taken),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -126,11 +127,10 @@ def line_dedup(rows, depth=3, similarity=0.7, min_docs=3, min_tokens=3):
                 keys[i, tail[i * len(tail) // pieces : (i + 1) * len(tail) // pieces]].append(t)
         leads = defaultdict(set)
         for group in keys.values():
-            lead = max(group, key=rank)
-            for t in group:
+            for t, lead in itertools.permutations(group, 2):
                 known = [(a, b) for a, b in zip(t[depth:], lead[depth:]) if not a == b == "<*>"]
                 same = sum(a == b for a, b in known)
-                if t != lead and same and same >= similarity * len(known):
+                if rank(lead) > rank(t) and same and same >= similarity * len(known):
                     leads[t].add(lead)
         for t, found in leads.items():
             templates[t].add((leaf, max(found, key=rank)))

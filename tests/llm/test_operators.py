@@ -417,6 +417,16 @@ def test_line_templates_of_one_leaf(spark):
     assert got == [[*lines[0], "body Ann"], *([f"body {n}"] for n in names[1:])]
 
 
+@pytest.mark.parametrize("more", [0, 30])
+def test_line_templates_beside_commoner_lines(spark, more):
+    """Each piece of a template lies in a commoner line of another one, alone or in a crowd."""
+    common = [*(["one two three a b k l m n o"] * 5), *(["one two three p q c d r s t"] * 5)]
+    common += [f"one two three a b k{chr(97 + i // 9)} l{chr(97 + i % 9)} u{chr(97 + i)} v w" for i in range(min(more, 26)) for _ in range(2)]
+    lines = [f"one two three a b c d e f {x}" for x in ("Ann", "Bob", "Cid", "Dee")]
+    got = cut_lines(spark, [f"{x}\nbody" for x in lines] + common)
+    assert got[:4] == [[lines[0], "body"], *([["body"]] * 3)]
+
+
 def test_line_templates_keep_different_lines(spark):
     """Rows of numbers and short sentences of one leaf stay; copies of them go."""
     own = [["12 7 2021", "I do not know", "5 of 9"], ["3 44 1999", "I do not care", "6 of 9"], ["8 80 800", "I do not agree", "7 of 9"]]
