@@ -38,8 +38,21 @@ def terms_of(c) -> Column:
     return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def build_text_index(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
-    """(term, id, col, tf). Counting is per (id, term): no term's postings meet in a task."""
+def row_postings(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
+    """(id, col, term, tf) of each row by itself: a row's terms are sorted and counted in place, no table of counts is held."""
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.sort_array(terms_of(c)).alias("terms")) for c in cols])
+    rows = df.select(F.col(id_col).alias("id"), F.inline(cells)).where(F.size("terms") > 0)
+    n = F.size("terms")
+    rows = rows.withColumn("ends", F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("terms", i) != F.get("terms", i - 1))))
+    count = lambda end, k: (end - F.coalesce(F.get("ends", k - 1), F.lit(0))).cast("long")
+    counts = F.transform("ends", lambda end, k: F.struct(F.get("terms", end - 1).alias("term"), count(end, k).alias("tf")))
+    return rows.select("id", "col", F.inline(counts))
+
+
+def build_text_index(df: DataFrame, id_col: str, cols: Sequence[str], unique: bool = False) -> DataFrame:
+    """(term, id, col, tf). Counting is per (id, term): no term's postings meet in a task. ``unique``: no id has two rows, so rows need not meet."""
+    if unique:
+        return row_postings(df, id_col, cols)
     cells = F.array(*[F.struct(F.lit(c).alias("col"), terms_of(c).alias("terms")) for c in cols])
     rows = df.select(F.col(id_col).alias("id"), F.inline(cells)).select("id", "col", F.explode("terms").alias("term"))
     return rows.groupBy("id", "col", "term").agg(F.count("*").alias("tf"))

@@ -66,9 +66,9 @@ def _newest(docs: DataFrame) -> DataFrame:
 
 
 def _alive(spark: SparkSession, folder: str, segments: Sequence[Segment], newest: DataFrame) -> DataFrame:
-    """Postings of the changes that count."""
+    """Postings of the changes that count. The changes are hashed, so that postings pass by and are not sorted."""
     postings = _read(spark, folder, segments, "postings")
-    return postings.join(newest.where(F.col("op") != "delete").select("id", "batch"), ["id", "batch"])
+    return postings.join(newest.where(F.col("op") != "delete").select("id", "batch").hint("shuffle_hash"), ["id", "batch"])
 
 
 def _merge(spark: SparkSession, folder: str, segments: Sequence[Segment]) -> Segment:
@@ -86,7 +86,7 @@ def add_segment(changes: DataFrame, cols: Sequence[str], folder: str, batch: int
     newest = latest_version(changes, ["id"], [F.desc("seq")])
     mark = F.lit(batch).cast("long").alias("batch")
     newest.select("id", "seq", mark, "op").write.mode("overwrite").parquet(_at(folder, own, "docs"))
-    postings = build_text_index(newest.where(F.col("op") != "delete"), "id", cols)
+    postings = build_text_index(newest.where(F.col("op") != "delete"), "id", cols, unique=True)
     postings.select("id", "col", "term", "tf", mark).write.mode("overwrite").parquet(_at(folder, own, "postings"))
     live.append(own)
     while len(live) >= fan and len({last - first for first, last in live[-fan:]}) == 1:

@@ -71,3 +71,14 @@ def test_stream_over_a_base(spark, tmp_path):
     got = content(segments.read_segments(spark, str(tmp_path / "ix"), base))
     assert got == wanted(spark, [r for rows in batches(6) for r in rows], base)
     assert len(segments.live_segments(spark, str(tmp_path / "ix"))) == 2
+
+
+def test_postings_are_neither_hashed_nor_sorted(spark, tmp_path):
+    """A batch's rows are counted in place, and changes are what is held when postings are read."""
+    rows = spark.createDataFrame([(1, "b a b"), (2, ""), (None, "Élle a")], "id long, text string")
+    index = search.build_text_index(rows, "id", ["text"], unique=True)
+    assert sorted(map(tuple, index.select("id", "col", "term", "tf").collect()), key=repr) == [(1, "text", "a", 1), (1, "text", "b", 2), (None, "text", "a", 1), (None, "text", "elle", 1)]
+    assert "Aggregate" not in index._jdf.queryExecution().executedPlan().toString()
+    segments.add_segment(spark.createDataFrame(batches(1)[0], SCHEMA), ["text"], str(tmp_path / "ix"), 0)
+    plan = segments.read_segments(spark, str(tmp_path / "ix"))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
