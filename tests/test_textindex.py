@@ -57,3 +57,19 @@ def test_empty_index(spark, postings, tmp_path):
     textindex.write_index(postings.limit(0), str(tmp_path / "ix"))
     queries = spark.createDataFrame([(0, "w40")], "query_id long, text string")
     assert textindex.search_index(spark, str(tmp_path / "ix"), queries, 3).count() == 0
+
+
+def test_postings_of_one_id_add_up(spark, tmp_path):
+    rows = [(1, "a", 1), (1, "a", 2), (1, "b", 1), (2, "a", 1), (2, "c", 7), (3, "d", 1)]
+    textindex.write_index(spark.createDataFrame(rows, "id long, term string, tf long"), str(tmp_path / "ix"))
+    blocks = spark.read.parquet(str(tmp_path / "ix/blocks"))
+    got = {r.term: ([(p.id, p.tf, p.len) for p in r.postings], r.n) for r in blocks.collect()}
+    assert got == {"a": ([(1, 3, 4), (2, 1, 8)], 2), "b": ([(1, 1, 4)], 1), "c": ([(2, 7, 8)], 1), "d": ([(3, 1, 1)], 1)}
+
+
+def test_postings_are_not_shuffled_one_by_one(spark, folder):
+    """A query's parts of a document's score are added in the task that cuts the rows of its slice."""
+    queries = spark.createDataFrame([(0, "w40 w41"), (1, "w59 w3")], "query_id long, text string")
+    plan = textindex.search_index(spark, folder, queries, 3, buckets=16)._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("== Initial Plan ==")[-1].partition("Generate inline(postings")[0]
+    assert above.count("Exchange") == 1  # the ranks of the best
