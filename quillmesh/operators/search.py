@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .ranks import stored
 
 # The usual BM25 constants and the smallest idf.
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
@@ -35,7 +34,7 @@ def fold(c) -> Column:
 
 
 def terms_of(c) -> Column:
-    return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def row_postings(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
@@ -62,19 +61,23 @@ def search_bm25(index: DataFrame, query: str, k: int) -> DataFrame:
     """(id, score): the k best documents for a query, ties by id.
 
     One partial aggregate per document gives its length and its postings of the query's terms, which are as
-    many as the query has. Statistics and scores read it from the shared folder: the texts are cut into terms once.
+    many as the query has. Statistics and scores need the same columns of it, so that Spark runs its exchange once
+    for both: the texts are cut into terms once. Nothing runs while the plan is built.
     """
     wanted = F.array_contains(F.array_distinct(terms_of(F.lit(query))), F.col("term"))
     hits = F.collect_list(F.when(wanted, F.struct("term", "tf")))
     docs = index.groupBy("id", "term").agg(F.sum("tf").alias("tf")).groupBy("id").agg(F.sum("tf").alias("len"), hits.alias("hits"))
-    docs = stored(docs)
-    n = docs.agg(F.count("*").cast("double")).scalar()
-    avg = docs.agg(F.avg("len")).scalar()
-    found = docs.where(F.size("hits") > 0).select("id", "len", F.inline("hits"))
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = found.join(df.select("term", F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf).alias("idf")), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif(avg, F.lit(0.0)), F.lit(1.0))))
+    # A document counts under each of its hits and, for the corpus, under null.
+    counted = docs.select("len", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("hits.term"))).alias("term"))
+    counted = counted.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avg"))
+    corpus = lambda c: F.max(F.when(F.col("term").isNull(), F.col(c)))
+    dfs = F.map_from_entries(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "df"))))
+    stats = counted.agg(corpus("df").cast("double").alias("n"), corpus("avg").alias("avg"), dfs.alias("dfs")).select(F.struct("n", "avg", "dfs")).scalar()
+    scored = docs.where(F.size("hits") > 0).select("id", "len", F.inline("hits"), stats.alias("s"))
+    scored = scored.withColumn("df", F.col("s.dfs")[F.col("term")])
+    idf = F.log((F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.coalesce(F.nullif(F.col("s.avg"), F.lit(0.0)), F.lit(1.0))))
     total = scored.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
     return total.orderBy(F.desc("score"), "id").limit(k)
 

@@ -1,5 +1,6 @@
 """The stored index against scoring everything."""
 
+import math
 import random
 import re
 
@@ -73,3 +74,39 @@ def test_postings_are_not_shuffled_one_by_one(spark, folder):
     plan = textindex.search_index(spark, folder, queries, 3, buckets=16)._jdf.queryExecution().executedPlan().toString()
     above = plan.split("== Initial Plan ==")[-1].partition("Generate inline(postings")[0]
     assert above.count("Exchange") == 1  # the ranks of the best
+
+
+def test_terms_are_the_runs_of_letters_and_digits(spark):
+    rng = random.Random(5)
+    texts = [None, "", " ", "a", " a-b ", "ÀÉ 9x", "á e", "\U0001d400\U0001f600z", *("".join(rng.choices("aZ9é_ -\n\t٣中́\U0001f600", k=rng.randint(1, 15))) for _ in range(300))]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    split = F.filter(F.split(search.fold("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    assert all(r[0] == r[1] for r in df.select(search.terms_of("text"), split).collect())
+
+
+def test_bm25_cuts_each_text_once_and_takes_odd_input(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = [(i, x) for i, x in enumerate(["a b b", "b c", None, "", "b", "a a c d", "e", "e b", "f g"])]
+    docs = spark.createDataFrame(rows, "id long, text string").select("id", F.udf(read, "string")("text").alias("text"))
+    found = search.search_bm25(search.build_text_index(docs, "id", ["text"]), "a c B", 9).collect()
+    assert seen.value == len(rows)
+    words = {i: x.split() for i, x in rows if x}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+
+    def part(term, own):
+        df, tf = sum(term in w for w in words.values()), own.count(term)
+        idf = math.log((n - df + 0.5) / (df + 0.5))
+        return (idf if idf > 0 else search.MIN_IDF) * tf * (search.K1 + 1) / (tf + search.K1 * (1 - search.B + search.B * len(own) / avg))
+
+    want = {i: sum(part(t, w) for t in "abc") for i, w in words.items() if set(w) & set("abc")}
+    assert [r.id for r in found] == sorted(want, key=lambda i: (-round(want[i], 6), i))
+    assert [r.score for r in found] == pytest.approx(sorted(want.values(), reverse=True), abs=2e-6)
+    for text, df in (("zz", docs), ("", docs), ("a", docs.limit(0))):
+        assert search.search_bm25(search.build_text_index(df, "id", ["text"]), text, 3).collect() == []
+    twice = spark.createDataFrame([(1, "a"), (1, "a b"), (None, "a c"), (None, "c")], "id long, text string")
+    assert {r.id for r in search.search_bm25(search.build_text_index(twice, "id", ["text"]), "a", 3).collect()} == {1, None}  # a row each
